@@ -58,7 +58,9 @@ def usd(total: Column, digits: int = 6) -> Column:
 
 
 def usd_mean(total: Column, rows: Column, digits: int = 6) -> Column:
-    return F.round(ratio(total.cast("double"), rows), digits)
+    """Mean of decimal money; decimal division keeps ties where they are."""
+    mean = F.round(total / F.nullif(rows, F.lit(0)), digits).cast("double")
+    return F.coalesce(mean, F.lit(0.0))
 
 
 def draw(key: Column, salt: str, choices: int) -> Column:

@@ -176,7 +176,7 @@ def anomaly_alerts(
     """
     hourly = completions.groupBy(
         "model", times.hour_of(F.col("timestamp")).alias("hour")
-    ).agg(F.round(F.avg("latency_ms"), 2).alias("metric_value"))
+    ).agg(F.avg("latency_ms").alias("metric_value"))
     trailing = Window.partitionBy("model").orderBy("hour").rowsBetween(-hours, -1)
     judged = hourly.withColumns(
         {
@@ -191,7 +191,7 @@ def anomaly_alerts(
     ).select(
         "model",
         "hour",
-        "metric_value",
+        F.round("metric_value", 2).alias("metric_value"),
         F.round("_mean", 2).alias("expected"),
         F.lit("anomaly").alias("alert_type"),
         F.when(F.col("metric_value") > F.col("_mean"), "above").otherwise("below").alias("direction"),

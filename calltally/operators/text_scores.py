@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from calltally.functions import numbers, text
 from calltally.functions.stemmer import stem
@@ -23,12 +24,12 @@ UNSTEMMED_LENGTH = 3
 _STEMS, _MARK = 5, 0
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stemmed(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda row: [stem(t) if len(t) > UNSTEMMED_LENGTH else t for t in row])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def subsequence_length(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([common_length(a, b) for a, b in zip(left, right)], dtype="int64")
 

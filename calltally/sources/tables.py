@@ -20,12 +20,12 @@ def append_completions(df: DataFrame, path: str, batch_id: str) -> None:
     """Append completions, laid out by source and day.
 
     A batch writes into its own folder and replaces it when it runs again, so a replay adds
-    nothing twice.
+    nothing twice. Rebalancing gathers a day's rows into few files and splits an oversized day.
     """
     (
         df.withColumn("date", F.to_date("timestamp"))
         .withColumn("batch_id", F.lit(batch_id))
-        .repartition("source", "date", F.pmod(F.hash("id"), F.lit(16)))
+        .hint("rebalance", "source", "date")
         .sortWithinPartitions("model", "timestamp")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

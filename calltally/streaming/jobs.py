@@ -189,7 +189,8 @@ def split_late(
         spark = batch.sparkSession
         boundary = None
         if batch_id > 0:
-            seen = spark.read.parquet(progress).where(F.col("batch_id") < batch_id)
+            stored = spark.read.schema("newest timestamp_ntz, batch_id bigint").parquet(progress)
+            seen = stored.where(F.col("batch_id") < batch_id)
             boundary = seen.agg(F.max("newest").alias("newest")).head()["newest"]
         batch.persist()
         try:
