@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,19 @@ def rouge_evaluator(rows: DataFrame) -> DataFrame:
     return scored.select("id", combined_rouge(F.col("rouge1"), F.col("rougeL")).alias("score"))
 
 
+def batch_evaluator(score: Callable[[pd.DataFrame], pd.Series]) -> Evaluator:
+    """An evaluator from a function that scores a pandas batch of (id, prompt, response, criteria).
+
+    This is where an external judge plugs in; batches arrive as Spark partitions the rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"id": rows["id"], "score": score(rows).astype("float64")})
+
+    return lambda rows: rows.mapInPandas(run, "id bigint, score double")
+
+
 BUILT_IN: Mapping[str, Evaluator] = {"bleu": bleu_evaluator, "rouge": rouge_evaluator}
 
 

@@ -29,21 +29,26 @@ def judge_requests(
 ) -> DataFrame:
     """One request per distinct (prompt, response, criteria) that the cache does not hold.
 
-    Copies of one text are folded before the shuffle; the smallest id stands for them. Only keys
-    and ids are aggregated, and the texts come back by a join on the id.
+    Copies of one text are folded within every task before the shuffle; the smallest id stands
+    for them.
     """
     asked = F.col("criteria") if criteria is None else F.lit(criteria)
     asked = F.coalesce(asked, F.lit(values.JUDGE_CRITERIA))
-    keyed = df.withColumn("_criteria", asked).withColumn(
-        "content_key", text.content_key(F.col("prompt"), F.col("response"), F.col("_criteria"))
+    keyed = df.select(
+        text.content_key(F.col("prompt"), F.col("response"), asked).alias("content_key"),
+        F.struct(id_column, "prompt", "response", asked.alias("criteria")).alias("_row"),
+    )
+    wanted = keyed.groupBy("content_key").agg(
+        F.min_by("_row", F.col("_row")[id_column]).alias("_row")
     )
-    wanted = keyed.groupBy("content_key").agg(F.min(id_column).alias(id_column))
     if cache is not None:
         wanted = wanted.join(cache.select("content_key"), "content_key", "left_anti")
-    return wanted.join(keyed.drop("content_key"), id_column).select(
-        id_column,
+    return wanted.select(
+        F.col("_row")[id_column].alias(id_column),
         "content_key",
-        judge_prompt(F.col("prompt"), F.col("response"), F.col("_criteria")).alias("request"),
+        judge_prompt(
+            F.col("_row.prompt"), F.col("_row.response"), F.col("_row.criteria")
+        ).alias("request"),
     )
 
 

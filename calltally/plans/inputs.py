@@ -160,7 +160,10 @@ def battles(spark: SparkSession, folder: str) -> DataFrame:
         .when(key % 4 == 2, "")
         .otherwise(".250000+05:30")
     )
-    written = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), zone)
+    fought = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(
+        days=(key % 30).cast("int"), secs=(customer * 7 % 86400).cast("decimal(18,6)")
+    )
+    written = F.concat(F.date_format(fought, "yyyy-MM-dd'T'HH:mm:ss"), zone)
     return table(spark, folder, "orders").select(
         key.alias("seq"),
         F.when(key % 13 != 0, F.concat(F.lit("lmsys_"), (key - key % 3).cast("string"))).alias("conversation_id"),
@@ -172,7 +175,7 @@ def battles(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key % 7 != 0, (customer % 400 + 20).cast("int")).alias("tokens_in"),
         F.when(key % 8 != 0, (customer % 250 + 10).cast("int")).alias("tokens_out"),
         F.when(key % 9 != 0, (customer % 900 + 100).cast("double")).alias("latency_ms"),
-        F.when(key % 6 != 0, F.round(F.col("o_totalprice") / 10_000_000, 8)).alias("cost_usd"),
+        F.when(key % 6 != 0, F.col("o_totalprice") / 10_000_000).alias("cost_usd"),
     )
 
 

@@ -94,13 +94,14 @@ BATTLES_CTE = """battles AS (
       WHEN o_orderstatus = 'O' THEN 'model_b' ELSE 'tie' END AS winner,
     CASE o_orderkey % 5 WHEN 0 THEN 'Klingon' WHEN 1 THEN 'German' WHEN 2 THEN 'French'
       ELSE 'English' END AS language,
-    CASE WHEN o_orderkey % 17 <> 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')
+    CASE WHEN o_orderkey % 17 <> 0 THEN strftime(TIMESTAMP '2024-01-01'
+      + to_days(CAST(o_orderkey % 30 AS INT)) + to_seconds(o_custkey * 7 % 86400), '%Y-%m-%dT%H:%M:%S')
       || CASE o_orderkey % 4 WHEN 0 THEN 'Z' WHEN 1 THEN '+02:00' WHEN 2 THEN ''
       ELSE '.250000+05:30' END ELSE 'soon' END AS timestamp,
     CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_custkey % 400 + 20 AS INT) END AS tokens_in,
     CASE WHEN o_orderkey % 8 <> 0 THEN CAST(o_custkey % 250 + 10 AS INT) END AS tokens_out,
     CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_custkey % 900 + 100 AS DOUBLE) END AS latency_ms,
-    CASE WHEN o_orderkey % 6 <> 0 THEN round(o_totalprice / 10000000, 8) END AS cost_usd
+    CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice / 10000000 END AS cost_usd
   FROM orders
 )"""
 
