@@ -45,7 +45,8 @@ def rounded(value: Column, digits: int) -> Column:
 
 
 def exact_usd(value: Column) -> Column:
-    return F.round(value, 8).cast("decimal(18,8)")
+    """Money to 8 digits, half up."""
+    return value.cast("decimal(18,8)")
 
 
 def usd_total(value: Column) -> Column:

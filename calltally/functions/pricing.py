@@ -10,10 +10,8 @@ from calltally import values
 
 def _lookup(model: Column, table: dict[str, tuple], default: tuple, position: int) -> Column:
     """A dictionary this small is a literal map: no join and no broadcast job."""
-    entries = [
-        F.lit(item) for name, pair in table.items() for item in (name, float(pair[position]))
-    ]
-    found = F.try_element_at(F.create_map(*entries), F.lower(model))
+    entries = ", ".join(f"'{name}', {float(pair[position])}D" for name, pair in table.items())
+    found = F.try_element_at(F.expr(f"map({entries})"), F.lower(model))
     return F.coalesce(found, F.lit(float(default[position])))
 
 

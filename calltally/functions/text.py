@@ -6,14 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as whitespace when stripping or splitting.
-SPACE = (
-    r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
+# The same characters as a pattern; the Unicode class is far faster than a list of ranges.
+SPACE_RUN = r"(?U)[\s\x{1c}-\x{1f}]+"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def is_blank(text: Column) -> Column:
@@ -22,7 +25,7 @@ def is_blank(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace-separated words; splitting an empty text gives no word."""
-    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE_RUN), "")
 
 
 def folded_words(text: Column) -> Column:

@@ -21,48 +21,49 @@ class RuleSet:
         self.rules.append((name, regex, float(weight)))
         return self
 
-    def hits(self, text: Column) -> dict[str, Column]:
-        return {
-            name: F.coalesce(text.rlike(_FLAGS + regex), F.lit(False))
-            for name, regex, _ in self.rules
-        }
+    def hits(self, text: Column) -> Column:
+        """One flag per rule, in rule order; a missing text matches nothing."""
+        flags = [
+            F.coalesce(text.rlike(_FLAGS + regex), F.lit(False)) for _, regex, _ in self.rules
+        ]
+        return F.array(*flags).cast("array<boolean>")
 
-    def matches(self, text: Column) -> Column:
+    def matches(self, hits: Column) -> Column:
         """Map from rule name to whether the rule matched."""
-        if not self.rules:
-            return F.create_map().cast("map<string,boolean>")
-        named = self.hits(text)
-        return F.create_map(*[c for name, hit in named.items() for c in (F.lit(name), hit)])
+        names = F.array(*[F.lit(name) for name, _, _ in self.rules]).cast("array<string>")
+        return F.map_from_arrays(names, hits)
 
-    def score(self, text: Column) -> Column:
+    def score(self, hits: Column) -> Column:
         """Matched weight over total weight, 4 decimals; no weight gives 0."""
         total = sum(weight for _, _, weight in self.rules)
         if total <= 0:
             return F.lit(0.0)
         matched = F.lit(0.0)
-        for _, regex, weight in self.rules:
-            hit = F.coalesce(text.rlike(_FLAGS + regex), F.lit(False))
-            matched = matched + F.when(hit, weight).otherwise(0.0)
+        for at, (_, _, weight) in enumerate(self.rules):
+            matched = matched + F.when(hits[at], weight).otherwise(0.0)
         return F.round(matched / total, 4)
 
 
 def evaluate_rules(df: DataFrame, rules: RuleSet, text: str) -> DataFrame:
-    return df.withColumns(
+    """Add `rule_matches` and `weighted_score`; every pattern runs once per row."""
+    flagged = df.withColumn("_hits", rules.hits(F.col(text)))
+    return flagged.withColumns(
         {
-            "rule_matches": rules.matches(F.col(text)),
-            "weighted_score": rules.score(F.col(text)),
+            "rule_matches": rules.matches(F.col("_hits")),
+            "weighted_score": rules.score(F.col("_hits")),
         }
-    )
+    ).drop("_hits")
 
 
 def rule_hit_rates(df: DataFrame, rules: RuleSet, text: str) -> DataFrame:
     """Per rule: matched rows and their share; one scan, no row leaves as more than a flag."""
-    hits = rules.hits(F.col(text))
-    counted = df.agg(
+    names = [name for name, _, _ in rules.rules]
+    flagged = df.select(rules.hits(F.col(text)).alias("_hits"))
+    counted = flagged.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count(F.when(hit, 1)).alias(name) for name, hit in hits.items()],
+        *[F.count(F.when(F.col("_hits")[at], 1)).alias(n) for at, n in enumerate(names)],
     )
-    return counted.unpivot(["_rows"], list(hits), "rule", "hits").select(
+    return counted.unpivot(["_rows"], names, "rule", "hits").select(
         "rule",
         "hits",
         F.round(F.when(F.col("_rows") == 0, 0.0).otherwise(

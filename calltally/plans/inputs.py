@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltally import values
@@ -13,41 +13,50 @@ ANCHOR = "2024-02-01 00:00:00"
 LANGUAGES = ("English", "German", "French")
 
 
+# Schemas of the driver tables; naming them saves the footer-reading job per query.
+TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,"
+    " props string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "benchmark": "item_id bigint, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,"
+    " c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def completions_from(events: DataFrame) -> DataFrame:
     """Calls derived from event rows; works on a table and on a stream."""
-    event = F.col("event_id")
-    model = (
-        F.when(F.col("event_type") == "view", "gpt-4")
-        .when(F.col("event_type") == "click", "gpt-3.5-turbo")
-        .when(F.col("event_type") == "signup", "claude-3-opus")
-        .when(F.col("event_type") == "purchase", "mistral-large")
-        .otherwise("unlisted-model")
-    )
-    source = (
-        F.when(event % 10 == 0, values.BENCHMARK).when(event % 10 == 1, "upload_a").otherwise(values.ARENA)
-    )
-    code = F.when(event % 3 == 0, "timeout").when(event % 3 == 1, "rate_limit").otherwise("server_error")
-    base = events.select(
-        event.alias("id"),
-        F.col("ts").alias("timestamp"),
-        F.concat(
-            F.lit("call "), event.cast("string"), F.repeat(F.lit(" and more"), (event % 29).cast("int"))
-        ).alias("prompt"),
-        F.concat(F.lit("answer "), F.col("props")).alias("response"),
-        model.alias("model"),
-        (F.get_json_object("props", "$.k").cast("int") + 1).alias("tokens_in"),
-        (event % 97).cast("int").alias("tokens_out"),
-        (F.col("value") * 10 + (event % 1009) / 1013).alias("latency_ms"),
-        F.when(event % 53 != 0, F.concat(F.lit("user_"), F.col("user_id").cast("string"))).alias("user_id"),
-        F.concat(F.lit("conv_"), F.floor(event / 2).cast("bigint").cast("string")).alias("conversation_id"),
-        source.alias("source"),
-        (event % 97 > 0).alias("success"),
-        F.when(event % 97 == 0, code).alias("error_code"),
-        ((event % 26) / 10).alias("temperature"),
+    base = events.selectExpr(
+        "event_id AS id",
+        "ts AS timestamp",
+        "concat('call ', cast(event_id AS string), repeat(' and more', cast(event_id % 29 AS int)))"
+        " AS prompt",
+        "concat('answer ', props) AS response",
+        "CASE event_type WHEN 'view' THEN 'gpt-4' WHEN 'click' THEN 'gpt-3.5-turbo'"
+        " WHEN 'signup' THEN 'claude-3-opus' WHEN 'purchase' THEN 'mistral-large'"
+        " ELSE 'unlisted-model' END AS model",
+        "cast(get_json_object(props, '$.k') AS int) + 1 AS tokens_in",
+        "cast(event_id % 97 AS int) AS tokens_out",
+        "value * 10 + (event_id % 1009) / 1013 AS latency_ms",
+        "CASE WHEN event_id % 53 <> 0 THEN concat('user_', cast(user_id AS string)) END AS user_id",
+        "concat('conv_', cast(event_id div 2 AS string)) AS conversation_id",
+        f"CASE event_id % 10 WHEN 0 THEN '{values.BENCHMARK}' WHEN 1 THEN 'upload_a'"
+        f" ELSE '{values.ARENA}' END AS source",
+        "event_id % 97 > 0 AS success",
+        "CASE WHEN event_id % 97 = 0 THEN CASE event_id % 3 WHEN 0 THEN 'timeout'"
+        " WHEN 1 THEN 'rate_limit' ELSE 'server_error' END END AS error_code",
+        "(event_id % 26) / 10 AS temperature",
     )
     cost = pricing.cost(F.col("tokens_in"), F.col("tokens_out"), F.col("model"))
     return base.withColumn("cost_usd", cost)
@@ -60,42 +69,29 @@ def completions(spark: SparkSession, folder: str) -> DataFrame:
 def evals_from(events: DataFrame) -> DataFrame:
     """Scores derived from event rows: preferences in the arena, human and judge scores elsewhere,
     and some scores whose completion does not exist."""
-    event = F.col("event_id")
-
-    def entry(at: int, target: Column, kind: str, score: Column, source: str) -> Column:
-        return F.struct(
-            (event * 4 + at).alias("id"),
-            target.alias("completion_id"),
-            F.lit(kind).alias("eval_type"),
-            score.alias("score"),
-            F.lit(source).alias("source"),
+
+    def entry(at: int, when: str, target: str, kind: str, score: str, source: str) -> str:
+        return (
+            f"CASE WHEN {when} THEN struct(event_id * 4 + {at} AS id, {target} AS completion_id,"
+            f" '{kind}' AS eval_type, {score} AS score, '{source}' AS source) END"
         )
 
-    arena = event % 10 > 1
-    rows = F.array(
-        F.when(arena, entry(0, event, values.PREFERENCE, (event % 3) / 2, values.PREFERENCE)),
-        F.when(~arena, entry(1, event, "human", (event % 129) / 128, "benchmark")),
-        F.when(
-            ~arena & (event % 7 != 3),
-            entry(2, event, "llm_judge", (event * 7 % 129) / 128, "benchmark"),
-        ),
-        F.when(
-            event % 50 == 49,
-            entry(3, event + 10_000_000_000, "rules", (event % 5) / 4, "computed"),
+    entries = (
+        entry(0, "event_id % 10 > 1", "event_id", values.PREFERENCE, "(event_id % 3) / 2", values.PREFERENCE),
+        entry(1, "event_id % 10 <= 1", "event_id", "human", "(event_id % 129) / 128", "benchmark"),
+        entry(
+            2, "event_id % 10 <= 1 AND event_id % 7 <> 3", "event_id", "llm_judge",
+            "(event_id * 7 % 129) / 128", "benchmark",
         ),
+        entry(3, "event_id % 50 = 49", "event_id + 10000000000", "rules", "(event_id % 5) / 4", "computed"),
     )
-    return events.select(
-        (F.col("ts") + F.make_dt_interval(mins=(event % 90).cast("int"))).alias("created_at"),
-        F.inline(F.array_compact(rows)),
-    ).select(
-        "id",
-        "completion_id",
-        "eval_type",
-        "score",
-        F.lit(None).cast("string").alias("criteria"),
-        F.lit(None).cast("string").alias("explanation"),
-        "created_at",
-        "source",
+    rows = f"inline(array_compact(array({', '.join(entries)})))"
+    scored = events.selectExpr(
+        "ts + make_dt_interval(0, 0, cast(event_id % 90 AS int)) AS created_at", rows
+    )
+    return scored.selectExpr(
+        "id", "completion_id", "eval_type", "score", "cast(NULL AS string) AS criteria",
+        "cast(NULL AS string) AS explanation", "created_at", "source",
     )
 
 
@@ -128,54 +124,28 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
 
 def battles(spark: SparkSession, folder: str) -> DataFrame:
     """Arena battles from orders: repeated conversations, missing cells, several time formats."""
-    key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    model_a = (
-        F.when(F.col("o_orderpriority") == "1-URGENT", "gpt-4")
-        .when(F.col("o_orderpriority") == "2-HIGH", "claude-3-opus")
-        .when(F.col("o_orderpriority") == "3-MEDIUM", "gpt-3.5-turbo")
-        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "gemini-pro")
-        .otherwise("Unlisted-Model")
-    )
-    model_b = (
-        F.when(customer % 4 == 0, "llama-2-70b")
-        .when(customer % 4 == 1, "palm-2")
-        .when(customer % 4 == 2, "gpt-4-turbo")
-        .otherwise("mistral-large")
-    )
-    winner = (
-        F.when(customer % 11 == 0, "both_bad")
-        .when(F.col("o_orderstatus") == "F", "model_a")
-        .when(F.col("o_orderstatus") == "O", "model_b")
-        .otherwise("tie")
-    )
-    language = (
-        F.when(key % 5 == 0, "Klingon")
-        .when(key % 5 == 1, "German")
-        .when(key % 5 == 2, "French")
-        .otherwise("English")
-    )
-    zone = (
-        F.when(key % 4 == 0, "Z")
-        .when(key % 4 == 1, "+02:00")
-        .when(key % 4 == 2, "")
-        .otherwise(".250000+05:30")
-    )
-    fought = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(
-        days=(key % 30).cast("int"), secs=(customer * 7 % 86400).cast("decimal(18,6)")
-    )
-    written = F.concat(F.date_format(fought, "yyyy-MM-dd'T'HH:mm:ss"), zone)
-    return table(spark, folder, "orders").select(
-        key.alias("seq"),
-        F.when(key % 13 != 0, F.concat(F.lit("lmsys_"), (key - key % 3).cast("string"))).alias("conversation_id"),
-        model_a.alias("model_a"),
-        model_b.alias("model_b"),
-        winner.alias("winner"),
-        language.alias("language"),
-        F.when(key % 17 != 0, written).otherwise("soon").alias("timestamp"),
-        F.when(key % 7 != 0, (customer % 400 + 20).cast("int")).alias("tokens_in"),
-        F.when(key % 8 != 0, (customer % 250 + 10).cast("int")).alias("tokens_out"),
-        F.when(key % 9 != 0, (customer % 900 + 100).cast("double")).alias("latency_ms"),
-        F.when(key % 6 != 0, F.col("o_totalprice") / 10_000_000).alias("cost_usd"),
+    return table(spark, folder, "orders").selectExpr(
+        "o_orderkey AS seq",
+        "CASE WHEN o_orderkey % 13 <> 0 THEN"
+        " concat('lmsys_', cast(o_orderkey - o_orderkey % 3 AS string)) END AS conversation_id",
+        "CASE o_orderpriority WHEN '1-URGENT' THEN 'gpt-4' WHEN '2-HIGH' THEN 'claude-3-opus'"
+        " WHEN '3-MEDIUM' THEN 'gpt-3.5-turbo' WHEN '4-NOT SPECIFIED' THEN 'gemini-pro'"
+        " ELSE 'Unlisted-Model' END AS model_a",
+        "CASE o_custkey % 4 WHEN 0 THEN 'llama-2-70b' WHEN 1 THEN 'palm-2' WHEN 2 THEN 'gpt-4-turbo'"
+        " ELSE 'mistral-large' END AS model_b",
+        "CASE WHEN o_custkey % 11 = 0 THEN 'both_bad' WHEN o_orderstatus = 'F' THEN 'model_a'"
+        " WHEN o_orderstatus = 'O' THEN 'model_b' ELSE 'tie' END AS winner",
+        "CASE o_orderkey % 5 WHEN 0 THEN 'Klingon' WHEN 1 THEN 'German' WHEN 2 THEN 'French'"
+        " ELSE 'English' END AS language",
+        "CASE WHEN o_orderkey % 17 = 0 THEN 'soon' ELSE concat(date_format("
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(o_orderkey % 30 AS int), 0, 0,"
+        " cast(o_custkey * 7 % 86400 AS decimal(18,6))), \"yyyy-MM-dd'T'HH:mm:ss\"),"
+        " CASE o_orderkey % 4 WHEN 0 THEN 'Z' WHEN 1 THEN '+02:00' WHEN 2 THEN ''"
+        " ELSE '.250000+05:30' END) END AS timestamp",
+        "CASE WHEN o_orderkey % 7 <> 0 THEN cast(o_custkey % 400 + 20 AS int) END AS tokens_in",
+        "CASE WHEN o_orderkey % 8 <> 0 THEN cast(o_custkey % 250 + 10 AS int) END AS tokens_out",
+        "CASE WHEN o_orderkey % 9 <> 0 THEN cast(o_custkey % 900 + 100 AS double) END AS latency_ms",
+        "CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice / 10000000 END AS cost_usd",
     )
 
 
@@ -187,47 +157,43 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def uploaded_text(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs as the text cells of an uploaded file, with blank, padded and broken cells."""
-    turn = F.col("id") % 7
-    return pairs(spark, folder).select(
-        F.col("id").alias("_seq"),
-        F.when(F.col("conv_id") % 9 == 0, " \t ").otherwise(F.col("prompt")).alias("prompt"),
-        F.concat(F.lit("  "), F.col("response"), F.lit(" ")).alias("response"),
-        F.when(turn == 0, "  ").when(turn < 4, "gpt-4").otherwise(" claude-3-opus ").alias("model"),
-        F.when(turn == 1, "12.7").when(turn == 2, "oops").when(turn == 3, "").otherwise("80").alias("tokens_in"),
-        F.when(turn == 4, "1e2").when(turn == 5, "nan").otherwise(" 33 ").alias("tokens_out"),
-        F.when(turn == 6, "x").otherwise("120.5").alias("latency_ms"),
-        F.when(turn == 5, "inf").otherwise("0.002").alias("cost_usd"),
-        F.when(turn == 0, "8").when(turn == 1, "1").when(turn == 2, "0.4").when(turn == 3, "not_a_number")
-        .when(turn == 4, "-3").when(turn == 5, "12").otherwise("").alias("quality_rating"),
-        F.when(turn < 3, " clarity ").otherwise("").alias("criteria"),
+    return pairs(spark, folder).selectExpr(
+        "id AS _seq",
+        "CASE WHEN conv_id % 9 = 0 THEN ' \\t ' ELSE prompt END AS prompt",
+        "concat('  ', response, ' ') AS response",
+        "CASE WHEN id % 7 = 0 THEN '  ' WHEN id % 7 < 4 THEN 'gpt-4' ELSE ' claude-3-opus ' END AS model",
+        "CASE id % 7 WHEN 1 THEN '12.7' WHEN 2 THEN 'oops' WHEN 3 THEN '' ELSE '80' END AS tokens_in",
+        "CASE id % 7 WHEN 4 THEN '1e2' WHEN 5 THEN 'nan' ELSE ' 33 ' END AS tokens_out",
+        "CASE id % 7 WHEN 6 THEN 'x' ELSE '120.5' END AS latency_ms",
+        "CASE id % 7 WHEN 5 THEN 'inf' ELSE '0.002' END AS cost_usd",
+        "CASE id % 7 WHEN 0 THEN '8' WHEN 1 THEN '1' WHEN 2 THEN '0.4' WHEN 3 THEN 'not_a_number'"
+        " WHEN 4 THEN '-3' WHEN 5 THEN '12' ELSE '' END AS quality_rating",
+        "CASE WHEN id % 7 < 3 THEN ' clarity ' ELSE '' END AS criteria",
     )
 
 
 def traces(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as root spans and line items as their children."""
-    orders, items = table(spark, folder, "orders"), table(spark, folder, "lineitem")
-    root_end = F.col("o_orderdate") + F.make_dt_interval(secs=(F.col("o_custkey") % 100).cast("decimal(18,6)"))
-    roots = orders.select(
-        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"),
-        F.lit(None).cast("string").alias("parent_trace_id"),
-        F.lit("request").alias("trace_type"),
-        F.col("o_orderpriority").alias("span_name"),
-        F.col("o_orderdate").alias("start_time"),
-        root_end.alias("end_time"),
-        F.when(F.col("o_orderstatus") == "P", "error").otherwise("ok").alias("status"),
-        F.concat(F.lit('{"status":"'), F.col("o_orderstatus"), F.lit('","customer":'), F.col("o_custkey").cast("string"), F.lit("}")).alias("trace_data"),
-    )
-    child_end = F.col("l_shipdate") + F.make_dt_interval(
-        secs=(F.col("l_quantity") - F.when(F.col("l_partkey") % 50 == 0, 60).otherwise(0)).cast("decimal(18,6)")
-    )
-    children = items.select(
-        F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_suppkey").cast("string")).alias("id"),
-        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("parent_trace_id"),
-        F.lit("span").alias("trace_type"),
-        F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("span_name"),
-        F.col("l_shipdate").alias("start_time"),
-        child_end.alias("end_time"),
-        F.when(F.col("l_returnflag") == "R", "error").otherwise("ok").alias("status"),
-        F.concat(F.lit('{"part":'), F.col("l_partkey").cast("string"), F.lit("}")).alias("trace_data"),
+    roots = table(spark, folder, "orders").selectExpr(
+        "concat('o', cast(o_orderkey AS string)) AS id",
+        "cast(NULL AS string) AS parent_trace_id",
+        "'request' AS trace_type",
+        "o_orderpriority AS span_name",
+        "o_orderdate AS start_time",
+        "o_orderdate + make_dt_interval(0, 0, 0, cast(o_custkey % 100 AS decimal(18,6))) AS end_time",
+        "CASE WHEN o_orderstatus = 'P' THEN 'error' ELSE 'ok' END AS status",
+        "to_json(struct(o_orderstatus AS status, o_custkey AS customer)) AS trace_data",
+    )
+    children = table(spark, folder, "lineitem").selectExpr(
+        "concat_ws('_', concat('l', cast(l_orderkey AS string)), cast(l_linenumber AS string),"
+        " cast(l_partkey AS string), cast(l_suppkey AS string)) AS id",
+        "concat('o', cast(l_orderkey AS string)) AS parent_trace_id",
+        "'span' AS trace_type",
+        "concat(l_returnflag, l_linestatus) AS span_name",
+        "l_shipdate AS start_time",
+        "l_shipdate + make_dt_interval(0, 0, 0, cast(l_quantity"
+        " - CASE WHEN l_partkey % 50 = 0 THEN 60 ELSE 0 END AS decimal(18,6))) AS end_time",
+        "CASE WHEN l_returnflag = 'R' THEN 'error' ELSE 'ok' END AS status",
+        "to_json(struct(l_partkey AS part)) AS trace_data",
     )
     return roots.unionByName(children)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltally.plans.inputs import completions, completions_from, evals_from, table
+from calltally.plans.inputs import TABLES, completions, completions_from, evals_from
 from calltally.plans.operations import RAW_CTE, raw_calls
 from calltally.plans.registry import query
 from calltally.plans.twins import over_completions, over_evals, percent, usd, usd_total
@@ -16,8 +16,7 @@ CLOSED = "(SELECT max(timestamp) - INTERVAL 1 HOUR FROM completions)"
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = table(spark, folder, "events").schema
-    return jobs.read_parquet_stream(spark, folder, "events.parquet", schema)
+    return jobs.read_parquet_stream(spark, folder, "events.parquet", TABLES["events"])
 
 
 def finished(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:

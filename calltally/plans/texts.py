@@ -149,7 +149,7 @@ RULES = [
     ("number", r"\d+", 1.0),
     ("link", r"https?://", 2.0),
     ("licence", r"licen[cs]e", 1.5),
-    ("mail", r"[a-z0-9._]+@[a-z0-9.]+", 2.0),
+    ("mail", r"@[a-z0-9-]+\.[a-z]{2}", 2.0),
     ("table", r"\|.*\|", 0.5),
     ("bullet", r"(^|\n)[-*] ", 1.0),
 ]

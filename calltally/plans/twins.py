@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from calltally import values
-from calltally.functions.text import SPACE
 
+# The whitespace class in the twin's regex dialect.
+SPACE = (
+    r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 PRICES = ", ".join(f"('{m}', {i!r}, {o!r})" for m, (i, o) in values.MODEL_PRICES.items())
 RANGES = ", ".join(f"('{m}', {lo}.0, {hi}.0)" for m, (lo, hi) in values.LATENCY_RANGES.items())
 

@@ -12,7 +12,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from calltally import schemas
 from calltally.functions import numbers
@@ -29,7 +28,7 @@ def read_landing(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.json(path)
 
 
-def read_parquet_stream(spark: SparkSession, path: str, pattern: str, schema: StructType) -> DataFrame:
+def read_parquet_stream(spark: SparkSession, path: str, pattern: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
 
 
