@@ -26,7 +26,8 @@ def parse_int(text: Column, default: Column) -> Column:
 
 
 def clamp01(value: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
+    """Value moved into 0–1; a missing value stays missing."""
+    return F.when(value.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
 
 
 def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
