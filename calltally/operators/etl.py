@@ -97,13 +97,18 @@ def battle_sides(battles: DataFrame, anchor, first_id: int = 0) -> DataFrame:
     )
 
 
+def eval_id(completion_id: Column, eval_type: str) -> Column:
+    """Score ids from completion ids: eight places per completion, one per score type."""
+    return (completion_id * 8 + values.EVAL_TYPES.index(eval_type)).cast("bigint")
+
+
 def completions_of(rows: DataFrame) -> DataFrame:
     return rows.select(*COMPLETION_COLUMNS)
 
 
 def preference_evals(sides: DataFrame, created_at) -> DataFrame:
     return sides.select(
-        "id",
+        eval_id(F.col("id"), values.PREFERENCE).alias("id"),
         F.col("id").alias("completion_id"),
         F.lit(values.PREFERENCE).alias("eval_type"),
         "score",
@@ -179,13 +184,12 @@ def benchmark_rows(rows: DataFrame, anchor, first_id: int = 0) -> DataFrame:
 def _eval_rows(scored: DataFrame, parts: list[tuple], created_at) -> DataFrame:
     """Long-form scores from score columns; a missing score gives no row.
 
-    parts: (eval_type, score, criteria, explanation, source). Score ids are
-    completion id × number of types + position, so they are unique without a shuffle.
+    parts: (eval_type, score, criteria, explanation, source).
     """
     entries = []
-    for at, (name, score, criteria, explanation, source) in enumerate(parts):
+    for name, score, criteria, explanation, source in parts:
         entry = F.struct(
-            (F.col("id") * len(parts) + at).cast("bigint").alias("id"),
+            eval_id(F.col("id"), name).alias("id"),
             F.col("id").alias("completion_id"),
             F.lit(name).alias("eval_type"),
             score.alias("score"),

@@ -374,3 +374,18 @@ def rating_distribution(rows: DataFrame, rating: str) -> DataFrame:
         .select(F.lit("tier").alias("scope"), "key", "count")
     )
     return per_rating.unionByName(per_tier)
+
+
+def battle_report(battles: DataFrame) -> DataFrame:
+    """Per first model of the battle file: mean latency, cost, wins, battles, win percentage."""
+    wins = F.count(F.when(F.col("winner") == "model_a", 1))
+    return (
+        battles.groupBy("model_a")
+        .agg(
+            F.round(F.avg("latency_ms"), 2).alias("avg_latency"),
+            F.round(F.sum("cost_usd"), 4).alias("total_cost"),
+            wins.alias("wins"),
+            F.count(F.lit(1)).alias("total"),
+        )
+        .withColumn("win_rate", F.round(100.0 * F.col("wins") / F.col("total"), 1))
+    )

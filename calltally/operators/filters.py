@@ -31,6 +31,13 @@ def in_period(df: DataFrame, start=None, end=None, column: str = "timestamp") ->
     return df
 
 
+def last_days(df: DataFrame, anchor, days: int = 7, column: str = "timestamp") -> DataFrame:
+    """Rows of the days up to and including `anchor`."""
+    at = _instant(anchor)
+    start = at - F.make_dt_interval(days=F.lit(days))
+    return df.where((F.col(column) >= start) & (F.col(column) <= at))
+
+
 def scoped(
     df: DataFrame,
     start=None,
@@ -155,15 +162,12 @@ def sample_rows(df: DataFrame, share: float, seed: str = "0", id_column: str = "
         )
         return F.when(reached, state).otherwise(moved)
 
-    cut = listed.withColumn("_size", size).select(
-        F.aggregate("_slots", start, step).alias("_cut")
-    )
-    cut_slot = cut.select(F.col("_cut.slot")).scalar()
-    rest = cut.select(F.col("_cut.rest")).scalar()
-    whole = hashed.where(F.col("_slot") < cut_slot)
-    edge = hashed.where(F.col("_slot") == cut_slot)
+    # One scalar for both numbers, so the histogram is computed once.
+    cut = listed.withColumn("_size", size).select(F.aggregate("_slots", start, step)).scalar()
+    whole = hashed.where(F.col("_slot") < cut["slot"])
+    edge = hashed.where(F.col("_slot") == cut["slot"])
     # One slot holds 1/4096 of the rows; its first `rest` rows complete the sample.
     ranked = edge.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("_slot").orderBy("_hash", id_column))
-    ).where(F.col("_rank") <= rest)
+    ).where(F.col("_rank") <= cut["rest"])
     return whole.drop("_hash", "_slot").unionByName(ranked.drop("_hash", "_slot", "_rank"))

@@ -207,6 +207,67 @@ def percentiles_with_spread(completions: DataFrame, start=None, end=None, **scop
     return quantiles.join(spread, "_one").drop("_one")
 
 
+def model_spread(completions: DataFrame, start=None, end=None) -> DataFrame:
+    """Per model over every source: mean and median latency, mean cost."""
+    grouped = grouped_with_quantiles(
+        scoped(completions, start, end),
+        ["model"],
+        [
+            numbers.rounded(F.avg("latency_ms"), 2).alias("mean_latency"),
+            numbers.usd_mean(numbers.usd_total(F.col("cost_usd")), F.count("cost_usd")).alias(
+                "mean_cost"
+            ),
+        ],
+        "latency_ms",
+        {"median_latency": 0.5},
+    )
+    return grouped.withColumn("median_latency", numbers.rounded(F.col("median_latency"), 2))
+
+
+def describe(df: DataFrame, column: str) -> DataFrame:
+    """One row: count, mean, deviation, minimum, quartiles and maximum of a column."""
+    grouped = grouped_with_quantiles(
+        df,
+        [],
+        [
+            F.count(column).alias("count"),
+            F.avg(column).alias("mean"),
+            F.stddev_samp(column).alias("std"),
+            F.min(column).alias("min"),
+            F.max(column).alias("max"),
+        ],
+        column,
+        {"q25": 0.25, "q50": 0.5, "q75": 0.75},
+    )
+    return grouped.select(
+        "count", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")]
+    )
+
+
+def side_by_side(completions: DataFrame, left: str, right: str) -> DataFrame:
+    """Requests and mean latency of two sources in one row, from one scan."""
+
+    def only(source: str, column: str) -> Column:
+        return F.when(F.col("source") == source, F.col(column))
+
+    return completions.where(F.col("source").isin(left, right)).agg(
+        F.count(only(left, "id")).alias("left_requests"),
+        F.count(only(right, "id")).alias("right_requests"),
+        F.round(F.avg(only(left, "latency_ms")), 2).alias("left_latency_ms"),
+        F.round(F.avg(only(right, "latency_ms")), 2).alias("right_latency_ms"),
+    )
+
+
+def user_success(completions: DataFrame) -> DataFrame:
+    """Success rate per user with its band."""
+    rate = (
+        completions.where(F.col("user_id").isNotNull())
+        .groupBy("user_id")
+        .agg(numbers.percent(_successes(), F.count(F.lit(1))).alias("success_rate_percent"))
+    )
+    return rate.withColumn("band", success_band(F.col("success_rate_percent")))
+
+
 def approximate_percentiles(
     completions: DataFrame, keys=("model",), source: str | None = values.ARENA, accuracy=10_000
 ) -> DataFrame:

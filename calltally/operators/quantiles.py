@@ -85,14 +85,18 @@ def ranked_quantiles(
         .select(*keys, "_bucket", "_total", "_before", "_ranks")
     )
     targets = cut_lineage(targets)
+    counts = values.withColumn("_n", F.lit(1).cast("bigint"))
     if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         targets = F.broadcast(targets)
+    else:
+        # Too many groups to broadcast: fold equal values before the join has to shuffle them.
+        counts = values.groupBy(*keys, "_bucket", "_value").agg(F.count(F.lit(1)).alias("_n"))
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy("_value")
     counted = (
-        _joined(values, targets, [*keys, "_bucket"], "inner")
+        _joined(counts, targets, [*keys, "_bucket"], "inner")
         .groupBy(*keys, "_bucket", "_value")
         .agg(
-            F.count(F.lit(1)).alias("_n"),
+            F.sum("_n").alias("_n"),
             F.first("_total").alias("_total"),
             F.first("_before").alias("_before"),
             F.first("_ranks").alias("_ranks"),

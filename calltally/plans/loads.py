@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from calltally import schemas, values
 from calltally.functions import numbers, pricing, text, times
-from calltally.operators import cleaning, etl, filters
+from calltally.operators import cleaning, etl, evaluations, filters
 from calltally.plans.inputs import (
     ANCHOR,
     battles,
@@ -701,17 +701,4 @@ FROM battles GROUP BY model_a""",
     ),
 )
 def _(spark, folder):
-    wins = F.count(F.when(F.col("winner") == "model_a", 1))
-    return (
-        battles(spark, folder)
-        .groupBy("model_a")
-        .agg(
-            F.round(F.avg("latency_ms"), 2).alias("avg_latency"),
-            F.round(F.sum("cost_usd"), 4).alias("total_cost"),
-            wins.alias("wins"),
-            F.count(F.lit(1)).alias("total"),
-        )
-        .withColumn("win_rate", F.round(100.0 * F.col("wins") / F.col("total"), 1))
-    )
-
-
+    return evaluations.battle_report(battles(spark, folder))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from calltally import values
 from calltally.functions import numbers
-from calltally.operators import etl, evaluations, filters, judge, quality
+from calltally.operators import etl, evaluations, filters, judge, metrics, quality
 from calltally.operators import batch as batches
 from calltally.plans.inputs import completions, evals, pairs, table, uploads
 from calltally.plans.registry import query
@@ -379,23 +379,15 @@ def _(spark, folder):
 @query(
     "j8_sources_side_by_side",
     over_completions(
-        f"""SELECT count(*) FILTER (WHERE source = 'lmsys') AS arena_requests,
-  count(*) FILTER (WHERE source = 'evals_benchmark') AS benchmark_requests,
-  round(avg(latency_ms) FILTER (WHERE source = 'lmsys'), 2) AS arena_latency_ms,
-  round(avg(latency_ms) FILTER (WHERE source = 'evals_benchmark'), 2) AS benchmark_latency_ms
+        f"""SELECT count(*) FILTER (WHERE source = 'lmsys') AS left_requests,
+  count(*) FILTER (WHERE source = 'evals_benchmark') AS right_requests,
+  round(avg(latency_ms) FILTER (WHERE source = 'lmsys'), 2) AS left_latency_ms,
+  round(avg(latency_ms) FILTER (WHERE source = 'evals_benchmark'), 2) AS right_latency_ms
 FROM completions"""
     ),
 )
 def _(spark, folder):
-    def only(source, column):
-        return F.when(F.col("source") == source, F.col(column))
-
-    return completions(spark, folder).agg(
-        F.count(only(values.ARENA, "id")).alias("arena_requests"),
-        F.count(only(values.BENCHMARK, "id")).alias("benchmark_requests"),
-        F.round(F.avg(only(values.ARENA, "latency_ms")), 2).alias("arena_latency_ms"),
-        F.round(F.avg(only(values.BENCHMARK, "latency_ms")), 2).alias("benchmark_latency_ms"),
-    )
+    return metrics.side_by_side(completions(spark, folder), values.ARENA, values.BENCHMARK)
 
 
 @query(

@@ -75,6 +75,38 @@ def _(spark, folder):
     return scored.select("id", "rouge1")
 
 
+# The classic table, one reference token per step: the best value up to a column is the running
+# maximum of the value above and, where tokens match, the value above left plus one.
+LCS_CTE = f"""{PAIRS_CTE},
+tokens AS (SELECT id, regexp_extract_all(lower(prompt), '[a-z0-9]+') AS r,
+    regexp_extract_all(lower(response), '[a-z0-9]+') AS c FROM pairs),
+cells AS (
+  SELECT id, 0 AS i, j, 0 AS v FROM (SELECT id, unnest(range(0, len(c) + 1)) AS j FROM tokens)
+  UNION ALL
+  SELECT id, i, j, max(w) OVER (PARTITION BY id ORDER BY j) AS v FROM (
+    SELECT p.id, p.i + 1 AS i, p.j, CASE WHEN p.j > 0 AND t.c[p.j] = t.r[p.i + 1]
+      THEN lag(p.v) OVER (PARTITION BY p.id ORDER BY p.j) + 1 ELSE p.v END AS w
+    FROM cells p JOIN tokens t ON t.id = p.id WHERE p.i < len(t.r))
+),
+lcs AS (SELECT t.id, max(len(r)) AS lr, max(len(c)) AS lc, max(coalesce(v, 0)) AS v
+  FROM tokens t LEFT JOIN cells k ON k.id = t.id GROUP BY t.id),
+shares AS (SELECT id, CAST(v AS DOUBLE) / greatest(lc, 1) AS p, CAST(v AS DOUBLE) / greatest(lr, 1) AS q
+  FROM lcs)"""
+
+
+@query(
+    "txt3_rougeL_unstemmed",
+    "WITH RECURSIVE "
+    + over(
+        'SELECT id, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 4) AS "rougeL" FROM shares',
+        LCS_CTE,
+    ).removeprefix("WITH "),
+)
+def _(spark, folder):
+    scored = text_scores.text_scores(pairs(spark, folder), "id", bleu=False, stemming=False)
+    return scored.select("id", "rougeL")
+
+
 @query("txt2_txt3_rouge")
 def _(spark, folder):
     return text_scores.text_scores(pairs(spark, folder), "id", bleu=False)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from calltally import values
-from calltally.functions import numbers, pricing, times
+from calltally.functions import pricing, times
 from calltally.operators import filters, metrics
-from calltally.operators.quantiles import grouped_with_quantiles
 from calltally.plans import twins
 from calltally.plans.inputs import completions, table
 from calltally.plans.registry import query
@@ -177,21 +176,20 @@ FROM completions GROUP BY model"""
     ),
 )
 def _(spark, folder):
-    grouped = grouped_with_quantiles(
-        completions(spark, folder),
-        ["model"],
-        [
-            numbers.rounded(F.avg("latency_ms"), 2).alias("mean_latency"),
-            numbers.usd_mean(
-                numbers.usd_total(F.col("cost_usd")), F.count(F.lit(1))
-            ).alias("mean_cost"),
-        ],
-        "latency_ms",
-        {"median_latency": 0.5},
-    )
-    return grouped.select(
-        "model", "mean_latency", F.round("median_latency", 2).alias("median_latency"), "mean_cost"
-    )
+    return metrics.model_spread(completions(spark, folder))
+
+
+@query(
+    "ag18_describe",
+    over_completions(
+        """SELECT count(latency_ms) AS count, round(avg(latency_ms), 4) AS mean,
+  round(stddev_samp(latency_ms), 4) AS std, round(min(latency_ms), 4) AS min,
+  round(quantile_cont(latency_ms, 0.25), 4) AS q25, round(quantile_cont(latency_ms, 0.5), 4) AS q50,
+  round(quantile_cont(latency_ms, 0.75), 4) AS q75, round(max(latency_ms), 4) AS max FROM completions"""
+    ),
+)
+def _(spark, folder):
+    return metrics.describe(completions(spark, folder), "latency_ms")
 
 
 @query(
@@ -309,6 +307,14 @@ def _(spark, folder):
     return filters.in_period(completions(spark, folder), START, END).select("id", "timestamp", "model")
 
 
+@query(
+    "f1_last_week",
+    over_completions(IDS + f"timestamp >= TIMESTAMP '{END}' - INTERVAL 7 DAY AND timestamp <= TIMESTAMP '{END}'"),
+)
+def _(spark, folder):
+    return filters.last_days(completions(spark, folder), END).select("id", "timestamp", "model")
+
+
 @query("f2_source", over_completions(IDS + "source = 'upload_a'"))
 def _(spark, folder):
     return filters.scoped(completions(spark, folder), source="upload_a").select("id", "timestamp", "model")
@@ -405,13 +411,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    calls = completions(spark, folder).where(F.col("user_id").isNotNull())
-    rate = calls.groupBy("user_id").agg(
-        numbers.percent(F.count(F.when(F.col("tokens_out") > 0, 1)), F.count(F.lit(1))).alias(
-            "success_rate_percent"
-        )
-    )
-    return rate.withColumn("band", metrics.success_band(F.col("success_rate_percent")))
+    return metrics.user_success(completions(spark, folder))
 
 
 @query(

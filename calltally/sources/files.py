@@ -12,17 +12,20 @@ from calltally.functions import text
 UPLOAD_REQUIRED = ("prompt", "response")
 
 
-def _csv(spark: SparkSession):
-    """Quoted cells may hold line ends, so a file is one task; rows are spread right after."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def _csv(spark: SparkSession, multi_line: bool):
+    """With line ends inside quoted cells a file cannot be split and is read by one task; many
+    files are read in parallel, and files without such cells are split as usual."""
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names as the file has them; reads only the head of the file."""
-    return _csv(spark).option("inferSchema", False).csv(path).columns
+    return _csv(spark, True).option("inferSchema", False).csv(path).columns
 
 
-def read_upload_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def read_upload_csv(
+    spark: SparkSession, path: str, limit: int | None = None, multi_line: bool = True
+) -> DataFrame:
     """Rows of an uploaded dataset as text columns with `_seq`, the row order.
 
     The header is stripped and lower-cased and may start with a byte-order mark. A missing
@@ -34,7 +37,7 @@ def read_upload_csv(spark: SparkSession, path: str, limit: int | None = None) ->
     if missing:
         raise ValueError("missing required column(s): " + ", ".join(missing))
     schema = StructType([StructField(name, StringType(), True) for name in names])
-    rows = _csv(spark).schema(schema).csv(path)
+    rows = _csv(spark, multi_line).schema(schema).csv(path)
     if limit is not None:
         rows = rows.limit(limit)
     if rows.isEmpty():
@@ -51,15 +54,18 @@ def upload_features(columns: list[str]) -> dict[str, bool]:
 
 
 def read_battles_csv(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """Battles with `seq`, the row order; `rows` keeps the first ones only."""
-    battles = _csv(spark).schema(schemas.BATTLES).csv(path)
+    """Battles with `seq`, the row order; `rows` keeps the first ones only.
+
+    Their cells hold no line ends, so large files are split.
+    """
+    battles = _csv(spark, False).schema(schemas.BATTLES).csv(path)
     if rows is not None:
         battles = battles.limit(rows)
     return battles.withColumn("seq", F.monotonically_increasing_id())
 
 
-def read_benchmark_csv(spark: SparkSession, path: str) -> DataFrame:
-    rows = _csv(spark).schema(schemas.BENCHMARK_ROWS).csv(path)
+def read_benchmark_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    rows = _csv(spark, multi_line).schema(schemas.BENCHMARK_ROWS).csv(path)
     return rows.withColumn("seq", F.monotonically_increasing_id())
 
 
