@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from calltally.functions import numbers
 from calltally.operators.filters import sample_rows
 from calltally.operators.text_scores import combined_rouge, text_scores
+from calltally.session import cut_lineage
 
 # From rows (id, prompt, response, criteria) to rows (id, score).
 Evaluator = Callable[[DataFrame], DataFrame]
@@ -54,6 +55,9 @@ class Evaluators:
     def names(self) -> list[str]:
         return list(self._known)
 
+    def built_in(self, name: str) -> bool:
+        return name in BUILT_IN and self._known.get(name) is BUILT_IN[name]
+
     def evaluate(self, name: str, rows: DataFrame) -> DataFrame:
         """(id, score) with scores in 0–1; a score that cannot be had counts as 0."""
         if name not in self._known:
@@ -82,21 +86,32 @@ def evaluate_batch(
 ) -> DataFrame:
     """Scores in long form for the asked completions; unknown types are ignored.
 
-    All text scores come from one job; every other evaluator adds its own.
+    BLEU and ROUGE come from one job. Any other evaluator adds its own; with more than one part
+    the asked rows are checkpointed, so that they are not looked up again for each.
     """
     rows = requested_rows(completions, ids, share, seed).select(
         "id", "prompt", "response", F.lit(criteria).alias("criteria")
     )
-    wanted = [name for name in eval_types if name in evaluators.names()]
+    wanted = [name for name in dict.fromkeys(eval_types) if name in evaluators.names()]
     if not wanted:
         raise ValueError("no known eval type was asked for")
-    result = None
-    for name in wanted:
-        part = evaluators.evaluate(name, rows).select(
-            F.col("id").alias("completion_id"), F.lit(name).alias("eval_type"), "score"
-        )
-        result = part if result is None else result.unionByName(part)
-    return result
+    overlaps = [name for name in wanted if evaluators.built_in(name)]
+    others = [name for name in wanted if name not in overlaps]
+    if bool(overlaps) + len(others) > 1:
+        rows = cut_lineage(rows)
+    parts = []
+    if overlaps:
+        scored = text_scores(rows, "id", bleu="bleu" in overlaps, rouge="rouge" in overlaps)
+        if "rouge" in overlaps:
+            scored = scored.withColumn("rouge", combined_rouge(F.col("rouge1"), F.col("rougeL")))
+        parts.append(scored.unpivot(["id"], overlaps, "eval_type", "score"))
+    for name in others:
+        scored = evaluators.evaluate(name, rows)
+        parts.append(scored.select("id", F.lit(name).alias("eval_type"), "score"))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result.withColumnRenamed("id", "completion_id")
 
 
 def batch_progress(requests: DataFrame, evals: DataFrame) -> DataFrame:

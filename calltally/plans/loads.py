@@ -19,6 +19,7 @@ from calltally.plans.inputs import (
 )
 from calltally.plans.operations import DAILY_SQL, RAW_CTE, daily_report, raw_calls
 from calltally.plans.registry import query
+from calltally.plans.texts import bleu_parts, over_recursive, rouge_parts
 from calltally.plans.traffic import END
 from calltally.plans.twins import (
     BATTLES_CTE,
@@ -342,6 +343,28 @@ def _(spark, folder):
     return etl.benchmark_evals(rows, ANCHOR)
 
 
+SCORED_FILE = "file AS (SELECT _seq AS id, prompt, response FROM uploaded)"
+
+
+@query(
+    "etl3_benchmark_scores_unstemmed",
+    over_recursive(
+        """SELECT id AS completion_id, 'bleu' AS eval_type, bleu AS score FROM bleu_scores
+UNION ALL SELECT id, 'rouge', "rougeL" FROM rouge_scores
+UNION ALL SELECT _seq, 'human', CASE WHEN regexp_matches(quality_rating, '^[0-9]+$')
+    THEN CAST(quality_rating AS DOUBLE) ELSE 5.0 END / 10 FROM uploaded""",
+        UPLOADED_CTE,
+        SCORED_FILE,
+        bleu_parts("file"),
+        rouge_parts("file"),
+    ),
+)
+def _(spark, folder):
+    rows = etl.benchmark_rows(benchmark_source(spark, folder), ANCHOR)
+    scores = etl.benchmark_evals(rows, ANCHOR, stemming=False)
+    return scores.select("completion_id", "eval_type", F.round("score", 6).alias("score"))
+
+
 @query(
     "etl3_benchmark_human_scores",
     over(
@@ -381,6 +404,30 @@ def _(spark, folder):
     return etl.upload_evals(rows, ANCHOR)
 
 
+@query(
+    "etl4_upload_scores_unstemmed",
+    over_recursive(
+        """SELECT id AS completion_id, 'bleu' AS eval_type, bleu AS score, criteria
+  FROM bleu_scores JOIN file USING (id)
+UNION ALL SELECT id, 'rouge', round((rouge1 + "rougeL") / 2, 6), criteria
+  FROM rouge_scores JOIN file USING (id)
+UNION ALL SELECT id, 'human', least(1.0::DOUBLE, greatest(0.0::DOUBLE,
+    CASE WHEN rating > 1 THEN rating / 10 ELSE rating END)), NULL FROM file WHERE rating IS NOT NULL""",
+        UPLOADED_CTE,
+        f"""file AS (SELECT _seq AS id, prompt, response, criteria, quality_rating AS rating
+  FROM ({FILLED}))""",
+        bleu_parts("file"),
+        rouge_parts("file"),
+    ),
+)
+def _(spark, folder):
+    rows = etl.upload_rows(uploaded_text(spark, folder), "upload_demo", ANCHOR)
+    scores = etl.upload_evals(rows, ANCHOR, stemming=False)
+    return scores.select(
+        "completion_id", "eval_type", F.round("score", 6).alias("score"), "criteria"
+    )
+
+
 MODEL_DRAW = f"CASE WHEN {draw('conversation_id', 'side', 2)} = 0 THEN model_a ELSE model_b END"
 
 

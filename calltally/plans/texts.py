@@ -12,24 +12,27 @@ from calltally.plans.inputs import completions, pairs, table
 from calltally.plans.registry import query
 from calltally.plans.twins import PAIRS_CTE, over, over_completions, words
 
-GRAMS_CTE = f"""{PAIRS_CTE},
-tokens AS (SELECT id, {words('lower(prompt)')} AS r, {words('lower(response)')} AS c FROM pairs),
+
+def bleu_parts(base: str) -> str:
+    """CTEs up to `bleu_scores` (id, bleu) over a table of (id, prompt, response)."""
+    return f"""word_lists AS (SELECT id, {words('lower(prompt)')} AS r, {words('lower(response)')} AS c FROM {base}),
 grams AS (
   SELECT id, n, 1 AS rr, 0 AS cc, unnest(list_transform(range(1, len(r) - n + 2),
-    lambda i: array_to_string(r[i:i + n - 1], ' '))) AS g FROM tokens, (VALUES (1), (2), (3), (4)) o(n)
+    lambda i: array_to_string(r[i:i + n - 1], ' '))) AS g FROM word_lists, (VALUES (1), (2), (3), (4)) o(n)
   UNION ALL
   SELECT id, n, 0, 1, unnest(list_transform(range(1, len(c) - n + 2),
-    lambda i: array_to_string(c[i:i + n - 1], ' '))) FROM tokens, (VALUES (1), (2), (3), (4)) o(n)),
-folded AS (SELECT id, n, g, sum(rr) AS rr, sum(cc) AS cc FROM grams GROUP BY id, n, g),
-clipped AS (SELECT id, n, sum(least(rr, cc)) AS m FROM folded GROUP BY id, n),
+    lambda i: array_to_string(c[i:i + n - 1], ' '))) FROM word_lists, (VALUES (1), (2), (3), (4)) o(n)),
+folded_grams AS (SELECT id, n, g, sum(rr) AS rr, sum(cc) AS cc FROM grams GROUP BY id, n, g),
+clipped AS (SELECT id, n, sum(least(rr, cc)) AS m FROM folded_grams GROUP BY id, n),
 wide AS (SELECT t.id, CAST(len(r) AS DOUBLE) AS lr, CAST(len(c) AS DOUBLE) AS lc, r = c AS same,
     coalesce(max(m) FILTER (WHERE n = 1), 0) AS m1, coalesce(max(m) FILTER (WHERE n = 2), 0) AS m2,
     coalesce(max(m) FILTER (WHERE n = 3), 0) AS m3, coalesce(max(m) FILTER (WHERE n = 4), 0) AS m4
-  FROM tokens t LEFT JOIN clipped k ON k.id = t.id GROUP BY t.id, r, c),
+  FROM word_lists t LEFT JOIN clipped k ON k.id = t.id GROUP BY t.id, r, c),
 zeros AS (SELECT *, CASE WHEN m2 = 0 THEN 1 ELSE 0 END AS z2,
     CASE WHEN m2 = 0 THEN 1 ELSE 0 END + CASE WHEN m3 = 0 THEN 1 ELSE 0 END AS z3,
     CASE WHEN m2 = 0 THEN 1 ELSE 0 END + CASE WHEN m3 = 0 THEN 1 ELSE 0 END
-      + CASE WHEN m4 = 0 THEN 1 ELSE 0 END AS z4 FROM wide)"""
+      + CASE WHEN m4 = 0 THEN 1 ELSE 0 END AS z4 FROM wide),
+bleu_scores AS ({BLEU_SQL})"""
 
 
 def _part(order: int) -> str:
@@ -46,40 +49,30 @@ BLEU_SQL = f"""SELECT id, round(CASE WHEN lc = 0 THEN 0.0 WHEN same THEN 1.0 WHE
     * exp(ln(m1 / greatest(1, lc)) / 4 + {_part(2)} + {_part(3)} + {_part(4)}) END, 6) AS bleu FROM zeros"""
 
 
-@query("txt1_bleu", over(BLEU_SQL, GRAMS_CTE))
+@query("txt1_bleu", over("SELECT id, bleu FROM bleu_scores", PAIRS_CTE, bleu_parts("pairs")))
 def _(spark, folder):
     scored = text_scores.text_scores(pairs(spark, folder), "id", rouge=False)
     return scored.select("id", F.round("bleu", 6).alias("bleu"))
 
 
-ROUGE_CTE = f"""{PAIRS_CTE},
-tokens AS (SELECT id, regexp_extract_all(lower(prompt), '[a-z0-9]+') AS r,
-    regexp_extract_all(lower(response), '[a-z0-9]+') AS c FROM pairs),
+F1 = "round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 4)"
+
+
+def rouge_parts(base: str) -> str:
+    """CTEs up to `rouge_scores` (id, rouge1, rougeL) without stemming.
+
+    The common subsequence is the classic table, one reference token per step: the best value up
+    to a column is the running maximum of the value above and, where tokens match, the value
+    above left plus one.
+    """
+    return f"""tokens AS (SELECT id, regexp_extract_all(lower(prompt), '[a-z0-9]+') AS r,
+    regexp_extract_all(lower(response), '[a-z0-9]+') AS c FROM {base}),
 sides AS (SELECT id, 1 AS rr, 0 AS cc, unnest(r) AS g FROM tokens
   UNION ALL SELECT id, 0, 1, unnest(c) FROM tokens),
 folded AS (SELECT id, g, sum(rr) AS rr, sum(cc) AS cc FROM sides GROUP BY id, g),
 met AS (SELECT id, CAST(sum(least(rr, cc)) AS DOUBLE) AS m FROM folded GROUP BY id),
 shares AS (SELECT t.id, coalesce(m, 0) / greatest(len(c), 1) AS p, coalesce(m, 0) / greatest(len(r), 1) AS q
-  FROM tokens t LEFT JOIN met ON met.id = t.id)"""
-
-
-@query(
-    "txt2_rouge1_unstemmed",
-    over(
-        "SELECT id, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 4) AS rouge1 FROM shares",
-        ROUGE_CTE,
-    ),
-)
-def _(spark, folder):
-    scored = text_scores.text_scores(pairs(spark, folder), "id", bleu=False, stemming=False)
-    return scored.select("id", "rouge1")
-
-
-# The classic table, one reference token per step: the best value up to a column is the running
-# maximum of the value above and, where tokens match, the value above left plus one.
-LCS_CTE = f"""{PAIRS_CTE},
-tokens AS (SELECT id, regexp_extract_all(lower(prompt), '[a-z0-9]+') AS r,
-    regexp_extract_all(lower(response), '[a-z0-9]+') AS c FROM pairs),
+  FROM tokens t LEFT JOIN met ON met.id = t.id),
 cells AS (
   SELECT id, 0 AS i, j, 0 AS v FROM (SELECT id, unnest(range(0, len(c) + 1)) AS j FROM tokens)
   UNION ALL
@@ -90,21 +83,22 @@ cells AS (
 ),
 lcs AS (SELECT t.id, max(len(r)) AS lr, max(len(c)) AS lc, max(coalesce(v, 0)) AS v
   FROM tokens t LEFT JOIN cells k ON k.id = t.id GROUP BY t.id),
-shares AS (SELECT id, CAST(v AS DOUBLE) / greatest(lc, 1) AS p, CAST(v AS DOUBLE) / greatest(lr, 1) AS q
-  FROM lcs)"""
+lcs_shares AS (SELECT id, CAST(v AS DOUBLE) / greatest(lc, 1) AS p, CAST(v AS DOUBLE) / greatest(lr, 1) AS q
+  FROM lcs),
+rouge_scores AS (SELECT a.id, a.f AS rouge1, b.f AS "rougeL"
+  FROM (SELECT id, {F1} AS f FROM shares) a JOIN (SELECT id, {F1} AS f FROM lcs_shares) b ON b.id = a.id)"""
+
+
+def over_recursive(body: str, *ctes: str) -> str:
+    return "WITH RECURSIVE " + over(body, *ctes).removeprefix("WITH ")
 
 
 @query(
-    "txt3_rougeL_unstemmed",
-    "WITH RECURSIVE "
-    + over(
-        'SELECT id, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 4) AS "rougeL" FROM shares',
-        LCS_CTE,
-    ).removeprefix("WITH "),
+    "txt2_txt3_rouge_unstemmed",
+    over_recursive('SELECT id, rouge1, "rougeL" FROM rouge_scores', PAIRS_CTE, rouge_parts("pairs")),
 )
 def _(spark, folder):
-    scored = text_scores.text_scores(pairs(spark, folder), "id", bleu=False, stemming=False)
-    return scored.select("id", "rougeL")
+    return text_scores.text_scores(pairs(spark, folder), "id", bleu=False, stemming=False)
 
 
 @query("txt2_txt3_rouge")
@@ -112,17 +106,34 @@ def _(spark, folder):
     return text_scores.text_scores(pairs(spark, folder), "id", bleu=False)
 
 
-@query("txt4_combined_rouge")
-def _(spark, folder):
-    scored = text_scores.text_scores(pairs(spark, folder), "id", bleu=False)
+def _combined(scored):
     both = F.col("rouge1"), F.col("rougeL")
     return scored.select(
         "id",
-        text_scores.combined_rouge(*both).alias("rouge_mean"),
+        F.round(text_scores.combined_rouge(*both), 6).alias("rouge_mean"),
         text_scores.combined_rouge(*both, "rougeL").alias("rouge_benchmark"),
     )
 
 
+@query("txt4_combined_rouge")
+def _(spark, folder):
+    return _combined(text_scores.text_scores(pairs(spark, folder), "id", bleu=False))
+
+
+@query(
+    "txt4_combined_rouge_unstemmed",
+    over_recursive(
+        'SELECT id, round((rouge1 + "rougeL") / 2, 6) AS rouge_mean, "rougeL" AS rouge_benchmark FROM rouge_scores',
+        PAIRS_CTE,
+        rouge_parts("pairs"),
+    ),
+)
+def _(spark, folder):
+    return _combined(
+        text_scores.text_scores(pairs(spark, folder), "id", bleu=False, stemming=False)
+    )
+
+
 SETS_CTE = f"""{PAIRS_CTE},
 sets AS (SELECT id, list_distinct({words('lower(prompt)')}) AS a,
     list_distinct({words('lower(response)')}) AS b FROM pairs)"""
