@@ -70,8 +70,13 @@ class Evaluators:
 
 
 def requested_rows(completions: DataFrame, ids: DataFrame, share: float = 1.0, seed: str = "0"):
-    """Completions asked for by id; ids without a completion are skipped."""
-    asked = sample_rows(ids.select("id").distinct(), share, seed)
+    """Completions asked for by id; ids without a completion are skipped.
+
+    Sampling passes over the ids more than once, so the distinct ids are checkpointed for it.
+    """
+    asked = ids.select("id").distinct()
+    if share < 1.0:
+        asked = sample_rows(cut_lineage(asked), share, seed)
     return completions.join(asked, "id", "left_semi")
 
 

@@ -22,16 +22,28 @@ class RuleSet:
         return self
 
     def hits(self, text: Column) -> Column:
-        """One flag per rule, in rule order; a missing text matches nothing."""
-        flags = [
-            F.coalesce(text.rlike(_FLAGS + regex), F.lit(False)) for _, regex, _ in self.rules
-        ]
-        return F.array(*flags).cast("array<boolean>")
+        """One character per rule, '1' where it matched; a missing text matches nothing.
+
+        Kept as text because the planner copies array elements into every place that uses them,
+        and each copy would run its pattern again.
+        """
+        if not self.rules:
+            return F.lit("")
+        return F.concat(
+            *[
+                F.when(text.rlike(_FLAGS + regex), "1").otherwise("0")
+                for _, regex, _ in self.rules
+            ]
+        )
 
     def matches(self, hits: Column) -> Column:
         """Map from rule name to whether the rule matched."""
-        names = F.array(*[F.lit(name) for name, _, _ in self.rules]).cast("array<string>")
-        return F.map_from_arrays(names, hits)
+        if not self.rules:
+            return F.create_map().cast("map<string,boolean>")
+        entries = []
+        for at, (name, _, _) in enumerate(self.rules):
+            entries += [F.lit(name), _hit(hits, at)]
+        return F.create_map(*entries)
 
     def score(self, hits: Column) -> Column:
         """Matched weight over total weight, 4 decimals; no weight gives 0."""
@@ -40,10 +52,14 @@ class RuleSet:
             return F.lit(0.0)
         matched = F.lit(0.0)
         for at, (_, _, weight) in enumerate(self.rules):
-            matched = matched + F.when(hits[at], weight).otherwise(0.0)
+            matched = matched + F.when(_hit(hits, at), weight).otherwise(0.0)
         return F.round(matched / total, 4)
 
 
+def _hit(hits: Column, at: int) -> Column:
+    return F.substring(hits, at + 1, 1) == "1"
+
+
 def evaluate_rules(df: DataFrame, rules: RuleSet, text: str) -> DataFrame:
     """Add `rule_matches` and `weighted_score`; every pattern runs once per row."""
     flagged = df.withColumn("_hits", rules.hits(F.col(text)))
@@ -61,7 +77,7 @@ def rule_hit_rates(df: DataFrame, rules: RuleSet, text: str) -> DataFrame:
     flagged = df.select(rules.hits(F.col(text)).alias("_hits"))
     counted = flagged.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count(F.when(F.col("_hits")[at], 1)).alias(n) for at, n in enumerate(names)],
+        *[F.count(F.when(_hit(F.col("_hits"), at), 1)).alias(n) for at, n in enumerate(names)],
     )
     return counted.unpivot(["_rows"], names, "rule", "hits").select(
         "rule",

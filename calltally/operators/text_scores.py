@@ -1,7 +1,8 @@
 """Overlap scores of a reference and a candidate text, as jobs over whole datasets.
 
 BLEU-4 and ROUGE-1 need clipped n-gram matches. Rows are shuffled once, by id and while still
-compact; the n-grams are exploded after that, so both aggregations that follow run in place.
+compact; the n-grams are exploded after that, so both aggregations that follow run in place,
+without a shuffle of the exploded rows.
 """
 
 from __future__ import annotations
@@ -110,9 +111,23 @@ def text_scores(
         F.col(id_column),
         F.coalesce(F.col(reference), F.lit("")).alias("_ref"),
         F.coalesce(F.col(candidate), F.lit("")).alias("_cand"),
-    ).repartition(spread, id_column)
+    )
     entries: list[Column] = []
     mark_same, mark_lcs = F.lit(0), F.lit(0)
+    if rouge:
+        # Before the shuffle, as the planner forgets the partitioning across a Python step.
+        prepare = stemmed if stemming else (lambda tokens: tokens)
+        slim = slim.withColumns(
+            {
+                "_ref_stems": prepare(text.alnum_tokens(F.col("_ref"))),
+                "_cand_stems": prepare(text.alnum_tokens(F.col("_cand"))),
+            }
+        )
+        slim = slim.withColumn("_lcs", subsequence_length("_ref_stems", "_cand_stems"))
+        mark_lcs = F.col("_lcs")
+        entries += _sides(_STEMS, F.col("_ref_stems"), F.col("_cand_stems"))
+    kept = slim if bleu else slim.drop("_ref", "_cand")
+    slim = kept.repartition(spread, id_column)
     if bleu:
         slim = slim.withColumns(
             {
@@ -125,17 +140,6 @@ def text_scores(
             entries += _sides(
                 order, _grams(F.col("_ref_words"), order), _grams(F.col("_cand_words"), order)
             )
-    if rouge:
-        prepare = stemmed if stemming else (lambda tokens: tokens)
-        slim = slim.withColumns(
-            {
-                "_ref_stems": prepare(text.alnum_tokens(F.col("_ref"))),
-                "_cand_stems": prepare(text.alnum_tokens(F.col("_cand"))),
-            }
-        )
-        slim = slim.withColumn("_lcs", subsequence_length("_ref_stems", "_cand_stems"))
-        mark_lcs = F.col("_lcs")
-        entries += _sides(_STEMS, F.col("_ref_stems"), F.col("_cand_stems"))
     mark = F.array(_entry(_MARK, F.lit(""), mark_same, mark_lcs))
     counted = (
         slim.select(id_column, F.inline(F.concat(mark, *entries)))

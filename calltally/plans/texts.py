@@ -331,7 +331,8 @@ def _(spark, folder):
 
 @query("txt10_sampled_text_scores")
 def _(spark, folder):
-    rows = pairs(spark, folder)
+    turns = table(spark, folder, "conversations").where(F.col("role") == "user")
+    ids = turns.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"))
     return batches.evaluate_batch(
-        rows, rows.select("id"), ["bleu", "rouge"], batches.Evaluators(), share=0.5, seed="3"
+        pairs(spark, folder), ids, ["bleu", "rouge"], batches.Evaluators(), share=0.5, seed="3"
     )

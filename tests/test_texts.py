@@ -87,6 +87,13 @@ def test_bleu_and_rouge1_match_brute_force(spark):
             assert got[i][name] == pytest.approx(round(2 * p * q / (p + q), 4) if p + q else 0.0, abs=1.01e-4)
 
 
+@pytest.mark.parametrize("options", [{"rouge": False}, {"bleu": False}, {}])
+def test_exploded_grams_are_not_shuffled(spark, options, capsys):
+    rows = spark.createDataFrame([(1, "a", "b")], "id bigint, prompt string, response string")
+    text_scores.text_scores(rows, "id", **options).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+
+
 def test_rouge_goldens(spark):
     got = scored(
         spark,
