@@ -29,14 +29,18 @@ def latency_high(model: Column) -> Column:
     return _lookup(model, values.LATENCY_RANGES, values.DEFAULT_LATENCY_RANGE, 1)
 
 
+def _table(spark: SparkSession, table: dict[str, tuple], columns: str) -> DataFrame:
+    """A literal relation: its size is known to the planner, which then broadcasts it."""
+    rows = ", ".join(f"('{n}', {float(a)}D, {float(b)}D)" for n, (a, b) in table.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+
+
 def price_table(spark: SparkSession) -> DataFrame:
-    rows = [(name, float(i), float(o)) for name, (i, o) in values.MODEL_PRICES.items()]
-    return spark.createDataFrame(rows, "model string, price_in double, price_out double")
+    return _table(spark, values.MODEL_PRICES, "model, price_in, price_out")
 
 
 def latency_table(spark: SparkSession) -> DataFrame:
-    rows = [(name, float(lo), float(hi)) for name, (lo, hi) in values.LATENCY_RANGES.items()]
-    return spark.createDataFrame(rows, "model string, latency_low double, latency_high double")
+    return _table(spark, values.LATENCY_RANGES, "model, latency_low, latency_high")
 
 
 def with_prices(calls: DataFrame, prices: DataFrame) -> DataFrame:

@@ -124,31 +124,29 @@ def with_neighbours(
     of the order instead, and only the two edge rows of every stretch look across: their
     neighbours come from a window over edges, which is `stretch` times smaller.
     """
-    part = F.floor(F.col(order) / stretch)
     kept = F.struct(*columns)
-    marked = df.withColumn("_part", part)
-    inside = Window.partitionBy(group, "_part").orderBy(order)
+    # As a struct the group joins by plain equality even where it is null.
+    marked = df.withColumns(
+        {"_group": F.struct(group), "_part": F.floor(F.col(order) / stretch)}
+    )
+    inside = Window.partitionBy("_group", "_part").orderBy(order)
     near = marked.withColumns(
         {"_prev": F.lag(kept).over(inside), "_next": F.lead(kept).over(inside)}
     )
-    along = Window.partitionBy(group).orderBy("_part")
+    along = Window.partitionBy("_group").orderBy("_part")
     edges = (
-        marked.groupBy(group, "_part")
+        marked.groupBy("_group", "_part")
         .agg(
             F.min_by(kept, F.col(order)).alias("_head"), F.max_by(kept, F.col(order)).alias("_tail")
         )
         .select(
-            F.col(group).alias("_edge_group"),
-            F.col("_part").alias("_edge_part"),
+            "_group",
+            "_part",
             F.lag("_tail").over(along).alias("_before"),
             F.lead("_head").over(along).alias("_after"),
         )
     )
-    joined = near.join(
-        edges,
-        near[group].eqNullSafe(F.col("_edge_group")) & (near["_part"] == F.col("_edge_part")),
-        "left",
-    )
+    joined = near.join(edges, ["_group", "_part"], "left")
     previous, following = F.coalesce("_prev", "_before"), F.coalesce("_next", "_after")
     return joined.select(
         *df.columns,

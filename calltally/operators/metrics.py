@@ -84,18 +84,16 @@ def extended_summary(
     completions: DataFrame, start=None, end=None, source: str | None = values.ARENA, **scope
 ) -> DataFrame:
     """`summary` plus median, p95, p99 and error rate."""
-    base = summary(completions, start, end, source, **scope).withColumn("_one", F.lit(1))
-    latencies = percentiles(completions, start, end, source=source, **scope).select(
-        F.lit(1).alias("_one"),
-        F.col("p50").alias("median_latency_ms"),
-        F.col("p95").alias("p95_latency_ms"),
-        F.col("p99").alias("p99_latency_ms"),
-    )
-    return (
-        base.join(latencies, "_one")
-        .drop("_one")
-        .withColumn("error_rate_percent", F.round(100 - F.col("success_rate_percent"), 2))
-    )
+    latencies = percentiles(completions, start, end, source=source, **scope)
+    row = latencies.select(F.struct("p50", "p95", "p99")).scalar()
+    extended = summary(completions, start, end, source, **scope).withColumn("_latency", row)
+    return extended.select(
+        "*",
+        F.col("_latency.p50").alias("median_latency_ms"),
+        F.col("_latency.p95").alias("p95_latency_ms"),
+        F.col("_latency.p99").alias("p99_latency_ms"),
+        F.round(100 - F.col("success_rate_percent"), 2).alias("error_rate_percent"),
+    ).drop("_latency")
 
 
 def by_model(
@@ -195,16 +193,26 @@ def percentiles(
     return grouped.select(*_quantile_columns({**QUANTILES, "min": 0, "max": 1}))
 
 
-def percentiles_with_spread(completions: DataFrame, start=None, end=None, **scope) -> DataFrame:
+def percentiles_with_spread(
+    completions: DataFrame, start=None, end=None, strategy: str = "auto", **scope
+) -> DataFrame:
     """`percentiles` plus mean and standard deviation."""
-    scope_rows = scoped(completions, start, end, values.ARENA, **scope)
-    spread = scope_rows.agg(
-        F.lit(1).alias("_one"),
-        numbers.rounded(F.avg("latency_ms"), 2).alias("mean"),
-        numbers.rounded(F.stddev_samp("latency_ms"), 2).alias("stddev"),
+    grouped = grouped_with_quantiles(
+        scoped(completions, start, end, values.ARENA, **scope),
+        [],
+        [
+            F.min("latency_ms").alias("min"),
+            F.max("latency_ms").alias("max"),
+            numbers.rounded(F.avg("latency_ms"), 2).alias("mean"),
+            numbers.rounded(F.stddev_samp("latency_ms"), 2).alias("stddev"),
+        ],
+        "latency_ms",
+        QUANTILES,
+        strategy,
+    )
+    return grouped.select(
+        *_quantile_columns({**QUANTILES, "min": 0, "max": 1}), "mean", "stddev"
     )
-    quantiles = percentiles(completions, start, end, **scope).withColumn("_one", F.lit(1))
-    return quantiles.join(spread, "_one").drop("_one")
 
 
 def model_spread(completions: DataFrame, start=None, end=None) -> DataFrame:

@@ -153,8 +153,9 @@ def grouped_with_quantiles(
     quantiles = ranked_quantiles(df, keys, value, shares)
     if keys:
         return _joined(df.groupBy(*keys).agg(*aggregates), quantiles, list(keys), "left")
-    totals = df.agg(*aggregates).withColumn("_all", F.lit(0))
-    return _joined(totals, quantiles.withColumn("_all", F.lit(0)), ["_all"], "left").drop("_all")
+    row = quantiles.select(F.struct(*shares)).scalar()
+    totals = df.agg(*aggregates).withColumn("_quantiles", row)
+    return totals.select("*", *[F.col("_quantiles")[n].alias(n) for n in shares]).drop("_quantiles")
 
 
 def approximate_quantiles(

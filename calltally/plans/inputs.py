@@ -102,14 +102,12 @@ def evals(spark: SparkSession, folder: str) -> DataFrame:
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
     """A registry whose row counts come from the completions; `upload_b` has no rows there."""
     counted = completions(spark, folder).groupBy("source").agg(F.count(F.lit(1)).alias("row_count"))
-    entries = spark.createDataFrame(
-        [
-            (1, "upload_a", "a.csv", True, True, "2024-02-01 10:00:00"),
-            (2, values.BENCHMARK, "bench.csv", True, False, "2024-02-02 10:00:00"),
-            (3, "upload_b", "b.csv", False, False, "2024-02-03 10:00:00"),
-        ],
-        "id bigint, source_id string, filename string, has_quality_rating boolean,"
-        " has_model_column boolean, created_at string",
+    entries = spark.sql(
+        f"""SELECT * FROM VALUES
+          (1L, 'upload_a', 'a.csv', true, true, '2024-02-01 10:00:00'),
+          (2L, '{values.BENCHMARK}', 'bench.csv', true, false, '2024-02-02 10:00:00'),
+          (3L, 'upload_b', 'b.csv', false, false, '2024-02-03 10:00:00')
+        AS t(id, source_id, filename, has_quality_rating, has_model_column, created_at)"""
     )
     return entries.join(counted, entries["source_id"] == counted["source"], "left").select(
         "id",
