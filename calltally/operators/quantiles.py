@@ -2,11 +2,13 @@
 
 `percentile` keeps a value → count map per group in one task. That is the fastest exact form
 while the input is small, and it fails once a group has billions of distinct values. Above
-`IN_MEMORY_BYTES` the same numbers come from two passes in which no task holds a whole group:
+`IN_MEMORY_BYTES` the same numbers come from passes in which no task holds a whole group:
 
 1. a histogram over coarse buckets that grow with the value (one partial aggregate); running
    counts over that histogram tell which bucket holds each wanted rank;
-2. the values of just those buckets, counted per distinct value, give the wanted order statistics.
+2. a bucket that still holds many rows is divided further, by its own lowest and highest value;
+3. the values of just the buckets that are left, counted per distinct value, give the wanted
+   order statistics.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 from calltally.session import BROADCAST_ROWS, IN_MEMORY_BYTES, cut_lineage, estimated_bytes
 
 BUCKETS_PER_OCTAVE = 1024
+# A bucket with more rows is divided into this many parts before its values are ranked.
+HEAVY_ROWS = 1_000_000
+PARTS = 4096
 
 
 def _bucket(value: Column) -> Column:
@@ -31,6 +36,8 @@ def _position(share: float, total: Column) -> Column:
     return F.lit(share) * (total - 1)
 
 
+def _ranks_within(ranks: Column, before: Column, rows: Column) -> Column:
+    return F.filter(ranks, lambda rank: (rank >= before) & (rank < before + rows))
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -43,8 +50,51 @@ def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) ->
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def _matched(values: DataFrame, targets: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Rows (with `_n`, how often) whose value lies within a target of their key."""
+    if small:
+        rows, targets = values.withColumn("_n", F.lit(1).cast("bigint")), F.broadcast(targets)
+    else:
+        # Too many groups to broadcast: fold equal values before the join has to shuffle them.
+        rows = values.groupBy(*keys, "_bucket", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    met = _joined(rows, targets.withColumnRenamed("_n", "_rows"), [*keys, "_bucket"], "inner")
+    return met.where(F.col("_value").between(F.col("_low"), F.col("_high")))
+
+
+def _divided(values: DataFrame, targets: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Targets cut into parts by value; only parts that hold a wanted rank stay."""
+    share = (F.col("_value") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    part = F.least(F.lit(PARTS - 1), F.floor(share * PARTS))
+    histogram = (
+        _matched(values, targets, keys, small)
+        .withColumn("_part", part)
+        .groupBy(*keys, "_bucket", F.col("_low").alias("_from"), "_part")
+        .agg(
+            F.sum("_n").alias("_n"),
+            F.min("_value").alias("_low"),
+            F.max("_value").alias("_high"),
+            F.first("_total").alias("_total"),
+            F.first("_before").alias("_start"),
+            F.first("_ranks").alias("_ranks"),
+        )
+    )
+    along = Window.partitionBy(*keys, "_bucket", "_from").orderBy("_part")
+    running = F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        histogram.withColumn("_before", F.col("_start") + running - F.col("_n"))
+        .withColumn("_ranks", _ranks_within(F.col("_ranks"), F.col("_before"), F.col("_n")))
+        .where(F.size("_ranks") > 0)
+        .select(*targets.columns)
+    )
+
+
 def ranked_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    shares: Mapping[str, float],
+    heavy_rows: int = HEAVY_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Exact quantiles per key by rank search; one row per key that has any value."""
     keys = list(keys) or ["_all"]
@@ -56,45 +106,35 @@ def ranked_quantiles(
     )
     per_key = Window.partitionBy(*keys)
     running = per_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.array(
-                        F.floor(_position(share, F.col("_total"))),
-                        F.ceil(_position(share, F.col("_total"))),
-                    )
-                    for share in shares.values()
-                ]
-            )
-        )
-    )
+    positions = [_position(share, F.col("_total")) for share in shares.values()]
+    wanted = F.array_distinct(F.array(*[end(p) for p in positions for end in (F.floor, F.ceil)]))
     targets = (
         values.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min("_value").alias("_low"),
+            F.max("_value").alias("_high"),
+        )
         .withColumn("_total", F.sum("_n").over(per_key))
         .withColumn("_before", F.sum("_n").over(running) - F.col("_n"))
-        .withColumn(
-            "_ranks",
-            F.filter(
-                wanted,
-                lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")),
-            ),
-        )
+        .withColumn("_ranks", _ranks_within(wanted, F.col("_before"), F.col("_n")))
         .where(F.size("_ranks") > 0)
-        .select(*keys, "_bucket", "_total", "_before", "_ranks")
+        .select(*keys, "_bucket", "_n", "_low", "_high", "_total", "_before", "_ranks")
     )
-    targets = cut_lineage(targets)
-    counts = values.withColumn("_n", F.lit(1).cast("bigint"))
-    if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        targets = F.broadcast(targets)
-    else:
-        # Too many groups to broadcast: fold equal values before the join has to shuffle them.
-        counts = values.groupBy(*keys, "_bucket", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    in_bucket = Window.partitionBy(*keys, "_bucket").orderBy("_value")
+    heavy = (F.col("_n") > heavy_rows) & (F.col("_low") < F.col("_high"))
+    while True:
+        targets = cut_lineage(targets)
+        size = targets.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(heavy, 1)).alias("h")).first()
+        small = size["n"] <= broadcast_rows
+        if size["h"] == 0:
+            break
+        # Every round narrows a bucket 4 096 times, so a few rounds end at single values.
+        divided = _divided(values, targets.where(heavy), keys, small)
+        targets = targets.where(~heavy).unionByName(divided)
+    in_target = Window.partitionBy(*keys, "_bucket", "_low").orderBy("_value")
     counted = (
-        _joined(counts, targets, [*keys, "_bucket"], "inner")
-        .groupBy(*keys, "_bucket", "_value")
+        _matched(values, targets, keys, small)
+        .groupBy(*keys, "_bucket", "_low", "_value")
         .agg(
             F.sum("_n").alias("_n"),
             F.first("_total").alias("_total"),
@@ -104,17 +144,12 @@ def ranked_quantiles(
         .withColumn(
             "_start",
             F.col("_before")
-            + F.sum("_n").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0))
+            + F.sum("_n").over(in_target.rowsBetween(Window.unboundedPreceding, 0))
             - F.col("_n"),
         )
         .withColumn(
             "_rank",
-            F.explode(
-                F.filter(
-                    "_ranks",
-                    lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_n")),
-                )
-            ),
+            F.explode(_ranks_within(F.col("_ranks"), F.col("_start"), F.col("_n"))),
         )
     )
     outputs = []

@@ -138,6 +138,21 @@ def test_ranked_quantiles_equal_the_in_memory_form(spark):
             assert (want is None and got is None) or abs(want - got) < 1e-9, (key, name)
 
 
+@pytest.mark.parametrize("heavy,broadcast", [(3, 200_000), (3, 0), (10**9, 0), (10**9, 200_000)])
+def test_heavy_buckets_are_divided(spark, heavy, broadcast):
+    """Values crowded into one narrow bucket, a heavy single value, and many groups."""
+    rows = [("crowd", 1000.0 + i * 1e-9) for i in range(400)] + [("same", 7.0)] * 50
+    rows += [(f"g{i % 30}", float(i * i % 977)) for i in range(600)]
+    rows += [("wide", x) for x in (-1e300, -5e-324, 0.0, 5e-324, 1e300)]
+    df = spark.createDataFrame(rows, "key string, value double")
+    shares = {"q0": 0.0, "q30": 0.3, "q50": 0.5, "q99": 0.99, "q100": 1.0}
+    want = {r["key"]: r for r in grouped_with_quantiles(df, ["key"], [], "value", shares, "in_memory").collect()}
+    got = {r["key"]: r for r in ranked_quantiles(df, ["key"], "value", shares, heavy, broadcast).collect()}
+    assert want.keys() == got.keys()
+    for key in want:
+        assert [got[key][n] for n in shares] == [want[key][n] for n in shares], key
+
+
 def test_ranked_quantiles_with_two_keys_and_narrow_values(spark):
     rows = [(i % 3, "x", 1e9 + i * 1e-6) for i in range(999)]
     df = spark.createDataFrame(rows, "a int, b string, value double")
