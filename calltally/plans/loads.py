@@ -203,10 +203,17 @@ def _(spark, folder):
     over("SELECT seq, tokens_in, tokens_out, latency_ms, cost_usd FROM costed", *BATTLE_PARTS),
 )
 def _(spark, folder):
-    sides = etl.battle_sides(battles(spark, folder), ANCHOR).where(F.col("id") % 2 == 0)
-    return sides.select(
-        F.floor(F.col("id") / 2).alias("seq"), "tokens_in", "tokens_out", "latency_ms", "cost_usd"
+    key = F.col("conversation_id")
+    filled = etl.distinct_battles(battles(spark, folder)).select(
+        "seq",
+        "model_a",
+        cleaning.imputed_tokens_in(F.col("tokens_in"), key).alias("tokens_in"),
+        cleaning.imputed_tokens_out(F.col("tokens_out"), key).alias("tokens_out"),
+        F.coalesce("latency_ms", F.lit(500.0)).alias("latency_ms"),
+        "cost_usd",
     )
+    cost = pricing.cost(F.col("tokens_in"), F.col("tokens_out"), F.col("model_a"))
+    return filled.withColumn("cost_usd", F.coalesce("cost_usd", cost)).drop("model_a")
 
 
 @query(

@@ -430,20 +430,14 @@ def _(spark, folder):
     over_evals(
         """SELECT r.job_id, count(*) AS total, count(e.completion_id) AS done,
   CASE WHEN count(e.completion_id) >= count(*) THEN 'complete' ELSE 'processing' END AS status
-FROM (SELECT 'job_' || CAST(event_id % 5 AS VARCHAR) AS job_id, event_id AS id FROM events
-  WHERE event_id % 10 <= 1) r
+FROM (SELECT 'job_' || event_type AS job_id, event_id AS id FROM events) r
 LEFT JOIN (SELECT DISTINCT completion_id FROM evals WHERE eval_type = 'llm_judge') e
   ON e.completion_id = r.id GROUP BY r.job_id"""
     ),
 )
 def _(spark, folder):
-    requests = (
-        table(spark, folder, "events")
-        .where(F.col("event_id") % 10 <= 1)
-        .select(
-            F.concat(F.lit("job_"), (F.col("event_id") % 5).cast("string")).alias("job_id"),
-            F.col("event_id").alias("id"),
-        )
+    requests = table(spark, folder, "events").select(
+        F.concat(F.lit("job_"), "event_type").alias("job_id"), F.col("event_id").alias("id")
     )
     judged = evals(spark, folder).where(F.col("eval_type") == "llm_judge")
     return batches.batch_progress(requests, judged)

@@ -261,15 +261,15 @@ REQUEST_SQL = (
 
 @query(
     "txt8_judge_requests",
-    f"""WITH keyed AS (SELECT doc_id AS id, {KEY_SQL} AS content_key, {REQUEST_SQL} AS request FROM documents),
+    f"""WITH keyed AS (SELECT doc_id AS id, lang, {KEY_SQL} AS content_key, {REQUEST_SQL} AS request FROM documents),
 firsts AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY content_key ORDER BY id) = 1)
 SELECT id, content_key, request FROM firsts
-WHERE content_key NOT IN (SELECT content_key FROM keyed WHERE id % 10 = 0)""",
+WHERE content_key NOT IN (SELECT content_key FROM keyed WHERE lang = 'de')""",
 )
 def _(spark, folder):
-    """Requests for texts whose key was not scored before; every tenth document was."""
+    """Requests for texts whose key was not scored before; the German documents were."""
     rows = _judged_documents(spark, folder)
-    scored = rows.where(F.col("id") % 10 == 0)
+    scored = rows.where(F.col("prompt") == "Write in de")
     cache = judge.judge_requests(scored, "id").select("content_key")
     return judge.judge_requests(rows, "id", cache)
 

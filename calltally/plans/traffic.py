@@ -19,7 +19,7 @@ ARENA = "source = 'lmsys'"
 SUMMARY_SQL = f"""SELECT count(*) AS total_requests, {usd(usd_total('cost_usd'))} AS total_cost_usd,
   {mean('latency_ms', 2)} AS avg_latency_ms,
   CAST(coalesce(sum(CAST(tokens_in AS BIGINT) + tokens_out), 0) AS BIGINT) AS total_tokens,
-  string_agg(DISTINCT model, ',' ORDER BY model) AS models,
+  coalesce(string_agg(DISTINCT model, ',' ORDER BY model), '') AS models,
   {percent(OK, 'count(*)')} AS success_rate_percent,
   count(DISTINCT user_id) AS unique_users"""
 
@@ -64,9 +64,10 @@ def _(spark, folder):
 
 @query(
     "ag01_summary_empty_period",
-    """SELECT CAST(0 AS BIGINT) AS total_requests, 0.0::DOUBLE AS total_cost_usd,
-  0.0::DOUBLE AS avg_latency_ms, CAST(0 AS BIGINT) AS total_tokens, '' AS models,
-  100.0::DOUBLE AS success_rate_percent, CAST(0 AS BIGINT) AS unique_users""",
+    over_completions(
+        f"""{SUMMARY_SQL} FROM completions WHERE {ARENA}
+  AND timestamp BETWEEN TIMESTAMP '1990-01-01' AND TIMESTAMP '1990-01-02'"""
+    ),
 )
 def _(spark, folder):
     return metrics.summary(completions(spark, folder), "1990-01-01", "1990-01-02")
