@@ -45,6 +45,19 @@ def rounded(value: Column, digits: int) -> Column:
     return F.round(F.coalesce(value, F.lit(0.0)), digits)
 
 
+# The same as SQL text over column names: a report of many columns is built in one call.
+USD_TOTAL = "coalesce(sum(cast(cost_usd AS decimal(18,8))), cast(0 AS decimal(28,8)))"
+
+
+def rounded_sql(name: str, digits: int, alias: str | None = None) -> str:
+    return f"round(coalesce({name}, 0D), {digits}) AS {alias or name}"
+
+
+def percent_sql(part: str, whole: str, alias: str, empty: float = 100.0, digits: int = 2) -> str:
+    share = f"CASE WHEN {whole} = 0 THEN {empty}D ELSE {part} / {whole} * 100 END"
+    return f"round({share}, {digits}) AS {alias}"
+
+
 def exact_usd(value: Column) -> Column:
     """Money to 8 digits, half up."""
     return value.cast("decimal(18,8)")

@@ -6,8 +6,6 @@ rate of 100, money is rounded to 6 digits, latency to 2, tokens to 1.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +32,8 @@ def _successes() -> Column:
     return F.count(F.when(F.col("tokens_out") > 0, 1))
 
 
-def _quantile_columns(shares: Mapping[str, float], suffix: str = "") -> list[Column]:
-    return [numbers.rounded(F.col(name), 2).alias(name + suffix) for name in shares]
+def _range_report() -> list[str]:
+    return [numbers.rounded_sql(name, 2) for name in (*QUANTILES, "min", "max")]
 
 
 def summary(
@@ -50,33 +48,32 @@ def summary(
         scoped(completions, start, end, source, **scope)
         .groupBy("model", "user_id")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            numbers.usd_total(F.col("cost_usd")).alias("cost"),
-            F.sum("latency_ms").alias("latency"),
-            F.count("latency_ms").alias("timed"),
-            _successes().alias("ok"),
-            F.sum(F.col("tokens_in").cast("bigint") + F.col("tokens_out")).alias("tokens"),
+            F.expr("count(1) AS n"),
+            F.expr(f"{numbers.USD_TOTAL} AS cost"),
+            F.expr("sum(latency_ms) AS latency"),
+            F.expr("count(latency_ms) AS timed"),
+            F.expr("count_if(tokens_out > 0) AS ok"),
+            F.expr("sum(cast(tokens_in AS bigint) + tokens_out) AS tokens"),
         )
     )
-    named = F.collect_set(F.when(F.col("model") != "", F.col("model")))
     total = folded.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum("cost"), F.lit(0).cast("decimal(38,8)")).alias("cost"),
-        F.sum("latency").alias("latency"),
-        F.coalesce(F.sum("timed"), F.lit(0)).alias("timed"),
-        F.coalesce(F.sum("ok"), F.lit(0)).alias("ok"),
-        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
-        F.count_distinct("user_id").alias("users"),
-        F.array_join(F.sort_array(named), ",").alias("models"),
+        F.expr("coalesce(sum(n), 0) AS n"),
+        F.expr("coalesce(sum(cost), 0) AS cost"),
+        F.expr("sum(latency) AS latency"),
+        F.expr("coalesce(sum(timed), 0) AS timed"),
+        F.expr("coalesce(sum(ok), 0) AS ok"),
+        F.expr("coalesce(sum(tokens), 0) AS tokens"),
+        F.expr("count(DISTINCT user_id) AS users"),
+        F.expr("array_join(sort_array(collect_set(nullif(model, ''))), ',') AS models"),
     )
-    return total.select(
-        F.col("n").alias("total_requests"),
-        numbers.usd(F.col("cost")).alias("total_cost_usd"),
-        numbers.rounded(numbers.ratio(F.col("latency"), F.col("timed")), 2).alias("avg_latency_ms"),
-        F.col("tokens").alias("total_tokens"),
+    return total.selectExpr(
+        "n AS total_requests",
+        "cast(round(cost, 6) AS double) AS total_cost_usd",
+        "round(CASE WHEN timed = 0 THEN 0D ELSE latency / timed END, 2) AS avg_latency_ms",
+        "tokens AS total_tokens",
         "models",
-        numbers.percent(F.col("ok"), F.col("n")).alias("success_rate_percent"),
-        F.col("users").alias("unique_users"),
+        numbers.percent_sql("ok", "n", "success_rate_percent"),
+        "users AS unique_users",
     )
 
 
@@ -108,30 +105,35 @@ def by_model(
     grouped = grouped_with_quantiles(
         scoped(completions, start, end, source),
         ["model"],
-        [
-            F.count(F.lit(1)).alias("request_count"),
-            F.avg("latency_ms").alias("avg_latency"),
-            numbers.usd_total(F.col("cost_usd")).alias("cost"),
-            F.avg("tokens_in").alias("in"),
-            F.avg("tokens_out").alias("out"),
-            _successes().alias("ok"),
-        ],
+        _call_averages(),
         "latency_ms",
         shares,
         strategy,
     )
-    return grouped.select(
+    return grouped.selectExpr(
         "model",
-        "request_count",
-        numbers.rounded(F.col("avg_latency"), 2).alias("avg_latency_ms"),
-        *_quantile_columns(shares, "_latency_ms"),
-        numbers.usd(F.col("cost")).alias("total_cost_usd"),
-        numbers.rounded(F.col("in"), 1).alias("avg_tokens_in"),
-        numbers.rounded(F.col("out"), 1).alias("avg_tokens_out"),
-        numbers.percent(F.col("ok"), F.col("request_count")).alias("success_rate_percent"),
+        "requests AS request_count",
+        numbers.rounded_sql("avg_latency", 2, "avg_latency_ms"),
+        *[numbers.rounded_sql(name, 2, f"{name}_latency_ms") for name in shares],
+        "cast(round(cost, 6) AS double) AS total_cost_usd",
+        numbers.rounded_sql("avg_tokens_in", 1),
+        numbers.rounded_sql("avg_tokens_out", 1),
+        numbers.percent_sql("success_count", "requests", "success_rate_percent"),
     ).orderBy(F.col("request_count").desc(), "model")
 
 
+def _call_averages() -> list[Column]:
+    return [
+        F.expr("count(1) AS requests"),
+        F.expr("count(cost_usd) AS priced"),
+        F.expr(f"{numbers.USD_TOTAL} AS cost"),
+        F.expr("avg(latency_ms) AS avg_latency"),
+        F.expr("avg(tokens_in) AS avg_tokens_in"),
+        F.expr("avg(tokens_out) AS avg_tokens_out"),
+        F.expr("count_if(tokens_out > 0) AS success_count"),
+    ]
+
+
 def by_hour(
     completions: DataFrame,
     start=None,
@@ -147,28 +149,20 @@ def by_hour(
     grouped = grouped_with_quantiles(
         hourly,
         ["hour"],
-        [
-            F.count(F.lit(1)).alias("requests"),
-            F.count("cost_usd").alias("priced"),
-            numbers.usd_total(F.col("cost_usd")).alias("cost"),
-            F.avg("latency_ms").alias("avg_latency"),
-            _successes().alias("success_count"),
-            F.avg("tokens_in").alias("in"),
-            F.avg("tokens_out").alias("out"),
-        ],
+        _call_averages(),
         "latency_ms",
         shares,
         strategy,
     )
-    return grouped.select(
+    return grouped.selectExpr(
         "hour",
         "requests",
-        numbers.usd_mean(F.col("cost"), F.col("priced")).alias("avg_cost_usd"),
-        numbers.rounded(F.col("avg_latency"), 2).alias("avg_latency_ms"),
-        *_quantile_columns(shares),
+        "coalesce(cast(round(cost / nullif(priced, 0), 6) AS double), 0D) AS avg_cost_usd",
+        numbers.rounded_sql("avg_latency", 2, "avg_latency_ms"),
+        *[numbers.rounded_sql(name, 2) for name in shares],
         "success_count",
-        numbers.rounded(F.col("in"), 1).alias("avg_tokens_in"),
-        numbers.rounded(F.col("out"), 1).alias("avg_tokens_out"),
+        numbers.rounded_sql("avg_tokens_in", 1),
+        numbers.rounded_sql("avg_tokens_out", 1),
     ).orderBy("hour")
 
 
@@ -190,7 +184,7 @@ def percentiles(
         QUANTILES,
         strategy,
     )
-    return grouped.select(*_quantile_columns({**QUANTILES, "min": 0, "max": 1}))
+    return grouped.selectExpr(*_range_report())
 
 
 def percentiles_with_spread(
@@ -210,9 +204,7 @@ def percentiles_with_spread(
         QUANTILES,
         strategy,
     )
-    return grouped.select(
-        *_quantile_columns({**QUANTILES, "min": 0, "max": 1}), "mean", "stddev"
-    )
+    return grouped.selectExpr(*_range_report(), "mean", "stddev")
 
 
 def model_spread(completions: DataFrame, start=None, end=None) -> DataFrame:

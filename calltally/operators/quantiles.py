@@ -180,11 +180,12 @@ def grouped_with_quantiles(
         slim = df.select(*keys, value)
         strategy = "in_memory" if estimated_bytes(slim) <= IN_MEMORY_BYTES else "ranked"
     if strategy == "in_memory":
-        listed = F.percentile(value, F.array(*[F.lit(s) for s in shares.values()]))
-        grouped = df.groupBy(*keys).agg(*aggregates, listed.alias("_quantiles"))
-        for at, name in enumerate(shares):
-            grouped = grouped.withColumn(name, F.col("_quantiles")[at])
-        return grouped.drop("_quantiles")
+        listed = ", ".join(f"{float(share)}D" for share in shares.values())
+        grouped = df.groupBy(*keys).agg(
+            *aggregates, F.expr(f"percentile(`{value}`, array({listed}))").alias("_quantiles")
+        )
+        named = [f"_quantiles[{at}] AS `{name}`" for at, name in enumerate(shares)]
+        return grouped.selectExpr("*", *named).drop("_quantiles")
     quantiles = ranked_quantiles(df, keys, value, shares)
     if keys:
         return _joined(df.groupBy(*keys).agg(*aggregates), quantiles, list(keys), "left")
