@@ -207,12 +207,8 @@ def score_trend(evals: DataFrame, completions: DataFrame, start=None, end=None)
 
 def _pivoted(df: DataFrame, key: str) -> DataFrame:
     """Mean score per known type as columns; a type without scores stays null."""
-    means = (
-        df.groupBy(key)
-        .pivot("eval_type", list(values.EVAL_TYPES))
-        .agg(F.round(F.coalesce(F.avg("score"), F.lit(None).cast("double")), 4))
-    )
-    return means
+    pivoted = df.groupBy(key).pivot("eval_type", list(values.EVAL_TYPES))
+    return pivoted.agg(F.round(F.avg("score"), 4))
 
 
 def model_type_scores(evals, completions, start=None, end=None) -> DataFrame:

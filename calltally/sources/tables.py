@@ -7,6 +7,7 @@ to the old one and return its path, and callers switch to it.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,31 +17,35 @@ from calltally.operators import etl, rollups
 from calltally.operators.quality import eval_rules, split_valid
 
 
+def batch_folder(path: str, batch_id: str) -> str:
+    if not re.fullmatch(r"[\w.-]+", batch_id):
+        raise ValueError(f"not usable as a folder name: {batch_id}")
+    return f"{path}/batch_id={batch_id}"
+
+
 def append_completions(df: DataFrame, path: str, batch_id: str) -> None:
-    """Append completions, laid out by source and day.
+    """Append completions, laid out by source and day, sorted by model and time within a file.
 
-    A batch writes into its own folder and replaces it when it runs again, so a replay adds
-    nothing twice. Rebalancing gathers a day's rows into few files and splits an oversized day.
+    A batch is one folder and replaces itself when it runs again, so a replay adds nothing twice.
+    Rebalancing gathers a day's rows into few files and splits an oversized day.
     """
     (
         df.withColumn("date", F.to_date("timestamp"))
-        .withColumn("batch_id", F.lit(batch_id))
         .hint("rebalance", "source", "date")
-        .sortWithinPartitions("model", "timestamp")
+        .sortWithinPartitions("source", "date", "model", "timestamp")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "source", "date")
-        .parquet(path)
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("source", "date")
+        .parquet(batch_folder(path, batch_id))
     )
 
 
 def append_evals(df: DataFrame, path: str, batch_id: str) -> None:
     (
-        df.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "eval_type")
-        .parquet(path)
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("eval_type")
+        .parquet(batch_folder(path, batch_id))
     )
 
 
@@ -85,6 +90,8 @@ def load_upload(
     staged = f"{root}/staged_{source_id}"
     etl.upload_rows(rows, source_id, uploaded_at, first_id).write.mode("overwrite").parquet(staged)
     loaded = spark.read.parquet(staged)
+    if loaded.isEmpty():
+        raise ValueError("no row has both a prompt and a response")
     append_completions(etl.completions_of(loaded), f"{root}/completions", source_id)
     append_evals(etl.upload_evals(loaded, uploaded_at), f"{root}/evals", source_id)
     entry = registry_row(loaded, source_id, filename, rows.columns, uploaded_at)

@@ -58,11 +58,11 @@ def ingest(calls: DataFrame, accepted: str, rejected: str, checkpoint: str) -> S
     judged = with_reasons(calls, completion_rules())
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("batch_id", F.lit(batch_id))
         batch.persist()
         try:
-            _replace(batch.where(F.size("reasons") == 0).drop("reasons"), accepted)
-            _replace(batch.where(F.size("reasons") > 0), rejected)
+            valid = F.size("reasons") == 0
+            _replace(batch.where(valid).drop("reasons"), accepted, batch_id)
+            _replace(batch.where(~valid), rejected, batch_id)
         finally:
             batch.unpersist()
 
@@ -196,14 +196,13 @@ def split_late(
             newest = batch.agg(F.max("timestamp").alias("newest")).where(
                 F.col("newest").isNotNull()
             )
-            _replace(newest.withColumn("batch_id", F.lit(batch_id)), progress)
+            _replace(newest, progress, batch_id)
             is_late: Column = F.lit(False)
             if boundary is not None:
                 limit = F.lit(boundary) - F.make_dt_interval(secs=F.lit(lateness_s))
                 is_late = F.coalesce(F.col("timestamp") < limit, F.lit(False))
-            marked = batch.withColumn("batch_id", F.lit(batch_id))
-            _replace(marked.where(~is_late), on_time)
-            _replace(marked.where(is_late), late)
+            _replace(batch.where(~is_late), on_time, batch_id)
+            _replace(batch.where(is_late), late, batch_id)
         finally:
             batch.unpersist()
 
@@ -215,12 +214,12 @@ def split_late(
     )
 
 
-def _replace(rows: DataFrame, path: str) -> None:
+def _replace(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write one micro-batch into its own folder, over whatever an earlier attempt left there."""
     (
         rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
+        .option("partitionOverwriteMode", "static")
+        .parquet(f"{path}/batch_id={batch_id}")
     )
 
 

@@ -168,6 +168,23 @@ def test_upload_lifecycle(spark, csv, tmp_path):
     assert [t.count() for t in kept] == [0, 0, 0]
 
 
+def test_upload_without_usable_rows_stores_nothing(spark, csv, tmp_path):
+    root = tmp_path / "t"
+    rows = files.read_upload_csv(spark, csv("prompt,response\n , \n"))
+    with pytest.raises(ValueError, match="both a prompt"):
+        tables.load_upload(rows, str(root), "upload_y", "data.csv", ANCHOR)
+    assert not (root / "completions").exists() and not (root / "uploads").exists()
+
+
+def test_files_are_sorted_by_model_and_time(spark, make_calls, tmp_path):
+    rows = [{"model": m, "timestamp": t} for t in reversed(_days(1, 1, 2)) for m in ("b", "a", "c")]
+    path = str(tmp_path / "c")
+    tables.append_completions(make_calls(rows).repartition(3), path, "1")
+    stored = spark.read.parquet(path).where("date = '2024-01-01'").withColumn("f", F.input_file_name())
+    for names in stored.groupBy("f").agg(F.collect_list("model").alias("m")).collect():
+        assert names["m"] == sorted(names["m"])
+
+
 def test_outside_scores_are_checked(spark, make_evals, tmp_path):
     path = str(tmp_path / "evals")
     rejected = tables.record_evals(make_evals([(1, "human", 0.5), (2, "human", 7.0)]), path, "b1")
