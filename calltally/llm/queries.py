@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltally.llm import simhash, toxicity
+from calltally.llm import decontamination, packing, pii, simhash, toxicity
 from calltally.llm.common import table
 from calltally.llm.registry import QUERIES, TWINS, query
 
 __all__ = ["QUERIES", "TWINS"]
 
 
+TOKENIZER = "byte_bpe_50k.json"
+PII_KEY = "calltally"  # of the registered query; a deployment passes its own secret
+
+
 def held_out(key: str = "doc_id"):
     """Rows that no model is trained on."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
@@ -35,3 +40,30 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         F.col("key").alias("doc_id"), simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+def _is_kind(kind: str):
+    return lambda found: found["kind"] == kind
+
+
+@query("op3_pii")
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, found="found").select(
+        "doc_id", "text", F.size("found").cast("long").alias("n_found"),
+        *[F.size(F.filter("found", _is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.PATTERNS],
+    )
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.groupBy(F.col("key").alias("doc_id"), F.col("item").alias("item_id")).agg(
+        F.count("*").alias("n_passages"), F.min("start").alias("first_byte"), F.max("end").alias("end_byte"),
+        F.min("edits").cast("long").alias("least_edits"),
+    )

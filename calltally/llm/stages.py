@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltally.llm import simhash, toxicity
+from calltally.llm import decontamination, packing, pii, simhash, toxicity
 from calltally.llm.common import table
 
+TOKENIZER = "byte_bpe_50k.json"
+PII_KEY = "calltally"  # of the registered query; a deployment passes its own secret
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Without the documents that score 0.5 or more; the model learns from the labelled ones among `docs`."""
@@ -20,3 +24,19 @@ def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 def without_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies."""
     return simhash.first_of_each(docs, "doc_id", "text").select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Without the documents that hold a passage of a benchmark item."""
+    return decontamination.without_matches(docs, table(spark, folder, "benchmark")).select(*docs.columns)
+
+
+def with_pseudonyms(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Private values replaced in `text`; every document stays, and `n_chars` follows the new text."""
+    out = pii.pseudonymise(docs, PII_KEY)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))

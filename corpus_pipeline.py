@@ -10,6 +10,9 @@ from calltally.session import scratch_path
 STAGES = [
     ("toxicity", stages.without_toxic),
     ("simhash", stages.without_copies),
+    ("decontamination", stages.without_benchmark),
+    ("pii", stages.with_pseudonyms),
+    ("packing", stages.packed),
 ]
 ORACLE_SQL = None
 
