@@ -103,10 +103,12 @@ def grams(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _block_logits(table: np.ndarray, bias: float, bucket: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0)
-    sums = np.add.reduceat(table[bucket], starts)
-    return sums / (np.diff(np.append(starts, len(bucket))) + STEADY) + bias
+    ends = np.append(starts[1:], len(bucket))
+    out = np.zeros(len(starts))
+    for at in range(0, len(starts), 4096):  # in slices, as the looked-up numbers of a sample are many
+        a, b = starts[at : at + 4096], ends[at : at + 4096]
+        out[at : at + 4096] = np.add.reduceat(table[bucket[a[0] : b[-1]]], a - a[0]) / (b - a + STEADY) + bias
+    return out
 
 
 def logits(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
@@ -138,7 +140,7 @@ def train(
     cls = rng.normal(0, 1.0, (width, 2)).astype(np.float32)
     if not 0 < labels.sum() < len(labels):
         return Model(table, float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))), emb, cls)
-    found = [grams([p], buckets) for t in texts for p in [b" ".join(_pieces(t))]]
+    found = [grams([b" ".join(_pieces(t))], buckets) for t in texts]
     bucket = np.concatenate([b for b, _, _ in found])
     lengths = np.array([len(b) for b, _, _ in found])
     shift = np.concatenate(([0], np.cumsum(lengths)))[:-1]
@@ -147,6 +149,7 @@ def train(
     seen = np.zeros(buckets, np.int32)
     for b, _, _ in found:
         seen[np.unique(b)] += 1
+    del found
     used = seen >= rare
     emb *= used[:, None]
     size = np.diff(np.append(starts, len(bucket)))
@@ -164,9 +167,14 @@ def train(
             order = np.lexsort((-logit, owner))
             chosen = order[np.concatenate(([True], np.diff(owner[order]) > 0))]
             g = (prob[chosen] - labels[owner[chosen]]) * weight[owner[chosen]]
-        spans = size[chosen]
-        at = np.repeat(starts[chosen] - np.concatenate(([0], np.cumsum(spans)))[:-1], spans) + np.arange(spans.sum())
-        c = np.bincount(bucket[at], weights=np.repeat(g / (spans + STEADY), spans), minlength=buckets) * used
+        c = np.zeros(buckets)
+        for some in range(0, len(chosen), 4096):
+            part = chosen[some : some + 4096]
+            spans = size[part]
+            at = np.repeat(starts[part] - np.concatenate(([0], np.cumsum(spans)))[:-1], spans) + np.arange(spans.sum())
+            per_gram = np.repeat(g[some : some + 4096] / (spans + STEADY), spans)
+            c += np.bincount(bucket[at], weights=per_gram, minlength=buckets)
+        c *= used
         grad_e = np.outer(c, diff).astype(np.float32)
         towards = (c @ emb).astype(np.float32)
         grad_c = np.stack([-towards, towards], 1)
@@ -184,7 +192,7 @@ def train(
 
 def fit(
     labelled: DataFrame, text: str, label: str, key: str,
-    positives: int = 1500, negatives: int = 4500, longest: int = 6000,
+    positives: int = 1000, negatives: int = 3000, longest: int = 6000,
 ) -> Model:
     """Train on at most `positives` rows of label 1 and `negatives` of label 0, chosen by a hash of `key`.
 
