@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltally.llm import decontamination, packing, pii, simhash, toxicity
+from calltally.llm import decontamination, packing, pii, simhash, suffix_dedup, toxicity
 from calltally.llm.common import table
 from calltally.llm.registry import QUERIES, TWINS, query
 
@@ -67,3 +67,12 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.count("*").alias("n_passages"), F.min("start").alias("first_byte"), F.max("end").alias("end_byte"),
         F.min("edits").cast("long").alias("least_edits"),
     )
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup.remove(table(spark, folder, "documents"))
+    return out.select(
+        F.col("key").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
