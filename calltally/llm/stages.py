@@ -15,9 +15,7 @@ PII_KEY = "calltally"  # of the registered query; a deployment passes its own se
 
 def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Without the documents that score 0.5 or more; the model learns from the labelled ones among `docs`."""
-    labels = table(spark, folder, "labels")
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-    model = toxicity.fit(labelled, "text", "toxic", "doc_id")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
     return toxicity.score(docs, model, name="__score").where("__score < 0.5").select(*docs.columns)
 
 

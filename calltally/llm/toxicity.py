@@ -191,20 +191,27 @@ def train(
 
 
 def fit(
-    labelled: DataFrame, text: str, label: str, key: str,
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
     positives: int = 1000, negatives: int = 3000, longest: int = 6000,
 ) -> Model:
-    """Train on at most `positives` rows of label 1 and `negatives` of label 0, chosen by a hash of `key`.
+    """Train on the texts of at most `positives` rows of label 1 and `negatives` of label 0 of `labels`.
 
-    Rows with a null label or text, and texts over `longest` characters, are not trained on. These
-    bounds limit what the driver holds; without rows of both labels every text gets one score.
+    Rows are chosen by a hash of `key`, so that only the few chosen keys are sent to the texts; a key
+    with several labels counts with the largest. Texts that are null or over `longest` characters are
+    left out. These bounds limit what the driver holds. Null labels and keys are ignored; without rows
+    of both labels every text gets one score.
     """
-    rows = labelled.where(
-        F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.length(text) <= longest)
-    ).select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(key).alias("at"))
-    sample = []
-    for wanted, most in ((0, negatives), (1, positives)):
-        sample += rows.where(F.col("label") == wanted).orderBy("at", "text").limit(most).collect()
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("label"))
+    chosen = [
+        rows.where(F.col("label") == wanted).orderBy(F.xxhash64(key), key).limit(most)
+        for wanted, most in ((0, negatives), (1, positives))
+    ]
+    bounded = F.broadcast(chosen[0].unionAll(chosen[1]))  # at most positives + negatives rows of two numbers
+    sample = (
+        docs.select(key, F.col(text).alias("text")).where(F.length("text") <= longest)
+        .join(bounded, key).select(key, "text", "label").collect()
+    )
+    sample.sort(key=lambda r: (r["label"], r[0]))
     return train([r["text"] for r in sample], np.array([r["label"] for r in sample]))
 
 
