@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltally.llm import chat, decontamination, packing, pii, quality_rules, simhash, suffix_dedup, toxicity
+from calltally.llm import chat, decontamination, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, url_filter
 from calltally.llm.common import table
 from calltally.llm.registry import QUERIES, TWINS, query
 
@@ -159,3 +159,12 @@ def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
         F.length("said").cast("long").alias("loss_chars"),
         F.sha2(F.col("said").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query("op4_url_filter")
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "score")
