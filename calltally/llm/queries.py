@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltally.llm import chat, decontamination, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, url_filter
+from calltally.llm import chat, decontamination, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
 from calltally.llm.common import table
 from calltally.llm.registry import QUERIES, TWINS, query
 
@@ -168,3 +168,24 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     judged = url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "score")
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN payload_bytes < 100 OR page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+
+@query("op9_warc", OP9_SQL)
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages")).select(
+        F.col("page").cast("long").alias("page_id"), F.col("bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"),
+        F.col("refers").cast("long").alias("refers_to"),
+    )
