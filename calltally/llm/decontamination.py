@@ -97,8 +97,8 @@ def _candidates(raw: bytes, owner_end: np.ndarray, index: Index, seen: np.ndarra
     # the band numbers of a text and passage are made non-negative and unique by a common stride
     stride = len(raw) + int(lengths.max()) + 2
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    cuts = np.searchsorted(np.cumsum(many), np.arange(0, many.sum(), HITS)) if len(many) else []
-    for a, b in zip(cuts, [*cuts[1:], len(many)], strict=True):
+    cuts = np.searchsorted(np.cumsum(many), np.arange(0, many.sum(), HITS)) if many.sum() else []
+    for a, b in zip(cuts, [*cuts[1:], len(many)], strict=False):
         n = many[a:b]
         entry = np.repeat(index.first[place[a:b]] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
         passage, spot = index.passage[entry].astype(np.int64), np.repeat(at[a:b], n)

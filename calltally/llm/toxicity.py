@@ -33,6 +33,7 @@ _WORD = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 class Model:
     table: np.ndarray  # logit per bucket: embedding times difference of the class vectors
     bias: float
+    wordless: float  # logit of a text without words: the share of label 1 in the sample
     embeddings: np.ndarray
     classes: np.ndarray
 
@@ -111,8 +112,8 @@ def _block_logits(table: np.ndarray, bias: float, bucket: np.ndarray, starts: np
     return out
 
 
-def logits(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
-    """The largest block logit of each text; a text without words has the bias alone."""
+def logits(texts: list[str], table: np.ndarray, bias: float, wordless: float = 0.0) -> np.ndarray:
+    """The largest block logit of each text; `wordless` for a text without words."""
     out = np.full(len(texts), -np.inf)
     pieces = [(k, p) for k, t in enumerate(texts) for p in _pieces(t)]
     for part in chunks([p for _, p in pieces]):
@@ -120,7 +121,7 @@ def logits(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
         del pieces[: len(part)]
         bucket, starts, owner = grams(part, len(table))
         np.maximum.at(out, owners[owner], _block_logits(table, bias, bucket, starts))
-    return np.where(np.isneginf(out), min(bias, 0.0), out)
+    return np.where(np.isneginf(out), wordless, out)
 
 
 def train(
@@ -138,8 +139,9 @@ def train(
     table, bias = np.zeros(buckets), 0.0
     emb = rng.normal(0, 0.1, (buckets, width)).astype(np.float32)
     cls = rng.normal(0, 1.0, (width, 2)).astype(np.float32)
+    share = float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
     if not 0 < labels.sum() < len(labels):
-        return Model(table, float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))), emb, cls)
+        return Model(table, share, share, emb, cls)
     found = [grams([b" ".join(_pieces(t))], buckets) for t in texts]
     bucket = np.concatenate([b for b, _, _ in found])
     lengths = np.array([len(b) for b, _, _ in found])
@@ -187,7 +189,7 @@ def train(
             value -= rate * m
         bias -= rate * float(np.clip(g.sum() * 4, -1, 1))
     table = (emb @ (cls[:, 1] - cls[:, 0])).astype(np.float64)
-    return Model(table, float(bias), emb, cls)
+    return Model(table, float(bias), share, emb, cls)
 
 
 def fit(
@@ -218,15 +220,15 @@ def fit(
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """`docs` with a probability in `name` (an existing column of that name is replaced).
 
-    Null and empty texts are scored as a text without words. Whole texts are read.
+    Null and empty texts, and texts without a word, score the share of label 1 in the sample. Whole texts are read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.table.astype(np.float32), model.bias))
+    sent = docs.sparkSession.sparkContext.broadcast((model.table.astype(np.float32), model.bias, model.wordless))
 
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table, bias = sent.value
+        table, bias, wordless = sent.value
         for batch in batches:
-            values = logits([x if x is not None else "" for x in batch], table, bias)
+            values = logits([x if x is not None else "" for x in batch], table, bias, wordless)
             yield pd.Series(1 / (1 + np.exp(-np.clip(values, -30, 30))))
 
     return docs.withColumn(name, probability(F.col(text)))
