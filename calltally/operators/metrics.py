@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from calltally import values
 from calltally.functions import numbers, times
 from calltally.operators.filters import scoped
-from calltally.operators.quantiles import approximate_quantiles, grouped_with_quantiles
+from calltally.operators.quantiles import Part, approximate_quantiles, grouped_with_quantiles
 
 # The latency quantiles of the reports.
 QUANTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -98,19 +98,17 @@ def by_model(
     start=None,
     end=None,
     source: str | None = values.ARENA,
-    strategy: str = "auto",
 ) -> DataFrame:
     """Per model, most requests first."""
     shares = pick("p50", "p95", "p99")
     grouped = grouped_with_quantiles(
         scoped(completions, start, end, source),
         ["model"],
-        _call_averages(),
+        _call_parts(),
         "latency_ms",
         shares,
-        strategy,
     )
-    return grouped.selectExpr(
+    return _call_averages(grouped).selectExpr(
         "model",
         "requests AS request_count",
         numbers.rounded_sql("avg_latency", 2, "avg_latency_ms"),
@@ -122,24 +120,52 @@ def by_model(
     ).orderBy(F.col("request_count").desc(), "model")
 
 
-def _call_averages() -> list[Column]:
+def _call_parts() -> list[Part]:
+    return [
+        ("requests", F.expr("count(1)"), "sum"),
+        ("priced", F.expr("count(cost_usd)"), "sum"),
+        ("cost", F.expr(numbers.USD_TOTAL), "sum"),
+        ("latency", F.expr("sum(latency_ms)"), "sum"),
+        ("timed", F.expr("count(latency_ms)"), "sum"),
+        ("sum_in", F.expr("sum(tokens_in)"), "sum"),
+        ("with_in", F.expr("count(tokens_in)"), "sum"),
+        ("sum_out", F.expr("sum(tokens_out)"), "sum"),
+        ("with_out", F.expr("count(tokens_out)"), "sum"),
+        ("success_count", F.expr("count_if(tokens_out > 0)"), "sum"),
+    ]
+
+
+def _call_averages(grouped: DataFrame) -> DataFrame:
+    return grouped.selectExpr(
+        "*", "latency / nullif(timed, 0) AS avg_latency", "sum_in / nullif(with_in, 0) AS avg_tokens_in",
+        "sum_out / nullif(with_out, 0) AS avg_tokens_out",
+    )
+
+
+def _spread_parts(column: str) -> list[Part]:
+    """Count, sum, bounds and, from the buckets' own deviations and means, squared deviations."""
+    value = F.col(column)
     return [
-        F.expr("count(1) AS requests"),
-        F.expr("count(cost_usd) AS priced"),
-        F.expr(f"{numbers.USD_TOTAL} AS cost"),
-        F.expr("avg(latency_ms) AS avg_latency"),
-        F.expr("avg(tokens_in) AS avg_tokens_in"),
-        F.expr("avg(tokens_out) AS avg_tokens_out"),
-        F.expr("count_if(tokens_out > 0) AS success_count"),
+        ("count", F.count(value), "sum"),
+        ("total", F.sum(value), "sum"),
+        ("min", F.min(value), "min"),
+        ("max", F.max(value), "max"),
+        ("within", F.var_pop(value) * F.count(value), "sum"),
+        ("squares", F.avg(value) * F.avg(value) * F.count(value), "sum"),
     ]
 
 
+def _deviation() -> Column:
+    apart = F.col("squares") - F.col("total") * F.col("total") / F.col("count")
+    squared = F.greatest(F.lit(0.0), F.col("within") + apart)
+    return F.when(F.col("count") > 1, F.sqrt(squared / (F.col("count") - 1)))
+
+
 def by_hour(
     completions: DataFrame,
     start=None,
     end=None,
     source: str | None = values.ARENA,
-    strategy: str = "auto",
 ) -> DataFrame:
     """Per hour that has requests, in time order."""
     shares = pick("p50", "p95", "p99")
@@ -149,12 +175,11 @@ def by_hour(
     grouped = grouped_with_quantiles(
         hourly,
         ["hour"],
-        _call_averages(),
+        _call_parts(),
         "latency_ms",
         shares,
-        strategy,
     )
-    return grouped.selectExpr(
+    return _call_averages(grouped).selectExpr(
         "hour",
         "requests",
         "coalesce(cast(round(cost / nullif(priced, 0), 6) AS double), 0D) AS avg_cost_usd",
@@ -172,39 +197,34 @@ def percentiles(
     end=None,
     model: str | None = None,
     source: str | None = values.ARENA,
-    strategy: str = "auto",
     **scope,
 ) -> DataFrame:
     """One row: p50 … p99, minimum and maximum latency, zeros when there is none."""
     grouped = grouped_with_quantiles(
         scoped(completions, start, end, source, model, **scope),
         [],
-        [F.min("latency_ms").alias("min"), F.max("latency_ms").alias("max")],
+        [("min", F.min("latency_ms"), "min"), ("max", F.max("latency_ms"), "max")],
         "latency_ms",
         QUANTILES,
-        strategy,
     )
     return grouped.selectExpr(*_range_report())
 
 
 def percentiles_with_spread(
-    completions: DataFrame, start=None, end=None, strategy: str = "auto", **scope
+    completions: DataFrame, start=None, end=None, **scope
 ) -> DataFrame:
     """`percentiles` plus mean and standard deviation."""
     grouped = grouped_with_quantiles(
         scoped(completions, start, end, values.ARENA, **scope),
         [],
-        [
-            F.min("latency_ms").alias("min"),
-            F.max("latency_ms").alias("max"),
-            numbers.rounded(F.avg("latency_ms"), 2).alias("mean"),
-            numbers.rounded(F.stddev_samp("latency_ms"), 2).alias("stddev"),
-        ],
+        _spread_parts("latency_ms"),
         "latency_ms",
         QUANTILES,
-        strategy,
     )
-    return grouped.selectExpr(*_range_report(), "mean", "stddev")
+    return grouped.select(
+        "*", numbers.rounded(F.col("total") / F.col("count"), 2).alias("mean"),
+        numbers.rounded(_deviation(), 2).alias("stddev"),
+    ).selectExpr(*_range_report(), "mean", "stddev")
 
 
 def model_spread(completions: DataFrame, start=None, end=None) -> DataFrame:
@@ -212,16 +232,15 @@ def model_spread(completions: DataFrame, start=None, end=None) -> DataFrame:
     grouped = grouped_with_quantiles(
         scoped(completions, start, end),
         ["model"],
-        [
-            numbers.rounded(F.avg("latency_ms"), 2).alias("mean_latency"),
-            numbers.usd_mean(numbers.usd_total(F.col("cost_usd")), F.count("cost_usd")).alias(
-                "mean_cost"
-            ),
-        ],
+        [p for p in _call_parts() if p[0] in ("cost", "priced", "latency", "timed")],
         "latency_ms",
         {"median_latency": 0.5},
     )
-    return grouped.withColumn("median_latency", numbers.rounded(F.col("median_latency"), 2))
+    return grouped.select(
+        "model", numbers.rounded(F.col("latency") / F.nullif("timed", F.lit(0)), 2).alias("mean_latency"),
+        numbers.usd_mean(F.col("cost"), F.col("priced")).alias("mean_cost"),
+        numbers.rounded(F.col("median_latency"), 2).alias("median_latency"),
+    )
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
@@ -229,18 +248,14 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     grouped = grouped_with_quantiles(
         df,
         [],
-        [
-            F.count(column).alias("count"),
-            F.avg(column).alias("mean"),
-            F.stddev_samp(column).alias("std"),
-            F.min(column).alias("min"),
-            F.max(column).alias("max"),
-        ],
+        _spread_parts(column),
         column,
         {"q25": 0.25, "q50": 0.5, "q75": 0.75},
     )
     return grouped.select(
-        "count", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")]
+        "*", (F.col("total") / F.nullif("count", F.lit(0))).alias("mean"), _deviation().alias("std")
+    ).select(
+        F.coalesce("count", F.lit(0)).alias("count"), *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")]
     )
 
 
@@ -474,8 +489,14 @@ def score_band(score: Column) -> Column:
 
 def extremes(completions: DataFrame, start=None, end=None) -> DataFrame:
     """Per model: cost and latency with flags for cheapest, dearest, fastest and slowest."""
-    models = by_model(completions, start, end).select(
-        "model", "request_count", "total_cost_usd", "avg_latency_ms"
+    models = (
+        scoped(completions, start, end, values.ARENA)
+        .groupBy("model")
+        .agg(F.count(F.lit(1)).alias("request_count"), F.expr(f"{numbers.USD_TOTAL} AS cost"), F.avg("latency_ms").alias("latency"))
+        .selectExpr(
+            "model", "request_count", "cast(round(cost, 6) AS double) AS total_cost_usd",
+            numbers.rounded_sql("latency", 2, "avg_latency_ms"),
+        )
     )
     bounds = models.agg(
         F.struct(
@@ -496,8 +517,14 @@ def extremes(completions: DataFrame, start=None, end=None) -> DataFrame:
 
 def series_totals(completions: DataFrame, start=None, end=None) -> DataFrame:
     """Totals under the hourly charts: summed hourly mean cost, mean requests, summed mean tokens."""
-    hourly = by_hour(completions, start, end).select(
-        "requests", "avg_cost_usd", "avg_tokens_in", "avg_tokens_out"
+    hourly = (
+        scoped(completions, start, end, values.ARENA)
+        .groupBy(times.hour_of(F.col("timestamp")).alias("hour"))
+        .agg(*[part.alias(name) for name, part, _ in _call_parts()])
+    )
+    hourly = _call_averages(hourly).selectExpr(
+        "requests", "coalesce(cast(round(cost / nullif(priced, 0), 6) AS double), 0D) AS avg_cost_usd",
+        numbers.rounded_sql("avg_tokens_in", 1), numbers.rounded_sql("avg_tokens_out", 1),
     )
     return hourly.agg(
         F.count(F.lit(1)).alias("hours"),

@@ -1,14 +1,15 @@
-"""Exact linear-interpolated quantiles, in one pass when small and by rank search when large.
+"""Exact linear-interpolated quantiles by rank search, in one form for every size.
 
-`percentile` keeps a value → count map per group in one task. That is the fastest exact form
-while the input is small, and it fails once a group has billions of distinct values. Above
-`IN_MEMORY_BYTES` the same numbers come from passes in which no task holds a whole group:
+`percentile` keeps a value → count map per group in one task, which fails once a group has billions of
+distinct values. Here no task holds a whole group:
 
-1. a histogram over coarse buckets that grow with the value (one partial aggregate); running
-   counts over that histogram tell which bucket holds each wanted rank;
+1. one scan folds rows per group and coarse bucket of the value, with whatever else is aggregated;
+   running counts over these buckets tell which of them holds each wanted rank;
 2. a bucket that still holds many rows is divided further, by its own lowest and highest value;
-3. the values of just the buckets that are left, counted per distinct value, give the wanted
+3. a second scan counts the distinct values of just the buckets that are left, which gives the wanted
    order statistics.
+
+Values are ordered as `percentile` orders them: NaN after infinity, nulls left out.
 """
 
 from __future__ import annotations
@@ -18,18 +19,36 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calltally.session import BROADCAST_ROWS, IN_MEMORY_BYTES, cut_lineage, estimated_bytes
+from calltally.session import cut_lineage
 
 BUCKETS_PER_OCTAVE = 1024
 # A bucket with more rows is divided into this many parts before its values are ranked.
 HEAVY_ROWS = 1_000_000
 PARTS = 4096
+# Wanted buckets are broadcast up to this many bytes, their keys counted in full.
+BROADCAST_BYTES = 8 << 20
+TARGET_BYTES = 200  # of a wanted bucket besides its keys
+
+# A merged aggregate: its name, the aggregate over rows, and how parts of it merge (sum, min or max).
+Part = tuple[str, Column, str]
 
 
 def _bucket(value: Column) -> Column:
-    """A whole number that never falls while the value rises: about 0.07 % wide, 0 for zero."""
+    """A whole number that never falls while the value rises: about 0.07 % wide, 0 for zero.
+
+    Infinities have the outermost buckets of the numbers, NaN the one above them.
+    """
+    infinite = 3000 * BUCKETS_PER_OCTAVE
     size = F.floor(F.log2(F.abs(value)) * BUCKETS_PER_OCTAVE) + F.lit(1100 * BUCKETS_PER_OCTAVE)
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("bigint")
+    return (
+        F.when(F.isnan(value), infinite + 1)
+        .when(value == float("inf"), infinite)
+        .when(value == float("-inf"), -infinite)
+        .when(value > 0, size)
+        .when(value < 0, -size)
+        .when(value == 0, 0)
+        .cast("bigint")
+    )
 
 
 def _position(share: float, total: Column) -> Column:
@@ -88,49 +107,56 @@ def _divided(values: DataFrame, targets: DataFrame, keys: list[str], small: bool
     )
 
 
-def ranked_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    shares: Mapping[str, float],
-    heavy_rows: int = HEAVY_ROWS,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Exact quantiles per key by rank search; one row per key that has any value."""
-    keys = list(keys) or ["_all"]
+def _valued(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     source = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
-    values = (
-        source.select(*keys, F.col(value).cast("double").alias("_value"))
-        .where(F.col("_value").isNotNull())
-        .withColumn("_bucket", _bucket(F.col("_value")))
+    return source.withColumn("_value", F.col(value).cast("double")).withColumn("_bucket", _bucket(F.col("_value")))
+
+
+def _folded(valued: DataFrame, keys: Sequence[str], parts: Sequence[Part]) -> DataFrame:
+    """The first scan: per key and bucket the parts, the rows with a value, and its bounds."""
+    return valued.groupBy(*keys, "_bucket").agg(
+        *[part.alias(name) for name, part, _ in parts],
+        F.count("_value").alias("_n"),
+        F.min("_value").alias("_low"),
+        F.max("_value").alias("_high"),
     )
+
+
+def _merged(parts: Sequence[Part]) -> list[Column]:
+    return [getattr(F, how)(name).alias(name) for name, _, how in parts]
+
+
+def _ranked(
+    valued: DataFrame, folded: DataFrame, keys: list[str], shares: Mapping[str, float],
+    heavy_rows: int, broadcast_bytes: int,
+) -> DataFrame:
+    """Quantiles per key from the folded rows of the first scan and a second scan."""
     per_key = Window.partitionBy(*keys)
     running = per_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     positions = [_position(share, F.col("_total")) for share in shares.values()]
     wanted = F.array_distinct(F.array(*[end(p) for p in positions for end in (F.floor, F.ceil)]))
     targets = (
-        values.groupBy(*keys, "_bucket")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_value").alias("_low"),
-            F.max("_value").alias("_high"),
-        )
+        folded.where(F.col("_bucket").isNotNull())
+        .select(*keys, "_bucket", "_n", "_low", "_high")
         .withColumn("_total", F.sum("_n").over(per_key))
         .withColumn("_before", F.sum("_n").over(running) - F.col("_n"))
         .withColumn("_ranks", _ranks_within(wanted, F.col("_before"), F.col("_n")))
         .where(F.size("_ranks") > 0)
         .select(*keys, "_bucket", "_n", "_low", "_high", "_total", "_before", "_ranks")
     )
+    values = valued.where(F.col("_value").isNotNull()).select(*keys, "_bucket", "_value")
     heavy = (F.col("_n") > heavy_rows) & (F.col("_low") < F.col("_high"))
+    held = F.octet_length(F.concat_ws("", *[F.col(k).cast("string") for k in keys]))
     while True:
-        targets = cut_lineage(targets)
-        size = targets.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(heavy, 1)).alias("h")).first()
-        small = size["n"] <= broadcast_rows
-        if size["h"] == 0:
+        size = targets.agg(
+            F.coalesce(F.sum(held + TARGET_BYTES), F.lit(0)).alias("bytes"), F.count(F.when(heavy, 1)).alias("heavy")
+        ).first()
+        small = size["bytes"] <= broadcast_bytes
+        if size["heavy"] == 0:
             break
         # Every round narrows a bucket 4 096 times, so a few rounds end at single values.
         divided = _divided(values, targets.where(heavy), keys, small)
-        targets = targets.where(~heavy).unionByName(divided)
+        targets = cut_lineage(targets.where(~heavy).unionByName(divided))
     in_target = Window.partitionBy(*keys, "_bucket", "_low").orderBy("_value")
     counted = (
         _matched(values, targets, keys, small)
@@ -160,37 +186,41 @@ def ranked_quantiles(
         part = _position(share, F.max("_total"))
         mixed = (F.ceil(part) - part) * low + (part - F.floor(part)) * high
         outputs.append(F.when(low == high, low).otherwise(mixed).alias(name))
-    result = counted.groupBy(*keys).agg(*outputs)
-    return result.drop("_all")
+    return counted.groupBy(*keys).agg(*outputs)
 
 
-def grouped_with_quantiles(
+def ranked_quantiles(
     df: DataFrame,
     keys: Sequence[str],
-    aggregates: Sequence[Column],
     value: str,
     shares: Mapping[str, float],
-    strategy: str = "auto",
+    heavy_rows: int = HEAVY_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """`groupBy(keys).agg(aggregates)` plus exact quantiles of `value`.
+    """Exact quantiles per key; one row per key that has any value."""
+    named = list(keys) or ["_all"]
+    valued = _valued(df, named, value)
+    folded = cut_lineage(_folded(valued, named, []))
+    return _ranked(valued, folded, named, shares, heavy_rows, broadcast_bytes).drop("_all")
 
-    strategy: `in_memory` (one pass), `ranked` (two passes, any size) or `auto` by size estimate.
-    """
-    if strategy == "auto":
-        slim = df.select(*keys, value)
-        strategy = "in_memory" if estimated_bytes(slim) <= IN_MEMORY_BYTES else "ranked"
-    if strategy == "in_memory":
-        listed = ", ".join(f"{float(share)}D" for share in shares.values())
-        grouped = df.groupBy(*keys).agg(
-            *aggregates, F.expr(f"percentile(`{value}`, array({listed}))").alias("_quantiles")
-        )
-        named = [f"_quantiles[{at}] AS `{name}`" for at, name in enumerate(shares)]
-        return grouped.selectExpr("*", *named).drop("_quantiles")
-    quantiles = ranked_quantiles(df, keys, value, shares)
+
+def grouped_with_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    parts: Sequence[Part],
+    value: str,
+    shares: Mapping[str, float],
+) -> DataFrame:
+    """Merged `parts` and exact quantiles of `value` per key, from two scans of `df`."""
+    named = list(keys) or ["_all"]
+    valued = _valued(df, named, value)
+    folded = cut_lineage(_folded(valued, named, parts))
+    quantiles = _ranked(valued, folded, named, shares, HEAVY_ROWS, BROADCAST_BYTES)
     if keys:
-        return _joined(df.groupBy(*keys).agg(*aggregates), quantiles, list(keys), "left")
+        totals = folded.groupBy(*keys).agg(F.first("_bucket").alias("_any"), *_merged(parts)).drop("_any")
+        return _joined(totals, quantiles, list(keys), "left")
     row = quantiles.select(F.struct(*shares)).scalar()
-    totals = df.agg(*aggregates).withColumn("_quantiles", row)
+    totals = folded.agg(F.count(F.lit(1)).alias("_any"), *_merged(parts)).drop("_any").withColumn("_quantiles", row)
     return totals.select("*", *[F.col("_quantiles")[n].alias(n) for n in shares]).drop("_quantiles")
 
 

@@ -198,7 +198,7 @@ def anomaly_alerts(
     )
 
 
-def trace_rollup(traces: DataFrame, strategy: str = "auto") -> DataFrame:
+def trace_rollup(traces: DataFrame) -> DataFrame:
     """Per trace type and span name: spans, errors, p95 duration."""
     timed = traces.withColumn(
         "duration_ms", times.elapsed_ms(F.col("start_time"), F.col("end_time"))
@@ -207,13 +207,12 @@ def trace_rollup(traces: DataFrame, strategy: str = "auto") -> DataFrame:
         timed,
         ["trace_type", "span_name"],
         [
-            F.count(F.lit(1)).alias("spans"),
-            F.count(F.when(F.col("status") == "error", 1)).alias("errors"),
-            F.max("duration_ms").alias("max_duration_ms"),
+            ("spans", F.count(F.lit(1)), "sum"),
+            ("errors", F.count(F.when(F.col("status") == "error", 1)), "sum"),
+            ("max_duration_ms", F.max("duration_ms"), "max"),
         ],
         "duration_ms",
         {"p95": 0.95},
-        strategy,
     )
     return grouped.select(
         "trace_type", "span_name", "spans", "errors", "max_duration_ms",

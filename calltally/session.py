@@ -1,19 +1,11 @@
-"""Session settings, the shared scratch folder and the size checks behind strategy choices."""
+"""Session settings and the shared scratch folder."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Inputs up to this estimate may use one-pass aggregates that keep a value map in memory.
-IN_MEMORY_BYTES = 32 * 1024 * 1024
-# Rows of a helper table that may be broadcast after it has been counted.
-BROADCAST_ROWS = 200_000
-
-
 def build_session(app: str = "calltally", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; on a cluster `master` comes from spark-submit."""
     builder = SparkSession.builder.appName(app)
@@ -25,6 +17,7 @@ def build_session(app: str = "calltally", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -33,33 +26,42 @@ def build_session(app: str = "calltally", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
-
-    Only a local master may fall back to this machine's temporary folder.
-    """
+    """The folder every executor can reach: the cluster's checkpoint folder, else one in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = os.path.join(tempfile.gettempdir(), "calltally-" + spark.sparkContext.applicationId)
-    os.makedirs(fallback, exist_ok=True)
-    return fallback
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; what is there is removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place, files = _hadoop(spark, path)
+    files.mkdirs(place.getParent())
+    files.deleteOnExit(place)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ours, if it is there."""
+    place, files = _hadoop(spark, path)
+    files.delete(place, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder, so that later passes do not recompute it."""
+    """Write `df` to the reliable checkpoint folder, so that later passes do not recompute it.
+
+    The folder goes with the session's JVM; a cleaner that removes checkpoints nobody holds any more
+    (`spark.cleaner.referenceTracking.cleanCheckpoints`) is on in sessions built here.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
+        place, files = _hadoop(df.sparkSession, context.getCheckpointDir())
+        files.deleteOnExit(place)
     return df.checkpoint()
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

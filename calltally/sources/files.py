@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -10,6 +13,9 @@ from calltally import schemas
 from calltally.functions import text
 
 UPLOAD_REQUIRED = ("prompt", "response")
+BATTLE_REQUIRED = ("model_a", "model_b")
+# What a battle file without the column means.
+BATTLE_DEFAULTS = {"winner": "tie", "language": "English"}
 
 
 def _csv(spark: SparkSession, multi_line: bool):
@@ -18,9 +24,85 @@ def _csv(spark: SparkSession, multi_line: bool):
     return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names as the file has them; reads only the head of the file."""
-    return _csv(spark, True).option("inferSchema", False).csv(path).columns
+def _headers(spark: SparkSession, path: str, multi_line: bool) -> dict[str, list[str]]:
+    """Files of a path by their header line, from one pass over the lines.
+
+    A file that is read line by line must not have a line end within quotes: its lines would be read
+    as rows. Such a line has an odd number of quotes.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    )
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    # the first line of a file lies in one task, which meets it before the file's others
+    found = lines.groupBy("file").agg(
+        F.first(F.when(F.col("start") == 0, F.col("value")), ignorenulls=True).alias("header"),
+        F.count(F.when(odd, 1)).alias("open"),
+    ).collect()
+    if not multi_line and any(row["open"] for row in found):
+        raise ValueError("a cell holds a line end: read the file with multi_line=True")
+    by_header: dict[str, list[str]] = {}
+    for row in sorted(found, key=lambda row: row["file"]):
+        by_header.setdefault(row["header"] or "", []).append(row["file"])
+    return by_header
+
+
+def _names(header: str) -> list[str]:
+    cells = next(csv.reader([header.rstrip("\r")]), [])
+    names = [name.lstrip("\ufeff").strip().lower() for name in cells]
+    if len(set(names)) < len(names):
+        raise ValueError("a column is named twice: " + ", ".join(names))
+    return names
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` with their place in file order: files by path, blocks by start, rows as they are read.
+
+    The numbers are dense and the same however the files are split: a split's rows follow each other
+    in one task, so a row's place within its split is known there, and the splits' counts (one row
+    per split) give the rest.
+    """
+    placed = rows.withColumns({
+        "_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"),
+        "_at": F.monotonically_increasing_id(),
+    })
+    splits = placed.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return placed.join(offsets.drop("_n"), ["_file", "_start"]).select(
+        *rows.columns, (F.col("_before") + F.col("_at") - F.col("_first")).cast("bigint").alias(name)
+    )
+
+
+def _read_by_name(
+    spark: SparkSession, path: str, multi_line: bool, required: Sequence[str], known: StructType | None, seq: str,
+    defaults: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Rows of all files of a path, columns by the name in each file's own header.
+
+    Names are stripped, lower-cased and free of a byte-order mark. With `known`, its columns are kept
+    in its order and types; else all columns, as text. A column that a file lacks has its default
+    there, else null; a file without a required column is an error.
+    """
+    parts, kinds = None, {f.name: f.dataType for f in known} if known else {}
+    by_header = _headers(spark, path, multi_line)
+    for header, found in by_header.items():
+        names = _names(header)
+        missing = [name for name in required if name not in names]
+        if missing:
+            raise ValueError("missing required column(s): " + ", ".join(missing))
+        schema = StructType([StructField(name, kinds.get(name, StringType()), True) for name in names])
+        rows = _csv(spark, multi_line).schema(schema).csv(path if len(by_header) == 1 else found)
+        lacking = {name: F.lit(value) for name, value in (defaults or {}).items() if name not in names}
+        part = rows.select(*names, "_metadata").withColumns(lacking)
+        parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
+    if parts is None:
+        raise ValueError("the file has no data rows")
+    kept = [f.name for f in known] if known else [c for c in parts.columns if c != "_metadata"]
+    held = parts.select(*[
+        F.col(name) if name in parts.columns else F.lit(None).cast(kinds[name]).alias(name) for name in kept
+    ], "_metadata")
+    return _numbered(held, seq).select(*kept, seq)
 
 
 def read_upload_csv(
@@ -28,22 +110,14 @@ def read_upload_csv(
 ) -> DataFrame:
     """Rows of an uploaded dataset as text columns with `_seq`, the row order.
 
-    The header is stripped and lower-cased and may start with a byte-order mark. A missing
-    required column or a file without rows is an error.
+    A missing required column or a file without rows is an error. `limit` keeps the first rows.
     """
-    raw = csv_header(spark, path)
-    names = [name.lstrip("﻿").strip().lower() for name in raw]
-    missing = [name for name in UPLOAD_REQUIRED if name not in names]
-    if missing:
-        raise ValueError("missing required column(s): " + ", ".join(missing))
-    schema = StructType([StructField(name, StringType(), True) for name in names])
-    rows = _csv(spark, multi_line).schema(schema).csv(path)
+    rows = _read_by_name(spark, path, multi_line, UPLOAD_REQUIRED, None, "_seq")
     if limit is not None:
-        rows = rows.limit(limit)
+        rows = rows.where(F.col("_seq") < limit)
     if rows.isEmpty():
         raise ValueError("the file has no data rows")
-    numbered = rows.withColumn("_seq", F.monotonically_increasing_id())
-    return numbered.fillna("", subset=names)
+    return rows.fillna("", subset=[c for c in rows.columns if c != "_seq"])
 
 
 def upload_features(columns: list[str]) -> dict[str, bool]:
@@ -56,17 +130,15 @@ def upload_features(columns: list[str]) -> dict[str, bool]:
 def read_battles_csv(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     """Battles with `seq`, the row order; `rows` keeps the first ones only.
 
-    Their cells hold no line ends, so large files are split.
+    A file without a winner column holds ties, one without a language column English texts. Cells
+    hold no line ends, so large files are split.
     """
-    battles = _csv(spark, False).schema(schemas.BATTLES).csv(path)
-    if rows is not None:
-        battles = battles.limit(rows)
-    return battles.withColumn("seq", F.monotonically_increasing_id())
+    battles = _read_by_name(spark, path, False, BATTLE_REQUIRED, schemas.BATTLES, "seq", BATTLE_DEFAULTS)
+    return battles if rows is None else battles.where(F.col("seq") < rows)
 
 
 def read_benchmark_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    rows = _csv(spark, multi_line).schema(schemas.BENCHMARK_ROWS).csv(path)
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+    return _read_by_name(spark, path, multi_line, UPLOAD_REQUIRED, schemas.BENCHMARK_ROWS, "seq")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

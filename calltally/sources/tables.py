@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltally.operators import etl, rollups
 from calltally.operators.quality import eval_rules, split_valid
+from calltally.session import discard, scratch_path
 
 
 def batch_folder(path: str, batch_id: str) -> str:
@@ -42,13 +44,26 @@ def append_completions(df: DataFrame, path: str, batch_id: str) -> None:
 
 def append_evals(df: DataFrame, path: str, batch_id: str) -> None:
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", "eval_type")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("eval_type")
         .parquet(batch_folder(path, batch_id))
     )
 
 
+@contextmanager
+def _staged(df: DataFrame) -> Iterator[DataFrame]:
+    """`df` written once and read from there; removed after use."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "staged")
+    df.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        discard(spark, path)
+
+
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Stored rows without the layout columns."""
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -63,39 +78,30 @@ def load_battles(
 
     The sides are written once; both tables are built from the written rows.
     """
-    spark = battles.sparkSession
-    staged = f"{root}/staged_{batch_id}"
-    etl.battle_sides(battles, anchor, first_id).write.mode("overwrite").parquet(staged)
-    sides = spark.read.parquet(staged)
-    append_completions(etl.completions_of(sides), f"{root}/completions", batch_id)
-    append_evals(etl.preference_evals(sides, anchor), f"{root}/evals", batch_id)
+    with _staged(etl.battle_sides(battles, anchor, first_id)) as sides:
+        append_completions(etl.completions_of(sides), f"{root}/completions", batch_id)
+        append_evals(etl.preference_evals(sides, anchor), f"{root}/evals", batch_id)
 
 
 def load_benchmark(
     rows: DataFrame, root: str, anchor, batch_id: str = "benchmark", first_id: int = 0
 ) -> None:
-    spark = rows.sparkSession
-    staged = f"{root}/staged_{batch_id}"
-    etl.benchmark_rows(rows, anchor, first_id).write.mode("overwrite").parquet(staged)
-    loaded = spark.read.parquet(staged)
-    append_completions(etl.completions_of(loaded), f"{root}/completions", batch_id)
-    append_evals(etl.benchmark_evals(loaded, anchor), f"{root}/evals", batch_id)
+    with _staged(etl.benchmark_rows(rows, anchor, first_id)) as loaded:
+        append_completions(etl.completions_of(loaded), f"{root}/completions", batch_id)
+        append_evals(etl.benchmark_evals(loaded, anchor), f"{root}/evals", batch_id)
 
 
 def load_upload(
     rows: DataFrame, root: str, source_id: str, filename: str, uploaded_at, first_id: int = 0
 ) -> None:
-    """Store an uploaded dataset, its scores and its registry row."""
-    spark = rows.sparkSession
-    staged = f"{root}/staged_{source_id}"
-    etl.upload_rows(rows, source_id, uploaded_at, first_id).write.mode("overwrite").parquet(staged)
-    loaded = spark.read.parquet(staged)
-    if loaded.isEmpty():
-        raise ValueError("no row has both a prompt and a response")
-    append_completions(etl.completions_of(loaded), f"{root}/completions", source_id)
-    append_evals(etl.upload_evals(loaded, uploaded_at), f"{root}/evals", source_id)
-    entry = registry_row(loaded, source_id, filename, rows.columns, uploaded_at)
-    entry.write.mode("append").parquet(f"{root}/uploads")
+    """Store an uploaded dataset, its scores and its registry row; a replay replaces all three."""
+    with _staged(etl.upload_rows(rows, source_id, uploaded_at, first_id)) as loaded:
+        if loaded.isEmpty():
+            raise ValueError("no row has both a prompt and a response")
+        append_completions(etl.completions_of(loaded), f"{root}/completions", source_id)
+        append_evals(etl.upload_evals(loaded, uploaded_at), f"{root}/evals", source_id)
+        entry = registry_row(loaded, source_id, filename, rows.columns, uploaded_at)
+        entry.write.mode("overwrite").parquet(batch_folder(f"{root}/uploads", source_id))
 
 
 def registry_row(
@@ -103,7 +109,7 @@ def registry_row(
 ) -> DataFrame:
     """The registry row of one dataset. The registry id is the digits of its source id's hash."""
     return completions.where(F.col("source") == source_id).agg(
-        F.conv(F.substring(F.sha2(F.lit(source_id), 256), 1, 8), 16, 10).cast("bigint").alias("id"),
+        F.conv(F.substring(F.sha2(F.lit(source_id), 256), 1, 15), 16, 10).cast("bigint").alias("id"),
         F.lit(source_id).alias("source_id"),
         F.lit(filename).alias("filename"),
         F.count(F.lit(1)).alias("row_count"),
@@ -113,9 +119,12 @@ def registry_row(
     )
 
 
-def dataset_id(filename: str) -> str:
-    """`upload_` and eight hex digits that depend on the file name."""
-    return "upload_" + hashlib.sha256(filename.encode()).hexdigest()[:8]
+def dataset_id(filename: str, uploaded_at) -> str:
+    """`upload_` and sixteen hex digits of the file name and the time of the upload.
+
+    A replay of one upload has the same id; another upload of the same name has another.
+    """
+    return "upload_" + hashlib.sha256(f"{filename}|{uploaded_at}".encode()).hexdigest()[:16]
 
 
 def next_id(table: DataFrame) -> int:
@@ -182,7 +191,9 @@ def retire(df: DataFrame, cutoff, archive: str, kept: str) -> None:
 
 
 def reload_all(battles: DataFrame, benchmark: DataFrame, root: str, anchor) -> None:
-    """Fresh tables from both sources; benchmark ids follow the arena's."""
+    """Drop all stored tables and load both sources; benchmark ids follow the arena's."""
+    for name in ("completions", "evals", "uploads"):
+        discard(battles.sparkSession, f"{root}/{name}")
     load_battles(battles, root, anchor)
     first = next_id(battles.sparkSession.read.parquet(f"{root}/completions"))
     load_benchmark(benchmark, root, anchor, first_id=first)

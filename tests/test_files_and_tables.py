@@ -152,12 +152,13 @@ def test_reload_keeps_ids_apart(spark, arena_rows, tmp_path):
 
 def test_upload_lifecycle(spark, csv, tmp_path):
     root = str(tmp_path / "t")
-    source = tables.dataset_id("data.csv")
-    assert source.startswith("upload_") and len(source) == 15
+    source = tables.dataset_id("data.csv", ANCHOR)
+    assert source.startswith("upload_") and source == tables.dataset_id("data.csv", ANCHOR)
     rows = files.read_upload_csv(spark, csv("prompt,response,quality_rating\na b,a b,9\nc,d,\n"))
-    tables.load_upload(rows, root, source, "data.csv", ANCHOR)
+    for _ in range(2):
+        tables.load_upload(rows, root, source, "data.csv", ANCHOR)
     calls, scores = stored(spark, root)
-    uploads = spark.read.parquet(f"{root}/uploads")
+    uploads = tables.read_table(spark, f"{root}/uploads", schemas.UPLOADS)
     (entry,) = dicts(uploads)
     assert (entry["row_count"], entry["has_quality_rating"], entry["has_model_column"]) == (2, True, False)
     listing = {r["eval_type"]: r["avg_score"] for r in dicts(evaluations.dataset_listing(uploads, scores, calls))}
@@ -168,6 +169,75 @@ def test_upload_lifecycle(spark, csv, tmp_path):
     assert [t.count() for t in kept] == [0, 0, 0]
 
 
+def test_two_uploads_of_one_file_name_both_stay(spark, csv, tmp_path):
+    root = str(tmp_path / "t")
+    for at, text in (("2024-02-01 00:00:00", "a,b"), ("2024-02-02 00:00:00", "c,d\ne,f")):
+        rows = files.read_upload_csv(spark, csv(f"prompt,response\n{text}\n"))
+        first = 100 if at > "2024-02-01 12" else 0
+        tables.load_upload(rows, root, tables.dataset_id("data.csv", at), "data.csv", at, first)
+    entries = dicts(tables.read_table(spark, f"{root}/uploads", schemas.UPLOADS))
+    assert sorted(r["row_count"] for r in entries) == [1, 2] and len({r["id"] for r in entries}) == 2
+    assert stored(spark, root)[0].count() == 3
+
+
+def test_reload_leaves_nothing_else(spark, csv, arena_rows, tmp_path):
+    root = tmp_path / "t"
+    rows = files.read_upload_csv(spark, csv("prompt,response\na,b\n"))
+    tables.load_upload(rows, str(root), "upload_x", "data.csv", ANCHOR)
+    bench = spark.createDataFrame(
+        [(0, "x", "y", None, None, None)],
+        "seq bigint, prompt string, response string, quality_rating string, criteria string, human_rater string",
+    )
+    tables.reload_all(arena_rows, bench, str(root), ANCHOR)
+    assert {r["source"] for r in stored(spark, str(root))[0].collect()} == {"lmsys", "evals_benchmark"}
+    assert sorted(p.name for p in root.iterdir()) == ["completions", "evals"]
+
+
+def test_columns_go_by_name_in_every_file(spark, csv, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "b.csv").write_text("response,Prompt,extra\nr2,p2,x\n" + "".join(f"r{i},p{i},\n" for i in range(3, 400)))
+    (folder / "a.csv").write_text("prompt,response\np0,r0\np1,r1\n")
+    rows = files.read_upload_csv(spark, str(folder)).orderBy("_seq").collect()
+    assert [r["_seq"] for r in rows] == list(range(400))
+    assert all((r["prompt"], r["response"]) == (f"p{i}", f"r{i}") for i, r in enumerate(rows))
+    assert (rows[0]["extra"], rows[2]["extra"]) == ("", "x")
+    assert [r["prompt"] for r in files.read_upload_csv(spark, str(folder), limit=3).orderBy("_seq").collect()] == ["p0", "p1", "p2"]
+
+
+def test_battle_columns_go_by_name_and_may_be_absent(spark, csv):
+    path = csv("model_b,latency_ms,model_a,unknown\npalm-2,7.5,gpt-4,?\n")
+    (row,) = dicts(files.read_battles_csv(spark, path))
+    assert (row["model_a"], row["model_b"], row["latency_ms"]) == ("gpt-4", "palm-2", 7.5)
+    assert (row["winner"], row["language"], row["conversation_id"], row["seq"]) == ("tie", "English", None, 0)
+    with pytest.raises(ValueError, match="model_b"):
+        files.read_battles_csv(spark, csv("model_a,winner\na,tie\n"))
+    with pytest.raises(ValueError, match="named twice"):
+        files.read_battles_csv(spark, csv("model_a,model_b, MODEL_A\na,b,c\n"))
+
+
+def test_line_ends_in_cells_are_refused_line_by_line(spark, csv):
+    path = csv('prompt,response\n"a\nb",c\n')
+    assert files.read_upload_csv(spark, path).count() == 1
+    with pytest.raises(ValueError, match="multi_line"):
+        files.read_upload_csv(spark, path, multi_line=False)
+
+
+def test_row_numbers_do_not_depend_on_splits(spark, tmp_path):
+    folder = tmp_path / "split"
+    folder.mkdir()
+    (folder / "1.csv").write_text("model_a,model_b\n" + "".join(f"a{i},b\n" for i in range(50)))
+    (folder / "2.csv").write_text("model_a,model_b\n" + "".join(f"a{50 + i},b\n" for i in range(3000)))
+    wanted = [f"a{i}" for i in range(3050)]
+    for size in ("134217728", "1000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = files.read_battles_csv(spark, str(folder)).orderBy("seq").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [r["model_a"] for r in rows] == wanted and [r["seq"] for r in rows] == list(range(3050))
+
+
 def test_upload_without_usable_rows_stores_nothing(spark, csv, tmp_path):
     root = tmp_path / "t"
     rows = files.read_upload_csv(spark, csv("prompt,response\n , \n"))

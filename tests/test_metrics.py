@@ -1,3 +1,4 @@
+import math
 import random
 from datetime import timedelta
 
@@ -14,37 +15,43 @@ from tests.conftest import NOW, dicts
 
 
 def test_by_model_goldens(fixture_calls):
-    gpt, claude = dicts(metrics.by_model(fixture_calls))
-    assert (gpt["model"], gpt["request_count"], gpt["avg_latency_ms"]) == ("gpt-4", 5, 600.0)
-    assert (gpt["p50_latency_ms"], gpt["p95_latency_ms"], gpt["p99_latency_ms"]) == (600, 960, 992)
-    assert gpt["total_cost_usd"] == 0.15 and gpt["success_rate_percent"] == 100.0
-    assert (claude["request_count"], claude["p95_latency_ms"], claude["p99_latency_ms"]) == (3, 680, 696)
-    assert claude["total_cost_usd"] == 0.06
+    gpt, mistral = dicts(metrics.by_model(fixture_calls))
+    assert (gpt["model"], gpt["request_count"], gpt["avg_latency_ms"]) == ("gpt-4", 5, 408.0)
+    assert (gpt["p50_latency_ms"], gpt["p95_latency_ms"], gpt["p99_latency_ms"]) == (360, 768, 825.6)
+    assert gpt["total_cost_usd"] == 0.1 and gpt["success_rate_percent"] == 100.0
+    assert (mistral["request_count"], mistral["p95_latency_ms"], mistral["p99_latency_ms"]) == (3, 610, 642)
+    assert mistral["total_cost_usd"] == 0.02
 
 
 def test_by_hour_goldens(fixture_calls):
     first, second, third = dicts(metrics.by_hour(fixture_calls))
     assert first["hour"] == NOW
     assert (first["requests"], first["avg_latency_ms"], first["p50"], first["p95"], first["p99"]) == (
-        3, 433.33, 400, 580, 596,
+        3, 210.0, 150, 339, 355.8,
     )
-    assert first["avg_cost_usd"] == 0.02
-    assert (second["p50"], second["p95"], second["p99"], second["avg_cost_usd"]) == (500, 770, 794, 0.023333)
+    assert first["avg_cost_usd"] == 0.012667
+    assert (second["p50"], second["p95"], second["p99"], second["avg_cost_usd"]) == (250, 457, 475.4, 0.014667)
     assert (third["requests"], third["p50"], third["p95"], third["p99"], third["avg_cost_usd"]) == (
-        2, 850, 985, 997, 0.04,
+        2, 745, 830.5, 838.1, 0.019,
     )
 
 
-@pytest.mark.parametrize("strategy", ["in_memory", "ranked"])
-def test_percentiles_goldens(fixture_calls, strategy):
-    (row,) = dicts(metrics.percentiles(fixture_calls, strategy=strategy))
-    assert row == {"p50": 550, "p75": 725, "p90": 860, "p95": 930, "p99": 986, "min": 200, "max": 1000}
+def test_percentiles_goldens(fixture_calls):
+    (row,) = dicts(metrics.percentiles(fixture_calls))
+    assert row == {"p50": 305, "p75": 522.5, "p90": 707, "p95": 773.5, "p99": 826.7, "min": 120, "max": 840}
 
 
-@pytest.mark.parametrize("strategy", ["in_memory", "ranked"])
-def test_percentiles_of_one_to_hundred(make_calls, strategy):
+def test_spread_goldens(make_calls, spark):
+    calls = make_calls([{"latency_ms": x} for x in (2.0, 4.0, 4.0, 4.0, 5.0, 5.0, 7.0, 9.0, None)])
+    (row,) = dicts(metrics.percentiles_with_spread(calls))
+    assert (row["mean"], row["stddev"], row["p50"]) == (5.0, 2.14, 4.5)
+    (row,) = dicts(metrics.describe(calls, "latency_ms"))
+    assert (row["count"], row["mean"], row["std"], row["q25"], row["q75"]) == (8, 5.0, 2.1381, 4.0, 5.5)
+
+
+def test_percentiles_of_one_to_hundred(make_calls):
     calls = make_calls([{"latency_ms": float(i)} for i in range(1, 101)])
-    (row,) = dicts(metrics.percentiles(calls, strategy=strategy))
+    (row,) = dicts(metrics.percentiles(calls))
     assert (row["p50"], row["p75"], row["p90"], row["p95"], row["p99"]) == (50.5, 75.25, 90.1, 95.05, 99.01)
 
 
@@ -60,15 +67,14 @@ def test_malformed_period_is_an_error(fixture_calls):
         filters.in_period(fixture_calls, "yesterday").collect()
 
 
-@pytest.mark.parametrize("strategy", ["in_memory", "ranked"])
-def test_empty_scope_defaults(fixture_calls, strategy):
+def test_empty_scope_defaults(fixture_calls):
     far = NOW + timedelta(days=999)
     (row,) = dicts(metrics.summary(fixture_calls, far))
     assert row["total_requests"] == 0 and row["success_rate_percent"] == 100.0
     assert row["total_cost_usd"] == 0.0 and row["models"] == ""
-    (row,) = dicts(metrics.percentiles(fixture_calls, far, strategy=strategy))
+    (row,) = dicts(metrics.percentiles(fixture_calls, far))
     assert set(row.values()) == {0.0}
-    assert metrics.by_model(fixture_calls, far, strategy=strategy).count() == 0
+    assert metrics.by_model(fixture_calls, far).count() == 0
 
 
 def test_empty_model_name_is_no_filter(fixture_calls):
@@ -120,25 +126,52 @@ def test_by_model_sums_to_the_summary(fixture_calls):
     assert sum(r["request_count"] for r in dicts(metrics.by_model(fixture_calls))) == total["total_requests"]
 
 
-def test_ranked_quantiles_equal_the_in_memory_form(spark):
+def built_in(df, shares):
+    """Spark's own exact form, which holds a group's values in one task."""
+    listed = ", ".join(f"{x}D" for x in shares.values())
+    return {
+        r["key"]: dict(zip(shares, r["q"] or [None] * len(shares), strict=True))
+        for r in df.groupBy("key").agg(F.expr(f"percentile(value, array({listed}))").alias("q")).collect()
+    }
+
+
+def same(want, got):
+    if want is None or got is None:
+        return want is got
+    return math.isnan(want) and math.isnan(got) or want == got or abs(want - got) < 1e-9
+
+
+def test_quantiles_equal_the_built_in_form(spark):
     rng = random.Random(5)
     rows = []
     for key in ("a", "b", None, "hot"):
         for _ in range(2000 if key == "hot" else rng.choice([1, 2, 37])):
             rows.append((key, rng.choice([0.0, -1.5, 3.25, 3.25, rng.uniform(-50, 5000), rng.lognormvariate(3, 2)])))
     rows.append(("nothing", None))
+    nan, inf = float("nan"), float("inf")
+    rows += [("nan", x) for x in (1.0, 2.0, 3.0, nan, 1000.0, 2000.0, 3000.0)] + [("inf", x) for x in (1.0, 2.0, 3.0, inf)]
+    rows += [("ends", x) for x in (-inf, -inf, -1e308, 0.0, 1e308, inf, nan, nan)]
     df = spark.createDataFrame(rows, "key string, value double")
     shares = {"q0": 0.0, "q1": 0.01, "q50": 0.5, "q95": 0.95, "q100": 1.0}
-    left = {r["key"]: r for r in grouped_with_quantiles(df, ["key"], [F.count("*").alias("n")], "value", shares, "in_memory").collect()}
-    right = {r["key"]: r for r in grouped_with_quantiles(df, ["key"], [F.count("*").alias("n")], "value", shares, "ranked").collect()}
-    assert left.keys() == right.keys()
-    for key, row in left.items():
+    want = built_in(df, shares)
+    got = {r["key"]: r for r in grouped_with_quantiles(df, ["key"], [("n", F.count("*"), "sum")], "value", shares).collect()}
+    assert want.keys() == got.keys()
+    for key, row in want.items():
+        assert got[key]["n"] == sum(k == key for k, _ in rows)
         for name in shares:
-            want, got = row[name], right[key][name]
-            assert (want is None and got is None) or abs(want - got) < 1e-9, (key, name)
+            assert same(row[name], got[key][name]), (key, name, row[name], got[key][name])
+
+
+def test_quantiles_scan_their_input_twice(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 3 AS key", "id * 1.5 AS value").write.parquet(str(tmp_path / "t"))
+    grouped = grouped_with_quantiles(
+        spark.read.parquet(str(tmp_path / "t")), ["key"], [("n", F.count("*"), "sum")], "value", {"m": 0.5}
+    )
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1  # the second; the first has been folded
 
 
-@pytest.mark.parametrize("heavy,broadcast", [(3, 200_000), (3, 0), (10**9, 0), (10**9, 200_000)])
+@pytest.mark.parametrize("heavy,broadcast", [(3, 1 << 20), (3, 0), (10**9, 0), (10**9, 1 << 20)])
 def test_heavy_buckets_are_divided(spark, heavy, broadcast):
     """Values crowded into one narrow bucket, a heavy single value, and many groups."""
     rows = [("crowd", 1000.0 + i * 1e-9) for i in range(400)] + [("same", 7.0)] * 50
@@ -146,7 +179,7 @@ def test_heavy_buckets_are_divided(spark, heavy, broadcast):
     rows += [("wide", x) for x in (-1e300, -5e-324, 0.0, 5e-324, 1e300)]
     df = spark.createDataFrame(rows, "key string, value double")
     shares = {"q0": 0.0, "q30": 0.3, "q50": 0.5, "q99": 0.99, "q100": 1.0}
-    want = {r["key"]: r for r in grouped_with_quantiles(df, ["key"], [], "value", shares, "in_memory").collect()}
+    want = built_in(df, shares)
     got = {r["key"]: r for r in ranked_quantiles(df, ["key"], "value", shares, heavy, broadcast).collect()}
     assert want.keys() == got.keys()
     for key in want:
@@ -197,6 +230,6 @@ def test_long_texts_are_cut(make_calls):
 
 def test_cost_share_adds_to_hundred(fixture_calls):
     rows = dicts(metrics.cost_share(fixture_calls, "model"))
-    assert {r["model"]: r["percent"] for r in rows} == {"gpt-4": 71.4, "claude-3-5-sonnet": 28.6}
+    assert {r["model"]: r["percent"] for r in rows} == {"gpt-4": 83.3, "mistral-large": 16.7}
     free = metrics.cost_share(fixture_calls.withColumn("cost_usd", F.lit(0.0)), "model")
     assert {r["percent"] for r in dicts(free)} == {0.0}
