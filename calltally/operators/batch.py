@@ -29,12 +29,26 @@ def rouge_evaluator(rows: DataFrame) -> DataFrame:
 def batch_evaluator(score: Callable[[pd.DataFrame], pd.Series]) -> Evaluator:
     """An evaluator from a function that scores a pandas batch of (id, prompt, response, criteria).
 
-    This is where an external judge plugs in; batches arrive as Spark partitions the rows.
+    This is where an external judge plugs in; batches arrive as Spark partitions the rows. A batch
+    that fails is scored row by row, and a row that fails scores 0.
     """
 
+    def row_by_row(rows: pd.DataFrame) -> list[float]:
+        scores = []
+        for at in range(len(rows)):
+            try:
+                scores.append(float(score(rows.iloc[at : at + 1]).iloc[0]))
+            except Exception:  # an evaluator may raise anything; its row counts as 0
+                scores.append(0.0)
+        return scores
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"id": rows["id"], "score": score(rows).astype("float64")})
+            try:
+                scores = score(rows).astype("float64").to_numpy()
+            except Exception:
+                scores = row_by_row(rows)
+            yield pd.DataFrame({"id": rows["id"], "score": scores})
 
     return lambda rows: rows.mapInPandas(run, "id bigint, score double")
 
@@ -62,8 +76,11 @@ class Evaluators:
         """(id, score) with scores in 0–1; a score that cannot be had counts as 0."""
         if name not in self._known:
             raise ValueError(f"unknown evaluator: {name}")
-        scored = self._known[name](rows)
         wanted = rows.select("id")
+        try:
+            scored = self._known[name](rows)
+        except Exception:  # one that can't be set up leaves the other evaluators' scores alone
+            return wanted.select("id", F.lit(0.0).alias("score"))
         return wanted.join(scored.select("id", "score"), "id", "left").select(
             "id", F.coalesce(numbers.clamp01(F.col("score")), F.lit(0.0)).alias("score")
         )
@@ -119,15 +136,21 @@ def evaluate_batch(
     return result.withColumnRenamed("id", "completion_id")
 
 
-def batch_progress(requests: DataFrame, evals: DataFrame) -> DataFrame:
-    """Per job: ids asked for, ids scored, and whether it is complete.
+def batch_progress(requests: DataFrame, evals: DataFrame, completions: DataFrame | None = None) -> DataFrame:
+    """Per job: ids asked for, ids done, and whether it is complete.
 
-    requests: (job_id, id). Scores are folded to one row per completion before the join.
+    requests: (job_id, id). Scores are folded to one row per completion before the join. With
+    `completions`, an id that has none is skipped work: it counts as done.
     """
     scored = evals.groupBy("completion_id").agg(F.lit(1).alias("_scored"))
     joined = requests.join(scored, requests["id"] == scored["completion_id"], "left")
+    done = F.col("_scored").isNotNull()
+    if completions is not None:
+        known = completions.select(F.col("id").alias("_known")).distinct()
+        joined = joined.join(known, joined["id"] == known["_known"], "left")
+        done = done | F.col("_known").isNull()
     counted = joined.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("total"), F.count("_scored").alias("done")
+        F.count(F.lit(1)).alias("total"), F.count(F.when(done, 1)).alias("done")
     )
     return counted.withColumn(
         "status", F.when(F.col("done") >= F.col("total"), "complete").otherwise("processing")

@@ -82,12 +82,12 @@ def imputed_tokens_out(tokens: Column, key: Column) -> Column:
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """First row of every key in `order`; partial aggregation keeps one row per key and task."""
-    return (
-        df.groupBy(key)
-        .agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_row"))
-        .select("_row.*")
-    )
+    """The row of every key with the lowest `order`, which is distinct within a key.
+
+    Only keys and orders are aggregated, by hash; whole rows are met once, by a semi join.
+    """
+    lowest = df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_order"))
+    return df.join(lowest, df[key].eqNullSafe(F.col("_key")) & (df[order] == F.col("_order")), "left_semi")
 
 
 def content_hashes(df: DataFrame, criteria: Column) -> DataFrame:

@@ -24,9 +24,9 @@ EVAL_COLUMNS = (
 )
 
 
-def _user(key: Column) -> Column:
-    """One of twenty user names, by key."""
-    return F.format_string("user_%03d", (F.lit(1) + numbers.draw(key, "user", 20)).cast("int"))
+def _user(key: Column, users: int) -> Column:
+    """One of `users` names, by key."""
+    return F.format_string("user_%03d", (F.lit(1) + numbers.draw(key, "user", users)).cast("int"))
 
 
 def winner_score(winner: Column, side: str) -> Column:
@@ -81,7 +81,7 @@ def battle_sides(battles: DataFrame, anchor, first_id: int = 0) -> DataFrame:
             F.col(f"model_{letter}").alias("model"),
             (F.col("cost_usd") * share).alias("cost_usd"),
             name.alias("conversation_id"),
-            _user(name).alias("user_id"),
+            _user(name, values.ARENA_USERS).alias("user_id"),
             winner_score(F.col("winner"), f"model_{letter}").alias("score"),
         )
 
@@ -149,7 +149,7 @@ def single_model_calls(battles: DataFrame, anchor, first_id: int = 0) -> DataFra
         F.coalesce(
             "cost_usd", pricing.cost(F.col("tokens_in"), F.col("tokens_out"), F.col("model"))
         ).alias("cost_usd"),
-        _user(key).alias("user_id"),
+        _user(key, values.SINGLE_MODEL_USERS).alias("user_id"),
         "conversation_id",
         F.lit(values.ARENA).alias("source"),
     )

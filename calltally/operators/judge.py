@@ -29,26 +29,38 @@ def judge_requests(
 ) -> DataFrame:
     """One request per distinct (prompt, response, criteria) that the cache does not hold.
 
-    Copies of one text are folded within every task before the shuffle; the smallest id stands
-    for them.
+    Copies of one text are folded by key and id alone; the smallest id, which is unique, stands for
+    them, and only its row's texts are fetched.
     """
     asked = F.col("criteria") if criteria is None else F.lit(criteria)
     asked = F.coalesce(asked, F.lit(values.JUDGE_CRITERIA))
-    keyed = df.select(
-        text.content_key(F.col("prompt"), F.col("response"), asked).alias("content_key"),
-        F.struct(id_column, "prompt", "response", asked.alias("criteria")).alias("_row"),
-    )
-    wanted = keyed.groupBy("content_key").agg(
-        F.min_by("_row", F.col("_row")[id_column]).alias("_row")
+    keys = df.select(
+        F.col(id_column), text.content_key(F.col("prompt"), F.col("response"), asked).alias("content_key")
     )
+    wanted = keys.groupBy("content_key").agg(F.min(id_column).alias(id_column))
     if cache is not None:
         wanted = wanted.join(cache.select("content_key"), "content_key", "left_anti")
-    return wanted.select(
-        F.col("_row")[id_column].alias(id_column),
-        "content_key",
-        judge_prompt(
-            F.col("_row.prompt"), F.col("_row.response"), F.col("_row.criteria")
-        ).alias("request"),
+    texts = df.select(id_column, judge_prompt(F.col("prompt"), F.col("response"), asked).alias("request"))
+    return wanted.join(texts, id_column).select(id_column, "content_key", "request")
+
+
+def explanation_prompt(prompt: Column, response: Column, criteria: Column) -> Column:
+    """The fixed request for an explanation; criteria are named only if there are any."""
+    before, rest = values.EXPLANATION_TEMPLATE.split("{prompt}", 1)
+    between, after = rest.split("{response}", 1)
+    named = values.EXPLANATION_CRITERIA.split("{criteria}", 1)
+    empty = F.lit("")
+    return F.concat(
+        F.lit(before), F.coalesce(prompt, empty), F.lit(between), F.coalesce(response, empty), F.lit(after),
+        F.when(F.coalesce(criteria, empty) != "", F.concat(F.lit(named[0]), criteria, F.lit(named[1]))).otherwise(empty),
+    )
+
+
+def explanation_requests(df: DataFrame, id_column: str, criteria: str | None = None) -> DataFrame:
+    """One request for an explanation per row."""
+    asked = F.col("criteria") if criteria is None else F.lit(criteria)
+    return df.select(
+        id_column, explanation_prompt(F.col("prompt"), F.col("response"), asked).alias("request")
     )
 
 

@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 from calltally import values
 from calltally.functions import numbers, times
 from calltally.operators.filters import scoped
-from calltally.operators.quantiles import Part, approximate_quantiles, grouped_with_quantiles
+from calltally.operators.quantiles import (
+    Part,
+    approximate_quantiles,
+    grouped_with_quantiles,
+    rank_errors,
+)
 
 # The latency quantiles of the reports.
 QUANTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -292,6 +297,13 @@ def approximate_percentiles(
     )
 
 
+def percentile_rank_errors(
+    completions: DataFrame, keys=("model",), source: str | None = values.ARENA, accuracy=10_000
+) -> DataFrame:
+    """Whether each quantile of `approximate_percentiles` keeps its bound on the rank."""
+    return rank_errors(scoped(completions, source=source), list(keys), "latency_ms", QUANTILES, accuracy)
+
+
 def cost_breakdown(completions: DataFrame, start=None, end=None) -> DataFrame:
     """Long form (scope, key, cost): total and per model over every source, per hour over one.
 

@@ -224,6 +224,28 @@ def grouped_with_quantiles(
     return totals.select("*", *[F.col("_quantiles")[n].alias(n) for n in shares]).drop("_quantiles")
 
 
+def rank_errors(
+    df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float], accuracy: int = 10_000
+) -> DataFrame:
+    """Per key and quantile of `approximate_quantiles`: rows, and whether its rank keeps the bound.
+
+    The bound is rows / accuracy, and one row for the rounding of a rank.
+    """
+    named = [f"'{name}', {name}, {share}D" for name, share in shares.items()]
+    estimates = approximate_quantiles(df, keys, value, shares, accuracy).select(
+        *keys, F.expr(f"stack({len(named)}, {', '.join(named)}) AS (quantile, estimate, share)")
+    )
+    ranked = _joined(df.where(F.col(value).isNotNull()).select(*keys, value), estimates, keys, "inner")
+    counted = ranked.groupBy(*keys, "quantile", "share").agg(
+        F.count(F.lit(1)).alias("value_count"),
+        F.count(F.when(F.col(value) < F.col("estimate"), 1)).alias("below"),
+        F.count(F.when(F.col(value) <= F.col("estimate"), 1)).alias("up_to"),
+    )
+    wanted, bound = F.col("share") * F.col("value_count"), F.col("value_count") / accuracy + 1
+    keeps = (F.col("below") <= wanted + bound) & (F.col("up_to") >= wanted - bound)
+    return counted.select(*keys, "quantile", "value_count", keeps.alias("keeps_bound"))
+
+
 def approximate_quantiles(
     df: DataFrame,
     keys: Sequence[str],

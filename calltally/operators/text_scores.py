@@ -106,7 +106,6 @@ def text_scores(
     stemming: bool = True,
 ) -> DataFrame:
     """Per id: `bleu`, `rouge1`, `rougeL` (those asked for). Ids must be unique."""
-    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = pairs.select(
         F.col(id_column),
         F.coalesce(F.col(reference), F.lit("")).alias("_ref"),
@@ -127,7 +126,7 @@ def text_scores(
         mark_lcs = F.col("_lcs")
         entries += _sides(_STEMS, F.col("_ref_stems"), F.col("_cand_stems"))
     kept = slim if bleu else slim.drop("_ref", "_cand")
-    slim = kept.repartition(spread, id_column)
+    slim = kept.repartition(id_column)
     if bleu:
         slim = slim.withColumns(
             {

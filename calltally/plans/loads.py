@@ -288,8 +288,8 @@ def _(spark, folder):
     return cleaning.flatten_messages(messages, "messages", "blocks").select("id", "prompt", "response")
 
 
-def _user_sql(key: str) -> str:
-    return f"'user_' || lpad(CAST(1 + {draw(key, 'user', 20)} AS VARCHAR), 3, '0')"
+def _user_sql(key: str, users: int = values.ARENA_USERS) -> str:
+    return f"'user_' || lpad(CAST(1 + {draw(key, 'user', users)} AS VARCHAR), 3, '0')"
 
 
 SIDES_SQL = f"""SELECT seq * 2 AS id, timestamp,
@@ -447,7 +447,7 @@ MODEL_DRAW = f"CASE WHEN {draw('conversation_id', 'side', 2)} = 0 THEN model_a E
   coalesce(latency_ms, round(coalesce(lo, 500) + {UNIT} * (coalesce(hi, 2000) - coalesce(lo, 500)), 1)) AS latency_ms,
   coalesce(cost_usd, round(tokens_in / 1000 * coalesce(ri, 0.001::DOUBLE)
     + tokens_out / 1000 * coalesce(ro, 0.002::DOUBLE), 8)) AS cost_usd,
-  {_user_sql("conversation_id")} AS user_id, conversation_id, 'lmsys' AS source
+  {_user_sql("conversation_id", values.SINGLE_MODEL_USERS)} AS user_id, conversation_id, 'lmsys' AS source
 FROM chosen c LEFT JOIN prices p ON p.model = lower(c.model)
 LEFT JOIN ranges r ON r.model = lower(c.model)""",
         PRICE_CTE,
@@ -560,7 +560,7 @@ def _(spark, folder):
     )
 
 
-STORED = "id, timestamp, model, tokens_in, tokens_out, latency_ms, cost_usd, user_id, source"
+STORED = "id, timestamp, prompt, response, conversation_id, model, tokens_in, tokens_out, latency_ms, cost_usd, user_id, source"
 
 
 @query("snk1_stored_completions", over_completions(f"SELECT {STORED} FROM completions"))
@@ -602,16 +602,16 @@ def _(spark, folder):
 @query(
     "snk5_registry_row",
     over(
-        f"""SELECT 'upload_demo' AS source_id, 'demo.csv' AS filename, count(*) AS row_count,
-  true AS has_quality_rating, true AS has_model_column FROM ({FILLED})""",
+        f"""SELECT CAST('0x' || substr(sha256('upload_demo'), 1, 15) AS BIGINT) AS id,
+  'upload_demo' AS source_id, 'demo.csv' AS filename, count(*) AS row_count,
+  true AS has_quality_rating, true AS has_model_column, TIMESTAMP '{ANCHOR}' AS created_at FROM ({FILLED})""",
         UPLOADED_CTE,
     ),
 )
 def _(spark, folder):
     cells = uploaded_text(spark, folder)
     rows = etl.upload_rows(cells, "upload_demo", ANCHOR)
-    entry = tables.registry_row(rows, "upload_demo", "demo.csv", cells.columns, ANCHOR)
-    return entry.drop("id", "created_at")
+    return tables.registry_row(rows, "upload_demo", "demo.csv", cells.columns, ANCHOR)
 
 
 @query(
@@ -640,9 +640,10 @@ def _(spark, folder):
 @query(
     "snk7_reloaded",
     over(
-        f"""SELECT source, count(*) AS rows, count(DISTINCT id) AS ids FROM (
-  SELECT 'lmsys' AS source, id FROM ({SIDES_SQL})
-  UNION ALL SELECT 'evals_benchmark', _seq FROM uploaded) GROUP BY source""",
+        f"""SELECT 'lmsys' AS source, id, timestamp, model, score AS main_score FROM ({SIDES_SQL})
+UNION ALL SELECT 'evals_benchmark', (SELECT max(id) + 1 FROM ({SIDES_SQL})) + _seq,
+  TIMESTAMP '{ANCHOR}' - to_hours({HOURS}), 'eval-dataset', CASE WHEN regexp_matches(quality_rating, '^[0-9]+$')
+    THEN CAST(quality_rating AS DOUBLE) ELSE 5.0 END / 10 FROM uploaded""",
         *BATTLE_PARTS,
         UPLOADED_CTE,
     ),
@@ -651,9 +652,11 @@ def _(spark, folder):
     root = scratch_path(spark, "reload")
     tables.reload_all(battles(spark, folder), benchmark_source(spark, folder), root, ANCHOR)
     stored = tables.read_table(spark, f"{root}/completions", schemas.COMPLETIONS)
-    return stored.groupBy("source").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids")
+    scores = tables.read_table(spark, f"{root}/evals", schemas.EVALS)
+    main = scores.where(F.col("eval_type").isin("human", values.PREFERENCE)).select(
+        F.col("completion_id").alias("id"), F.col("score").alias("main_score")
     )
+    return stored.join(main, "id", "left").select("source", "id", "timestamp", "model", "main_score")
 
 
 @query("snk8_refreshed_view", over_completions(DAILY_SQL))

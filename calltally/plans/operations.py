@@ -186,11 +186,15 @@ def _(spark, folder):
 
 @query(
     "j6_span_links",
-    over(
-        """SELECT t.id, t.parent_trace_id, t.span_name, p.span_name AS parent_span,
-  p.status AS parent_status FROM traces t LEFT JOIN traces p ON p.id = t.parent_trace_id""",
-        TRACES_CTE,
-    ),
+    """SELECT 'o' || o_orderkey AS id, NULL::VARCHAR AS parent_trace_id, o_orderpriority AS span_name,
+  NULL::VARCHAR AS parent_span, NULL::VARCHAR AS parent_status FROM orders
+UNION ALL SELECT 'l' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey,
+  'o' || l_orderkey, l_returnflag || l_linestatus, o_orderpriority,
+  CASE o_orderstatus WHEN 'P' THEN 'error' ELSE 'ok' END
+FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey IS NOT NULL
+UNION ALL SELECT 'l' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey,
+  'o' || l_orderkey, l_returnflag || l_linestatus, NULL, NULL
+FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""",
 )
 def _(spark, folder):
     return rollups.span_links(traces(spark, folder))

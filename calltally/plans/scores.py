@@ -428,11 +428,14 @@ def _(spark, folder):
 @query(
     "txt11_batch_progress",
     over_evals(
-        """SELECT r.job_id, count(*) AS total, count(e.completion_id) AS done,
-  CASE WHEN count(e.completion_id) >= count(*) THEN 'complete' ELSE 'processing' END AS status
-FROM (SELECT 'job_' || event_type AS job_id, event_id AS id FROM events) r
-LEFT JOIN (SELECT DISTINCT completion_id FROM evals WHERE eval_type = 'llm_judge') e
-  ON e.completion_id = r.id GROUP BY r.job_id"""
+        """SELECT job_id, count(*) AS total, count(*) FILTER (WHERE scored OR unknown) AS done,
+  CASE WHEN bool_and(scored OR unknown) THEN 'complete' ELSE 'processing' END AS status
+FROM (SELECT job_id, id IN (SELECT completion_id FROM evals WHERE eval_type = 'llm_judge') AS scored,
+    id NOT IN (SELECT id FROM completions) AS unknown
+  FROM (SELECT 'job_' || event_type AS job_id, event_id AS id FROM events
+    UNION ALL SELECT 'job_unknown', event_id + 20000000000 FROM events WHERE event_id % 10 = 0
+    UNION ALL SELECT 'job_judged', completion_id FROM evals WHERE eval_type = 'llm_judge'))
+GROUP BY job_id"""
     ),
 )
 def _(spark, folder):
@@ -440,7 +443,12 @@ def _(spark, folder):
         F.concat(F.lit("job_"), "event_type").alias("job_id"), F.col("event_id").alias("id")
     )
     judged = evals(spark, folder).where(F.col("eval_type") == "llm_judge")
-    return batches.batch_progress(requests, judged)
+    unknown = table(spark, folder, "events").where("event_id % 10 = 0").select(
+        F.lit("job_unknown").alias("job_id"), (F.col("event_id") + 20_000_000_000).alias("id")
+    )
+    scored = judged.select(F.lit("job_judged").alias("job_id"), F.col("completion_id").alias("id"))
+    requests = requests.unionByName(unknown).unionByName(scored)
+    return batches.batch_progress(requests, judged, completions(spark, folder))
 
 
 @query(

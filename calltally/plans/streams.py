@@ -62,7 +62,8 @@ HOUR = "date_trunc('hour', timestamp)"
     "st2_hourly_rollup",
     over_completions(
         f"""SELECT {HOUR} AS hour, model, count(*) AS requests, round(avg(latency_ms), 2) AS avg_latency_ms,
-  round(quantile_disc(latency_ms, 0.5), 2) AS p50, round(quantile_disc(latency_ms, 0.95), 2) AS p95,
+  round(quantile_disc(latency_ms, 0.5), 2) AS p50_approx,
+  round(quantile_disc(latency_ms, 0.95), 2) AS p95_approx,
   {usd(usd_total('cost_usd'))} AS total_cost_usd,
   count(*) FILTER (WHERE tokens_out > 0) AS success_count
 FROM completions GROUP BY 1, 2 HAVING {HOUR} + INTERVAL 1 HOUR <= {CLOSED}"""

@@ -250,12 +250,14 @@ def _judged_documents(spark, folder):
 
 KEY_SQL = f"""sha256('Write in ' || lang || '||' || text || '||'
   || CASE WHEN lang = 'en' THEN 'clarity' ELSE '{values.JUDGE_CRITERIA}' END)"""
-REQUEST_SQL = (
-    "'You are an impartial evaluator. Score the following response on a scale from 0 to 10 based on"
-    f" this criteria: ' || CASE WHEN lang = 'en' THEN 'clarity' ELSE '{values.JUDGE_CRITERIA}' END ||"
-    " chr(10) || chr(10) || 'Prompt: Write in ' || lang || chr(10) || chr(10) || 'Response: ' || text ||"
-    " chr(10) || chr(10) || 'Reply with JSON only: {\"score\": <number 0-10>,"
-    " \"explanation\": \"<one sentence>\"}'"
+REQUEST_SQL = "'" + values.JUDGE_TEMPLATE.format(
+    criteria=f"' || CASE WHEN lang = 'en' THEN 'clarity' ELSE '{values.JUDGE_CRITERIA}' END || '",
+    prompt="Write in ' || lang || '",
+    response="' || text || '",
+) + "'"
+EXPLANATION_SQL = (
+    "'" + values.EXPLANATION_TEMPLATE.format(prompt="Write in ' || lang || '", response="' || text || '")
+    + "' || CASE WHEN lang = 'en' THEN '" + values.EXPLANATION_CRITERIA.format(criteria="clarity") + "' ELSE '' END"
 )
 
 
@@ -274,6 +276,11 @@ def _(spark, folder):
     return judge.judge_requests(rows, "id", cache)
 
 
+@query("txt8_explanation_requests", f"SELECT doc_id AS id, {EXPLANATION_SQL} AS request FROM documents")
+def _(spark, folder):
+    return judge.explanation_requests(_judged_documents(spark, folder), "id")
+
+
 ANSWER_SQL = """CASE event_id % 7 WHEN 0 THEN '{"score": ' || CAST(event_id % 13 AS VARCHAR) || ', "explanation": "'
       || repeat('because ', event_id % 90) || '"}'
     WHEN 1 THEN ' {"score": "7"} ' WHEN 2 THEN '{"score": 99, "explanation": ""}'

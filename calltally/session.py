@@ -18,6 +18,7 @@ def build_session(app: str = "calltally", master: str | None = None, **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         **conf,
     }
     for key, value in settings.items():

@@ -48,6 +48,10 @@ SCORE_BUCKETS = (
     ("80–100%", 0.8),
 )
 
+# Users that loaded calls are spread over.
+ARENA_USERS = 20
+SINGLE_MODEL_USERS = 15
+
 # Texts written into loaded or judged rows.
 ARENA_EXPLANATION = "LMSYS Chatbot Arena human judge"
 BENCHMARK_MODEL = "eval-dataset"
@@ -61,6 +65,11 @@ JUDGE_TEMPLATE = (
     "Prompt: {prompt}\n\nResponse: {response}\n\n"
     'Reply with JSON only: {{"score": <number 0-10>, "explanation": "<one sentence>"}}'
 )
+EXPLANATION_TEMPLATE = (
+    "Explain in detail why the following response is good or bad.\n\n"
+    "Prompt: {prompt}\nResponse: {response}"
+)
+EXPLANATION_CRITERIA = "\nCriteria: {criteria}"
 RATERS = ("alice", "bob", "carol", "david", "eve")
 RATING_TIERS = (("excellent", 8, 10), ("mediocre", 4, 7), ("poor", 1, 3))
 

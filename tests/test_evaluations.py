@@ -8,18 +8,18 @@ from tests.conftest import NOW, dicts
 
 @pytest.fixture(scope="module")
 def arena(make_calls, make_evals):
-    """Four battles, two completions each, and two benchmark rows."""
+    """Five battles, two completions each, and two benchmark rows."""
     battles = [
-        ("gpt-4", "claude-3-opus", "model_a"), ("gpt-4", "claude-3-opus", "model_a"),
-        ("gpt-4", "claude-3-opus", "model_b"), ("gpt-4", "llama-2-70b", "tie"),
+        ("gpt-4", "palm-2", "model_a"), ("gpt-4", "palm-2", "model_b"), ("palm-2", "gpt-4", "model_b"),
+        ("mistral-large", "gpt-4", "tie"), ("mistral-large", "palm-2", "model_a"),
     ]
     calls, scores = [], []
     for a, b, winner in battles:
-        for side, model, share in (("model_a", a, 1.0), ("model_b", b, 0.9)):
-            calls.append({"model": model, "latency_ms": 500 * share, "cost_usd": 0.005})
+        for side, model, share in (("model_a", a, 1.0), ("model_b", b, 0.75)):
+            calls.append({"model": model, "latency_ms": 400 * share, "cost_usd": 0.007})
             score = 0.5 if winner == "tie" else float(winner == side)
             scores.append((len(calls), "human_preference", score))
-    for bleu, rouge, human in ((0.2, 0.3, 0.8), (0.1, 0.2, 0.6)):
+    for bleu, rouge, human in ((0.25, 0.35, 0.9), (0.15, 0.25, 0.5)):
         calls.append(
             {"model": "eval-dataset", "latency_ms": 0.0, "cost_usd": 0.0, "source": "evals_benchmark"}
         )
@@ -29,14 +29,14 @@ def arena(make_calls, make_evals):
 
 def test_model_comparison(arena):
     rows = dicts(evaluations.model_comparison(*arena))
-    assert [r["model"] for r in rows] == ["gpt-4", "llama-2-70b", "claude-3-opus"]
-    gpt, llama, claude = rows
+    assert [r["model"] for r in rows] == ["mistral-large", "gpt-4", "palm-2"]
+    mistral, gpt, palm = rows
     assert (gpt["battles"], gpt["wins"], gpt["ties"], gpt["losses"]) == (4, 2, 1, 1)
     assert (gpt["win_rate"], gpt["win_tie_rate"], gpt["win_tie_rate_pct"]) == (0.5, 0.625, 62.5)
-    assert (llama["win_rate"], llama["win_tie_rate"]) == (0.0, 0.5)
-    assert (claude["win_rate"], claude["win_tie_rate"], claude["avg_latency_ms"]) == (0.3333, 0.3333, 450.0)
+    assert (mistral["win_rate"], mistral["win_tie_rate"]) == (0.5, 0.75)
+    assert (palm["win_rate"], palm["win_tie_rate"], palm["avg_latency_ms"]) == (0.25, 0.25, 325.0)
     assert all(r["wins"] + r["ties"] + r["losses"] == r["battles"] for r in rows)
-    assert dicts(evaluations.total_battles(evaluations.model_comparison(*arena))) == [{"total_battles": 8}]
+    assert dicts(evaluations.total_battles(evaluations.model_comparison(*arena))) == [{"total_battles": 10}]
 
 
 def test_other_scores_count_as_battles_only(make_calls, make_evals):
@@ -50,10 +50,10 @@ def test_eval_summary_filters_only_the_arena_figures(arena):
     far = NOW + timedelta(days=99)
     rows = {(r["source"], r["eval_type"], r["metric"]): r["value"] for r in dicts(evaluations.eval_summary(*arena, start=far))}
     assert rows[("lmsys", "", "completions")] == 0
-    assert rows[("lmsys", "human_preference", "count")] == 8
+    assert rows[("lmsys", "human_preference", "count")] == 10
     assert rows[("evals_benchmark", "", "completions")] == 2
-    assert rows[("evals_benchmark", "bleu", "avg")] == 0.15
-    assert (rows[("evals_benchmark", "bleu", "min")], rows[("evals_benchmark", "bleu", "max")]) == (0.1, 0.2)
+    assert rows[("evals_benchmark", "bleu", "avg")] == 0.2
+    assert (rows[("evals_benchmark", "bleu", "min")], rows[("evals_benchmark", "bleu", "max")]) == (0.15, 0.25)
     assert rows[("evals_benchmark", "human", "avg")] == 0.7
 
 
@@ -72,7 +72,7 @@ def test_overall_is_null_without_scores(make_calls, make_evals):
 
 def test_pivot_leaves_missing_types_null(arena):
     rows = {r["model"]: r for r in dicts(evaluations.model_type_scores(*arena))}
-    assert rows["eval-dataset"]["bleu"] == 0.15 and rows["eval-dataset"]["human_preference"] is None
+    assert rows["eval-dataset"]["bleu"] == 0.2 and rows["eval-dataset"]["human_preference"] is None
     assert rows["gpt-4"]["bleu"] is None and rows["gpt-4"]["human_preference"] == 0.625
 
 
@@ -105,5 +105,5 @@ def test_outcome_shares_and_quality(arena):
     shares = {r["model"]: r for r in dicts(evaluations.outcome_shares(comparison))}
     assert (shares["gpt-4"]["win_pct"], shares["gpt-4"]["tie_pct"], shares["gpt-4"]["loss_pct"]) == (50, 25, 25)
     quality = {r["model"]: r["quality_score"] for r in dicts(evaluations.quality_scores(comparison))}
-    assert quality["llama-2-70b"] == 5.0
-    assert [r["model"] for r in evaluations.best_models(comparison, 2).collect()] == ["gpt-4", "llama-2-70b"]
+    assert quality["mistral-large"] == 7.5
+    assert [r["model"] for r in evaluations.best_models(comparison, 2).collect()] == ["mistral-large", "gpt-4"]

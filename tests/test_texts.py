@@ -246,6 +246,35 @@ def test_batch_progress(spark, make_evals):
     scores = make_evals([(1, "bleu", 0.1), (1, "rouge", 0.2), (3, "bleu", 0.3)])
     got = {r["job_id"]: (r["total"], r["done"], r["status"]) for r in batch.batch_progress(asked, scores).collect()}
     assert got == {"j1": (2, 1, "processing"), "j2": (1, 1, "complete")}
+    known = spark.createDataFrame([(1,), (3,)], "id bigint")
+    got = {r["job_id"]: (r["total"], r["done"], r["status"]) for r in batch.batch_progress(asked, scores, known).collect()}
+    assert got == {"j1": (2, 2, "complete"), "j2": (1, 1, "complete")}
+
+
+def test_raising_evaluators_score_zero(make_calls):
+    def picky(rows):
+        if (rows["id"] == 2).any():
+            raise RuntimeError("no answer")
+        return rows["id"] * 0.25
+
+    def broken(rows):
+        raise ValueError("not set up")
+
+    known = batch.Evaluators({"picky": batch.batch_evaluator(picky), "broken": broken, **batch.BUILT_IN})
+    calls = make_calls([{}, {}, {}])
+    ids = calls.select("id")
+    got = {(r["eval_type"], r["completion_id"]): r["score"] for r in batch.evaluate_batch(calls, ids, ["picky", "broken", "bleu"], known).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "bleu"} == {
+        ("picky", 1): 0.25, ("picky", 2): 0.0, ("picky", 3): 0.75, ("broken", 1): 0.0, ("broken", 2): 0.0, ("broken", 3): 0.0,
+    }
+    assert len(got) == 9
+
+
+def test_explanation_request_names_criteria_only_if_given(spark):
+    rows = spark.createDataFrame([(1, "p", "r", "c"), (2, None, "r", ""), (3, "p", "r", None)], "id int, prompt string, response string, criteria string")
+    got = {r["id"]: r["request"] for r in judge.explanation_requests(rows, "id").collect()}
+    assert got[1].endswith("Prompt: p\nResponse: r\nCriteria: c") and got[2].endswith("Prompt: \nResponse: r")
+    assert got[3].endswith("Response: r")
 
 
 def test_whitespace_matches_python(spark):
