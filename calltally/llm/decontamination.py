@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calltally.llm.common import chunks
+from calltally.llm.common import chunks, slices
 
 Q = 8  # a q-gram is read as one 64-bit number
 SPAN = 120
@@ -241,11 +241,11 @@ def _block_matches(docs: DataFrame, bodies: list[bytes], schema: str) -> DataFra
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index.of(sent.value) if sent.value else None
         seen = _present(index) if index else None
-        for batch in batches:
+        for batch in slices(batches, 2048):
             best: dict[tuple[int, int], tuple] = {}
             done = 0
             texts = (folded(t) for t in batch.column(1).to_pylist()) if index else ()
-            for part in chunks(texts):
+            for part in chunks(texts, 1 << 18):
                 for owner, passage, start, end, edits in search(part, index, seen):
                     place, value = (done + owner, passage), (edits, start, end)
                     best[place] = min(best.get(place, value), value)

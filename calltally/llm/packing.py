@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from calltally.llm.common import slices
 from calltally.session import cut_lineage
 
 PIECES = "key {}, start long, length long, ids_crc32 long, doc_tokens long, class int, task int, number long"
@@ -82,7 +83,7 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, capacity: int, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = _encoder(path), TaskContext.get().partitionId()
         numbers: dict[int, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list[int]] = [[] for _ in range(7)]
             for row, value in enumerate(batch.column(1).to_pylist()):
                 ids = np.array([*encode(value or ""), end_id], "<u4")

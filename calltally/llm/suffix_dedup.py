@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calltally.llm.common import Rolling
+from calltally.llm.common import Rolling, slices
 from calltally.session import cut_lineage, scratch_path
 
 GRAM = 40
@@ -168,7 +168,7 @@ def _segments_of(docs: DataFrame, length: int, digests: bool) -> DataFrame:
     kind = docs.schema["key"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for raw, ends, where in _parts(texts, length):
                 lo, count, anchor, h = anchors(raw, ends, length)
@@ -212,7 +212,7 @@ def _expand(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             names=["digest", "from", "to"],
         )
 
-    for batch in batches:
+    for batch in slices(batches):
         columns = [batch.column(k).to_pylist() for k in range(4)]
         for h, digest, body, copies in zip(*columns, strict=True):
             if h != last and size >= BATCH:
@@ -227,7 +227,7 @@ def _expand(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, run: int) -> Iterator[pa.RecordBatch]:
     """Segments of crowded hashes cut at every `run`-th start before the anchor, dealt by what the run shares."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for h, digest, body, copies, anchor in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             starts = len(body) - length + 1
@@ -283,7 +283,7 @@ def _resolve(segments: DataFrame, length: int, crowded: int, runs: tuple[int, ..
 
 def _bodies(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments that each text stands for, from rows (text, segments)."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for x in wanted:
@@ -309,7 +309,7 @@ def spans(covers: list[dict], size: int) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sizes, removed, kept = [], [], []
         for text, covers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             text = text or b""
