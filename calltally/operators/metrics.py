@@ -47,7 +47,8 @@ def summary(
     """One row: requests, cost, latency, users, models and success rate.
 
     Rows are first folded per (model, user), which plain hash aggregation does before any
-    shuffle; the distinct users and the model list come from that small result.
+    shuffle. The users are counted from that small result; the sums and the list of models come from
+    its rows folded again per model.
     """
     folded = (
         scoped(completions, start, end, source, **scope)
@@ -61,17 +62,20 @@ def summary(
             F.expr("sum(cast(tokens_in AS bigint) + tokens_out) AS tokens"),
         )
     )
-    total = folded.agg(
+    users = folded.agg(F.count_distinct("user_id")).scalar()
+    per_model = folded.groupBy("model").agg(
+        *[F.sum(c).alias(c) for c in ("n", "cost", "latency", "timed", "ok", "tokens")]
+    )
+    total = per_model.agg(
         F.expr("coalesce(sum(n), 0) AS n"),
         F.expr("coalesce(sum(cost), 0) AS cost"),
         F.expr("sum(latency) AS latency"),
         F.expr("coalesce(sum(timed), 0) AS timed"),
         F.expr("coalesce(sum(ok), 0) AS ok"),
         F.expr("coalesce(sum(tokens), 0) AS tokens"),
-        F.expr("count(DISTINCT user_id) AS users"),
-        F.expr("array_join(sort_array(collect_set(nullif(model, ''))), ',') AS models"),
+        F.expr("array_join(sort_array(collect_list(nullif(model, ''))), ',') AS models"),
     )
-    return total.selectExpr(
+    return total.withColumn("users", users).selectExpr(
         "n AS total_requests",
         "cast(round(cost, 6) AS double) AS total_cost_usd",
         "round(CASE WHEN timed = 0 THEN 0D ELSE latency / timed END, 2) AS avg_latency_ms",
@@ -307,38 +311,38 @@ def percentile_rank_errors(
 def cost_breakdown(completions: DataFrame, start=None, end=None) -> DataFrame:
     """Long form (scope, key, cost): total and per model over every source, per hour over one.
 
+    All three come from one scan, folded per model, hour and source first.
+
     Hourly cost is the rounded mean times the requests, so hours need not add up to the total;
     `exact_cost` holds the unrounded-mean sum.
     """
-    everything = scoped(completions, start, end)
-    overall = (
-        everything.groupingSets([[], ["model"]], "model")
-        .agg(F.grouping("model").alias("all"), numbers.usd_total(F.col("cost_usd")).alias("cost"))
-        .select(
-            F.when(F.col("all") == 1, "total").otherwise("model").alias("scope"),
-            F.when(F.col("all") == 1, "").otherwise(F.col("model")).alias("key"),
-            numbers.usd(F.col("cost")).alias("cost"),
-            numbers.usd(F.col("cost")).alias("exact_cost"),
-        )
-    )
-    hourly = (
-        scoped(completions, start, end, values.ARENA)
-        .groupBy(times.hour_of(F.col("timestamp")).alias("hour"))
+    folded = (
+        scoped(completions, start, end)
+        .groupBy("model", times.hour_of(F.col("timestamp")).alias("hour"), F.col("source").eqNullSafe(values.ARENA).alias("arena"))
         .agg(
             F.count(F.lit(1)).alias("requests"),
             F.count("cost_usd").alias("priced"),
             numbers.usd_total(F.col("cost_usd")).alias("cost"),
         )
-        .select(
-            F.lit("hour").alias("scope"),
-            F.date_format("hour", "yyyy-MM-dd'T'HH:00:00").alias("key"),
-            F.round(
-                numbers.usd_mean(F.col("cost"), F.col("priced")) * F.col("requests"), 6
-            ).alias("cost"),
-            numbers.usd(F.col("cost")).alias("exact_cost"),
-        )
     )
-    return overall.unionByName(hourly)
+    levels = folded.groupingSets([[], ["model"], ["hour", "arena"]], "model", "hour", "arena").agg(
+        F.grouping("model").alias("no_model"),
+        F.grouping("hour").alias("no_hour"),
+        F.sum("requests").alias("requests"),
+        F.sum("priced").alias("priced"),
+        F.coalesce(F.sum("cost"), F.lit(0).cast("decimal(28,8)")).alias("cost"),
+    )
+    hourly = F.round(numbers.usd_mean(F.col("cost"), F.col("priced")) * F.col("requests"), 6)
+    is_hour, is_model = F.col("no_hour") == 0, F.col("no_model") == 0
+    return levels.where(~is_hour | F.col("arena")).select(
+        F.when(is_hour, "hour").when(is_model, "model").otherwise("total").alias("scope"),
+        F.when(is_hour, F.date_format("hour", "yyyy-MM-dd'T'HH:00:00"))
+        .when(is_model, F.col("model"))
+        .otherwise("")
+        .alias("key"),
+        F.when(is_hour, hourly).otherwise(numbers.usd(F.col("cost"))).alias("cost"),
+        numbers.usd(F.col("cost")).alias("exact_cost"),
+    )
 
 
 def by_source(completions: DataFrame, source: str, start=None, end=None) -> DataFrame:

@@ -344,13 +344,26 @@ def _(spark, folder):
     return etl.completions_of(etl.benchmark_rows(benchmark_source(spark, folder), ANCHOR))
 
 
-@query("etl3_benchmark_scores")
-def _(spark, folder):
-    rows = etl.benchmark_rows(benchmark_source(spark, folder), ANCHOR)
-    return etl.benchmark_evals(rows, ANCHOR)
+SCORED_FILE = "file AS (SELECT _seq AS id, prompt, response FROM uploaded)"
 
 
-SCORED_FILE = "file AS (SELECT _seq AS id, prompt, response FROM uploaded)"
+@query(
+    "etl3_benchmark_scores",
+    over_recursive(
+        """SELECT id AS completion_id, 'bleu' AS eval_type, bleu AS score FROM bleu_scores
+UNION ALL SELECT id, 'rouge', "rougeL" FROM rouge_scores
+UNION ALL SELECT _seq, 'human', CASE WHEN regexp_matches(quality_rating, '^[0-9]+$')
+    THEN CAST(quality_rating AS DOUBLE) ELSE 5.0 END / 10 FROM uploaded""",
+        UPLOADED_CTE,
+        SCORED_FILE,
+        bleu_parts("file"),
+        rouge_parts("file", stemming=True),
+    ),
+)
+def _(spark, folder):
+    rows = etl.benchmark_rows(benchmark_source(spark, folder), ANCHOR)
+    scores = etl.benchmark_evals(rows, ANCHOR)
+    return scores.select("completion_id", "eval_type", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -405,10 +418,28 @@ def _(spark, folder):
     )
 
 
-@query("etl4_upload_scores")
+@query(
+    "etl4_upload_scores",
+    over_recursive(
+        """SELECT id AS completion_id, 'bleu' AS eval_type, bleu AS score, criteria
+  FROM bleu_scores JOIN file USING (id)
+UNION ALL SELECT id, 'rouge', round((rouge1 + "rougeL") / 2, 6), criteria
+  FROM rouge_scores JOIN file USING (id)
+UNION ALL SELECT id, 'human', least(1.0::DOUBLE, greatest(0.0::DOUBLE,
+    CASE WHEN rating > 1 THEN rating / 10 ELSE rating END)), NULL FROM file WHERE rating IS NOT NULL""",
+        UPLOADED_CTE,
+        f"""file AS (SELECT _seq AS id, prompt, response, criteria, quality_rating AS rating
+  FROM ({FILLED}))""",
+        bleu_parts("file"),
+        rouge_parts("file", stemming=True),
+    ),
+)
 def _(spark, folder):
     rows = etl.upload_rows(uploaded_text(spark, folder), "upload_demo", ANCHOR)
-    return etl.upload_evals(rows, ANCHOR)
+    scores = etl.upload_evals(rows, ANCHOR)
+    return scores.select(
+        "completion_id", "eval_type", F.round("score", 6).alias("score"), "criteria"
+    )
 
 
 @query(

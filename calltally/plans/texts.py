@@ -10,6 +10,7 @@ from calltally.operators import judge, rules, text_scores
 from calltally.operators import batch as batches
 from calltally.plans.inputs import completions, pairs, table
 from calltally.plans.registry import query
+from calltally.plans.stems import stem_ctes
 from calltally.plans.twins import PAIRS_CTE, over, over_completions, words
 
 
@@ -58,15 +59,30 @@ def _(spark, folder):
 F1 = "round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 4)"
 
 
-def rouge_parts(base: str) -> str:
-    """CTEs up to `rouge_scores` (id, rouge1, rougeL) without stemming.
+def _stemmed_tokens(base: str) -> str:
+    def side(name: str) -> str:
+        return f"""stemmed_{name} AS (SELECT id, list(coalesce(stem, g) ORDER BY place) AS x
+  FROM (SELECT id, unnest({name}) AS g, generate_subscripts({name}, 1) AS place FROM raw_tokens)
+  LEFT JOIN stems ON word = g GROUP BY id)"""
+
+    return f"""raw_tokens AS (SELECT id, regexp_extract_all(lower(prompt), '[a-z0-9]+') AS r,
+    regexp_extract_all(lower(response), '[a-z0-9]+') AS c FROM {base}),
+stem_words AS (SELECT unnest(r) AS word FROM raw_tokens UNION ALL SELECT unnest(c) FROM raw_tokens),
+{stem_ctes("stem_words")}, {side("r")}, {side("c")},
+tokens AS (SELECT t.id, coalesce(a.x, []) AS r, coalesce(b.x, []) AS c FROM raw_tokens t
+  LEFT JOIN stemmed_r a ON a.id = t.id LEFT JOIN stemmed_c b ON b.id = t.id)"""
+
+
+def rouge_parts(base: str, stemming: bool = False) -> str:
+    """CTEs up to `rouge_scores` (id, rouge1, rougeL).
 
     The common subsequence is the classic table, one reference token per step: the best value up
     to a column is the running maximum of the value above and, where tokens match, the value
     above left plus one.
     """
-    return f"""tokens AS (SELECT id, regexp_extract_all(lower(prompt), '[a-z0-9]+') AS r,
-    regexp_extract_all(lower(response), '[a-z0-9]+') AS c FROM {base}),
+    plain = f"""tokens AS (SELECT id, regexp_extract_all(lower(prompt), '[a-z0-9]+') AS r,
+    regexp_extract_all(lower(response), '[a-z0-9]+') AS c FROM {base})"""
+    return f"""{_stemmed_tokens(base) if stemming else plain},
 sides AS (SELECT id, 1 AS rr, 0 AS cc, unnest(r) AS g FROM tokens
   UNION ALL SELECT id, 0, 1, unnest(c) FROM tokens),
 folded AS (SELECT id, g, sum(rr) AS rr, sum(cc) AS cc FROM sides GROUP BY id, g),
@@ -101,7 +117,10 @@ def _(spark, folder):
     return text_scores.text_scores(pairs(spark, folder), "id", bleu=False, stemming=False)
 
 
-@query("txt2_txt3_rouge")
+@query(
+    "txt2_txt3_rouge",
+    over_recursive('SELECT id, rouge1, "rougeL" FROM rouge_scores', PAIRS_CTE, rouge_parts("pairs", stemming=True)),
+)
 def _(spark, folder):
     return text_scores.text_scores(pairs(spark, folder), "id", bleu=False)
 
@@ -115,7 +134,14 @@ def _combined(scored):
     )
 
 
-@query("txt4_combined_rouge")
+@query(
+    "txt4_combined_rouge",
+    over_recursive(
+        'SELECT id, round((rouge1 + "rougeL") / 2, 6) AS rouge_mean, "rougeL" AS rouge_benchmark FROM rouge_scores',
+        PAIRS_CTE,
+        rouge_parts("pairs", stemming=True),
+    ),
+)
 def _(spark, folder):
     return _combined(text_scores.text_scores(pairs(spark, folder), "id", bleu=False))
 
@@ -336,10 +362,23 @@ def _(spark, folder):
     )
 
 
-@query("txt10_sampled_text_scores")
+@query(
+    "txt10_sampled_text_scores",
+    over_recursive(
+        """SELECT id AS completion_id, 'bleu' AS eval_type, round(bleu, 6) AS score FROM bleu_scores
+UNION ALL SELECT id, 'rouge', round((rouge1 + "rougeL") / 2, 6) FROM rouge_scores""",
+        PAIRS_CTE,
+        """asked AS (SELECT DISTINCT conv_id * 1000000 + turn AS id FROM conversations WHERE role = 'user'),
+sampled AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '|3'), id) AS place,
+    count(*) OVER () AS total FROM asked) WHERE place <= greatest(1, CAST(floor(total * 0.5::DOUBLE) AS BIGINT))),
+chosen AS (SELECT * FROM pairs WHERE id IN (SELECT id FROM sampled))""",
+        bleu_parts("chosen"),
+        rouge_parts("chosen", stemming=True),
+    ),
+)
 def _(spark, folder):
     turns = table(spark, folder, "conversations").where(F.col("role") == "user")
     ids = turns.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"))
     return batches.evaluate_batch(
         pairs(spark, folder), ids, ["bleu", "rouge"], batches.Evaluators(), share=0.5, seed="3"
-    )
+    ).withColumn("score", F.round("score", 6))

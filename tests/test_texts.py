@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +13,7 @@ from calltally.functions.stemmer import stem
 from calltally.functions.subsequence import common_length
 from calltally.functions import text
 from calltally.operators import batch, judge, rules, text_scores
+from calltally.plans.stems import stem_ctes
 from tests.conftest import dicts
 
 
@@ -277,6 +279,19 @@ def test_explanation_request_names_criteria_only_if_given(spark):
     assert got[3].endswith("Response: r")
 
 
+def test_stemmer_agrees_with_its_sql_steps():
+    rng = random.Random(12)
+    endings = "sses ies s eed ed ing ational izer alli ousli ization iveness biliti logi icate alize ful ness al ement ion e y ll".split()
+    made = {
+        "".join(rng.choice("aeioubcdlsty") for _ in range(rng.randrange(1, 6))) + rng.choice(endings) + rng.choice(["", rng.choice(endings)])
+        for _ in range(4000)
+    } | {"caresses", "skies", "dying", "relational", "hopping", "filing", "controll", "syzygy", "agreed"}
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE made AS SELECT unnest(?) AS word", [sorted(made)])
+    got = dict(connection.execute(f"WITH {stem_ctes('made')} SELECT word, stem FROM stems").fetchall())
+    assert got == {word: stem(word) for word in made if len(word) > 3}
+
+
 def test_whitespace_matches_python(spark):
     samples = ["a\x1cb c  d", "　x ", "", " \t\n", "é\x85ü"]
     df = spark.createDataFrame([(s,) for s in samples], "t string")
