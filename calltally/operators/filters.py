@@ -131,43 +131,52 @@ def with_attribute(df: DataFrame, document: str, path: str, value, kind: str) ->
     return df.where(found == F.lit(value))
 
 
-def sample_rows(df: DataFrame, share: float, seed: str = "0", id_column: str = "id") -> DataFrame:
-    """Exactly max(1, int(rows * share)) rows, chosen by a seeded hash of the id.
+def _cut(slots: DataFrame, slot: str, size: Column) -> Column:
+    """The slot in which the `size`-th row falls, and how many of its rows are still wanted.
 
-    Ranking all rows would end in one task. A histogram over 4 096 hash slots finds the slot in
-    which the cut falls: rows of lower slots are taken whole, and only that one slot is ranked.
+    `size` may use `_total`, the rows of all slots. The list of slots is bounded by the slot number.
     """
-    if share >= 1.0:
-        return df
-    slots = 4096
-    hashed = df.withColumn(
-        "_hash", F.md5(F.concat(F.col(id_column).cast("string"), F.lit("|" + seed)))
-    ).withColumn("_slot", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
-    per_slot = hashed.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
-    # At most 4 096 entries by construction of the slot number.
-    listed = per_slot.agg(
-        F.array_sort(F.collect_list(F.struct("_slot", "_n"))).alias("_slots"),
-        F.sum("_n").alias("_total"),
+    listed = slots.groupBy(F.col(slot).alias("_at")).agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.array_sort(F.collect_list(F.struct("_at", "_n"))).alias("_slots"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"),
     )
-    size = F.greatest(F.lit(1), F.floor(F.col("_total") * F.lit(share))).cast("bigint")
     zero = F.lit(0).cast("bigint")
     start = F.struct(F.lit(-1).alias("slot"), zero.alias("seen"), zero.alias("rest"))
 
     def step(state: Column, entry: Column) -> Column:
-        reached = state["seen"] >= F.col("_size")
         moved = F.struct(
-            entry["_slot"].alias("slot"),
+            entry["_at"].alias("slot"),
             (state["seen"] + entry["_n"]).alias("seen"),
             (F.col("_size") - state["seen"]).alias("rest"),
         )
-        return F.when(reached, state).otherwise(moved)
+        return F.when(state["seen"] >= F.col("_size"), state).otherwise(moved)
 
     # One scalar for both numbers, so the histogram is computed once.
-    cut = listed.withColumn("_size", size).select(F.aggregate("_slots", start, step)).scalar()
-    whole = hashed.where(F.col("_slot") < cut["slot"])
-    edge = hashed.where(F.col("_slot") == cut["slot"])
-    # One slot holds 1/4096 of the rows; its first `rest` rows complete the sample.
-    ranked = edge.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_slot").orderBy("_hash", id_column))
-    ).where(F.col("_rank") <= cut["rest"])
-    return whole.drop("_hash", "_slot").unionByName(ranked.drop("_hash", "_slot", "_rank"))
+    return listed.withColumn("_size", size.cast("bigint")).select(F.aggregate("_slots", start, step)).scalar()
+
+
+def sample_rows(df: DataFrame, share: float, seed: str = "0", id_column: str = "id") -> DataFrame:
+    """Exactly max(1, int(rows * share)) rows, chosen by a seeded hash of the id.
+
+    Ranking all rows would end in one task. A histogram over 4 096 hash slots finds the slot in
+    which the cut falls, and a second one finds the place among 65 536 parts of that slot: rows below
+    are taken whole, and only one part in 268 million is ranked.
+    """
+    if share >= 1.0:
+        return df
+    hashed = df.withColumn(
+        "_hash", F.md5(F.concat(F.col(id_column).cast("string"), F.lit("|" + seed)))
+    ).withColumns({
+        "_slot": F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"),
+        "_part": F.conv(F.substring("_hash", 4, 4), 16, 10).cast("int"),
+    })
+    outer = _cut(hashed, "_slot", F.greatest(F.lit(1), F.floor(F.col("_total") * F.lit(share))))
+    in_slot = hashed.where(F.col("_slot") == outer["slot"])
+    inner = _cut(in_slot, "_part", outer["rest"])
+    whole = hashed.where(
+        (F.col("_slot") < outer["slot"]) | ((F.col("_slot") == outer["slot"]) & (F.col("_part") < inner["slot"]))
+    )
+    ranked = in_slot.where(F.col("_part") == inner["slot"]).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("_slot", "_part").orderBy("_hash", id_column))
+    ).where(F.col("_rank") <= inner["rest"])
+    return whole.select(*df.columns).unionByName(ranked.select(*df.columns))
