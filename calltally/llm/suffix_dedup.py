@@ -6,11 +6,11 @@ the leftmost place of the smallest hash among its `GRAM`-byte grams, so equal st
 anchors at equal offsets. Neighbouring strings mostly share their anchor; such a run of starts is a
 segment, and each start lies in exactly one. Segments whose anchor hash occurs once are dropped, equal
 segments become one with a count, and those of one hash come together in one task. There the
-transform of the segments (a segment that occurs several times is put in twice) is extended
-backwards breadth first: ranks are split into intervals by their first symbols, and one step adds
-symbols in front of all intervals at once through the transform, which gives the boundaries whose
-common prefix is the next larger value. The search stops at `length`; intervals of two or more ranks
-that are left then are the repeated strings.
+transform of the segments is extended backwards breadth first: ranks are split into intervals by
+their first symbols, and one step adds symbols in front of all intervals at once through the
+transform, which gives the boundaries whose common prefix is the next larger value. The search stops
+at `length`; intervals that are left then and hold two or more occurrences, each rank counting as
+often as its segment has copies, are the repeated strings.
 
 A hash with more than `CROWDED` different segments (a passage that very many documents share in
 different surroundings) is dealt anew by smaller runs of starts and the bytes that all strings of the
@@ -94,13 +94,12 @@ def _parts(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray,
 def repeated(segments: list[bytes], copies: np.ndarray, length: int) -> list[np.ndarray]:
     """For each segment, whether the string of `length` bytes at each start occurs again in them.
 
-    Byte 255, which UTF-8 never has, stands between segments. `copies` over one count as two.
+    Byte 255, which UTF-8 never has, stands between segments. A rank counts as often as its segment
+    has copies, so an interval of one rank can be repeated too.
     """
     if not segments:
         return []
-    twice = [k for k in range(len(segments)) if copies[k] > 1]
-    order = list(range(len(segments))) + twice
-    raw = b"\xff" + b"\xff".join(segments[k] for k in order) + b"\xff"
+    raw = b"\xff" + b"\xff".join(segments) + b"\xff"
     n = len(raw)
     padded = raw + b"\xff" * (2 * length + 2 * STEP)
     first = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
@@ -152,8 +151,8 @@ def repeated(segments: list[bytes], copies: np.ndarray, length: int) -> list[np.
     found = np.zeros(n, bool)
     found[suffix] = again
     out, at = [], 1
-    for segment in segments:
-        out.append(found[at : at + len(segment) - length + 1].copy())
+    for segment, count in zip(segments, copies, strict=True):
+        out.append(found[at : at + len(segment) - length + 1] | (count > 1))
         at += len(segment) + 1
     return out
 
@@ -219,7 +218,7 @@ def _expand(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 yield flush()
                 held, size = [], 0
             held.append((digest, body, copies))
-            size += len(body) * (2 if copies > 1 else 1)
+            size += len(body)
             last = h
     if held:
         yield flush()
