@@ -78,8 +78,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of `edges` (a, b).
 
     Large-star and small-star steps until nothing changes. Every step folds neighbours to their
-    smallest one before it joins, so a node with many links never lies in one task as a list, and
-    the number of rows stays that of the edges. Null ends are ignored; an empty table gives none.
+    smallest one and stores that before it joins, so that adaptive execution can split the links of a
+    node that has very many: an aggregate right below a join would keep them in one task. The number
+    of rows stays that of the edges. Null ends are ignored; an empty table gives none.
     """
     pairs = cut_lineage(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -89,13 +90,14 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour of a node links to the smallest of its neighbourhood
         both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = (
             both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v").distinct()
         )
         # small star: smaller neighbours, and the node itself, link to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut_lineage(large)
+        low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         pairs = cut_lineage(
             large.join(low, "u")
             .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))

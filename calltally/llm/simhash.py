@@ -162,7 +162,7 @@ def links(prints: DataFrame, radius: int, largest: int = LARGEST) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(k).alias("way"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits"))
                             for k, m in enumerate(masks)])).alias("g"),
     ).select("id", "fp", "g.way", "g.bits")
-    sizes = dealt.groupBy("way", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = cut_lineage(dealt.groupBy("way", "bits").agg(F.count("*").alias("n")).where("n > 1"))
     dealt = dealt.join(sizes, ["way", "bits"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

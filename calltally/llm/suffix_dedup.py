@@ -335,7 +335,8 @@ def remove(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).where("key is not null")
-    again = _segments_of(texts, length, False).groupBy("hash").count().where("count > 1").select("hash")
+    # stored, as are the sizes below, so that adaptive execution can split a hash with very many segments
+    again = cut_lineage(_segments_of(texts, length, False).groupBy("hash").count().where("count > 1").select("hash"))
     path = scratch_path(spark, "segments")
     _segments_of(texts, length, True).join(again, "hash").write.parquet(path)
     found = spark.read.parquet(path)
@@ -353,15 +354,13 @@ def remove(
         lambda batches: _bodies(batches, length),
         "hash long, digest binary, body binary, copies long, anchor int, members long",
     )
-    ranges = _resolve(segments, length, crowded, RUNS, busy).groupBy("digest").agg(
-        F.collect_list(F.struct("from", "to")).alias("ranges")
-    )
+    ranges = _resolve(segments, length, crowded, RUNS, busy)
     covers = (
         found.select("key", "start", "digest").join(ranges, "digest")
-        .select("key", F.transform("ranges", lambda r: F.struct(
-            (F.col("start") + r["from"]).alias("from"), (F.col("start") + r["to"] + (length - 1)).alias("to")
-        )).alias("covers"))
-        .groupBy("key").agg(F.flatten(F.collect_list("covers")).alias("covers"))
+        .select("key", F.struct(
+            (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to") + (length - 1)).alias("to")
+        ).alias("cover"))
+        .groupBy("key").agg(F.collect_list("cover").alias("covers"))
     )
     kind = texts.schema["key"].dataType.simpleString()
     return texts.join(covers, "key", "left").mapInArrow(

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltally.session import scratch_path
+from calltally.session import cut_lineage, scratch_path
 
 VERSION = "WARC/1.1\r\n"
 EOL = "\r\n"
@@ -66,6 +66,7 @@ def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
         "digest", F.when((F.col("c0") == F.col("c1")) & (F.col("b0") == F.col("b1")), F.col("first"))
         .otherwise(F.raise_error(F.concat(F.lit("one digest, different payloads: "), F.col("digest")))).alias("first"),
     )
+    owners = cut_lineage(owners)  # so that the join can split a digest with very many records
     described = small.join(owners, "digest").withColumn(
         "kind", F.when((F.col("bytes") < smallest) | (F.col("key") == F.col("first")), "response").otherwise("revisit")
     )
@@ -162,7 +163,7 @@ def resolved(records: DataFrame) -> DataFrame:
         F.sha2(F.col("payload").cast("binary"), 256).alias("digest"),
     )
     own = measured.where("kind = 'response'")
-    target = own.groupBy(F.col("page").alias("refers")).agg(F.min(F.struct("bytes", "digest")).alias("t"))
+    target = cut_lineage(own.groupBy(F.col("page").alias("refers")).agg(F.min(F.struct("bytes", "digest")).alias("t")))
     revisits = measured.where("kind = 'revisit'").select("page", "kind", "refers", "url").join(target, "refers")
     return own.select("page", "kind", "refers", "url", "bytes", "digest").unionAll(
         revisits.select("page", "kind", "refers", "url", "t.bytes", "t.digest")
