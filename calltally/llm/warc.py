@@ -3,16 +3,21 @@
 `store` keeps each payload once, under its SHA-256, and apart from it the exact header block of every
 record. `export` joins the two into WARC files: the first page (smallest id) with a payload is its
 response record, further pages are revisit records that refer to it; payloads under `smallest` bytes
-are always responses. `read` takes such files apart again and joins revisits to what they refer to.
+are always responses and stay with their header, so that no payload is wanted by many records. `read`
+takes such files apart again and joins revisits to what they refer to.
+
+Payloads are moved once: what is stored is laid out by digest (a bucketed table of this session over
+plain Parquet files), and the join of `export` takes it as it lies.
 
 Records are written and split by Spark's text source, so files may be of any size. A record ends with
 two line ends and the next begins with the version line; a payload that holds this very sequence is
-stored as base64 and marked so, which makes the split exact for every payload. Bytes are moved once;
-everything else is moved as digests. Compressed files can't be split: `records_per_file` bounds them.
+stored as base64 and marked so, which makes the split exact for every payload. Compressed files can't be split: `records_per_file` bounds them.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +46,7 @@ def _needs_code(payload: Column) -> Column:
 
 def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html",
           smallest: int = 100, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write `folder`/payloads (digest, payload) and `folder`/headers (key, kind, digest, header).
+    """Write `folder`/payloads (digest, payload) and `folder`/headers (key, kind, digest, header, inline).
 
     Null payloads are empty, null urls too; line ends in a url are percent-coded. Rows with a null key
     are left out; repeated rows are repeated records. A digest that stands for payloads of different
@@ -55,6 +60,7 @@ def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     small = rows.select(
         "key", "url", "digest", F.octet_length("payload").cast("long").alias("bytes"),
         F.xxhash64("payload").alias("check"), _needs_code(F.col("payload")).alias("coded"),
+        F.when(F.octet_length("payload") < smallest, F.col("payload")).alias("inline"),
     )
     path = f"{folder}/rows"
     small.write.parquet(path)
@@ -86,24 +92,38 @@ def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
         )).otherwise(""),
         _line("Content-Type", F.lit("application/http; msgtype=response")), _line("Content-Length", size), F.lit(EOL),
     )
-    described.select("key", "kind", "digest", "coded", header.alias("header")).write.parquet(f"{folder}/headers")
-    kept = rows.join(
-        owners.select(F.col("digest").alias("d"), F.col("first")),
-        (F.col("key") == F.col("first")) & (F.col("digest") == F.col("d")), "left_semi",
-    )
-    kept.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{folder}/payloads")
+    described.select("key", "kind", "digest", "coded", "inline", header.alias("header")).write.parquet(f"{folder}/headers")
+    large = rows.where(F.octet_length("payload") >= smallest).select("key", "digest", "payload")
+    kept = large.join(owners, "digest").where("key = first").select("digest", "payload").dropDuplicates(["digest"])
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept.write.option("compression", "zstd").option("path", f"{folder}/payloads").bucketBy(buckets, "digest").sortBy(
+        "digest"
+    ).saveAsTable(_table_name(folder))
+
+
+def _table_name(folder: str) -> str:
+    return "payloads_" + hashlib.sha256(folder.encode()).hexdigest()[:16]
 
 
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
     """(key, record): each record as it was, its header joined to its payload."""
-    headers, payloads = (spark.read.parquet(f"{folder}/{x}") for x in ("headers", "payloads"))
-    responses = headers.where("kind = 'response'").join(payloads, "digest").select("key", F.concat(
-        "header",
-        F.when(F.col("coded"), F.concat(F.lit(CODED), _base64("payload")))
-        .otherwise(F.concat(F.lit(PLAIN), "payload")),
-    ).alias("record"))
-    revisits = headers.where("kind = 'revisit'").select("key", F.concat("header", F.lit(PLAIN)).alias("record"))
-    return responses.unionAll(revisits)
+    headers = spark.read.parquet(f"{folder}/headers")
+    laid_out = spark.catalog.tableExists(_table_name(folder))
+    payloads = spark.table(_table_name(folder)) if laid_out else spark.read.parquet(f"{folder}/payloads")
+
+    def record(payload: str) -> Column:
+        return F.concat(
+            "header",
+            F.when(F.col("coded"), F.concat(F.lit(CODED), _base64(payload))).otherwise(F.concat(F.lit(PLAIN), payload)),
+        ).alias("record")
+
+    response = F.col("kind") == "response"
+    large = headers.where(response & F.col("inline").isNull()).drop("inline").join(payloads, "digest")
+    return (
+        large.select("key", record("payload"))
+        .unionAll(headers.where(response & F.col("inline").isNotNull()).select("key", record("inline")))
+        .unionAll(headers.where(~response).select("key", F.concat("header", F.lit(PLAIN)).alias("record")))
+    )
 
 
 def _base64(name: str) -> Column:
