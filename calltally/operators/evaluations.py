@@ -314,11 +314,18 @@ def dataset_listing(uploads: DataFrame, evals: DataFrame, completions: DataFrame
 
 
 def load_report(evals: DataFrame, completions: DataFrame) -> DataFrame:
-    """Rows stored: totals, per source and per score type, as (scope, key, count, avg_score)."""
+    """Rows stored: totals, per source and per score type, as (scope, key, count, avg_score).
+
+    Each table is folded per key once; the totals are sums over that small result.
+    """
     nothing = F.lit(None).cast("double")
+    sources = completions.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    types = evals.groupBy("eval_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.count("score").alias("scored")
+    )
     per_source = (
-        completions.groupingSets([[], ["source"]], "source")
-        .agg(F.grouping("source").alias("all"), F.count(F.lit(1)).alias("count"))
+        sources.groupingSets([[], ["source"]], "source")
+        .agg(F.grouping("source").alias("all"), F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
         .select(
             F.when(F.col("all") == 1, "completions").otherwise("source").alias("scope"),
             F.when(F.col("all") == 1, "").otherwise(F.col("source")).alias("key"),
@@ -327,11 +334,11 @@ def load_report(evals: DataFrame, completions: DataFrame) -> DataFrame:
         )
     )
     per_type = (
-        evals.groupingSets([[], ["eval_type"]], "eval_type")
+        types.groupingSets([[], ["eval_type"]], "eval_type")
         .agg(
             F.grouping("eval_type").alias("all"),
-            F.count(F.lit(1)).alias("count"),
-            F.avg("score").alias("mean"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
+            (F.sum("total") / F.nullif(F.sum("scored"), F.lit(0))).alias("mean"),
         )
         .select(
             F.when(F.col("all") == 1, "evals").otherwise("eval_type").alias("scope"),
