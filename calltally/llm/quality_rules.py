@@ -66,7 +66,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` without other columns than its key columns given; see `ledger`."""
+    """`docs` with the measurements of `text`; see `ledger`."""
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(value, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     words = words_of(value)
