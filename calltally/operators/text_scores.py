@@ -105,7 +105,7 @@ def text_scores(
     rouge: bool = True,
     stemming: bool = True,
 ) -> DataFrame:
-    """Per id: `bleu`, `rouge1`, `rougeL` (those asked for). Ids must be unique."""
+    """Per id: `bleu`, `rouge1`, `rougeL` (those asked for). Two rows with one id are an error."""
     slim = pairs.select(
         F.col(id_column),
         F.coalesce(F.col(reference), F.lit("")).alias("_ref"),
@@ -143,7 +143,7 @@ def text_scores(
     counted = (
         slim.select(id_column, F.inline(F.concat(mark, *entries)))
         .groupBy(id_column, "kind", "gram")
-        .agg(F.sum("in_reference").alias("r"), F.sum("in_candidate").alias("c"))
+        .agg(F.sum("in_reference").alias("r"), F.sum("in_candidate").alias("c"), F.count(F.lit(1)).alias("n"))
     )
 
     def total(kind: int, value: Column) -> Column:
@@ -151,6 +151,7 @@ def text_scores(
 
     clipped = F.least("r", "c")
     summed = counted.groupBy(id_column).agg(
+        total(_MARK, F.col("n")).alias("rows"),
         total(_MARK, F.col("r")).alias("same"),
         total(_MARK, F.col("c")).alias("lcs"),
         total(1, F.col("r")).alias("ref_words"),
@@ -160,7 +161,9 @@ def text_scores(
         total(_STEMS, F.col("c")).alias("cand_stems"),
         total(_STEMS, clipped).alias("stem_matches"),
     )
-    columns = [F.col(id_column)]
+    repeated = F.raise_error(F.concat(F.lit("two rows with the id "), F.col(id_column).cast("string")))
+    kind = pairs.schema[id_column].dataType
+    columns = [F.when(F.col("rows") > 1, repeated.cast(kind)).otherwise(F.col(id_column)).alias(id_column)]
     if bleu:
         columns.append(_bleu_column().alias("bleu"))
     if rouge:

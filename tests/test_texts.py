@@ -279,6 +279,12 @@ def test_explanation_request_names_criteria_only_if_given(spark):
     assert got[3].endswith("Response: r")
 
 
+def test_two_rows_with_one_id_are_an_error(spark):
+    rows = spark.createDataFrame([(1, "a b", "a c"), (1, "x", "y")], "id long, prompt string, response string")
+    with pytest.raises(Exception, match="two rows with the id 1"):
+        text_scores.text_scores(rows, "id").collect()
+
+
 def test_stemmer_agrees_with_its_sql_steps():
     rng = random.Random(12)
     endings = "sses ies s eed ed ing ational izer alli ousli ization iveness biliti logi icate alize ful ness al ement ion e y ll".split()
