@@ -6,8 +6,9 @@ response record, further pages are revisit records that refer to it; payloads un
 are always responses and stay with their header, so that no payload is wanted by many records. `read`
 takes such files apart again and joins revisits to what they refer to.
 
-Payloads are moved once: what is stored is laid out by digest (a bucketed table of this session over
-plain Parquet files), and the join of `export` takes it as it lies.
+Payloads are moved once, to the record that owns them: what is stored is laid out by that record's key
+(a bucketed table of this session over plain Parquet files), and the join of `export` takes it as it
+lies.
 
 Records are written and split by Spark's text source, so files may be of any size. A record ends with
 two line ends and the next begins with the version line; a payload that holds this very sequence is
@@ -46,7 +47,7 @@ def _needs_code(payload: Column) -> Column:
 
 def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html",
           smallest: int = 100, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write `folder`/payloads (digest, payload) and `folder`/headers (key, kind, digest, header, inline).
+    """Write `folder`/payloads (key, digest, payload) and `folder`/headers (key, kind, digest, header, inline).
 
     Null payloads are empty, null urls too; line ends in a url are percent-coded. Rows with a null key
     are left out; repeated rows are repeated records. A digest that stands for payloads of different
@@ -94,13 +95,20 @@ def store(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     )
     described.select("key", "kind", "digest", "coded", "inline", header.alias("header")).write.parquet(f"{folder}/headers")
     large = rows.where(F.octet_length("payload") >= smallest).select("key", "digest", "payload")
-    kept = large.join(owners, "digest").where("key = first").select("digest", "payload").dropDuplicates(["digest"])
+    kept = _owned(large, owners.select(F.col("first").alias("owner"), F.col("digest").alias("d")))
+    kept = kept.select("key", "digest", "payload").dropDuplicates(["key", "digest"])
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept.write.option("compression", "zstd").option("path", f"{folder}/payloads").bucketBy(buckets, "digest").sortBy(
-        "digest"
+    kept.write.option("compression", "zstd").option("path", f"{folder}/payloads").bucketBy(buckets, "key").sortBy(
+        "key"
     ).saveAsTable(_table_name(folder))
 
 
+def _owned(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """Rows (key, digest, ..) met with (owner, d, ..), dealt by key alone: no key has many rows, a digest may."""
+    same = F.coalesce(F.col("digest") == F.col("d"), F.lit(False))
+    return rows.join(owners, (F.col("key") == F.col("owner")) & same)
+
+
 def _table_name(folder: str) -> str:
     return "payloads_" + hashlib.sha256(folder.encode()).hexdigest()[:16]
 
@@ -118,7 +126,10 @@ def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("record")
 
     response = F.col("kind") == "response"
-    large = headers.where(response & F.col("inline").isNull()).drop("inline").join(payloads, "digest")
+    large = _owned(
+        headers.where(response & F.col("inline").isNull()),
+        payloads.select(F.col("key").alias("owner"), F.col("digest").alias("d"), "payload"),
+    )
     return (
         large.select("key", record("payload"))
         .unionAll(headers.where(response & F.col("inline").isNotNull()).select("key", record("inline")))
