@@ -15,6 +15,9 @@ than it has members.
 Groups over `largest` members are not held in one task. Their members are spelled out with every
 change of up to half the radius, rounded up; two fingerprints within the radius meet at one of these
 strings at least, and those that meet are joined through the smallest by plain aggregation.
+
+`first_of_each` removes near copies by similarity: SimHash links and MinHash buckets give candidates,
+and the shingles of the two texts decide.
 """
 
 from __future__ import annotations
@@ -29,11 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calltally.llm.common import components
-from calltally.session import cut_lineage
+from calltally.session import cut_lineage, discard, scratch_path
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LEAF = 16
 LARGEST = 20_000
+BANDS, ROWS = 20, 5
+_RANDOM = np.random.default_rng(42)
+_FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -208,7 +215,129 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def first_of_each(docs: DataFrame, key: str, text: str, width: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of `docs` whose `key` is the smallest of its group; columns as they are."""
-    kept = groups(docs, key, text, width, radius).where("key = component_id").select(F.col("key").alias(key))
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
+
+
+def shingles(text: str | None, width: int) -> set[bytes]:
+    """All `width`-word shingles; fewer words than `width` make one, no word makes none."""
+    words = _words(text)
+    return {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def similarity(a: str | None, b: str | None, width: int) -> float:
+    """Jaccard similarity of the shingle sets; 1 if both are empty."""
+    x, y = shingles(a, width), shingles(b, width)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def buckets(text: str | None, width: int) -> tuple[int, int, list[int]]:
+    """(node, size, keys): hash of the words, number of shingles, one MinHash key a band (none without a word).
+
+    Texts of similarity s share a band with probability s ** `ROWS`; at 0.8 all `BANDS` miss one pair in 2 800.
+    """
+    node = _signed(xxhash.xxh64_intdigest(b" ".join(_words(text)), 42))
+    found = shingles(text, width)
+    if not found:
+        return node, 0, []
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in found), np.uint64, len(found))
+    least = np.full(len(_FACTORS), ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 13):
+        part = hashes[at : at + (1 << 13), None] * _FACTORS + _TERMS
+        least = np.minimum(least, part.min(axis=0))
+    keys = [_signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+    return node, len(found), keys
+
+
+def nodes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, node, fp, size, keys) of every row; rows of equal words have one node."""
+
+    @F.pandas_udf("node long, fp long, size int, keys array<long>")
+    def value(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            prints = np.fromiter((fingerprint(t, width) for t in batch), np.uint64, len(batch)).view(np.int64)
+            found = [buckets(t, width) for t in batch]
+            yield pd.DataFrame({
+                "node": [f[0] for f in found], "fp": prints, "size": [f[1] for f in found], "keys": [f[2] for f in found],
+            })
+
+    return docs.select(F.col(key).alias("key"), value(F.col(text)).alias("v")).select("key", "v.*")
+
+
+def _node(text: Column) -> Column:
+    @F.pandas_udf("long")
+    def value(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([_signed(xxhash.xxh64_intdigest(b" ".join(_words(t)), 42)) for t in batch], dtype="int64")
+
+    return value(text)
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts, joined by node, have a similarity of at least `least`."""
+
+    @F.pandas_udf("boolean")
+    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            yield pd.Series([similarity(x, y, width) >= least for x, y in zip(left, right, strict=True)], dtype=bool)
+
+    right = bodies.select(F.col("node").alias("b"), F.col("body").alias("right"))
+    left = bodies.select(F.col("node").alias("a"), F.col("body").alias("left"))
+    return cut_lineage(pairs.join(right, "b").join(left, "a").where(near("left", "right")).select("a", "b"))
+
+
+def near_copies(docs: DataFrame, rows: DataFrame, text: str, width: int, radius: int, least: float) -> DataFrame:
+    """(node, root): components over pairs of similarity `least` or more, for nodes that have one.
+
+    Candidates are the SimHash links within `radius` bits and the nodes that share a MinHash bucket; each
+    pair is decided by its texts. A bucket is first compared with its smallest node. Then those of its
+    members that are still in different components are compared with each other, all pairs of them, so
+    nothing in a bucket is passed over and a large family of copies takes a number of pairs that grows
+    with its size.
+    """
+    spark = docs.sparkSession
+    known = cut_lineage(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    dealt = known.select("node", "size", F.explode("keys").alias("bucket"))
+    heads = cut_lineage(dealt.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("n")).where("n > 1"))
+    dealt = cut_lineage(dealt.join(heads, "bucket"))
+    fits = F.least("size", "other") >= F.lit(least) * F.greatest("size", "other")
+    star = dealt.select(F.col("head.node").alias("a"), F.col("node").alias("b"), "size", F.col("head.size").alias("other"))
+    star = star.where("a <> b").where(fits).select("a", "b")
+    prints = cut_lineage(known.groupBy("fp").agg(F.min("node").alias("id")))
+    same = known.join(prints, "fp").where("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    linked = same.unionAll(links(prints, radius))
+    ordered = star.unionAll(linked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut_lineage(ordered.distinct())
+    wanted = cut_lineage(dealt.select("node").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct())
+    path = scratch_path(spark, "near-copies")
+    (docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("body")).join(wanted, "node", "left_semi")
+     .groupBy("node").agg(F.min("body").alias("body")).write.parquet(path))
+    bodies = spark.read.parquet(path)
+    found = _verified(pairs, bodies, width, least)
+    first = cut_lineage(components(found))
+    # members of a bucket that the star left in different components
+    placed = cut_lineage(dealt.join(first, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root")))
+    mixed = cut_lineage(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"))
+    placed = placed.join(mixed.select("bucket"), "bucket")
+    other = placed.select("bucket", F.col("node").alias("b"), F.col("size").alias("other"), F.col("root").alias("root_b"))
+    rest = (
+        placed.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and root <> root_b").where(fits)
+        .select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    )
+    found = components(found.unionAll(_verified(cut_lineage(rest), bodies, width, least)))
+    discard(spark, path)
+    return found
+
+
+def first_of_each(
+    docs: DataFrame, key: str, text: str, width: int = 5, radius: int = 3, least: float = 0.8
+) -> DataFrame:
+    """The rows of `docs` whose `key` is the smallest of its group of near copies; columns as they are.
+
+    Near copies have a shingle similarity of `least` or more, directly or through others.
+    """
+    rows = cut_lineage(nodes(docs, key, text, width))
+    found = near_copies(docs, rows, text, width, radius, least)
+    rooted = rows.select("key", "node").join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("key").alias(key)).select(key)
     return docs.join(kept, key, "left_semi")

@@ -142,3 +142,28 @@ def test_components_of_paths_stars_and_loops(spark):
     table = spark.createDataFrame(edges, "a long, b long")
     got = {r["node"]: r["root"] for r in components(table).collect()}
     assert got == {k: find(k) for k in root}
+
+
+def test_near_copies_of_many_changed_bits_go(spark):
+    rng = random.Random(12)
+
+    def text(n):
+        return ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+    rows, near, far = [], [], []
+    for k in range(40):
+        base = text(150)
+        close, other = base.copy(), base.copy()
+        for at in (20, 60, 100)[: 1 + k % 3]:  # 5 shingles each: similarity 0.81 to 0.93
+            close[at] = "changed"
+        for at in range(10, 150, 20):  # 35 shingles: similarity 0.61
+            other[at] = "changed"
+        rows += [(3 * k, " ".join(base)), (3 * k + 1, " ".join(close)), (3 * k + 2, " ".join(other))]
+        near.append(simhash.similarity(rows[-3][1], rows[-2][1], 5))
+        far.append(simhash.similarity(rows[-3][1], rows[-1][1], 5))
+    assert min(near) >= 0.8 and max(far) < 0.8
+    bits = [(plain_fingerprint(rows[3 * k][1], 5) ^ plain_fingerprint(rows[3 * k + 1][1], 5)).bit_count() for k in range(40)]
+    assert max(bits) > 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.first_of_each(docs, "doc_id", "text").collect()}
+    assert kept == {k for k, _ in rows if k % 3 != 1}
