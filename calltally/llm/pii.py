@@ -34,6 +34,8 @@ PATTERNS = {
 }
 MAY = "[0-9@:=]|AKIA"  # every finding has one of these
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+NUMBER = f"^(?:{PATTERNS['phone']}|{PATTERNS['card']})$"
+PIECES = "array<struct<gap:string,old:string>>"
 
 
 def _hash(key: str, *parts: Column) -> Column:
@@ -236,32 +238,90 @@ def pseudonym(value: Column, key: str) -> Column:
     return made
 
 
+def _failing(value: Column) -> Column:
+    """Whether a phone or card number fails its check."""
+    phone_, card_ = (value.rlike(f"^(?:{PATTERNS[k]})$") for k in ("phone", "card"))
+    d = _digits(value)
+    passes = phone_ & F.length(d).between(8, 15) | card_ & F.length(d).between(13, 19) & (_luhn(d) % 10 == 0)
+    return value.rlike(NUMBER) & ~passes
+
+
+def _taken(value: Column) -> Column:
+    """The part of a finding that is taken: all, or as far as the end of a digit group.
+
+    That is the longest such part that passes as a phone or card number, else the first digit group.
+    """
+    ends = F.filter(
+        F.sequence(F.length(value) - 1, F.lit(1), F.lit(-1)),
+        lambda k: F.substr(value, k, F.lit(2)).rlike("^[0-9][^0-9]$"),
+    )
+    parts = F.filter(
+        F.transform(ends, lambda k: F.substr(value, F.lit(1), k)), lambda v: v.rlike(NUMBER) & ~_failing(v)
+    )
+    shorter = F.coalesce(F.get(parts, F.lit(0)), F.regexp_extract(value, "^[^0-9]*[0-9]+", 0))
+    return F.when(_failing(value), shorter).otherwise(value)
+
+
+def stepwise(line: Column) -> Column:
+    """The pieces (gap, old) of a line, searched from finding to finding.
+
+    What a shortened finding leaves is searched again with the text after it.
+    """
+    start = F.struct(F.array().cast(PIECES).alias("pieces"), F.concat(F.lit("\n"), line).alias("rest"))
+
+    def turn(state: Column, _: Column) -> Column:
+        rest = state["rest"]  # its first character is only looked back at
+
+        def step(gap: Column) -> Column:
+            old = _taken(F.regexp_extract(F.substr(rest, F.length(gap)), f"(?s)^.({ANY})", 1))
+            return _let(old, lambda o: F.struct(
+                F.concat(state["pieces"], F.array(F.struct(F.substr(gap, F.lit(2)).alias("gap"), o.alias("old")))).alias("pieces"),
+                F.substr(rest, F.length(gap) + F.length(o)).alias("rest"),
+            ))
+
+        tail = F.struct(F.substr(rest, F.lit(2)).alias("gap"), F.lit(None).cast("string").alias("old"))
+        end = F.struct(F.concat(state["pieces"], F.array(tail)).alias("pieces"), F.lit(None).cast("string").alias("rest"))
+        gap = F.regexp_extract(rest, f"(?s)^(.+?)(?:{ANY})", 1)
+        return F.when(rest.isNull(), state).otherwise(_let(gap, lambda g: F.when(g == "", end).otherwise(step(g))))
+
+    # every step but the last takes one of these away
+    most = F.size(F.regexp_extract_all(line, F.lit("([0-9]+|[@:=]|AKIA)"), F.lit(1))) + 1
+    return F.reduce(F.sequence(F.lit(1), most), start, turn)["pieces"]
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """`docs` with pseudonyms in `text`; `found`, if named, gets an array of (kind, old, new).
 
     Null texts stay null, empty texts empty; other columns, whatever their names, are passed on. Values
-    that fail their check stay as they are.
+    that fail their check, also in part, stay as they are.
     """
     source = F.col(f"`{text}`")
 
     def findings(line: Column) -> Column:
-        old = F.regexp_extract_all(line, F.lit(f"({ANY})"), F.lit(1))
-        pairs = F.transform(old, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("made")))
-        return F.when(line.rlike(MAY), pairs)
-
-    def restore(line: Column, pairs: Column) -> Column:
-        parts = F.zip_with(
-            F.split(line, ANY, -1), pairs,
-            lambda gap, p: F.concat(gap, F.coalesce(p["made"]["new"], p["old"], F.lit(""))),
-        )
-        return F.when(F.size(pairs) > 0, F.array_join(parts, "")).otherwise(line)
+        def pieces(found: Column) -> Column:
+            plain = F.zip_with(
+                F.split(line, ANY, -1), found, lambda gap, old: F.struct(gap.alias("gap"), old.alias("old"))
+            )
+            return F.when(F.exists(found, _failing), stepwise(line)).otherwise(plain)
+
+        return F.when(line.rlike(MAY), _let(F.regexp_extract_all(line, F.lit(f"({ANY})"), F.lit(1)), pieces))
+
+    def named(pieces: Column) -> Column:
+        return F.transform(pieces, lambda p: F.struct(
+            p["gap"].alias("gap"), p["old"].alias("old"), pseudonym(p["old"], key).alias("made")
+        ))
+
+    def restore(line: Column, pieces: Column) -> Column:
+        parts = F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(p["made"]["new"], p["old"], F.lit(""))))
+        return F.when(F.size(pieces) > 1, F.array_join(parts, "")).otherwise(line)
 
     taken = {c.lower() for c in docs.columns}
     held = next(n for k in range(len(taken) + 1) if (n := f"__found{k}") not in taken)
     lines = F.split(source, "\n", -1)
     with_pairs = docs.withColumn(held, F.when(source.rlike(MAY), F.transform(lines, findings)))
+    with_pairs = with_pairs.withColumn(held, F.transform(held, named))
     pairs = F.col(held)
-    any_found = F.exists(pairs, lambda ps: F.size(ps) > 0)
+    any_found = F.exists(pairs, lambda ps: F.size(ps) > 1)
     replaced = F.when(any_found, F.array_join(F.zip_with(lines, pairs, restore), "\n")).otherwise(source)
     columns = [replaced.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if found:

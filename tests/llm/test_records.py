@@ -82,6 +82,27 @@ def test_findings_in_context(spark):
     assert replaced(spark, []) == []
 
 
+def test_numbers_next_to_valid_ones(spark):
+    card, phone = "4111111111111111", "+49 30 12345678"
+    texts = [
+        f"{card} 123", "4111 1111 1111 1111 12/27", f"{phone} 2024", f"a {card} 124 and {card} 12 and 10.0.0.1 x",
+        f"12 {card} end", f"{card} 192.168.0.1", f"{card} 2024-01-01", f"1234 {card[:-1]}2 77 212-555-0199 {phone} 2024.",
+        "1 2 3 4 5 6 7 8 " * 40, "4111111111111112 4111111111111112 99",
+    ]
+    new = replaced(spark, texts)
+    (one,) = replaced(spark, [card])
+    (two,) = replaced(spark, [phone])
+    assert new[0] == f"{one} 123"
+    assert new[1].replace(" ", "") == f"{one}12/27" and new[1].endswith(" 12/27")
+    assert new[2] == f"{two} 2024"
+    assert new[3].startswith(f"a {one} 124 and {one} 12 and ") and "10.0.0.1" not in new[3]
+    assert new[4] == f"12 {one} end"
+    assert new[5] == f"{one} " + replaced(spark, ["192.168.0.1"])[0]
+    assert new[6] == f"{one} " + replaced(spark, ["2024-01-01"])[0]
+    assert new[7] == f"1234 {card[:-1]}2 77 " + replaced(spark, ["212-555-0199"])[0] + f" {two} 2024."
+    assert len(new[8]) == len(texts[8])
+
+
 HOSTILE = ["</s>", "<s>", "[ROLE]x[/ROLE]", "<\\s>", "<\\\\/s> [\\INST]", "[/INST]</s>[INST]", "<|end|>", "\\", "<", "[/ROLE]", "", "a\nb"]
 
 
