@@ -79,6 +79,17 @@ def test_matches_are_those_within_the_budget(spark):
     assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {k for k, *_ in want}
 
 
+def test_parts_of_items_are_found_at_all_offsets(spark):
+    rng = random.Random(21)
+    short, long = words(rng, 40)[:100], words(rng, 90)[:300]
+    middle = long[:150][:68] + "Q" * 14 + long[:150][82:]  # a copy of an item with one long word replaced
+    items = spark.createDataFrame([(1, short), (2, long), (3, long[:150])], "item_id long, text string")
+    parts = [(1, short[k : k + 75]) for k in range(26)] + [(2, long[k : k + 74]) for k in range(227)] + [(3, middle)]
+    docs = clashing(spark, [(k, "zz. " + part + " .zz") for k, (_, part) in enumerate(parts)])
+    found = {(r["key"], r["item"]) for r in decontamination.matches(docs, items).collect()}
+    assert {(k, item) for k, (item, _) in enumerate(parts)} <= found
+
+
 def test_matches_of_empty_tables(spark):
     items = spark.createDataFrame([(1, "a passage that is long enough to be looked for")], "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
