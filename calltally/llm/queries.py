@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltally.llm import chat, decontamination, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
+from calltally.llm import (
+    chat, collocations, decontamination, fast_sketch, packing, pii, prefix_trie, quality_rules, simhash, suffix_dedup,
+    toxicity, url_filter, warc,
+)
 from calltally.llm.common import table
 from calltally.llm.registry import QUERIES, TWINS, query
 
@@ -189,3 +192,107 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"),
         F.col("refers").cast("long").alias("refers_to"),
     )
+
+
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle
+  FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(i) WHERE len(ws) > 0
+), size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y
+), least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN size USING (doc_id) JOIN least USING (doc_id)
+"""
+
+
+@query("op11_fast_sketch", OP11_SQL)
+def op11_fast_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    found = fast_sketch.groups(table(spark, folder, "documents"), width=5, percent=85)
+    return found.select(
+        F.col("key").alias("doc_id"), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+OP12_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations
+), own AS (
+  SELECT conv_id, list({'k': k, 'w': w} ORDER BY turn NULLS FIRST, k) AS turns FROM rows GROUP BY conv_id
+), sized AS (
+  -- CRC-32 of the decimal id, a bit at a time
+  SELECT *, (xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+      lambda ch: [(1000 + ascii(ch))::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: CASE WHEN x >= 1000 THEN xor(c, x - 1000) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END),
+    4294967295::UBIGINT) % 4)::BIGINT AS h
+  FROM own
+), seqs AS (
+  SELECT s.conv_id, list_concat(coalesce(b.turns[1:s.h], []), s.turns[s.h + 1:]) AS seq
+  FROM sized s LEFT JOIN own b ON b.conv_id = s.conv_id - s.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, d, array_to_string(list_transform(seq[1:d], lambda x: x.k), '') AS p,
+    CASE WHEN d > 0 THEN seq[d].w ELSE 0 END AS w, len(seq) = d AS ends
+  FROM seqs, unnest(range(0, len(seq) + 1)) AS t(d)
+), nodes AS (
+  SELECT p, d, any_value(w) AS w, count(*) AS n, min(conv_id) AS conv_id,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY p, d
+), children AS (SELECT left(p, 32 * (d - 1)) AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (p)
+), under AS (
+  SELECT left(p, 32 * j) AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * w)::BIGINT AS saved_tokens
+  FROM counted, unnest(range(0, d + 1)) AS t(j) GROUP BY ALL
+)
+SELECT c.conv_id, c.d AS depth, up.conv_id AS parent_conv_id, c.n AS n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM counted c JOIN under USING (p) LEFT JOIN nodes up ON c.d > 0 AND up.p = left(c.p, 32 * (c.d - 1))
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, folder, "conversations")))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM worded GROUP BY lang
+), f AS (
+  SELECT lang, k, ws[i:i + k - 1] AS words, count(*) AS f
+  FROM worded, unnest(range(1, 6)) AS a(k), unnest(range(1, len(ws) - k + 2)) AS b(i) GROUP BY ALL HAVING count(*) >= 100
+), inside AS (
+  SELECT g.lang, g.words[i:i + j - 1] AS words, max(g.f) AS more
+  FROM f g, unnest(range(2, g.k)) AS a(j), unnest(range(1, g.k - j + 2)) AS b(i) WHERE g.k > 2 GROUP BY ALL
+), kept AS (
+  SELECT f.* FROM f LEFT JOIN inside USING (lang, words) WHERE k > 1 AND (more IS NULL OR 100 * more < 100 * f)
+), cuts AS (
+  SELECT g.lang, g.words, g.f AS a, x.f AS l, y.f AS r, n, ((1000::HUGEINT * g.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score, c
+  FROM kept g JOIN total USING (lang), unnest(range(1, g.k)) AS t(c)
+  JOIN f x ON x.lang = g.lang AND x.words = g.words[1:c] JOIN f y ON y.lang = g.lang AND y.words = g.words[c + 1:]
+), lowest AS (
+  SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, c) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
