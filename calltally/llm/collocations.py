@@ -9,8 +9,9 @@ once.
 
 Counts are summed over shards after each length, and only phrases that are frequent enough over the
 whole corpus are extended further, in the shards that can hold them: a phrase has no more occurrences
-than its parts. Words that are too rare become breaks before the index is built. What a shard gets
-back is bounded by its own words, so nothing is broadcast for the size of the corpus.
+than its parts. Rare words become breaks before pairs are counted, and joints of rare pairs before the
+index for longer phrases is built. What a shard gets back are phrases that begin with one of its own,
+so nothing is broadcast for the size of the corpus.
 
 Phrases are known by their prefix and suffix, one word shorter each. Counts of all their parts follow
 along these, and so do their extensions: a phrase lies in a longer one if it is the prefix or the
@@ -156,47 +157,87 @@ class Transform:
         return owner, symbol, count, running - start
 
 
-def build(ids: np.ndarray, counted: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Transforms of the text and of the reversed text, and the rows whose starts belong to another shard.
+def chained(ids: np.ndarray, alien: np.ndarray, joined: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of `least` words or more, a break (0) in front of each, and which starts belong to another shard.
 
-    Breaks are 0. Words between two breaks are in no longer phrase and are left out.
+    `joined` tells for every word but the last whether it and the next can be in one phrase.
     """
+    run = np.concatenate(([0], np.cumsum(~joined))) if len(ids) else np.zeros(0, np.int64)
+    keep = (ids > 0) & (np.bincount(run)[run] >= least) if len(ids) else np.zeros(0, bool)
+    first = keep & np.concatenate(([True], ~joined)) if len(ids) else keep
+    at = np.cumsum(1 + first[keep]) - 1
+    text, strange = np.zeros(len(at) + int(first.sum()), np.int32), np.zeros(len(at) + int(first.sum()), bool)
+    text[at], strange[at] = ids[keep], alien[keep]
+    return text, strange
+
+
+def build(text: np.ndarray, alien: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transforms of the text and of the reversed text, and the rows whose starts belong to another shard."""
     pad = np.zeros(depth, np.int32)
-    ids = np.concatenate((ids, pad))
-    live = ids > 0
-    beside = np.zeros(len(ids), bool)
-    beside[1:] |= live[:-1]
-    beside[:-1] |= live[1:]
-    ids = np.where(live & beside, ids, 0)
-    keep = ids > 0
-    keep[:-1] |= ids[1:] > 0  # a break in front of each run
-    alien = np.zeros(len(ids), bool)
-    alien[counted:] = True
-    text, alien = np.concatenate((ids[keep], pad)), np.concatenate((alien[keep], pad > 0))
+    text, alien = np.concatenate((text, pad)), np.concatenate((alien, pad > 0))
     order = ordered(text, depth)
     back = text[::-1]
     mirrored = ordered(back, depth)
-    return text[order - 1], back[mirrored - 1], np.flatnonzero(alien[order] & (text[order] > 0))
+    return text[order - 1], back[mirrored - 1], np.flatnonzero(alien[order])
 
 
-def _indexed(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """(shard, ids, forward, backward, alien) from rows (shard, body, counted, kept), kept: place and id of a word."""
+def _flags(places: list[int], n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[places] = True
+    return out
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, ids, body, alien): words that are left, from rows (shard, body, counted, kept), kept: place and id of a word."""
     for batch in batches:
         for k in range(batch.num_rows):
             shard, body, counted, kept = (batch.column(c)[k] for c in range(4))
-            flat = kept.values.flatten()
-            places, ids = flat[0].to_numpy(), flat[1].to_numpy()
+            places, ids = (x.to_numpy() for x in kept.values.flatten())
             by_id = np.argsort(ids)
-            symbol = np.zeros(int(places.max()) + 1 if len(places) else 1, np.int32)
+            symbol = np.zeros(int(places.max()) + 1, np.int32)
             symbol[places[by_id]] = np.arange(1, len(ids) + 1)
             raw = np.frombuffer(body.as_buffer(), np.int32)
-            raw = np.where(raw < len(symbol), raw, 0)
-            forward, backward, alien = build(symbol[raw], counted.as_py(), depth)
+            raw = symbol[np.where(raw < len(symbol), raw, 0)]
+            text, alien = chained(raw, np.arange(len(raw)) >= counted.as_py(), (raw[:-1] > 0) & (raw[1:] > 0), 2)
             yield pa.record_batch(
                 [
                     pa.array([shard.as_py()], pa.int64()), pa.array([ids[by_id]], pa.list_(pa.int64())),
-                    pa.array([forward.astype(np.int32).tobytes()], pa.binary()),
-                    pa.array([backward.astype(np.int32).tobytes()], pa.binary()), pa.array([alien], pa.list_(pa.int64())),
+                    pa.array([text.tobytes()], pa.binary()), pa.array([np.flatnonzero(alien)], pa.list_(pa.int64())),
+                ],
+                names=["shard", "ids", "body", "alien"],
+            )
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(prefix, suffix, n): phrases of two words, from rows (ids, body, alien)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids, body, alien = (batch.column(c)[k] for c in range(3))
+            text = np.frombuffer(body.as_buffer(), np.int32)
+            yield from _rows(extend(ids.values.to_numpy(), *build(text, _flags(alien.values.to_numpy(), len(text)), 2), []))
+
+
+def _indexed(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """(shard, ids, forward, backward, alien) of chains of frequent pairs, from rows (shard, ids, body, alien, phrases)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            shard, ids, body, alien, phrases = (batch.column(c)[k] for c in range(5))
+            names = ids.values.to_numpy()
+            _, _, prefix, suffix = (c.to_numpy() for c in phrases.values.flatten())
+            at, to = (np.minimum(np.searchsorted(names, x), len(names) - 1) for x in (prefix, suffix))
+            here = (names[at] == prefix) & (names[to] == suffix)
+            pairs = np.unique((at[here] + 1) << 32 | (to[here] + 1))
+            text = np.frombuffer(body.as_buffer(), np.int32)
+            key = text[:-1].astype(np.int64) << 32 | text[1:]
+            found = np.searchsorted(pairs, key)
+            joined = pairs[np.minimum(found, len(pairs) - 1)] == key if len(pairs) else np.zeros(len(key), bool)
+            text, strange = chained(text, _flags(alien.values.to_numpy(), len(text)), joined, 3)
+            forward, backward, strange = build(text, strange, depth)
+            yield pa.record_batch(
+                [
+                    pa.array([shard.as_py()], pa.int64()), pa.array([names], pa.list_(pa.int64())),
+                    pa.array([forward.tobytes()], pa.binary()), pa.array([backward.tobytes()], pa.binary()),
+                    pa.array([strange], pa.list_(pa.int64())),
                 ],
                 names=["shard", "ids", "forward", "backward", "alien"],
             )
@@ -240,21 +281,22 @@ def extend(
     return names[start[b]][some], names[of[a]][some], count[some]
 
 
+def _rows(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(found[0]), 1 << 16):
+        yield pa.record_batch([pa.array(x[at : at + (1 << 16)]) for x in found], names=["prefix", "suffix", "n"])
+
+
 def _extended(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(prefix, suffix, n) of each shard, from rows (ids, forward, backward, alien, phrases)."""
     for batch in batches:
         for k in range(batch.num_rows):
             ids, forward, backward, alien, phrases = (batch.column(c)[k] for c in range(5))
-            known = []
-            if length > 1:
-                level, name, prefix, suffix = (c.to_numpy() for c in phrases.values.flatten())
-                known = [tuple(x[level == n] for x in (name, prefix, suffix)) for n in range(2, length + 1)]
-            found = extend(
+            level, *columns = (c.to_numpy() for c in phrases.values.flatten())
+            yield from _rows(extend(
                 ids.values.to_numpy(), np.frombuffer(forward.as_buffer(), np.int32),
-                np.frombuffer(backward.as_buffer(), np.int32), alien.values.to_numpy(), known,
-            )
-            for at in range(0, len(found[0]), 1 << 16):
-                yield pa.record_batch([pa.array(x[at : at + (1 << 16)]) for x in found], names=["prefix", "suffix", "n"])
+                np.frombuffer(backward.as_buffer(), np.int32), alien.values.to_numpy(),
+                [tuple(x[level == n] for x in columns) for n in range(2, length + 1)],
+            ))
 
 
 def mine(
@@ -293,21 +335,25 @@ def mine(
     names = level.select("lang", F.col("words")[0].alias("word"), "id")
     local = stored("words-of-shards", listed.select("shard", "lang", "at", "word").join(names, ["lang", "word"]).select("shard", "at", "id"))
     kept = local.groupBy("shard").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), "id")).alias("kept"))
-    index = stored("indexes", shards.select("shard", "body", "counted").join(kept, "shard").select("shard", "body", "counted", "kept").mapInArrow(
-        lambda batches: _indexed(batches, longest),
-        "shard long, ids array<long>, forward binary, backward binary, alien array<long>",
-    ))
-    found, lists = level, None
+    bodies = stored("frequent-words", shards.select("shard", "body", "counted").join(kept, "shard").select(
+        "shard", "body", "counted", "kept"
+    ).mapInArrow(_frequent, "shard long, ids array<long>, body binary, alien array<long>"))
+    found, lists, index = level, None, None
     place = local.select("shard", "id")
     for length in range(1, longest):
-        whole = index
-        if lists is None:
-            whole = whole.withColumn("phrases", F.lit(None).cast("array<struct<level:int,id:long,prefix:long,suffix:long>>"))
+        if length == 1:
+            parts = bodies.select("ids", "body", "alien").mapInArrow(_pairs, "prefix long, suffix long, n long")
         else:
-            whole = whole.join(lists.groupBy("shard").agg(F.collect_list(F.struct("level", "id", "prefix", "suffix")).alias("phrases")), "shard")
-        parts = whole.select("ids", "forward", "backward", "alien", "phrases").mapInArrow(
-            lambda batches, length=length: _extended(batches, length), "prefix long, suffix long, n long"
-        )
+            mine_too = lists.groupBy("shard").agg(F.collect_list(F.struct("level", "id", "prefix", "suffix")).alias("phrases"))
+            if length == 2:
+                # only chains of frequent pairs can hold longer phrases
+                index = stored("indexes", bodies.join(mine_too, "shard").select("shard", "ids", "body", "alien", "phrases").mapInArrow(
+                    lambda batches: _indexed(batches, longest),
+                    "shard long, ids array<long>, forward binary, backward binary, alien array<long>",
+                ))
+            parts = index.join(mine_too, "shard").select("ids", "forward", "backward", "alien", "phrases").mapInArrow(
+                lambda batches, length=length: _extended(batches, length), "prefix long, suffix long, n long"
+            )
         sums = cut_lineage(parts.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
         left = level.select("lang", F.col("id").alias("prefix"), "words", "heads")
         right = level.select(F.col("id").alias("suffix"), F.element_at("words", -1).alias("end"), "tails")
@@ -319,11 +365,11 @@ def mine(
         found = found.unionAll(level)
         if length + 1 < longest:
             here = level.select(F.lit(length + 1).alias("level"), F.col("id").alias("next"), "prefix", "suffix")
-            lists_here = cut_lineage(place.join(here, place["id"] == here["prefix"]).select(
+            fresh = cut_lineage(place.join(here, place["id"] == here["prefix"]).select(
                 "shard", "level", F.col("next").alias("id"), "prefix", "suffix"
             ))
-            place = lists_here.select("shard", "id")
-            lists = lists_here if lists is None else lists.unionAll(lists_here)
+            place = fresh.select("shard", "id")
+            lists = fresh if lists is None else lists.unionAll(fresh)
     return found, totals
 
 

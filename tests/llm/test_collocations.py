@@ -82,7 +82,8 @@ def test_long_texts_without_breaks(spark):
 def test_both_directions_meet():
     rng = np.random.default_rng(2)
     ids = rng.integers(0, 4, 400).astype(np.int32)
-    forward, backward, alien = collocations.build(ids, 400, 5)
-    prefix, suffix, count = collocations.extend(np.array([10, 20, 30]), forward, backward, alien, [])
+    joined = (ids[:-1] > 0) & (ids[1:] > 0)
+    found = collocations.build(*collocations.chained(ids, np.zeros(400, bool), joined, 2), 5)
+    prefix, suffix, count = collocations.extend(np.array([10, 20, 30]), *found, [])
     want = Counter((10 * int(a), 10 * int(b)) for a, b in zip(ids, ids[1:], strict=False) if a and b)
     assert Counter({(int(p), int(s)): int(c) for p, s, c in zip(prefix, suffix, count, strict=True)}) == want
