@@ -74,6 +74,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def in_slices(values: pa.Array, function, kind: pa.DataType, rows: int = 256) -> pa.Array:
+    """One array of what `function` makes of each slice's Python values."""
+    parts = [pa.array(function(values.slice(at, rows).to_pylist()), kind) for at in range(0, len(values), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def columns(docs: DataFrame) -> list:
+    """All columns by quoted name, so that a dot in a name is no field access."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in docs.columns]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of `edges` (a, b).
 

@@ -266,6 +266,11 @@ def _block_matches(docs: DataFrame, bodies: list[bytes], schema: str) -> DataFra
     return docs.mapInArrow(scan, schema)
 
 
-def without_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` in which no passage of an item is found; columns as they are."""
-    return docs.join(matches(docs, items, key, text).select(F.col("key").alias(key)).distinct(), key, "left_anti")
+def without_matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs` in which no passage of an item is found; columns as they are.
+
+    Rows are told apart by their texts, so null and repeated keys make no difference.
+    """
+    bodies = docs.select(F.md5(F.col(text).cast("binary")).alias("body"), F.col(text).alias("text"))
+    found = matches(bodies, items, "body", "text").select(F.col("key").alias("__body")).distinct()
+    return docs.join(found, F.md5(F.col(text).cast("binary")) == F.col("__body"), "left_anti")

@@ -56,13 +56,13 @@ def _encoder(path: str):
     ranks = {bytes(stands[c] for c in word): rank for word, rank in whole["model"]["vocab"].items() if word not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    slow = Tokenizer.from_file(path)
+    slow = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))  # large, and hardly ever needed
 
     def ids(text: str) -> list[int]:
         try:
             return fast.encode(text, allowed_special="all")
         except Exception:  # the pattern engine's own limit; the other library has none
-            return slow.encode(text, add_special_tokens=False).ids
+            return slow().encode(text, add_special_tokens=False).ids
 
     return ids
 

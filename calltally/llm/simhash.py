@@ -27,11 +27,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltally.llm.common import components
+from calltally.llm.common import columns, components, in_slices
 from calltally.session import cut_lineage, discard, scratch_path
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -71,11 +72,10 @@ def fingerprint(text: str | None, width: int) -> int:
 def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(key, fp): the fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
-    def value(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def value(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t, width) for t in batch), np.uint64, len(batch))
-            yield pd.Series(found.view(np.int64))
+            yield in_slices(batch, lambda texts: [_signed(fingerprint(t, width)) for t in texts], pa.int64())
 
     return docs.select(F.col(key).alias("key"), value(F.col(text)).alias("fp"))
 
@@ -252,23 +252,28 @@ def buckets(text: str | None, width: int) -> tuple[int, int, list[int]]:
 def nodes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(key, node, fp, size, keys) of every row; rows of equal words have one node."""
 
-    @F.pandas_udf("node long, fp long, size int, keys array<long>")
-    def value(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
+
+    def of(texts: list[str | None]) -> list[dict]:
+        found = ((_signed(fingerprint(t, width)), *buckets(t, width)) for t in texts)
+        return [{"node": node, "fp": fp, "size": size, "keys": keys} for fp, node, size, keys in found]
+
+    @F.arrow_udf("node long, fp long, size int, keys array<long>")
+    def value(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t, width) for t in batch), np.uint64, len(batch)).view(np.int64)
-            found = [buckets(t, width) for t in batch]
-            yield pd.DataFrame({
-                "node": [f[0] for f in found], "fp": prints, "size": [f[1] for f in found], "keys": [f[2] for f in found],
-            })
+            yield in_slices(batch, of, kind)
 
     return docs.select(F.col(key).alias("key"), value(F.col(text)).alias("v")).select("key", "v.*")
 
 
 def _node(text: Column) -> Column:
-    @F.pandas_udf("long")
-    def value(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(texts: list[str | None]) -> list[int]:
+        return [_signed(xxhash.xxh64_intdigest(b" ".join(_words(t)), 42)) for t in texts]
+
+    @F.arrow_udf("long")
+    def value(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([_signed(xxhash.xxh64_intdigest(b" ".join(_words(t)), 42)) for t in batch], dtype="int64")
+            yield in_slices(batch, of, pa.int64())
 
     return value(text)
 
@@ -276,10 +281,11 @@ def _node(text: Column) -> Column:
 def _verified(pairs: DataFrame, bodies: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) whose texts, joined by node, have a similarity of at least `least`."""
 
-    @F.pandas_udf("boolean")
-    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def near(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            yield pd.Series([similarity(x, y, width) >= least for x, y in zip(left, right, strict=True)], dtype=bool)
+            both = pa.StructArray.from_arrays([left, right], ["x", "y"])
+            yield in_slices(both, lambda pairs: [similarity(p["x"], p["y"], width) >= least for p in pairs], pa.bool_(), 64)
 
     right = bodies.select(F.col("node").alias("b"), F.col("body").alias("right"))
     left = bodies.select(F.col("node").alias("a"), F.col("body").alias("left"))
@@ -332,12 +338,26 @@ def near_copies(docs: DataFrame, rows: DataFrame, text: str, width: int, radius:
 def first_of_each(
     docs: DataFrame, key: str, text: str, width: int = 5, radius: int = 3, least: float = 0.8
 ) -> DataFrame:
-    """The rows of `docs` whose `key` is the smallest of its group of near copies; columns as they are.
+    """One row of `docs` of each group of near copies, that with the smallest `key`; columns as they are.
 
-    Near copies have a shingle similarity of `least` or more, directly or through others.
+    Near copies have a shingle similarity of `least` or more, directly or through others. A null key comes
+    after all others; of rows that are equal in key and words one stays.
     """
     rows = cut_lineage(nodes(docs, key, text, width))
     found = near_copies(docs, rows, text, width, radius, least)
-    rooted = rows.select("key", "node").join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("key").alias(key)).select(key)
-    return docs.join(kept, key, "left_semi")
+    rooted = rows.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "node")).alias("b"))
+    kept = cut_lineage(best.select("b.key", "b.node"))
+    unsure = rows.where("key is null").select("key").limit(1).unionAll(
+        rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 and key is not null").select("key")
+    )
+    unsure = cut_lineage(unsure)
+    plain = docs.join(kept.join(unsure, "key", "left_anti").select(F.col("key").alias(key)), key, "left_semi")
+    # keys that don't tell rows apart: rows go by key and text, and one of equal ones stays
+    same = F.col("u.key").eqNullSafe(F.col(f"d.{key}"))
+    some = docs.alias("d").join(unsure.alias("u"), same, "left_semi").withColumn("__node", _node(F.col(text)))
+    chosen = kept.alias("u").select("key", "node")
+    some = some.alias("d").join(
+        chosen.alias("u"), (F.col("d.__node") == F.col("u.node")) & same, "left_semi"
+    ).dropDuplicates(["__node", key]).select(*columns(docs))
+    return plain.select(*columns(docs)).unionAll(some)

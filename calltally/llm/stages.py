@@ -7,32 +7,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltally.llm import decontamination, packing, pii, simhash, toxicity
-from calltally.llm.common import table
+from calltally.llm.common import columns, table
 
 TOKENIZER = "byte_bpe_50k.json"
+TOXIC = 0.3  # the limit of op5_toxicity
 PII_KEY = "calltally"  # of the registered query; a deployment passes its own secret
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Without the documents that score 0.5 or more; the model learns from the labelled ones among `docs`."""
+    """Without the documents that score `TOXIC` or more; the model learns from the labelled ones among `docs`."""
     model = toxicity.fit(docs, table(spark, folder, "labels"))
-    return toxicity.score(docs, model, name="__score").where("__score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model, name="__score").where(F.col("__score") < TOXIC).select(*columns(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies."""
-    return simhash.first_of_each(docs, "doc_id", "text").select(*docs.columns)
+    return simhash.first_of_each(docs, "doc_id", "text").select(*columns(docs))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Without the documents that hold a passage of a benchmark item."""
-    return decontamination.without_matches(docs, table(spark, folder, "benchmark")).select(*docs.columns)
+    return decontamination.without_matches(docs, table(spark, folder, "benchmark")).select(*columns(docs))
 
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Private values replaced in `text`; every document stays, and `n_chars` follows the new text."""
     out = pii.pseudonymise(docs, PII_KEY)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -16,15 +16,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calltally.llm.common import Rolling, chunks, mixed
+from calltally.llm.common import Rolling, chunks, in_slices, mixed
 
 BLOCK = 24
 STEADY = 400  # n-grams of weight zero that every mean also holds, so that a block of few words is not noise
-PIECE = 1 << 20  # characters of a text that are looked at together; a longer one is cut between words
+PIECE = 1 << 18  # characters that are looked at together; a longer text is cut between words
 _ROLL = Rolling()
 _WORD = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -116,7 +116,7 @@ def logits(texts: list[str], table: np.ndarray, bias: float, wordless: float = 0
     """The largest block logit of each text; `wordless` for a text without words."""
     out = np.full(len(texts), -np.inf)
     pieces = [(k, p) for k, t in enumerate(texts) for p in _pieces(t)]
-    for part in chunks([p for _, p in pieces]):
+    for part in chunks([p for _, p in pieces], PIECE):
         owners = np.array([k for k, _ in pieces[: len(part)]])
         del pieces[: len(part)]
         bucket, starts, owner = grams(part, len(table))
@@ -224,11 +224,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.table.astype(np.float32), model.bias, model.wordless))
 
-    @F.pandas_udf("double")
-    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, bias, wordless = sent.value
+
+        def of(texts: list[str | None]) -> np.ndarray:
+            values = logits([x if x is not None else "" for x in texts], table, bias, wordless)
+            return 1 / (1 + np.exp(-np.clip(values, -30, 30)))
+
         for batch in batches:
-            values = logits([x if x is not None else "" for x in batch], table, bias, wordless)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(values, -30, 30))))
+            yield in_slices(batch, of, pa.float64())
 
     return docs.withColumn(name, probability(F.col(text)))

@@ -1,5 +1,6 @@
 """Every stage of the pipeline, and the whole of it, against plain Python on a small corpus."""
 
+import math
 import random
 
 import pytest
@@ -55,7 +56,7 @@ def test_pipeline_against_plain_python(spark, corpus):
     # toxicity: the trained model applied text by text
     model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     logit = {k: toxicity.logits([t or ""], model.table, model.bias, model.wordless)[0] for k, t in texts.items()}
-    clean = {k: t for k, t in texts.items() if logit[k] < 0}
+    clean = {k: t for k, t in texts.items() if 1 / (1 + math.exp(-logit[k])) < stages.TOXIC}
     first = stages.without_toxic(spark, docs, folder)
     assert {r["doc_id"] for r in first.collect()} == set(clean)
     wrong = [k for k, toxic in labels.items() if (k in clean) == bool(toxic)]
@@ -91,3 +92,22 @@ def test_pipeline_against_plain_python(spark, corpus):
     for r in corpus_pipeline.run(spark, folder).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == size
+
+
+def test_null_and_repeated_ids_and_dotted_names(spark, corpus):
+    folder, texts, items, _ = corpus
+    rng = random.Random(5)
+    text, other, third = (words(rng, 60) for _ in range(3))
+    leak = words(rng, 30) + " " + items[0] + " " + words(rng, 30)
+    rows = [(None, text), (None, other), (4, text), (4, text), (5, third), (5, third), (5, other), (None, leak), (6, leak), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", k, 0) for k, t in rows], "doc_id long, text string, `a.b` string, key long, n_chars long")
+    named = sorted(docs.columns)
+    kept = stages.without_copies(spark, docs, folder)
+    assert sorted(kept.columns) == named
+    # one row of each group, known ids first; rows without words are one group
+    want = [(4, text), (5, third), (5, other), (6, leak), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+    clean = stages.without_benchmark(spark, docs, folder)
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted((r for r in rows if r[1] != leak), key=str)
+    assert stages.without_toxic(spark, docs, folder).columns == docs.columns
+    assert stages.with_pseudonyms(spark, docs, folder).count() == len(rows)
