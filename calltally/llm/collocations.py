@@ -1,21 +1,22 @@
 """Phrase collocations from FM-indexes over word ids.
 
 Texts are cut into pieces at punctuation and into words, and gathered into shards of `SHARD` words of
-one language. A shard keeps the Burrows-Wheeler transforms of its word ids in both directions. A
+one language. A shard becomes the Burrows-Wheeler transforms of its word ids in both directions. A
 phrase is an interval in each: the transform of the text extends it by a word on its left, that of the
 reversed text by a word on its right, and intervals in sorted order are kept in step, so that the same
 phrase reached from both sides is recognised by its interval. All phrases of a length are extended at
 once.
 
 Counts are summed over shards after each length, and only phrases that are frequent enough over the
-whole corpus are extended further, in the shards that can hold them: a phrase has no more occurrences
-than its parts. Rare words become breaks before pairs are counted, and joints of rare pairs before the
-index for longer phrases is built. What a shard gets back are phrases that begin with one of its own,
-so nothing is broadcast for the size of the corpus.
+whole corpus are extended further: a phrase has no more occurrences than its parts. Shards learn which
+these are from a bitmap of `BITS` hashed places, whatever the corpus is like; a chance hit there costs
+a row that the sum removes. So shards are never joined with anything and never move. Rare words become
+breaks before pairs are counted, and joints of rare pairs before the index for longer phrases is built.
 
 Phrases are known by their prefix and suffix, one word shorter each. Counts of all their parts follow
 along these, and so do their extensions: a phrase lies in a longer one if it is the prefix or the
-suffix of one, since a phrase in between is at least as frequent as the longer.
+suffix of one, since a phrase in between is at least as frequent as the longer. Words are 64-bit
+hashes in the shards, phrases are told apart by those of prefix and suffix.
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltally.llm.common import slices
 from calltally.session import cut_lineage, scratch_path
 
 SHARD = 1 << 20  # words
+BITS = 1 << 26  # places of the bitmap of frequent phrases
+TURNS = (7, 13, 22, 37, 45, 53)  # one for each length, so that no word cancels out of a hash
 PIECE = 1 << 20  # bytes of a text that are split into words together
 _BREAK = b"\xff"  # no byte of UTF-8
 _SPLIT = re.compile(rb"[\x20\x09.,;:!?\x0a-\x0d]")
@@ -63,7 +66,7 @@ def tokens(text: bytes) -> Iterator[list[bytes]]:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], depth: int, size: int) -> Iterator[pa.RecordBatch]:
-    """(shard, lang, words, counts, body, counted) from rows (lang, text).
+    """(lang, words, counts, body, counted) from rows (lang, text).
 
     The body has word numbers, 0 for a break. Where a shard ends inside a piece, the `depth - 1` words
     that follow are in it too, so that every phrase can be read from its start; starts from `counted` on
@@ -71,11 +74,9 @@ def _shards(batches: Iterator[pa.RecordBatch], depth: int, size: int) -> Iterato
     """
     held: dict[str, list[pa.Array]] = {}
     sizes: dict[str, int] = {}
-    made = TaskContext.get().partitionId() << 33
     ahead = depth - 1
 
     def close(lang: str, last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal made
         whole = pa.concat_arrays(held[lang])
         at = 0
         while at < len(whole):
@@ -95,14 +96,13 @@ def _shards(batches: Iterator[pa.RecordBatch], depth: int, size: int) -> Iterato
             counts = np.bincount(ids[: stop - at], minlength=len(names) + 1)[1:]
             yield pa.record_batch(
                 [
-                    pa.array([made], pa.int64()), pa.array([lang]),
+                    pa.array([lang]),
                     pa.array([[n.decode() for n in names]], pa.list_(pa.string())),
                     pa.array([counts], pa.list_(pa.int64())),
                     pa.array([ids.tobytes()], pa.binary()), pa.array([stop - at], pa.int64()),
                 ],
-                names=["shard", "lang", "words", "counts", "body", "counted"],
+                names=["lang", "words", "counts", "body", "counted"],
             )
-            made += 1
             at = stop
         held[lang] = [whole.slice(at)]
         sizes[lang] = len(whole) - at
@@ -181,126 +181,130 @@ def build(text: np.ndarray, alien: np.ndarray, depth: int) -> tuple[np.ndarray,
     return text[order - 1], back[mirrored - 1], np.flatnonzero(alien[order])
 
 
-def _flags(places: list[int], n: int) -> np.ndarray:
-    out = np.zeros(n, bool)
-    out[places] = True
-    return out
+def _turned(value: np.ndarray, by: int) -> np.ndarray:
+    return value << np.uint64(by) | value >> np.uint64(64 - by)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, ids, body, alien): words that are left, from rows (shard, body, counted, kept), kept: place and id of a word."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            shard, body, counted, kept = (batch.column(c)[k] for c in range(4))
-            places, ids = (x.to_numpy() for x in kept.values.flatten())
-            by_id = np.argsort(ids)
-            symbol = np.zeros(int(places.max()) + 1, np.int32)
-            symbol[places[by_id]] = np.arange(1, len(ids) + 1)
-            raw = np.frombuffer(body.as_buffer(), np.int32)
-            raw = symbol[np.where(raw < len(symbol), raw, 0)]
-            text, alien = chained(raw, np.arange(len(raw)) >= counted.as_py(), (raw[:-1] > 0) & (raw[1:] > 0), 2)
-            yield pa.record_batch(
-                [
-                    pa.array([shard.as_py()], pa.int64()), pa.array([ids[by_id]], pa.list_(pa.int64())),
-                    pa.array([text.tobytes()], pa.binary()), pa.array([np.flatnonzero(alien)], pa.list_(pa.int64())),
-                ],
-                names=["shard", "ids", "body", "alien"],
-            )
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(prefix, suffix, n): phrases of two words, from rows (ids, body, alien)."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            ids, body, alien = (batch.column(c)[k] for c in range(3))
-            text = np.frombuffer(body.as_buffer(), np.int32)
-            yield from _rows(extend(ids.values.to_numpy(), *build(text, _flags(alien.values.to_numpy(), len(text)), 2), []))
+def _named(prefix: Column, suffix: Column, by: int) -> Column:
+    """The hash of a phrase from those of its parts, as `grow` makes it."""
+    turned = F.shiftleft(prefix, by).bitwiseOR(F.shiftrightunsigned(prefix, 64 - by))
+    return turned.bitwiseXOR(suffix)
 
 
-def _indexed(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """(shard, ids, forward, backward, alien) of chains of frequent pairs, from rows (shard, ids, body, alien, phrases)."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            shard, ids, body, alien, phrases = (batch.column(c)[k] for c in range(5))
-            names = ids.values.to_numpy()
-            _, _, prefix, suffix = (c.to_numpy() for c in phrases.values.flatten())
-            at, to = (np.minimum(np.searchsorted(names, x), len(names) - 1) for x in (prefix, suffix))
-            here = (names[at] == prefix) & (names[to] == suffix)
-            pairs = np.unique((at[here] + 1) << 32 | (to[here] + 1))
-            text = np.frombuffer(body.as_buffer(), np.int32)
-            key = text[:-1].astype(np.int64) << 32 | text[1:]
-            found = np.searchsorted(pairs, key)
-            joined = pairs[np.minimum(found, len(pairs) - 1)] == key if len(pairs) else np.zeros(len(key), bool)
-            text, strange = chained(text, _flags(alien.values.to_numpy(), len(text)), joined, 3)
-            forward, backward, strange = build(text, strange, depth)
-            yield pa.record_batch(
-                [
-                    pa.array([shard.as_py()], pa.int64()), pa.array([names], pa.list_(pa.int64())),
-                    pa.array([forward.tobytes()], pa.binary()), pa.array([backward.tobytes()], pa.binary()),
-                    pa.array([strange], pa.list_(pa.int64())),
-                ],
-                names=["shard", "ids", "forward", "backward", "alien"],
-            )
+def has(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    place = (ids & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
+    return bitmap[place >> 3] >> (place & 7) & 1 > 0
 
 
-def extend(
-    ids: np.ndarray, forward: np.ndarray, backward: np.ndarray, alien: np.ndarray, known: list[tuple[np.ndarray, ...]]
+def grow(
+    ids: np.ndarray, forward: np.ndarray, backward: np.ndarray, alien: np.ndarray, bitmaps: list[np.ndarray], length: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix, suffix, count) of the phrases one word longer than the last of `known`.
-
-    `known` has, for each length from two on, the arrays (id, prefix, suffix) of phrases to extend, among
-    them all that the shard holds; words are `ids`, in order.
-    """
+    """(prefix, suffix, count) of the phrases of `length` words; `bitmaps` has the shorter ones to extend, from 2 on."""
     ahead, behind = Transform(forward, len(ids)), Transform(backward, len(ids))
     symbol = np.arange(1, len(ids) + 1)
-    names, low, mirror = ids, ahead.first[symbol], behind.first[symbol]
+    low, mirror = ahead.first[symbol], behind.first[symbol]
     size = ahead.first[symbol + 1] - low
-    first, last = symbol, symbol
-    for name, prefix, suffix in known:
-        at, to = np.searchsorted(names, prefix), np.searchsorted(names, suffix)
-        at, to = np.minimum(at, len(names) - 1), np.minimum(to, len(names) - 1)
-        here = (names[at] == prefix) & (names[to] == suffix) if len(names) else np.zeros(len(name), bool)
-        name, at, to = name[here], at[here], to[here]
-        start, end = ahead.before(first[at], low[to]), ahead.before(first[at], low[to] + size[to])
-        there = behind.before(last[to], mirror[at])
-        some = end > start
-        order = np.argsort(name[some])
-        pick = lambda x: x[some][order]
-        names, low, size, mirror = pick(name), pick(start), pick(end - start), pick(there)
-        first, last = pick(first[at]), pick(last[to])
-    # to the left through the transform of the text, to the right through that of the reversed text
-    of, word, _, _ = ahead.extensions(low, size)
-    of, word = of[word > 0], word[word > 0]
-    reached = ahead.before(word, low[of])
-    start, _, width, smaller = behind.extensions(mirror, size)
-    begins = low[start] + smaller
-    _, a, b = np.intersect1d(reached, begins, assume_unique=True, return_indices=True)
-    at, width = begins[b], width[b]
+    for k in range(2, length + 1):
+        # to the left through the transform of the text, to the right through that of the reversed text
+        of, word, _, _ = ahead.extensions(low, size)
+        of, word = of[word > 0], word[word > 0]
+        start, end, width, smaller = behind.extensions(mirror, size)
+        begins = low[start] + smaller
+        _, a, b = np.intersect1d(ahead.before(word, low[of]), begins, assume_unique=True, return_indices=True)
+        prefix, suffix, at, width = start[b], of[a], begins[b], width[b]
+        if k == length:
+            break
+        name = _turned(ids[prefix], TURNS[k - 2]) ^ ids[suffix]
+        some = has(bitmaps[k - 2], name)
+        mirror = behind.before(end[b], mirror[prefix])[some]
+        ids, low, size = name[some], at[some], width[some]
     count = width - (np.searchsorted(alien, at + width) - np.searchsorted(alien, at))
     some = count > 0
-    return names[start[b]][some], names[of[a]][some], count[some]
+    return ids[prefix][some], ids[suffix][some], count[some]
 
 
 def _rows(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    columns = [x.view(np.int64) for x in found]
     for at in range(0, len(found[0]), 1 << 16):
-        yield pa.record_batch([pa.array(x[at : at + (1 << 16)]) for x in found], names=["prefix", "suffix", "n"])
+        yield pa.record_batch([pa.array(x[at : at + (1 << 16)]) for x in columns], names=["prefix", "suffix", "n"])
+
+
+def _dense(ids: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Only the words that occur, and the text in their numbers; 0 stays a break."""
+    used = np.unique(text)
+    used = used[used > 0]
+    number = np.zeros(len(ids) + 1, np.int32)
+    number[used] = np.arange(1, len(used) + 1)
+    return ids[used - 1], number[text]
 
 
-def _extended(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(prefix, suffix, n) of each shard, from rows (ids, forward, backward, alien, phrases)."""
+def frequent_words(lang: str, words: list[str], body: np.ndarray, counted: int, bitmap: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(ids, text, alien): the shard with a break for every rare word, in runs of two words or more."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+    ids = np.fromiter((xxhash.xxh64_intdigest(w.encode(), seed) for w in words), np.uint64, len(words))
+    keep = np.concatenate(([False], has(bitmap, ids)))
+    text = np.where(keep[body], body, 0)
+    text, alien = chained(text, np.arange(len(text)) >= counted, (text[:-1] > 0) & (text[1:] > 0), 2)
+    return (*_dense(ids, text), alien)
+
+
+def _read(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            lang, words, body, counted = (batch.column(c)[k] for c in range(4))
+            yield frequent_words(
+                lang.as_py(), words.as_py(), np.frombuffer(body.as_buffer(), np.int32), counted.as_py(), bitmap
+            )
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(prefix, suffix, n): phrases of two words, from rows (lang, words, body, counted)."""
+    for ids, text, alien in _read(batches, bitmap):
+        yield from _rows(grow(ids, *build(text, alien, 2), [], 2))
+
+
+def _indexed(batches: Iterator[pa.RecordBatch], words: np.ndarray, pairs: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
+    """(ids, forward, backward, alien) of chains of frequent pairs, from rows (lang, words, body, counted)."""
+    for ids, text, alien in _read(batches, words):
+        name = np.concatenate((np.zeros(1, np.uint64), ids))[text]
+        joined = (text[:-1] > 0) & (text[1:] > 0)
+        joined &= has(pairs, _turned(name[:-1], TURNS[0]) ^ name[1:])
+        text, alien = chained(text, alien, joined, 3)
+        ids, text = _dense(ids, text)
+        forward, backward, strange = build(text, alien, depth)
+        yield pa.record_batch(
+            [
+                pa.array([ids.view(np.int64)], pa.list_(pa.int64())), pa.array([forward.tobytes()], pa.binary()),
+                pa.array([backward.tobytes()], pa.binary()), pa.array([strange], pa.list_(pa.int64())),
+            ],
+            names=["ids", "forward", "backward", "alien"],
+        )
+
+
+def _extended(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray], length: int) -> Iterator[pa.RecordBatch]:
+    """(prefix, suffix, n): phrases of `length` words, from rows (ids, forward, backward, alien)."""
     for batch in batches:
         for k in range(batch.num_rows):
-            ids, forward, backward, alien, phrases = (batch.column(c)[k] for c in range(5))
-            level, *columns = (c.to_numpy() for c in phrases.values.flatten())
-            yield from _rows(extend(
-                ids.values.to_numpy(), np.frombuffer(forward.as_buffer(), np.int32),
-                np.frombuffer(backward.as_buffer(), np.int32), alien.values.to_numpy(),
-                [tuple(x[level == n] for x in columns) for n in range(2, length + 1)],
+            ids, forward, backward, alien = (batch.column(c)[k] for c in range(4))
+            yield from _rows(grow(
+                ids.values.to_numpy().view(np.uint64), np.frombuffer(forward.as_buffer(), np.int32),
+                np.frombuffer(backward.as_buffer(), np.int32), alien.values.to_numpy(), bitmaps, length,
             ))
 
 
+def _bitmap(level: DataFrame, bits: int) -> np.ndarray:
+    """Which of `bits` places the ids of a level take; at most bits / 8 bytes come to the driver."""
+    place = F.col("id").bitwiseAND(F.lit(bits - 1))
+    rows = level.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(F.lit(32767)).alias("bit"))
+    out = np.zeros((-(-bits // 32768), 4096), np.uint8)
+    for r in rows.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map")).toLocalIterator():
+        out[r["part"]] = np.frombuffer(bytes(r["map"]), np.uint8)
+    return out.ravel()[: bits // 8]
+
+
 def mine(
-    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, shard: int = SHARD
+    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, shard: int = SHARD,
+    bits: int = BITS,
 ) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): frequent phrases of 1 to `longest` words, and all words of each language.
 
@@ -310,71 +314,58 @@ def mine(
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
-    path = scratch_path(spark, "shards")
-    rows.mapInArrow(
-        lambda batches: _shards(batches, longest, shard),
-        "shard long, lang string, words array<string>, counts array<long>, body binary, counted long",
-    ).write.parquet(path)
-    shards = spark.read.parquet(path)
-    listed = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(
-        "shard", "lang", (F.col("at") + 1).alias("at"), F.col("w.words").alias("word"), F.col("w.counts").alias("n")
-    )
-    totals = cut_lineage(shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-                         .groupBy("lang").agg(F.sum("n").alias("n")))
-
     def stored(name: str, frame: DataFrame) -> DataFrame:
         where = scratch_path(spark, name)
         frame.write.parquet(where)
         return spark.read.parquet(where)
 
-    counts = listed.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    shards = stored("shards", rows.mapInArrow(
+        lambda batches: _shards(batches, longest, shard),
+        "lang string, words array<string>, counts array<long>, body binary, counted long",
+    ))
+    totals = cut_lineage(shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+                         .groupBy("lang").agg(F.sum("n").alias("n")))
+    listed = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    counts = listed.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(F.col("f") >= least)
+    none = F.lit(None).cast("long")
     level = stored("phrases-1", counts.select(
-        "lang", F.lit(1).alias("length"), F.monotonically_increasing_id().alias("id"), F.lit(None).cast("long").alias("prefix"),
-        F.lit(None).cast("long").alias("suffix"), F.array("word").alias("words"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"),
+        "lang", F.lit(1).alias("length"), F.xxhash64("lang", "word").alias("id"), none.alias("prefix"), none.alias("suffix"),
+        F.array("word").alias("words"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"),
     ))
-    names = level.select("lang", F.col("words")[0].alias("word"), "id")
-    local = stored("words-of-shards", listed.select("shard", "lang", "at", "word").join(names, ["lang", "word"]).select("shard", "at", "id"))
-    kept = local.groupBy("shard").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), "id")).alias("kept"))
-    bodies = stored("frequent-words", shards.select("shard", "body", "counted").join(kept, "shard").select(
-        "shard", "body", "counted", "kept"
-    ).mapInArrow(_frequent, "shard long, ids array<long>, body binary, alien array<long>"))
-    found, lists, index = level, None, None
-    place = local.select("shard", "id")
-    for length in range(1, longest):
-        if length == 1:
-            parts = bodies.select("ids", "body", "alien").mapInArrow(_pairs, "prefix long, suffix long, n long")
+    found, bitmaps, index = level, [], None
+    bodies = shards.select("lang", "words", "body", "counted")
+    kind = "prefix long, suffix long, n long"
+    for length in range(2, longest + 1):
+        bitmaps.append(spark.sparkContext.broadcast(_bitmap(level, bits)))
+        sent = tuple(bitmaps)
+        if length == 2:
+            parts = bodies.mapInArrow(lambda batches, sent=sent: _pairs(batches, sent[0].value), kind)
         else:
-            mine_too = lists.groupBy("shard").agg(F.collect_list(F.struct("level", "id", "prefix", "suffix")).alias("phrases"))
-            if length == 2:
+            if index is None:
                 # only chains of frequent pairs can hold longer phrases
-                index = stored("indexes", bodies.join(mine_too, "shard").select("shard", "ids", "body", "alien", "phrases").mapInArrow(
-                    lambda batches: _indexed(batches, longest),
-                    "shard long, ids array<long>, forward binary, backward binary, alien array<long>",
+                index = stored("indexes", bodies.mapInArrow(
+                    lambda batches, sent=sent: _indexed(batches, sent[0].value, sent[1].value, longest),
+                    "ids array<long>, forward binary, backward binary, alien array<long>",
                 ))
-            parts = index.join(mine_too, "shard").select("ids", "forward", "backward", "alien", "phrases").mapInArrow(
-                lambda batches, length=length: _extended(batches, length), "prefix long, suffix long, n long"
+            parts = index.mapInArrow(
+                lambda batches, sent=sent, length=length: _extended(batches, [b.value for b in sent[1:]], length), kind
             )
         sums = cut_lineage(parts.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
         left = level.select("lang", F.col("id").alias("prefix"), "words", "heads")
         right = level.select(F.col("id").alias("suffix"), F.element_at("words", -1).alias("end"), "tails")
-        level = stored(f"phrases-{length + 1}", sums.join(left, "prefix").join(right, "suffix").select(
-            "lang", F.lit(length + 1).alias("length"), F.monotonically_increasing_id().alias("id"), "prefix", "suffix",
-            F.concat("words", F.array("end")).alias("words"), "f", F.concat("heads", F.array("f")).alias("heads"),
-            F.concat("tails", F.array("f")).alias("tails"),
+        level = stored(f"phrases-{length}", sums.join(left, "prefix").join(right, "suffix").select(
+            "lang", F.lit(length).alias("length"), _named(F.col("prefix"), F.col("suffix"), TURNS[length - 2]).alias("id"),
+            "prefix", "suffix", F.concat("words", F.array("end")).alias("words"), "f",
+            F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"),
         ))
         found = found.unionAll(level)
-        if length + 1 < longest:
-            here = level.select(F.lit(length + 1).alias("level"), F.col("id").alias("next"), "prefix", "suffix")
-            fresh = cut_lineage(place.join(here, place["id"] == here["prefix"]).select(
-                "shard", "level", F.col("next").alias("id"), "prefix", "suffix"
-            ))
-            place = fresh.select("shard", "id")
-            lists = fresh if lists is None else lists.unionAll(fresh)
+    for sent in bitmaps:
+        sent.unpersist()
     return found, totals
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5,
-                 absorb: int = 100, most: int = 2000, shard: int = SHARD) -> DataFrame:
+                 absorb: int = 100, most: int = 2000, shard: int = SHARD, bits: int = BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the `most` best-scoring phrases of 2 to `longest` words of each language.
 
     The score is the smallest of floor(1000 a n / (l r)) over all cuts in two, the first cut of those
@@ -382,7 +373,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     score go by count, then by phrase. Repeated rows count as often as they occur; an empty table, or one
     without a frequent phrase, gives no rows.
     """
-    found, totals = mine(docs, text, lang, least, longest, shard)
+    found, totals = mine(docs, text, lang, least, longest, shard, bits)
     up = F.col("length") - 1
     longer = found.where("length > 1").select(up.alias("length"), F.explode(F.array(F.struct(F.col("prefix").alias("id"), "f"), F.struct(F.col("suffix").alias("id"), "f"))).alias("x"))
     longer = longer.groupBy("length", F.col("x.id").alias("id")).agg(F.max("x.f").alias("more"))
