@@ -195,3 +195,25 @@ def traces(spark: SparkSession, folder: str) -> DataFrame:
         "to_json(struct(l_partkey AS part)) AS trace_data",
     )
     return roots.unionByName(children)
+
+
+def nested_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders under orders of half their key and line items under earlier ones of their order: deep trees,
+    some with a parent that does not exist, some below a span that is its own parent."""
+    orders = table(spark, folder, "orders").selectExpr(
+        "concat('o', cast(o_orderkey AS string)) AS id",
+        "CASE WHEN o_orderkey % 1009 = 5 THEN concat('o', cast(o_orderkey AS string)) WHEN o_orderkey % 97 = 11 THEN"
+        " concat('x', cast(o_orderkey AS string)) WHEN o_orderkey > 0 AND o_orderkey % 89 <> 3 THEN"
+        " concat('o', cast(o_orderkey div 2 AS string)) END AS parent_trace_id",
+        "o_orderdate AS start_time",
+        "o_orderdate + make_dt_interval(0, 0, 0, cast(o_custkey % 100 AS decimal(18,6))) AS end_time",
+    )
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_shipdate").alias("start_time"), F.min("l_quantity").alias("length")
+    ).selectExpr(
+        "concat('l', cast(l_orderkey AS string), '_', cast(l_linenumber AS string)) AS id",
+        "CASE WHEN l_linenumber > 1 THEN concat('l', cast(l_orderkey AS string), '_', cast(l_linenumber - 1 AS string))"
+        " ELSE concat('o', cast(l_orderkey AS string)) END AS parent_trace_id",
+        "start_time", "start_time + make_dt_interval(0, 0, 0, cast(length AS decimal(18,6))) AS end_time",
+    )
+    return orders.unionByName(lines)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from calltally import values
 from calltally.functions import pricing, times
-from calltally.operators import cleaning, metrics, quality, rollups
-from calltally.plans.inputs import LANGUAGES, battles, completions, evals, table, traces
+from calltally.operators import cleaning, metrics, quality, rollups, trees
+from calltally.plans.inputs import LANGUAGES, battles, completions, evals, nested_traces, table, traces
 from calltally.plans.registry import query
 from calltally.plans.traffic import END, PERIOD, START
 from calltally.plans.twins import (
@@ -540,3 +540,39 @@ FROM events GROUP BY user_id HAVING count(*) > 1""",
 )
 def _(spark, folder):
     return quality.repeated_keys(table(spark, folder, "events"), F.col("user_id"), "user_id")
+
+
+NESTED_CTE = """spans AS (
+  SELECT 'o' || o_orderkey AS id, CASE WHEN o_orderkey % 1009 = 5 THEN 'o' || o_orderkey
+      WHEN o_orderkey % 97 = 11 THEN 'x' || o_orderkey
+      WHEN o_orderkey > 0 AND o_orderkey % 89 <> 3 THEN 'o' || (o_orderkey // 2) END AS parent, (o_custkey % 100) * 1000.0::DOUBLE AS ms
+  FROM orders
+  UNION ALL SELECT 'l' || l_orderkey || '_' || l_linenumber, CASE WHEN l_linenumber > 1
+      THEN 'l' || l_orderkey || '_' || (l_linenumber - 1) ELSE 'o' || l_orderkey END, min(l_quantity) * 1000.0::DOUBLE
+  FROM lineitem GROUP BY l_orderkey, l_linenumber
+), below AS (SELECT parent, sum(ms) AS child_ms FROM spans WHERE parent <> id GROUP BY parent
+), own AS (SELECT s.id, s.parent, s.ms, greatest(s.ms - coalesce(child_ms, 0), 0) AS self_ms FROM spans s LEFT JOIN below b ON b.parent = s.id
+), walk AS (
+  SELECT id, id AS root_id, 0 AS depth, self_ms AS path_ms, CASE WHEN parent IS NULL THEN 'root' ELSE 'orphan' END AS kind
+  FROM own WHERE parent IS NULL OR parent NOT IN (SELECT id FROM own)
+  UNION ALL SELECT o.id, w.root_id, w.depth + 1, w.path_ms + o.self_ms, 'span' FROM own o JOIN walk w ON o.parent = w.id
+), paths AS (
+  SELECT o.id, root_id, depth::BIGINT AS depth, ms AS duration_ms, self_ms, path_ms, coalesce(kind, 'cycle') AS kind
+  FROM own o LEFT JOIN walk USING (id)
+)"""
+
+
+@query("ag30_span_paths", f"WITH RECURSIVE {NESTED_CTE} SELECT * FROM paths")
+def _(spark, folder):
+    return trees.span_paths(nested_traces(spark, folder))
+
+
+@query(
+    "ag30_trace_trees",
+    f"""WITH RECURSIVE {NESTED_CTE} SELECT root_id, count(*) AS spans, max(depth) AS depth, sum(self_ms) AS self_ms,
+  max(path_ms) AS critical_ms, CASE WHEN root_id IS NOT NULL THEN arg_min(id, (-path_ms, id)) END AS critical_end,
+  CASE WHEN root_id IS NULL THEN 'cycle' WHEN bool_or(kind = 'orphan') THEN 'orphan' ELSE 'root' END AS kind
+FROM paths GROUP BY root_id""",
+)
+def _(spark, folder):
+    return trees.trace_trees(nested_traces(spark, folder))

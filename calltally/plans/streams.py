@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calltally.operators import alerts
 from calltally.plans.inputs import TABLES, completions, completions_from, evals_from
 from calltally.plans.operations import RAW_CTE, raw_calls
 from calltally.plans.registry import query
@@ -97,6 +98,54 @@ def _(spark, folder):
     return finished(spark, jobs.sliding_alerts(calls, 800.0, 30.0), "sliding")
 
 
+LIFE_RULES = [
+    ("slow", "latency_ms", ">", 800.0, "warning"),
+    ("failing", "error_rate_percent", ">", 10.0, "critical"),
+    ("quiet", "request_count", "<=", 1.0, "info"),
+]
+_CROSSED = " UNION ALL ".join(
+    f"""SELECT '{name}' AS alert_name, '{sign}' AS sign, '{severity}' AS severity, '{metric} {sign} {limit}' AS triggered_condition,
+  model, window_end AS ended, {metric}::DOUBLE AS v FROM closed WHERE {metric} {sign} {limit}"""
+    for name, metric, sign, limit, severity in LIFE_RULES
+)
+LIFE_CTE = f"""closed AS (SELECT * FROM (SELECT window_start + INTERVAL 1 HOUR AS window_end, model, count(*) AS request_count,
+    round(avg(latency_ms), 2) AS latency_ms, {percent('count(*) FILTER (WHERE tokens_out <= 0)', 'count(*)', '0.0')} AS error_rate_percent
+  FROM (SELECT *, unnest([time_bucket(INTERVAL 15 MINUTES, timestamp) - to_minutes(k * 15)
+      FOR k IN [0, 1, 2, 3]]) AS window_start FROM completions) GROUP BY window_start, model) WHERE window_end <= {CLOSED}),
+crossed AS ({_CROSSED}),
+opening AS (SELECT *, CASE WHEN ended <= lag(ended) OVER (PARTITION BY alert_name, model ORDER BY ended) + INTERVAL 30 MINUTES
+  THEN 0 ELSE 1 END AS opens FROM crossed),
+islands AS (SELECT *, sum(opens) OVER (PARTITION BY alert_name, model ORDER BY ended) AS place FROM opening)"""
+LIFE_COLUMNS = (
+    "alert_name", "model", "severity", "triggered_condition", "triggered_at", "resolved_at", "windows", "metric_value",
+    "peak_value", "is_active", "is_resolved",
+)
+LIFE_SQL = """SELECT alert_name, model, severity, triggered_condition, min(ended) AS triggered_at,
+  CASE WHEN max(ended) + INTERVAL 30 MINUTES < {until} THEN max(ended) + INTERVAL 30 MINUTES END AS resolved_at, count(*) AS windows,
+  arg_min(v, ended) AS metric_value, CASE WHEN starts_with(sign, '>') THEN max(v) ELSE min(v) END AS peak_value,
+  max(ended) + INTERVAL 30 MINUTES >= {until} AS is_active, max(ended) + INTERVAL 30 MINUTES < {until} AS is_resolved
+FROM islands GROUP BY alert_name, model, severity, triggered_condition, sign, place"""
+
+
+@query("st4_alert_lifecycle", over_completions(LIFE_SQL.format(until=CLOSED), LIFE_CTE))
+def _(spark, folder):
+    calls = completions_from(event_stream(spark, folder))
+    with jobs.with_timers(spark):
+        events = finished(spark, jobs.alert_lifecycle(jobs.crossings(calls, LIFE_RULES)), "alerts")
+    at = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("triggered_at", "resolved_at")]
+    rest = [c for c in LIFE_COLUMNS if not c.endswith("_at")]
+    return alerts.standing(events).select(*rest, *at)
+
+
+@query("ag28_alert_episodes", over_completions(LIFE_SQL.format(until="(SELECT max(ended) FROM crossed)"), LIFE_CTE))
+def _(spark, folder):
+    """The same alerts from the table, up to the last crossing of a closed window."""
+    calls = completions(spark, folder)
+    closed = calls.agg(F.max("timestamp") - F.expr("INTERVAL 1 HOUR")).scalar()
+    crossed = jobs.crossings(calls, LIFE_RULES).withColumn("triggered_at", F.col("triggered_at").cast("timestamp_ntz"))
+    return alerts.episodes(crossed.where(F.col("triggered_at") <= closed)).select(*LIFE_COLUMNS)
+
+
 SESSIONS = f"""marked AS (SELECT user_id, timestamp, cost_usd,
     CASE WHEN timestamp >= lag(timestamp) OVER (PARTITION BY user_id ORDER BY timestamp) + INTERVAL 30 MINUTES
       OR lag(timestamp) OVER (PARTITION BY user_id ORDER BY timestamp) IS NULL THEN 1 ELSE 0 END AS opens

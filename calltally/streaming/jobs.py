@@ -8,15 +8,21 @@ by the watermark.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from calltally import schemas
 from calltally.functions import numbers
+from calltally.operators import alerts
 from calltally.operators.quality import completion_rules, with_reasons
+from calltally.operators.rollups import threshold_alerts
 
 LATENESS = "1 hour"
 
@@ -141,6 +147,123 @@ def sliding_alerts(
     )
 
 
+def crossings(
+    calls: DataFrame, rules: list[tuple[str, str, str, float, str]], width: str = "1 hour", slide: str = "15 minutes",
+    lateness: str = LATENESS,
+) -> DataFrame:
+    """Rows of `rollups.threshold_alerts` for closed sliding windows; metrics are latency, error rate and requests."""
+    grouped = (
+        event_time(calls, lateness=lateness)
+        .groupBy(F.window("ts", width, slide).alias("w"), "model")
+        .agg(
+            F.count(F.lit(1)).alias("requests"),
+            F.round(F.avg("latency_ms"), 2).alias("latency"),
+            F.count(F.when(F.col("tokens_out") <= 0, 1)).alias("errors"),
+        )
+    )
+    metrics = F.array(*[
+        F.struct(F.lit(name).alias("metric_name"), value.cast("double").alias("metric_value"))
+        for name, value in (
+            ("latency_ms", F.col("latency")), ("request_count", F.col("requests")),
+            ("error_rate_percent", numbers.percent(F.col("errors"), F.col("requests"), 0.0)),
+        )
+    ])
+    rows = grouped.select("model", F.col("w.end").alias("window_end"), F.explode(metrics).alias("m"))
+    return threshold_alerts(rows.select("model", "window_end", "m.*"), rules)
+
+
+class _Follow(StatefulProcessor):
+    """One open alert per key: facts, opened, last, windows, value, peak."""
+
+    def __init__(self, quiet: timedelta, longest: timedelta | None) -> None:
+        self._quiet, self._longest = quiet, longest
+        self._facts = [c.split()[0] for c in alerts.FACTS.split(", ")]
+        self._columns = [c.split()[0] for c in alerts.EVENTS.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        kinds = f"{alerts.FACTS}, opened timestamp, last timestamp, windows long, value double, peak double"
+        self._open = handle.getValueState("open", kinds)
+
+    def _end(self, held: list) -> pd.Timestamp:
+        least = held[6] + self._quiet
+        return min(least, held[5] + self._longest) if self._longest else least
+
+    def _told(self, key: tuple, event: str, held: list) -> tuple:
+        resolved = self._end(held) if event == "resolved" else None
+        return (*key, *held[:5], event, held[5], resolved, *held[7:])
+
+    def _frames(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame(out, columns=self._columns)
+
+    def _due(self, held: list) -> int:
+        return int(self._end(held).timestamp() * 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out: list[tuple] = []
+        held = list(self._open.get()) if self._open.exists() else None
+        if held:
+            self._handle.deleteTimer(self._due(held))
+        for row in pd.concat(list(rows)).sort_values("triggered_at", kind="stable").itertuples(index=False):
+            at, value = row.triggered_at, float(row.metric_value)
+            if held and at >= alerts.deadline(held[5], held[6], self._quiet, self._longest, at):
+                out.append(self._told(key, "resolved", held))
+                held = None
+            if held:
+                sign = ">" if ">" in held[2] else "<"
+                held[6:] = [at, held[7] + 1, held[8], alerts.further(sign, held[9], value)]
+            else:
+                held = [*(getattr(row, f) for f in self._facts), at, at, 1, value, value]
+                out.append(self._told(key, "opened", held))
+        if self._due(held) < timerValues.getCurrentWatermarkInMs():
+            out.append(self._told(key, "resolved", held))
+            self._open.clear()
+        else:
+            if held[7] > 1:
+                out.append(self._told(key, "updated", held))
+            self._open.update(tuple(held))
+            self._handle.registerTimer(self._due(held))
+        yield from self._frames(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = list(self._open.get()) if self._open.exists() else None
+        if held and self._due(held) <= expiredTimerInfo.getExpiryTimeInMs():
+            self._open.clear()
+            yield from self._frames([self._told(key, "resolved", held)])
+
+    def close(self) -> None:
+        pass
+
+
+def alert_lifecycle(
+    crossed: DataFrame, quiet: timedelta = timedelta(minutes=30), longest: timedelta | None = None
+) -> DataFrame:
+    """Events of alerts, `opened`, `updated` and `resolved`, from a stream of crossings; see `operators.alerts`.
+
+    State is one small row for each open alert and goes when it resolves, by a crossing that comes too
+    late for it or by a timer in event time, so silence resolves alerts as well. Crossings of one key
+    come in order from batch to batch, as windows close with the watermark; within a batch they are
+    sorted. A batch that runs again gives the same events. The session's state store must be RocksDB
+    (`with_timers`).
+    """
+    return crossed.groupBy(*alerts.KEY).transformWithStateInPandas(
+        _Follow(quiet, longest), outputStructType=alerts.EVENTS, outputMode="append", timeMode="EventTime"
+    )
+
+
+@contextmanager
+def with_timers(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which state with timers needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def user_sessions(calls: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Activity sessions per user; runs on a stream with event time and on a table alike.
 

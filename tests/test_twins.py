@@ -20,7 +20,8 @@ NAMES = [
     "dq3_accepted_rows", "dq6_battle_audit", "cl3_cl4_filled_cells", "cl18_flat_messages",
     "etl1_etl2_battle_sides", "etl4_upload_scores_unstemmed", "src1_upload_csv", "src4_replayed_calls",
     "snk6_without_dataset", "s3_newest_page", "s6_sample", "txt5_jaccard", "txt6_cosine", "txt7_rules",
-    "txt8_judge_requests", "st2_hourly_rollup", "st5_user_sessions",
+    "txt8_judge_requests", "st2_hourly_rollup", "st4_alert_lifecycle", "st5_user_sessions",
+    "ag28_alert_episodes", "ag30_trace_trees", "snk8_sketch_by_model", "snk8_sketch_percentiles",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
