@@ -14,9 +14,10 @@ Work is on distinct word sequences, so copies cost nothing further. The members
 paired with each other at first, but with one head: in the first round its smallest node, in the
 second the one with most links, which in a family of copies is the text that they were made from.
 Members that are in different components after that are compared, as the bucket may hold texts that
-the heads do not join. There a bit of every place tells most unlike pairs apart before any set moves,
-and members of a bucket over `CROWDED` are first dealt anew by a second band that they share, since
-pairs above the limit share several. No pair is passed over for the size of its bucket.
+the heads do not join. There the shingles that only one set has, and a bit of every place, tell most
+unlike pairs apart before any set moves. Members of a bucket over `CROWDED` are first dealt anew by a
+second band that they share, since pairs above the limit share several. No pair is passed over for the
+size of its bucket.
 """
 
 from __future__ import annotations
@@ -154,16 +155,19 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _may_link(percent: int) -> Column:
-    """Whether two members of a bucket can reach the limit, by their sizes and the bits of their places.
+    """Whether two members of a bucket can reach the limit, by sizes, own shingles and the bits of their places.
 
-    Bits of a pair at the limit differ in (1 - limit) / 2 of the places on average; seven standard
-    deviations above that is left to the full sets.
+    Shingles that only one set has are in no intersection, which bounds it. Bits of a pair at the limit
+    differ in (1 - limit) / 2 of the places on average; all up to six standard deviations above that are
+    left to the full sets.
     """
     share = (100 - percent) / 200
-    most = COORDINATES * share + 7 * sqrt(COORDINATES * share * (1 - share))
+    most = COORDINATES * share + 6 * sqrt(COORDINATES * share * (1 - share))
     apart = sum(F.bit_count(F.col(f"a.bits{k}").bitwiseXOR(F.col(f"b.bits{k}"))) for k in range(_BITS))
+    common = F.least(F.col("a.size") - F.col("a.own"), F.col("b.size") - F.col("b.own"))
     return (
-        (100 * F.least("a.size", "b.size") >= percent * F.greatest("a.size", "b.size")) & (apart <= F.lit(most))
+        (100 * F.least("a.size", "b.size") >= percent * F.greatest("a.size", "b.size"))
+        & (100 * common >= percent * (F.col("a.size") + F.col("b.size") - common)) & (apart <= F.lit(most))
     )
 
 
@@ -202,6 +206,10 @@ def linked(nodes: DataFrame, texts: DataFrame, width: int, percent: int, crowded
         .mapInArrow(lambda batches: _sets(batches, width), "node long, members array<long>").write.parquet(path)
     )
     sets = spark.read.parquet(path)
+    once = sets.select("node", F.explode("members").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    own = cut_lineage(once.where("n = 1").groupBy("node").agg(F.count("*").alias("own")))
+    described = described.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    members = cut_lineage(members.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))))
 
     def star(heads: DataFrame) -> DataFrame:
         """Links of members with the head of their bucket."""
