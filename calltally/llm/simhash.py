@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltally.llm.common import columns, components, in_slices
+from calltally.llm.common import columns, components, in_slices, mixed, slices
 from calltally.session import cut_lineage, discard, scratch_path
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -42,6 +43,7 @@ BANDS, ROWS = 20, 5
 _RANDOM = np.random.default_rng(42)
 _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_BITS = -(-BANDS * ROWS // 64)
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -231,34 +233,44 @@ def similarity(a: str | None, b: str | None, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def buckets(text: str | None, width: int) -> tuple[int, int, list[int]]:
-    """(node, size, keys): hash of the words, number of shingles, one MinHash key a band (none without a word).
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Distinct hashes of the shingles, in order."""
+    found = shingles(text, width)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in found), np.uint64, len(found)))
+
+
+def buckets(text: str | None, width: int) -> tuple[int, int, list[int], list[int]]:
+    """(node, size, keys, bits): hash of the words, number of shingles, one MinHash key a band (none without
+    a word), a bit of every MinHash value, packed.
 
     Texts of similarity s share a band with probability s ** `ROWS`; at 0.8 all `BANDS` miss one pair in 2 800.
     """
     node = _signed(xxhash.xxh64_intdigest(b" ".join(_words(text)), 42))
-    found = shingles(text, width)
-    if not found:
-        return node, 0, []
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in found), np.uint64, len(found))
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return node, 0, [], [0] * _BITS
     least = np.full(len(_FACTORS), ~np.uint64(0))
     for at in range(0, len(hashes), 1 << 13):
         part = hashes[at : at + (1 << 13), None] * _FACTORS + _TERMS
         least = np.minimum(least, part.min(axis=0))
     keys = [_signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, ROWS))]
-    return node, len(found), keys
+    bits = np.packbits((mixed(least) & np.uint64(1)).astype(np.uint8))
+    return node, len(hashes), keys, np.pad(bits, (0, 8 * _BITS - len(bits))).view(np.int64).tolist()
 
 
 def nodes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, node, fp, size, keys) of every row; rows of equal words have one node."""
+    """(key, node, fp, size, keys, bits) of every row; rows of equal words have one node."""
 
-    kind = pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    kind = pa.struct([
+        ("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())),
+        ("bits", pa.list_(pa.int64())),
+    ])
 
     def of(texts: list[str | None]) -> list[dict]:
         found = ((_signed(fingerprint(t, width)), *buckets(t, width)) for t in texts)
-        return [{"node": node, "fp": fp, "size": size, "keys": keys} for fp, node, size, keys in found]
+        return [{"node": node, "fp": fp, "size": size, "keys": keys, "bits": bits} for fp, node, size, keys, bits in found]
 
-    @F.arrow_udf("node long, fp long, size int, keys array<long>")
+    @F.arrow_udf("node long, fp long, size long, keys array<long>, bits array<long>")
     def value(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield in_slices(batch, of, kind)
@@ -278,61 +290,109 @@ def _node(text: Column) -> Column:
     return value(text)
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts, joined by node, have a similarity of at least `least`."""
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        found = [shingle_hashes(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "members"])
 
-    @F.arrow_udf("boolean")
-    def near(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            both = pa.StructArray.from_arrays([left, right], ["x", "y"])
-            yield in_slices(both, lambda pairs: [similarity(p["x"], p["y"], width) >= least for p in pairs], pa.bool_(), 64)
 
-    right = bodies.select(F.col("node").alias("b"), F.col("body").alias("right"))
-    left = bodies.select(F.col("node").alias("a"), F.col("body").alias("left"))
-    return cut_lineage(pairs.join(right, "b").join(left, "a").where(near("left", "right")).select("a", "b"))
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a similarity of at least `least`."""
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
+    both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("x", "y")))
+    union = F.size("x") + F.size("y") - F.col("common")
+    return cut_lineage(both.where((union == 0) | (F.col("common") >= F.lit(least) * union)).select("a", "b"))
+
+
+def _may_reach(least: float) -> Column:
+    """Whether `a` and `b` can reach the limit, by sizes and the bits of their MinHash values.
+
+    Bits of a pair at the limit differ in (1 - limit) / 2 of the places on average; all up to six standard
+    deviations above that are left to the full sets.
+    """
+    share, places = (1 - least) / 2, BANDS * ROWS
+    most = places * share + 6 * sqrt(places * share * (1 - share))
+    apart = sum(F.bit_count(F.col("a.bits")[k].bitwiseXOR(F.col("b.bits")[k])) for k in range(_BITS))
+    return (F.least("a.size", "b.size") >= F.lit(least) * F.greatest("a.size", "b.size")) & (apart <= F.lit(most))
+
+
+def _ordered() -> list[Column]:
+    return [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that `found` (node, root) leaves in several components, with their roots."""
+    placed = cut_lineage(members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return placed.join(cut_lineage(apart.select("bucket")), "bucket")
 
 
 def near_copies(docs: DataFrame, rows: DataFrame, text: str, width: int, radius: int, least: float) -> DataFrame:
     """(node, root): components over pairs of similarity `least` or more, for nodes that have one.
 
     Candidates are the SimHash links within `radius` bits and the nodes that share a MinHash bucket; each
-    pair is decided by its texts. A bucket is first compared with its smallest node. Then those of its
-    members that are still in different components are compared with each other, all pairs of them, so
-    nothing in a bucket is passed over and a large family of copies takes a number of pairs that grows
-    with its size.
+    pair is decided by its shingles. A bucket is first compared with its smallest node, then with the one
+    that has most links, which in a family of copies is the text that they were made from. Members that
+    are in different components after that are compared with each other, unless the shingles that only one
+    of them has rule the pair out, so nothing in a bucket is passed over and a large family of copies takes
+    a number of pairs that grows with its size.
     """
     spark = docs.sparkSession
-    known = cut_lineage(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    dealt = known.select("node", "size", F.explode("keys").alias("bucket"))
-    heads = cut_lineage(dealt.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("n")).where("n > 1"))
-    dealt = cut_lineage(dealt.join(heads, "bucket"))
-    fits = F.least("size", "other") >= F.lit(least) * F.greatest("size", "other")
-    star = dealt.select(F.col("head.node").alias("a"), F.col("node").alias("b"), "size", F.col("head.size").alias("other"))
-    star = star.where("a <> b").where(fits).select("a", "b")
+    whole = [F.first(c).alias(c) for c in ("fp", "size", "keys", "bits")]
+    known = cut_lineage(rows.groupBy("node").agg(*whole))
+    body = F.struct("node", "size", "bits")
+    dealt = known.select("node", "size", "bits", F.explode("keys").alias("bucket"))
+    heads = dealt.groupBy("bucket").agg(F.min(body).alias("a"), F.count("*").alias("n")).where("n > 1")
+    heads = cut_lineage(heads.drop("n"))
+    members = cut_lineage(dealt.join(heads.select("bucket"), "bucket"))
+
+    def star(heads: DataFrame) -> DataFrame:
+        """Pairs of members with the head `a` of their bucket."""
+        around = members.select("bucket", body.alias("b")).join(heads, "bucket")
+        return around.where("a.node <> b.node").where(_may_reach(least)).select(*_ordered())
+
     prints = cut_lineage(known.groupBy("fp").agg(F.min("node").alias("id")))
     same = known.join(prints, "fp").where("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    linked = same.unionAll(links(prints, radius))
-    ordered = star.unionAll(linked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut_lineage(ordered.distinct())
-    wanted = cut_lineage(dealt.select("node").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct())
+    linked = same.unionAll(links(prints, radius)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut_lineage(star(heads).unionAll(linked).distinct())
+    wanted = cut_lineage(members.select("node").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct())
     path = scratch_path(spark, "near-copies")
-    (docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("body")).join(wanted, "node", "left_semi")
-     .groupBy("node").agg(F.min("body").alias("body")).write.parquet(path))
-    bodies = spark.read.parquet(path)
-    found = _verified(pairs, bodies, width, least)
-    first = cut_lineage(components(found))
-    # members of a bucket that the star left in different components
-    placed = cut_lineage(dealt.join(first, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root")))
-    mixed = cut_lineage(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"))
-    placed = placed.join(mixed.select("bucket"), "bucket")
-    other = placed.select("bucket", F.col("node").alias("b"), F.col("size").alias("other"), F.col("root").alias("root_b"))
+    (
+        docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("body")).join(wanted, "node", "left_semi")
+        .groupBy("node").agg(F.min("body").alias("body"))
+        .mapInArrow(lambda batches: _sets(batches, width), "node long, members array<long>").write.parquet(path)
+    )
+    sets = spark.read.parquet(path)
+    found = _verified(pairs, sets, least)
+
+    degrees = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    popular = (
+        _mixed(members, cut_lineage(components(found))).join(cut_lineage(degrees), "node")
+        .groupBy("bucket").agg(F.max(F.struct("links", (-F.col("node")).alias("minus"), body.alias("a"))).alias("top"))
+        .select("bucket", "top.a")
+    )
+    second = star(cut_lineage(popular)).distinct().join(pairs, ["a", "b"], "left_anti")
+    found = cut_lineage(found.unionAll(_verified(cut_lineage(second), sets, least)))
+    roots = cut_lineage(components(found))
+
+    apart = cut_lineage(_mixed(members, roots))
+    once = sets.join(apart.select("node").distinct(), "node", "left_semi").select("node", F.explode("members").alias("shingle"))
+    once = once.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = cut_lineage(once.groupBy("node").agg(F.count("*").alias("own")))
+    apart = cut_lineage(apart.join(own, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))))
+    member = F.struct("node", "size", "bits", "root", "shared")
+    common = F.least("a.shared", "b.shared")
     rest = (
-        placed.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and root <> root_b").where(fits)
-        .select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        apart.select("bucket", member.alias("a")).join(apart.select("bucket", member.alias("b")), "bucket")
+        .where("a.node < b.node and a.root <> b.root").where(_may_reach(least))
+        .where(common >= F.lit(least) * (F.col("a.size") + F.col("b.size") - common)).select(*_ordered()).distinct()
     )
-    found = components(found.unionAll(_verified(cut_lineage(rest), bodies, width, least)))
+    more = _verified(cut_lineage(rest), sets, least)
+    if not more.isEmpty():
+        roots = cut_lineage(components(found.unionAll(more)))
     discard(spark, path)
-    return found
+    return roots
 
 
 def first_of_each(
