@@ -321,13 +321,6 @@ def _ordered() -> list[Column]:
     return [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
 
 
-def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that `found` (node, root) leaves in several components, with their roots."""
-    placed = cut_lineage(members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return placed.join(cut_lineage(apart.select("bucket")), "bucket")
-
-
 def near_copies(docs: DataFrame, rows: DataFrame, text: str, width: int, radius: int, least: float) -> DataFrame:
     """(node, root): components over pairs of similarity `least` or more, for nodes that have one.
 
@@ -366,17 +359,19 @@ def near_copies(docs: DataFrame, rows: DataFrame, text: str, width: int, radius:
     sets = spark.read.parquet(path)
     found = _verified(pairs, sets, least)
 
-    degrees = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    degrees = cut_lineage(found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links")))
     popular = (
-        _mixed(members, cut_lineage(components(found))).join(cut_lineage(degrees), "node")
-        .groupBy("bucket").agg(F.max(F.struct("links", (-F.col("node")).alias("minus"), body.alias("a"))).alias("top"))
-        .select("bucket", "top.a")
+        members.join(degrees, "node").groupBy("bucket")
+        .agg(F.max(F.struct("links", (-F.col("node")).alias("minus"), body.alias("a"))).alias("top")).select("bucket", "top.a")
     )
     second = star(cut_lineage(popular)).distinct().join(pairs, ["a", "b"], "left_anti")
     found = cut_lineage(found.unionAll(_verified(cut_lineage(second), sets, least)))
     roots = cut_lineage(components(found))
 
-    apart = cut_lineage(_mixed(members, roots))
+    # members of buckets that hold several components
+    placed = cut_lineage(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    apart = cut_lineage(placed.join(several.select("bucket"), "bucket"))
     once = sets.join(apart.select("node").distinct(), "node", "left_semi").select("node", F.explode("members").alias("shingle"))
     once = once.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
     own = cut_lineage(once.groupBy("node").agg(F.count("*").alias("own")))
