@@ -198,6 +198,48 @@ def anomaly_alerts(
     )
 
 
+def hourly_spine(completions: DataFrame, until=None) -> DataFrame:
+    """(model, hour, n): calls of every hour from a model's first call to `until`, hours without any included.
+
+    `until` is the last hour, that of the latest call of any model by default. Calls are folded per model
+    and hour first; each model's hours are then spelled out from its own first one, and both are added up.
+    """
+    hourly = completions.where(F.col("timestamp").isNotNull()).groupBy(
+        "model", times.hour_of(F.col("timestamp")).alias("hour")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    end = F.lit(until).cast("timestamp_ntz") if until is not None else hourly.agg(F.max("hour")).scalar()
+    spelled = hourly.groupBy("model").agg(F.min("hour").alias("first")).select(
+        "model", F.explode(F.sequence("first", F.greatest("first", end), F.expr("INTERVAL 1 HOUR"))).alias("hour"),
+        F.lit(0).cast("bigint").alias("n"),
+    )
+    return hourly.unionAll(spelled).groupBy("model", "hour").agg(F.sum("n").alias("n"))
+
+
+def silent_hours(completions: DataFrame, hours: int = 24, least: int = 1, shortest: int = 2, until=None) -> DataFrame:
+    """No-traffic alerts: runs of `shortest` hours or more without a call of a model that had calls before.
+
+    A run counts if the `hours` hours before it, silent ones included, held `least` calls an hour on the
+    mean. `ended_at` is the hour of the next call, null while the silence lasts. A model's window has one row
+    an hour, so it grows with time, not with calls. Calls without a time are left out; null is a model too.
+    """
+    along = Window.partitionBy("model").orderBy("hour")
+    before = along.rowsBetween(-hours, -1)
+    placed = hourly_spine(completions, until).withColumns({
+        "_calls": F.sum("n").over(before), "_hours": F.count("n").over(before),
+        "_run": F.count(F.when(F.col("n") > 0, 1)).over(along.rowsBetween(Window.unboundedPreceding, 0)),
+        "_next": F.min(F.when(F.col("n") > 0, F.col("hour"))).over(along.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    runs = placed.where("n = 0").groupBy("model", "_run").agg(
+        F.min("hour").alias("started_at"), F.first("_next").alias("ended_at"), F.count(F.lit(1)).alias("silent_hours"),
+        F.min_by("_calls", "hour").alias("calls_before"), F.min_by("_hours", "hour").alias("hours_before"),
+    )
+    counted = (F.col("silent_hours") >= shortest) & (F.col("calls_before") >= least * F.col("hours_before"))
+    return runs.where(counted).select(
+        "model", F.lit("no_traffic").alias("alert_type"), "started_at", "ended_at", "silent_hours",
+        "calls_before", "hours_before",
+    )
+
+
 def trace_rollup(traces: DataFrame) -> DataFrame:
     """Per trace type and span name: spans, errors, p95 duration."""
     timed = traces.withColumn(

@@ -133,6 +133,32 @@ def _(spark, folder):
     )
 
 
+@query(
+    "ag29_silent_hours",
+    over_completions(
+        """SELECT model, 'no_traffic' AS alert_type, min(hour) AS started_at, any_value(following) AS ended_at,
+  count(*) AS silent_hours, arg_min(calls, hour)::BIGINT AS calls_before, arg_min(seen, hour) AS hours_before
+FROM (
+  SELECT model, hour, n, sum(n) OVER w AS calls, count(*) OVER w AS seen,
+    sum(n) OVER (PARTITION BY model ORDER BY hour) AS run,
+    min(hour) FILTER (WHERE n > 0) OVER (PARTITION BY model ORDER BY hour ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following
+  FROM (
+    SELECT s.model, s.hour, count(c.id) AS n
+    FROM (SELECT model, unnest(generate_series(min(hour), (SELECT max(hour) FROM hours), INTERVAL 1 HOUR)) AS hour
+          FROM hours GROUP BY model) s
+    LEFT JOIN hours c ON c.model IS NOT DISTINCT FROM s.model AND c.hour = s.hour
+    GROUP BY s.model, s.hour
+  )
+  WINDOW w AS (PARTITION BY model ORDER BY hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)
+) WHERE n = 0 GROUP BY model, run
+HAVING count(*) >= 2 AND arg_min(calls, hour) >= arg_min(seen, hour)""",
+        "hours AS (SELECT id, model, date_trunc('hour', timestamp) AS hour FROM completions WHERE timestamp IS NOT NULL)",
+    ),
+)
+def _(spark, folder):
+    return rollups.silent_hours(completions(spark, folder))
+
+
 @query(
     "ag29_anomaly_alerts",
     over_completions(

@@ -84,3 +84,24 @@ def test_latency_bands(spark, latency, band):
 @pytest.mark.parametrize("score,band", [(0.8, "high"), (0.6, "medium"), (0.59, "low")])
 def test_score_bands(spark, score, band):
     assert spark.range(1).select(metrics.score_band(F.lit(score))).first()[0] == band
+
+
+def test_silent_hours(make_calls):
+    start = NOW.replace(minute=0, second=0, microsecond=0)
+    busy = [h for h in range(12) if h not in (4, 6, 7, 8)]
+    calls = [{"model": "a", "timestamp": start + timedelta(hours=h, minutes=m)} for h in busy for m in (5, 50)]
+    calls += [{"model": None, "timestamp": start + timedelta(hours=h)} for h in (0, 1, 2, 3)]
+    calls += [{"model": "rare", "timestamp": start}, {"model": "rare", "timestamp": start + timedelta(hours=11)}]
+    rows = {r["model"]: r for r in dicts(rollups.silent_hours(make_calls(calls), hours=3))}
+    # one silent hour is too short; before hour 6 lie 2, 0 and 2 calls
+    assert set(rows) == {"a", None, "rare"}
+    gap = rows["a"]
+    assert (gap["started_at"], gap["ended_at"]) == (start + timedelta(hours=6), start + timedelta(hours=9))
+    assert (gap["silent_hours"], gap["calls_before"], gap["hours_before"]) == (3, 4, 3)
+    assert rows[None]["started_at"] == start + timedelta(hours=4) and rows[None]["ended_at"] is None
+    assert rows["rare"]["silent_hours"] == 10
+    later = rollups.silent_hours(make_calls(calls), hours=3, until=start + timedelta(hours=20))
+    assert {(r["model"], r["ended_at"], r["silent_hours"]) for r in dicts(later) if r["ended_at"] is None} == {
+        ("a", None, 9), (None, None, 17),  # one call in the three hours before is too few for "rare"
+    }
+    assert not dicts(rollups.silent_hours(make_calls(calls).where("false")))
