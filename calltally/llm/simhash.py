@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calltally.llm.common import columns, components, in_slices, mixed, slices
+from calltally.llm.fast_sketch import shingle_set, word_hashes
 from calltally.session import cut_lineage, discard, scratch_path
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -233,10 +234,13 @@ def similarity(a: str | None, b: str | None, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """Distinct hashes of the shingles, in order."""
-    found = shingles(text, width)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in found), np.uint64, len(found)))
+def _hashes(text: str | None) -> np.ndarray:
+    return word_hashes((text or "").encode("utf-8", "replace"))
+
+
+def _named(words: np.ndarray) -> int:
+    """The node of a text from the hashes of its words."""
+    return _signed(xxhash.xxh64_intdigest(words.tobytes(), 42))
 
 
 def buckets(text: str | None, width: int) -> tuple[int, int, list[int], list[int]]:
@@ -245,8 +249,8 @@ def buckets(text: str | None, width: int) -> tuple[int, int, list[int], list[int
 
     Texts of similarity s share a band with probability s ** `ROWS`; at 0.8 all `BANDS` miss one pair in 2 800.
     """
-    node = _signed(xxhash.xxh64_intdigest(b" ".join(_words(text)), 42))
-    hashes = shingle_hashes(text, width)
+    words = _hashes(text)
+    node, hashes = _named(words), shingle_set(words, width)
     if not len(hashes):
         return node, 0, [], [0] * _BITS
     least = np.full(len(_FACTORS), ~np.uint64(0))
@@ -280,7 +284,7 @@ def nodes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 def _node(text: Column) -> Column:
     def of(texts: list[str | None]) -> list[int]:
-        return [_signed(xxhash.xxh64_intdigest(b" ".join(_words(t)), 42)) for t in texts]
+        return [_named(_hashes(t)) for t in texts]
 
     @F.arrow_udf("long")
     def value(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -292,7 +296,7 @@ def _node(text: Column) -> Column:
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        found = [shingle_hashes(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
+        found = [shingle_set(_hashes(t), width).view(np.int64) for t in batch.column(1).to_pylist()]
         yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "members"])
 
 
