@@ -55,6 +55,11 @@ def _names(header: str) -> list[str]:
     return names
 
 
+def _quoted(names: Sequence[str]) -> list[str]:
+    """The names for `select`, where a dot in a header cell is no field access."""
+    return ["`" + name.replace("`", "``") + "`" for name in names]
+
+
 def _numbered(rows: DataFrame, name: str) -> DataFrame:
     """`rows` with their place in file order: files by path, blocks by start, rows as they are read.
 
@@ -70,7 +75,7 @@ def _numbered(rows: DataFrame, name: str) -> DataFrame:
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return placed.join(offsets.drop("_n"), ["_file", "_start"]).select(
-        *rows.columns, (F.col("_before") + F.col("_at") - F.col("_first")).cast("bigint").alias(name)
+        *_quoted(rows.columns), (F.col("_before") + F.col("_at") - F.col("_first")).cast("bigint").alias(name)
     )
 
 
@@ -94,15 +99,16 @@ def _read_by_name(
         schema = StructType([StructField(name, kinds.get(name, StringType()), True) for name in names])
         rows = _csv(spark, multi_line).schema(schema).csv(path if len(by_header) == 1 else found)
         lacking = {name: F.lit(value) for name, value in (defaults or {}).items() if name not in names}
-        part = rows.select(*names, "_metadata").withColumns(lacking)
+        part = rows.select(*_quoted(names), "_metadata").withColumns(lacking)
         parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
     if parts is None:
         raise ValueError("the file has no data rows")
     kept = [f.name for f in known] if known else [c for c in parts.columns if c != "_metadata"]
     held = parts.select(*[
-        F.col(name) if name in parts.columns else F.lit(None).cast(kinds[name]).alias(name) for name in kept
+        F.col(cell) if name in parts.columns else F.lit(None).cast(kinds[name]).alias(name)
+        for name, cell in zip(kept, _quoted(kept), strict=True)
     ], "_metadata")
-    return _numbered(held, seq).select(*kept, seq)
+    return _numbered(held, seq).select(*_quoted(kept), seq)
 
 
 def read_upload_csv(
@@ -117,7 +123,7 @@ def read_upload_csv(
         rows = rows.where(F.col("_seq") < limit)
     if rows.isEmpty():
         raise ValueError("the file has no data rows")
-    return rows.fillna("", subset=[c for c in rows.columns if c != "_seq"])
+    return rows.fillna("")  # `_seq` is a number
 
 
 def upload_features(columns: list[str]) -> dict[str, bool]:

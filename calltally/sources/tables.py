@@ -135,15 +135,18 @@ def next_id(table: DataFrame) -> int:
 def without_dataset(
     uploads: DataFrame, completions: DataFrame, evals: DataFrame, upload_id: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tables without one dataset; an unknown id is an error."""
+    """The three tables without one dataset; an unknown id is an error.
+
+    Rows without an id or a source belong to no dataset and stay.
+    """
     found = uploads.where(F.col("id") == upload_id).select("source_id").head()
     if found is None:
         raise LookupError(f"no dataset {upload_id}")
     source = found["source_id"]
     doomed = completions.where(F.col("source") == source).select(F.col("id").alias("_doomed"))
     return (
-        uploads.where(F.col("id") != upload_id),
-        completions.where(F.col("source") != source),
+        uploads.where(F.coalesce(F.col("id") != upload_id, F.lit(True))),
+        completions.where(F.coalesce(F.col("source") != F.lit(source), F.lit(True))),
         evals.join(doomed, evals["completion_id"] == doomed["_doomed"], "left_anti"),
     )
 

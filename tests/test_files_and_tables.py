@@ -167,6 +167,16 @@ def test_upload_lifecycle(spark, csv, tmp_path):
         tables.without_dataset(uploads, calls, scores, 123)
     kept = tables.without_dataset(uploads, calls, scores, entry["id"])
     assert [t.count() for t in kept] == [0, 0, 0]
+    # a row without a source is of no dataset
+    stray = calls.limit(1).withColumns({"id": F.lit(999).cast("long"), "source": F.lit(None).cast("string")})
+    kept = tables.without_dataset(uploads, calls.unionByName(stray), scores, entry["id"])
+    assert [r["id"] for r in kept[1].collect()] == [999]
+
+
+def test_header_cells_with_dots_and_backquotes(spark, csv):
+    rows = files.read_upload_csv(spark, csv("prompt,response,meta.kind,`x\na,b,c,d\ne,f,,g\n"))
+    assert [tuple(r) for r in rows.orderBy("_seq").collect()] == [("a", "b", "c", "d", 0), ("e", "f", "", "g", 1)]
+    assert rows.columns == ["prompt", "response", "meta.kind", "`x", "_seq"]
 
 
 def test_two_uploads_of_one_file_name_both_stay(spark, csv, tmp_path):
