@@ -1,8 +1,7 @@
 """Overlap scores of a reference and a candidate text, as jobs over whole datasets.
 
-BLEU-4 and ROUGE-1 need clipped n-gram matches. Rows are shuffled once, by id and while still
-compact; the n-grams are exploded after that, so both aggregations that follow run in place,
-without a shuffle of the exploded rows.
+BLEU-4 and ROUGE-1 need clipped n-gram matches. They are counted within the row, over its sorted
+n-grams, so no n-gram is ever a row: only ids and finished scores are shuffled, to find repeated ids.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from calltally.functions import numbers, text
 from calltally.functions.stemmer import stem
@@ -22,26 +21,25 @@ SMOOTHING = 5.0
 # Tokens up to this length are not stemmed.
 UNSTEMMED_LENGTH = 3
 
-_STEMS, _MARK = 5, 0
+STEMMED = StructType(
+    [StructField("_ref_stems", StringType()), StructField("_cand_stems", StringType()), StructField("_lcs", LongType())]
+)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stemmed(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda row: [stem(t) if len(t) > UNSTEMMED_LENGTH else t for t in row])
+# Tokens travel as one string a row: a worker holds lists of tokens for one row at a time only.
+@F.pandas_udf(STEMMED)
+def stemmed(reference: pd.Series, candidate: pd.Series) -> pd.DataFrame:
+    """The stems of both sides and the length of their common subsequence, from one worker a task."""
+    rows = []
+    for pair in zip(reference, candidate):
+        a, b = ([stem(t) if len(t) > UNSTEMMED_LENGTH else t for t in side.split()] for side in pair)
+        rows.append((" ".join(a), " ".join(b), common_length(a, b)))
+    return pd.DataFrame(rows, columns=["_ref_stems", "_cand_stems", "_lcs"])
 
 
 @F.pandas_udf(LongType())
 def subsequence_length(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([common_length(a, b) for a, b in zip(left, right)], dtype="int64")
-
-
-def _entry(kind: int, gram: Column, in_reference: Column, in_candidate: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        gram.alias("gram"),
-        in_reference.cast("bigint").alias("in_reference"),
-        in_candidate.cast("bigint").alias("in_candidate"),
-    )
+    return pd.Series([common_length(a.split(), b.split()) for a, b in zip(left, right)], dtype="int64")
 
 
 def _grams(tokens: Column, order: int) -> Column:
@@ -57,12 +55,29 @@ def _grams(tokens: Column, order: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def _sides(kind: int, reference: Column, candidate: Column) -> list[Column]:
-    one, zero = F.lit(1), F.lit(0)
-    return [
-        F.transform(reference, lambda g: _entry(kind, g, one, zero)),
-        F.transform(candidate, lambda g: _entry(kind, g, zero, one)),
-    ]
+def _clipped(reference: Column, candidate: Column) -> Column:
+    """Matches of two gram lists, each gram counted at most as often as the lesser side has it.
+
+    One pass over the sorted grams of both: a gram's reference entries come first and are open until
+    a candidate entry of the same gram takes one.
+    """
+
+    def side(grams: Column, mark: int) -> Column:
+        return F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(mark).alias("side")))
+
+    def step(state: Column, entry: Column) -> Column:
+        left = F.when(state["gram"] == entry["gram"], state["left"]).otherwise(0)
+        hit = (entry["side"] == 1) & (left > 0)
+        return F.struct(
+            entry["gram"].alias("gram"),
+            F.when(hit, left - 1).when(entry["side"] == 0, left + 1).otherwise(left).alias("left"),
+            F.when(hit, state["met"] + 1).otherwise(state["met"]).alias("met"),
+        )
+
+    none = F.struct(F.lit("").alias("gram"), F.lit(0).alias("left"), F.lit(0).alias("met"))
+    entries = F.sort_array(F.concat(side(reference, 0), side(candidate, 1)))
+    met = F.aggregate(entries, none, step, lambda state: state["met"])
+    return F.when(F.arrays_overlap(reference, candidate), met).otherwise(0).cast("bigint")
 
 
 def _bleu_column() -> Column:
@@ -111,66 +126,42 @@ def text_scores(
         F.coalesce(F.col(reference), F.lit("")).alias("_ref"),
         F.coalesce(F.col(candidate), F.lit("")).alias("_cand"),
     )
-    entries: list[Column] = []
-    mark_same, mark_lcs = F.lit(0), F.lit(0)
-    if rouge:
-        # Before the shuffle, as the planner forgets the partitioning across a Python step.
-        prepare = stemmed if stemming else (lambda tokens: tokens)
+    scores: list[str] = []
+    if bleu:
         slim = slim.withColumns(
-            {
-                "_ref_stems": prepare(text.alnum_tokens(F.col("_ref"))),
-                "_cand_stems": prepare(text.alnum_tokens(F.col("_cand"))),
-            }
+            {"_ref_words": text.folded_words(F.col("_ref")), "_cand_words": text.folded_words(F.col("_cand"))}
         )
-        slim = slim.withColumn("_lcs", subsequence_length("_ref_stems", "_cand_stems"))
-        mark_lcs = F.col("_lcs")
-        entries += _sides(_STEMS, F.col("_ref_stems"), F.col("_cand_stems"))
-    kept = slim if bleu else slim.drop("_ref", "_cand")
-    slim = kept.repartition(id_column)
-    if bleu:
+        sides = F.col("_ref_words"), F.col("_cand_words")
         slim = slim.withColumns(
             {
-                "_ref_words": text.folded_words(F.col("_ref")),
-                "_cand_words": text.folded_words(F.col("_cand")),
+                "same": (sides[0] == sides[1]).cast("int"),
+                "ref_words": F.size(sides[0]).cast("bigint"),
+                "cand_words": F.size(sides[1]).cast("bigint"),
+                **{f"_{name}{order}": _grams(side, order) for order in ORDERS for name, side in zip("rc", sides)},
             }
         )
-        mark_same = (F.col("_ref_words") == F.col("_cand_words")).cast("int")
-        for order in ORDERS:
-            entries += _sides(
-                order, _grams(F.col("_ref_words"), order), _grams(F.col("_cand_words"), order)
-            )
-    mark = F.array(_entry(_MARK, F.lit(""), mark_same, mark_lcs))
-    counted = (
-        slim.select(id_column, F.inline(F.concat(mark, *entries)))
-        .groupBy(id_column, "kind", "gram")
-        .agg(F.sum("in_reference").alias("r"), F.sum("in_candidate").alias("c"), F.count(F.lit(1)).alias("n"))
-    )
-
-    def total(kind: int, value: Column) -> Column:
-        return F.sum(F.when(F.col("kind") == kind, value).otherwise(F.lit(0).cast("bigint")))
-
-    clipped = F.least("r", "c")
-    summed = counted.groupBy(id_column).agg(
-        total(_MARK, F.col("n")).alias("rows"),
-        total(_MARK, F.col("r")).alias("same"),
-        total(_MARK, F.col("c")).alias("lcs"),
-        total(1, F.col("r")).alias("ref_words"),
-        total(1, F.col("c")).alias("cand_words"),
-        *[total(order, clipped).alias(f"m{order}") for order in ORDERS],
-        total(_STEMS, F.col("r")).alias("ref_stems"),
-        total(_STEMS, F.col("c")).alias("cand_stems"),
-        total(_STEMS, clipped).alias("stem_matches"),
-    )
+        slim = slim.withColumns({f"m{order}": _clipped(F.col(f"_r{order}"), F.col(f"_c{order}")) for order in ORDERS})
+        slim = slim.withColumn("bleu", _bleu_column())
+        scores.append("bleu")
+    if rouge:
+        tokens = [F.array_join(text.alnum_tokens(F.col(side)), " ") for side in ("_ref", "_cand")]
+        if stemming:
+            slim = slim.withColumn("_stemmed", stemmed(*tokens)).select("*", "_stemmed.*")
+        else:
+            slim = slim.withColumns(dict(zip(("_ref_stems", "_cand_stems"), tokens)))
+            slim = slim.withColumn("_lcs", subsequence_length("_ref_stems", "_cand_stems"))
+        slim = slim.withColumns(
+            {f"{side}_list": F.array_remove(F.split(side, " "), "") for side in ("_ref_stems", "_cand_stems")}
+        )
+        lists = F.col("_ref_stems_list"), F.col("_cand_stems_list")
+        sizes = [F.size(side).cast("bigint") for side in lists]
+        slim = slim.withColumns({"rouge1": _f1(_clipped(*lists), *sizes), "rougeL": _f1(F.col("_lcs"), *sizes)})
+        scores += ["rouge1", "rougeL"]
+    found = slim.groupBy(id_column).agg(F.count(F.lit(1)).alias("_rows"), *[F.max(name).alias(name) for name in scores])
     repeated = F.raise_error(F.concat(F.lit("two rows with the id "), F.col(id_column).cast("string")))
     kind = pairs.schema[id_column].dataType
-    columns = [F.when(F.col("rows") > 1, repeated.cast(kind)).otherwise(F.col(id_column)).alias(id_column)]
-    if bleu:
-        columns.append(_bleu_column().alias("bleu"))
-    if rouge:
-        sizes = F.col("ref_stems"), F.col("cand_stems")
-        columns.append(_f1(F.col("stem_matches"), *sizes).alias("rouge1"))
-        columns.append(_f1(F.col("lcs"), *sizes).alias("rougeL"))
-    return summed.select(*columns)
+    checked = F.when(F.col("_rows") > 1, repeated.cast(kind)).otherwise(F.col(id_column)).alias(id_column)
+    return found.select(checked, *scores)
 
 
 def combined_rouge(rouge1: Column, rouge_l: Column, variant: str = "mean") -> Column:

@@ -96,6 +96,21 @@ def test_exploded_grams_are_not_shuffled(spark, options, capsys):
     assert capsys.readouterr().out.count("Exchange") == 1
 
 
+def test_scores_stay_within_the_row(spark, capsys):
+    rows = spark.createDataFrame([(1, "a", "b")], "id bigint, prompt string, response string")
+    text_scores.text_scores(rows, "id").explain()
+    plan = capsys.readouterr().out
+    assert "Generate" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_repeated_grams_are_clipped_on_both_sides(spark):
+    pairs = [("a a a b", "a a b b"), ("x 0 x 1", "x 1 x 0"), ("a b a b a b", "a b"), ("a b", "a b a b a b"), ("", "")]
+    got = scored(spark, pairs, stemming=False)
+    for i, (r, c) in enumerate(pairs):
+        assert got[i]["bleu"] == pytest.approx(plain_bleu(r, c), abs=1e-12) if c else got[i]["bleu"] == 0.0
+    assert [got[i]["rouge1"] for i in range(5)] == [0.75, 1.0, 0.5, 0.5, 0.0]
+
+
 def test_rouge_goldens(spark):
     got = scored(
         spark,
