@@ -3,7 +3,8 @@
 Every span points at an ancestor, its parent at first. A round lets each unfinished span take over the
 pointer of the span it points at, so distances double and a tree of depth d is done after log2(d)
 rounds. Steps and times along the way are summed with the pointers. A round finishes some span as
-long as any can still reach a root; when one finishes none, the rest lie on or below a cycle.
+long as any can still reach a root; when one finishes none, the rest lie on or below a cycle. Spans
+without children are nobody's ancestor and take their parent's result once, after the rounds.
 """
 
 from __future__ import annotations
@@ -12,7 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltally.functions import times
-from calltally.session import cut_lineage
+from calltally.session import scratch_path
+
+# Up to this many spans per shuffle partition, joins hash the side with one row an id instead of sorting both.
+HASHED_ROWS = 1_500_000
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """`df` written once as a table and read from there; a checkpoint would compute it twice."""
+    path = scratch_path(df.sparkSession, "trees")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def span_paths(traces: DataFrame) -> DataFrame:
@@ -29,25 +40,32 @@ def span_paths(traces: DataFrame) -> DataFrame:
         "id", F.col("parent_trace_id").alias("parent"),
         F.coalesce(times.elapsed_ms(F.col("start_time"), F.col("end_time")), F.lit(0.0)).alias("duration_ms"),
     )
-    below = timed.where("parent is not null and parent <> id").groupBy(F.col("parent").alias("id")).agg(F.sum("duration_ms").alias("child_ms"))
-    spans = cut_lineage(
-        timed.join(cut_lineage(below), "id", "left")
-        .withColumn("self_ms", F.greatest(F.col("duration_ms") - F.coalesce("child_ms", F.lit(0.0)), F.lit(0.0))).drop("child_ms")
+    timed = cut_lineage(timed)
+    share = timed.count() / int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def keyed(right: DataFrame) -> DataFrame:
+        return right.hint("shuffle_hash") if share <= HASHED_ROWS else right
+
+    # of a span that is its own parent only its other children count, but it stays a parent
+    below = timed.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(
+        F.sum(F.when(F.col("parent") != F.col("id"), F.col("duration_ms"))).alias("child_ms"), F.lit(True).alias("inner")
     )
-    there = spans.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    linked = cut_lineage(spans.join(there, "parent", "left").select(
-        "id", "duration_ms", "self_ms", "known", F.when(F.col("known"), F.col("parent")).alias("at"),
+    own = F.greatest(F.col("duration_ms") - F.coalesce("child_ms", F.lit(0.0)), F.lit(0.0))
+    spans = cut_lineage(timed.join(keyed(below), "id", "left").withColumn("self_ms", own).drop("child_ms"))
+    there = spans.where("inner").select(F.col("id").alias("parent"), F.lit(True).alias("known"))
+    linked = cut_lineage(spans.join(keyed(there), "parent", "left").select(
+        "id", "duration_ms", "self_ms", "inner", F.when(F.col("known"), F.col("parent")).alias("at"),
         F.when(F.col("parent").isNull(), "root").when(F.col("known"), "span").otherwise("orphan").alias("kind"),
     ))
     # root: the span is done; otherwise `at` is the ancestor it points at, with steps and time up to there
     done = linked.where("at is null").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("steps"), F.col("self_ms").alias("ms"))
-    open_ = linked.where("at is not null").select("id", "at", F.lit(1).cast("long").alias("steps"), F.col("self_ms").alias("ms"))
-    done, open_ = cut_lineage(done), cut_lineage(open_)
+    below_root = linked.where("at is not null").select("id", "at", F.lit(1).cast("long").alias("steps"), F.col("self_ms").alias("ms"), "inner")
+    open_, leaves = below_root.where("inner").drop("inner"), below_root.where("inner is null").drop("inner")
     left = open_.count()
     while left:
         ends = done.select(F.col("id").alias("at"), "root", F.lit(None).cast("string").alias("next"), F.col("steps").alias("s"), F.col("ms").alias("m"))
         hops = open_.select(F.col("id").alias("at"), F.lit(None).cast("string").alias("root"), F.col("at").alias("next"), F.col("steps").alias("s"), F.col("ms").alias("m"))
-        moved = cut_lineage(open_.join(ends.unionByName(hops), "at").select(
+        moved = cut_lineage(open_.join(keyed(ends.unionByName(hops)), "at").select(
             "id", "root", F.col("next").alias("at"), (F.col("steps") + F.col("s")).alias("steps"), (F.col("ms") + F.col("m")).alias("ms")
         ))
         fresh, open_ = moved.where("root is not null"), moved.where("root is null").select("id", "at", "steps", "ms")
@@ -55,7 +73,11 @@ def span_paths(traces: DataFrame) -> DataFrame:
         before, left = left, open_.count()
         if left == before:
             break
-    return linked.join(done, "id", "left").select(
+    tops = done.select(F.col("id").alias("at"), "root", F.col("steps").alias("s"), F.col("ms").alias("m"))
+    done = done.unionByName(leaves.join(keyed(tops), "at").select(
+        "id", "root", (F.col("steps") + F.col("s")).alias("steps"), (F.col("ms") + F.col("m")).alias("ms")
+    ))
+    return linked.join(keyed(done), "id", "left").select(
         "id", F.col("root").alias("root_id"), F.col("steps").alias("depth"), "duration_ms", "self_ms", F.col("ms").alias("path_ms"),
         F.when(F.col("root").isNull(), "cycle").otherwise(F.col("kind")).alias("kind"),
     )

@@ -72,3 +72,26 @@ def test_empty_and_missing_cells(spark):
     rows = spark.createDataFrame([("a", None, None, T0), (None, "a", T0, T0), ("b", "a", T0, T0 + timedelta(seconds=1))], SCHEMA)
     got = {r["id"]: (r["depth"], r["self_ms"], r["path_ms"]) for r in trees.span_paths(rows).collect()}
     assert got == {"a": (0, 0.0, 0.0), "b": (1, 1000.0, 1000.0)}
+
+
+def test_childless_spans_take_no_part_in_rounds(spark, monkeypatch):
+    rounds = []
+    real = trees.cut_lineage
+
+    def stored(df):
+        kept = real(df)
+        if {"root", "at"} <= set(kept.columns):
+            rounds.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(trees, "cut_lineage", stored)
+    spans = [("n0", None, 9)] + [(f"n{k}", f"n{k - 1}", 9) for k in range(1, 20)]
+    spans += [(f"leaf{k}_{n}", f"n{k}", 1) for k in range(20) for n in range(6)] + [("own", "own", 3), ("below", "own", 2)]
+    rows = trees.span_paths(table(spark, spans)).collect()
+    assert {r["id"]: (r["root_id"], r["depth"], r["self_ms"], r["path_ms"], r["kind"]) for r in rows} == plain(spans)
+    assert rounds and max(rounds) <= 20
+
+
+def test_sorted_joins_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(trees, "HASHED_ROWS", 0)
+    test_random_forest(spark)
