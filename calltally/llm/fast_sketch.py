@@ -14,10 +14,10 @@ Work is on distinct word sequences, so copies cost nothing further. The members
 paired with each other at first, but with one head: in the first round its smallest node, in the
 second the one with most links, which in a family of copies is the text that they were made from.
 Members that are in different components after that are compared, as the bucket may hold texts that
-the heads do not join. There the shingles that only one set has, and a bit of every place, tell most
-unlike pairs apart before any set moves. Members of a bucket over `CROWDED` are first dealt anew by a
-second band that they share, since pairs above the limit share several. No pair is passed over for the
-size of its bucket.
+the heads do not join. There the shingles that only one set has, a bit of every place, and the sets folded
+onto `FOLD` places tell most unlike pairs apart before any set moves. Members of a bucket over `CROWDED`
+are first dealt anew by a second band that they share, since pairs above the limit share several. No pair
+is passed over for the size of its bucket.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ COORDINATES = BANDS * ROWS
 CROWDED = 4096
 PIECE = 1 << 20  # bytes of a text that are split into words together
 HELD = 1 << 18  # shingles that are sketched together
+FOLD = 2048  # places that a set is folded onto
 _EMPTY = ~np.uint64(0)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -105,6 +106,32 @@ def place_bits(sketches: np.ndarray) -> np.ndarray:
 
 
 _BITS = COORDINATES // 64
+SETS = "node long, members array<long>, fold array<long>, spare long"
+
+
+def set_rows(names: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of `SETS`: every set with the places, one a shingle, that its shingles take, and how many share theirs."""
+    taken = np.zeros((len(sets), FOLD), np.uint8)
+    for row, members in zip(taken, sets, strict=True):
+        row[members >> np.uint64(64 - (FOLD - 1).bit_length())] = 1
+    spare = np.array([len(members) for members in sets], np.int64) - taken.sum(axis=1, dtype=np.int64)
+    kind = pa.list_(pa.int64())
+    return pa.record_batch(
+        [
+            names, pa.array([members.view(np.int64) for members in sets], kind),
+            pa.array(list(np.packbits(taken, axis=1).view(np.int64)), kind), pa.array(spare),
+        ],
+        names=["node", "members", "fold", "spare"],
+    )
+
+
+def most_common() -> Column:
+    """No fewer than the shingles that the sets of `a` and `b` share.
+
+    A place that only one set takes holds a shingle, at least, that the other has not.
+    """
+    both = F.zip_with("a.fold", "b.fold", lambda x, y: F.bit_count(x.bitwiseAND(y)))
+    return F.aggregate(both, F.lit(0), lambda total, n: total + n) + F.least("a.spare", "b.spare")
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -150,8 +177,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        found = [shingle_set(word_hashes(t), width).view(np.int64) for t in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "members"])
+        yield set_rows(batch.column(0), [shingle_set(word_hashes(t), width) for t in batch.column(1).to_pylist()])
 
 
 def _may_link(percent: int) -> Column:
@@ -203,7 +229,7 @@ def linked(nodes: DataFrame, texts: DataFrame, width: int, percent: int, crowded
     path = scratch_path(spark, "shingle-sets")
     (
         texts.join(wanted, "digest").groupBy("node").agg(F.min("text").alias("text"))
-        .mapInArrow(lambda batches: _sets(batches, width), "node long, members array<long>").write.parquet(path)
+        .mapInArrow(lambda batches: _sets(batches, width), SETS).write.parquet(path)
     )
     sets = spark.read.parquet(path)
     once = sets.select("node", F.explode("members").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
@@ -238,14 +264,16 @@ def linked(nodes: DataFrame, texts: DataFrame, width: int, percent: int, crowded
     mixed_up = cut_lineage(
         placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     )
-    placed = cut_lineage(placed.join(mixed_up, "bucket"))
+    placed = cut_lineage(placed.join(mixed_up, "bucket").join(sets.select("node", "fold", "spare"), "node"))
     again = placed.where(F.col("n") > crowded).join(nodes.select("node", "keys"), "node").withColumn("second", F.explode("keys"))
     again = again.where("second <> bucket").withColumn("bucket", F.xxhash64("bucket", "second")).drop("keys", "second")
     rows = placed.where(F.col("n") <= crowded).unionByName(again)
-    body = F.struct("root", *described.columns)
+    body = F.struct("root", *described.columns, "fold", "spare")
     rest = (
         rows.select("bucket", body.alias("a")).join(rows.select("bucket", body.alias("b")), "bucket")
-        .where("a.node < b.node and a.root <> b.root").where(_may_link(percent)).select(*_ordered()).distinct()
+        .where("a.node < b.node and a.root <> b.root").where(_may_link(percent))
+        .where((100 + percent) * most_common() >= percent * (F.col("a.size") + F.col("b.size")))
+        .select(*_ordered()).distinct()
     )
     more = cut_lineage(_verified(cut_lineage(rest), sets, percent))
     return found if more.isEmpty() else _roots(links.unionAll(more))

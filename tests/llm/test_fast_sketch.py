@@ -98,3 +98,44 @@ def test_long_text_and_empty_table(spark):
     rows = [(2, long), (1, long + " more"), (5, "x" * 3_000_000), (6, "x" * 3_000_000)]
     assert result(spark, rows) == plain_components(rows)
     assert result(spark, []) == []
+
+
+def shared_edits(rng, n, spots, edits):
+    """Copies, without their source, that each have `edits` of the same `spots` edits: no shingle is one copy's alone."""
+    base = [f"w{k}" for k in range(7 * spots)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for k in rng.sample(range(spots), edits):
+            copy[7 * k + 3] = f"x{k}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_unlike_copies_with_shared_edits_are_not_all_verified(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = list(enumerate(shared_edits(rng, 60, 40, 6)))
+    pairs, verified = [], fast_sketch._verified
+
+    def counting(found, *rest):
+        pairs.append(found.count())
+        return verified(found, *rest)
+
+    monkeypatch.setattr(fast_sketch, "_verified", counting)
+    assert result(spark, rows) == plain_components(rows)
+    assert pairs[-1] < 200, "of 1 770 pairs"
+
+
+def test_folded_sets_bound_what_is_shared(spark):
+    rng = np.random.default_rng(8)
+    whole = rng.integers(0, 1 << 63, 6000, np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(whole, n)) for n in (0, 1, 5, 150, 150, 900, 6000, 6000)]
+    import pyarrow as pa
+
+    table = fast_sketch.set_rows(pa.array(range(len(sets))), sets).to_pylist()
+    df = spark.createDataFrame([{**r, "size": len(r["members"])} for r in table], fast_sketch.SETS + ", size int")
+    both = df.alias("a").crossJoin(df.alias("b")).select("a.node", "b.node", fast_sketch.most_common())
+    found = {(i, j): n for i, j, n in both.collect()}
+    assert all(n >= len(np.intersect1d(sets[i], sets[j])) for (i, j), n in found.items())
+    assert all(found[k, k] == len(sets[k]) for k in range(len(sets)))
+    assert found[3, 4] < 40
