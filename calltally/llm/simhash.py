@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calltally.llm.common import columns, components, in_slices, mixed, slices
-from calltally.llm.fast_sketch import shingle_set, word_hashes
+from calltally.llm.fast_sketch import SETS, most_common, set_rows, shingle_set, word_hashes
 from calltally.session import cut_lineage, discard, scratch_path
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -296,8 +296,7 @@ def _node(text: Column) -> Column:
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        found = [shingle_set(_hashes(t), width).view(np.int64) for t in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "members"])
+        yield set_rows(batch.column(0), [shingle_set(_hashes(t), width) for t in batch.column(1).to_pylist()])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -332,8 +331,8 @@ def near_copies(docs: DataFrame, rows: DataFrame, text: str, width: int, radius:
     pair is decided by its shingles. A bucket is first compared with its smallest node, then with the one
     that has most links, which in a family of copies is the text that they were made from. Members that
     are in different components after that are compared with each other, unless the shingles that only one
-    of them has rule the pair out, so nothing in a bucket is passed over and a large family of copies takes
-    a number of pairs that grows with its size.
+    of them has, or the places that their folded sets take, rule the pair out, so nothing in a bucket is passed
+    over and a large family of copies takes a number of pairs that grows with its size.
     """
     spark = docs.sparkSession
     whole = [F.first(c).alias(c) for c in ("fp", "size", "keys", "bits")]
@@ -358,7 +357,7 @@ def near_copies(docs: DataFrame, rows: DataFrame, text: str, width: int, radius:
     (
         docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("body")).join(wanted, "node", "left_semi")
         .groupBy("node").agg(F.min("body").alias("body"))
-        .mapInArrow(lambda batches: _sets(batches, width), "node long, members array<long>").write.parquet(path)
+        .mapInArrow(lambda batches: _sets(batches, width), SETS).write.parquet(path)
     )
     sets = spark.read.parquet(path)
     found = _verified(pairs, sets, least)
@@ -379,13 +378,16 @@ def near_copies(docs: DataFrame, rows: DataFrame, text: str, width: int, radius:
     once = sets.join(apart.select("node").distinct(), "node", "left_semi").select("node", F.explode("members").alias("shingle"))
     once = once.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
     own = cut_lineage(once.groupBy("node").agg(F.count("*").alias("own")))
-    apart = cut_lineage(apart.join(own, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))))
-    member = F.struct("node", "size", "bits", "root", "shared")
+    apart = cut_lineage(apart.join(own, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0)))
+                        .join(sets.select("node", "fold", "spare"), "node"))
+    member = F.struct("node", "size", "bits", "root", "shared", "fold", "spare")
     common = F.least("a.shared", "b.shared")
     rest = (
         apart.select("bucket", member.alias("a")).join(apart.select("bucket", member.alias("b")), "bucket")
         .where("a.node < b.node and a.root <> b.root").where(_may_reach(least))
-        .where(common >= F.lit(least) * (F.col("a.size") + F.col("b.size") - common)).select(*_ordered()).distinct()
+        .where(common >= F.lit(least) * (F.col("a.size") + F.col("b.size") - common))
+        .where(F.lit(1 + least) * (most_common() + F.lit(0.001)) >= F.lit(least) * (F.col("a.size") + F.col("b.size")))
+        .select(*_ordered()).distinct()
     )
     more = _verified(cut_lineage(rest), sets, least)
     if not more.isEmpty():

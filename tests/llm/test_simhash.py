@@ -167,3 +167,30 @@ def test_near_copies_of_many_changed_bits_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.first_of_each(docs, "doc_id", "text").collect()}
     assert kept == {k for k, _ in rows if k % 3 != 1}
+
+
+def test_unlike_copies_with_shared_edits_are_not_all_verified(spark, monkeypatch):
+    """No shingle is one copy's alone, so only the folded sets tell the pairs apart."""
+    rng = random.Random(5)
+    spots, rows = 40, []
+    for k in range(60):
+        words = [f"w{i}" for i in range(7 * spots)]
+        for spot in rng.sample(range(spots), 7):
+            words[7 * spot + 3] = f"x{spot}"
+        rows.append((k, " ".join(words)))
+    root = {k: k for k, _ in rows}
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[:i]:
+            if simhash.similarity(x, y, 5) >= 0.8:
+                root = {k: min(root[a], root[b]) if r in (root[a], root[b]) else r for k, r in root.items()}
+    pairs, verified = [], simhash._verified
+
+    def counting(found, *rest):
+        pairs.append(found.count())
+        return verified(found, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.first_of_each(docs, "doc_id", "text").select("doc_id").collect()
+    assert {r[0] for r in kept} == set(root.values())
+    assert pairs[-1] < 200, "of 1 770 pairs"
