@@ -7,11 +7,15 @@ reversed text by a word on its right, and intervals in sorted order are kept in
 phrase reached from both sides is recognised by its interval. All phrases of a length are extended at
 once.
 
-Counts are summed over shards after each length, and only phrases that are frequent enough over the
-whole corpus are extended further: a phrase has no more occurrences than its parts. Shards learn which
-these are from a bitmap of `BITS` hashed places, whatever the corpus is like; a chance hit there costs
-a row that the sum removes. So shards are never joined with anything and never move. Rare words become
-breaks before pairs are counted, and joints of rare pairs before the index for longer phrases is built.
+Only phrases that can be frequent enough over the whole corpus are extended: a phrase has no more
+occurrences than its parts, nor than all phrases that share its place, the lower 32 bits of its hash.
+So length by length, shards count places first. A task sums its shards, sorts the places and sends
+steps and counts, 7 bits a byte, in `PARTS` ranges that are summed over all tasks; a place takes about
+three bytes, and no phrase is a row. Shards learn which places go on from a bitmap of `BITS` of them,
+whatever the corpus is like; a chance hit there costs an entry that the sum removes. So shards are
+never joined with anything and never move. Rare words become breaks before pairs are counted, and
+joints of rare pairs before the transforms are built. Those then count the phrases that are left, all
+lengths in one go, by their parts; the sums over all tasks decide.
 
 Phrases are known by their prefix and suffix, one word shorter each. Counts of all their parts follow
 along these, and so do their extensions: a phrase lies in a longer one if it is the prefix or the
@@ -35,6 +39,8 @@ from calltally.session import cut_lineage, scratch_path
 
 SHARD = 1 << 20  # words
 BITS = 1 << 26  # places of the bitmap of frequent phrases
+PARTS = 10  # bits of a place, or of a phrase's hash, that name the range it is summed in
+HELD = 1 << 21  # places or phrases that a task sums before it sends them
 TURNS = (7, 13, 22, 37, 45, 53)  # one for each length, so that no word cancels out of a hash
 PIECE = 1 << 20  # bytes of a text that are split into words together
 _BREAK = b"\xff"  # no byte of UTF-8
@@ -196,10 +202,13 @@ def has(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return bitmap[place >> 3] >> (place & 7) & 1 > 0
 
 
-def grow(
+def levels(
     ids: np.ndarray, forward: np.ndarray, backward: np.ndarray, alien: np.ndarray, bitmaps: list[np.ndarray], length: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix, suffix, count) of the phrases of `length` words; `bitmaps` has the shorter ones to extend, from 2 on."""
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(prefix, suffix, count) of the phrases of 2 words, 3 and so on to `length`.
+
+    `bitmaps` has the phrases to keep and extend, from 2 words on; lengths without a bitmap are kept whole.
+    """
     ahead, behind = Transform(forward, len(ids)), Transform(backward, len(ids))
     symbol = np.arange(1, len(ids) + 1)
     low, mirror = ahead.first[symbol], behind.first[symbol]
@@ -211,22 +220,173 @@ def grow(
         start, end, width, smaller = behind.extensions(mirror, size)
         begins = low[start] + smaller
         _, a, b = np.intersect1d(ahead.before(word, low[of]), begins, assume_unique=True, return_indices=True)
-        prefix, suffix, at, width = start[b], of[a], begins[b], width[b]
-        if k == length:
-            break
+        prefix, suffix = start[b], of[a]
         name = _turned(ids[prefix], TURNS[k - 2]) ^ ids[suffix]
-        some = has(bitmaps[k - 2], name)
+        some = has(bitmaps[k - 2], name) if len(bitmaps) > k - 2 else np.ones(len(name), bool)
         mirror = behind.before(end[b], mirror[prefix])[some]
-        ids, low, size = name[some], at[some], width[some]
-    count = width - (np.searchsorted(alien, at + width) - np.searchsorted(alien, at))
-    some = count > 0
-    return ids[prefix][some], ids[suffix][some], count[some]
+        low, size, parts = begins[b][some], width[b][some], (ids[prefix][some], ids[suffix][some])
+        ids = name[some]
+        count = size - (np.searchsorted(alien, low + size) - np.searchsorted(alien, low))
+        own = count > 0
+        yield parts[0][own], parts[1][own], count[own]
 
 
-def _rows(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-    columns = [x.view(np.int64) for x in found]
-    for at in range(0, len(found[0]), 1 << 16):
-        yield pa.record_batch([pa.array(x[at : at + (1 << 16)]) for x in columns], names=["prefix", "suffix", "n"])
+def grow(
+    ids: np.ndarray, forward: np.ndarray, backward: np.ndarray, alien: np.ndarray, bitmaps: list[np.ndarray], length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix, suffix, count) of the phrases of `length` words; `bitmaps` has the shorter ones to extend, from 2 on."""
+    *_, longest = levels(ids, forward, backward, alien, bitmaps, length)
+    return longest
+
+
+def windows(ids: np.ndarray, text: np.ndarray, bitmaps: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of `length` words from every start on, as `levels` makes it, and where it is one of a phrase.
+
+    That is where no break comes between and all shorter phrases inside are in `bitmaps`, from 2 words on.
+    """
+    name, there = np.concatenate((np.zeros(1, np.uint64), ids))[text], text > 0
+    for k in range(2, length + 1):
+        name, there = _turned(name[:-1], TURNS[k - 2]) ^ name[1:], there[:-1] & there[1:]
+        if k < length:
+            there &= has(bitmaps[k - 2], name)
+    return name, there
+
+
+def summed(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Distinct keys in ascending order, the first array counting most, and the sum of each one's counts."""
+    order = np.lexsort(keys[::-1])
+    keys = tuple(k[order] for k in keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return tuple(k[first] for k in keys), np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
+def _cut(raw: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes between neighbouring cuts, one value each."""
+    buffers = [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, buffers)
+
+
+def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Numbers from 0 on, 7 bits a byte, lowest first; the top bit says that more follow. One value between two cuts."""
+    values, width, most = values.astype(np.int64), np.ones(len(values), np.int64), int(values.max(initial=0))
+    for k in range(7, most.bit_length(), 7):
+        width += values >= 1 << k
+    ends = np.concatenate(([0], np.cumsum(width)))
+    raw = np.zeros(ends[-1], np.uint8)
+    for k in range(int(width.max(initial=0))):
+        some = np.flatnonzero(width > k)
+        raw[ends[some] + k] = values[some] >> 7 * k & 127 | (width[some] > k + 1) << 7
+    return _cut(raw, ends[cuts])
+
+
+def unpacked(raw: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    values = np.zeros(len(ends), np.int64)
+    for k in range(int((ends - starts).max(initial=-1)) + 1):
+        some = np.flatnonzero(ends - starts >= k)
+        values[some] |= (raw[starts[some] + k] & 127).astype(np.int64) << 7 * k
+    return values
+
+
+def _starts(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of a sorted array begins, and the same with its end."""
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    return first, np.append(first, len(part))
+
+
+PLACES = "part int, places binary, counts binary"
+PHRASES = "part int, length int, prefixes binary, suffixes binary, counts binary"
+
+
+def _place_rows(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows of `PLACES` from (places, counts): a row for each range, steps from place to place."""
+    (place,), count = summed((np.concatenate([x[0] for x in found]),), np.concatenate([x[1] for x in found]))
+    if not len(place):
+        return
+    part = place >> 32 - PARTS
+    first, cuts = _starts(part)
+    step = np.diff(place, prepend=0)
+    step[first] = place[first] & (1 << 32 - PARTS) - 1
+    columns = [pa.array(part[first], pa.int32()), packed(step, cuts), packed(count, cuts)]
+    yield pa.record_batch(columns, names=["part", "places", "counts"])
+
+
+def _places(shards: Iterator[tuple[np.ndarray, ...]], bitmaps: list[np.ndarray], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows of `PLACES`: how often the places of phrases of `length` words come in shards (ids, text, alien)."""
+    held, size = [], 0
+    for ids, text, alien in shards:
+        name, there = windows(ids, text, bitmaps, length)
+        name = name[there & ~alien[: len(name)]]
+        place = np.sort((name & np.uint64((1 << 32) - 1)).astype(np.int64))
+        (place,), count = summed((place,), np.ones(len(place), np.int64))
+        held.append((place, count))
+        size += len(place)
+        if size >= HELD:
+            yield from _place_rows(held)
+            held, size = [], 0
+    if size:
+        yield from _place_rows(held)
+
+
+def _likely(rows: pa.Table, least: int) -> pa.Table:
+    """The places of one range with `least` occurrences or more over all tasks."""
+    places, counts = (
+        [unpacked(np.frombuffer(x.as_buffer(), np.uint8)) for x in rows[c]] for c in ("places", "counts")
+    )
+    (place,), count = summed((np.concatenate([np.cumsum(x) for x in places]),), np.concatenate(counts))
+    return pa.table({"id": place[count >= least] + (rows["part"][0].as_py() << 32 - PARTS)})
+
+
+def _phrase_rows(length: int, found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Rows of `PHRASES` from (prefix, suffix, count) of phrases of `length` words."""
+    prefix, suffix, count = (np.concatenate(x) for x in zip(*found, strict=True))
+    part = (_turned(prefix, TURNS[length - 2]) ^ suffix) >> np.uint64(64 - PARTS)
+    (part, prefix, suffix), count = summed((part, prefix, suffix), count)
+    if not len(part):
+        return
+    first, cuts = _starts(part)
+    yield pa.record_batch(
+        [
+            pa.array(part[first].astype(np.int32)), pa.array(np.full(len(first), length, np.int32)),
+            *(_cut(x.view(np.uint8), 8 * cuts) for x in (prefix, suffix)), packed(count, cuts),
+        ],
+        names=["part", "length", "prefixes", "suffixes", "counts"],
+    )
+
+
+def _phrases(shards: Iterator[tuple[np.ndarray, ...]], bitmaps: list[np.ndarray], longest: int) -> Iterator[pa.RecordBatch]:
+    """Rows of `PHRASES`: phrases of 2 to `longest` words that are in `bitmaps`, from shards (ids, text, alien)."""
+    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    size = 0
+
+    def close() -> Iterator[pa.RecordBatch]:
+        for length in sorted(held):
+            yield from _phrase_rows(length, held[length])
+
+    for ids, text, alien in shards:
+        for length, found in enumerate(levels(ids, *build(text, alien, longest), bitmaps, longest), 2):
+            held.setdefault(length, []).append(found)
+            size += len(found[0])
+        if size >= HELD:
+            yield from close()
+            held, size = {}, 0
+    yield from close()
+
+
+def _frequent(rows: pa.Table, least: int) -> pa.Table:
+    """(length, prefix, suffix, f) of the phrases of one range with `least` occurrences or more over all tasks."""
+    prefix, suffix = (
+        np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows[c]]) for c in ("prefixes", "suffixes")
+    )
+    counts = [unpacked(np.frombuffer(x.as_buffer(), np.uint8)) for x in rows["counts"]]
+    length = np.repeat(rows["length"].to_numpy(), [len(x) for x in counts])
+    keys, f = summed((length, prefix, suffix), np.concatenate(counts))
+    return pa.table([k[f >= least] for k in (*keys, f)], names=["length", "prefix", "suffix", "f"])
 
 
 def _dense(ids: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,39 +417,29 @@ def _read(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[tup
             )
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(prefix, suffix, n): phrases of two words, from rows (lang, words, body, counted)."""
-    for ids, text, alien in _read(batches, bitmap):
-        yield from _rows(grow(ids, *build(text, alien, 2), [], 2))
-
-
-def _indexed(batches: Iterator[pa.RecordBatch], words: np.ndarray, pairs: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
-    """(ids, forward, backward, alien) of chains of frequent pairs, from rows (lang, words, body, counted)."""
+def _chains(batches: Iterator[pa.RecordBatch], words: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(ids, text, alien) of chains of frequent pairs, from rows (lang, words, body, counted)."""
     for ids, text, alien in _read(batches, words):
-        name = np.concatenate((np.zeros(1, np.uint64), ids))[text]
-        joined = (text[:-1] > 0) & (text[1:] > 0)
-        joined &= has(pairs, _turned(name[:-1], TURNS[0]) ^ name[1:])
-        text, alien = chained(text, alien, joined, 3)
+        name, joined = windows(ids, text, [], 2)
+        text, alien = chained(text, alien, joined & has(pairs, name), 2)
         ids, text = _dense(ids, text)
-        forward, backward, strange = build(text, alien, depth)
         yield pa.record_batch(
             [
-                pa.array([ids.view(np.int64)], pa.list_(pa.int64())), pa.array([forward.tobytes()], pa.binary()),
-                pa.array([backward.tobytes()], pa.binary()), pa.array([strange], pa.list_(pa.int64())),
+                pa.array([ids.view(np.int64)], pa.list_(pa.int64())), pa.array([text.tobytes()], pa.binary()),
+                pa.array([np.flatnonzero(alien)], pa.list_(pa.int64())),
             ],
-            names=["ids", "forward", "backward", "alien"],
+            names=["ids", "text", "alien"],
         )
 
 
-def _extended(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray], length: int) -> Iterator[pa.RecordBatch]:
-    """(prefix, suffix, n): phrases of `length` words, from rows (ids, forward, backward, alien)."""
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            ids, forward, backward, alien = (batch.column(c)[k] for c in range(4))
-            yield from _rows(grow(
-                ids.values.to_numpy().view(np.uint64), np.frombuffer(forward.as_buffer(), np.int32),
-                np.frombuffer(backward.as_buffer(), np.int32), alien.values.to_numpy(), bitmaps, length,
-            ))
+            ids, text, alien = (batch.column(c)[k] for c in range(3))
+            text = np.frombuffer(text.as_buffer(), np.int32)
+            strange = np.zeros(len(text), bool)
+            strange[alien.values.to_numpy()] = True
+            yield ids.values.to_numpy().view(np.uint64), text, strange
 
 
 def _bitmap(level: DataFrame, bits: int) -> np.ndarray:
@@ -332,28 +482,42 @@ def mine(
         "lang", F.lit(1).alias("length"), F.xxhash64("lang", "word").alias("id"), none.alias("prefix"), none.alias("suffix"),
         F.array("word").alias("words"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"),
     ))
-    found, bitmaps, index = level, [], None
+    found, bitmaps, chains = level, [spark.sparkContext.broadcast(_bitmap(level, bits))], None
     bodies = shards.select("lang", "words", "body", "counted")
-    kind = "prefix long, suffix long, n long"
     for length in range(2, longest + 1):
-        bitmaps.append(spark.sparkContext.broadcast(_bitmap(level, bits)))
         sent = tuple(bitmaps)
         if length == 2:
-            parts = bodies.mapInArrow(lambda batches, sent=sent: _pairs(batches, sent[0].value), kind)
+            places = bodies.mapInArrow(lambda batches, sent=sent: _places(_read(batches, sent[0].value), [], 2), PLACES)
         else:
-            if index is None:
+            if chains is None:
                 # only chains of frequent pairs can hold longer phrases
-                index = stored("indexes", bodies.mapInArrow(
-                    lambda batches, sent=sent: _indexed(batches, sent[0].value, sent[1].value, longest),
-                    "ids array<long>, forward binary, backward binary, alien array<long>",
+                chains = stored("chains", bodies.mapInArrow(
+                    lambda batches, sent=sent: _chains(batches, sent[0].value, sent[1].value),
+                    "ids array<long>, text binary, alien array<long>",
                 ))
-            parts = index.mapInArrow(
-                lambda batches, sent=sent, length=length: _extended(batches, [b.value for b in sent[1:]], length), kind
+            places = chains.mapInArrow(
+                lambda batches, sent=sent, length=length: _places(_chained(batches), [b.value for b in sent[1:]], length),
+                PLACES,
+            )
+        likely = places.groupBy("part").applyInArrow(lambda rows: _likely(rows, least), "id long")
+        bitmaps.append(spark.sparkContext.broadcast(_bitmap(likely, bits)))
+    if longest > 1:
+        if chains is None:
+            chains = bodies.mapInArrow(
+                lambda batches, sent=tuple(bitmaps): _chains(batches, sent[0].value, sent[1].value),
+                "ids array<long>, text binary, alien array<long>",
             )
-        sums = cut_lineage(parts.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+        counted = chains.mapInArrow(
+            lambda batches, sent=tuple(bitmaps): _phrases(_chained(batches), [b.value for b in sent[1:]], longest), PHRASES
+        )
+        sums = stored("sums", counted.groupBy("part").applyInArrow(
+            lambda rows: _frequent(rows, least), "length int, prefix long, suffix long, f long"
+        ))
+    for length in range(2, longest + 1):
         left = level.select("lang", F.col("id").alias("prefix"), "words", "heads")
         right = level.select(F.col("id").alias("suffix"), F.element_at("words", -1).alias("end"), "tails")
-        level = stored(f"phrases-{length}", sums.join(left, "prefix").join(right, "suffix").select(
+        grown = sums.where(F.col("length") == length).drop("length").join(left, "prefix").join(right, "suffix")
+        level = stored(f"phrases-{length}", grown.select(
             "lang", F.lit(length).alias("length"), _named(F.col("prefix"), F.col("suffix"), TURNS[length - 2]).alias("id"),
             "prefix", "suffix", F.concat("words", F.array("end")).alias("words"), "f",
             F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"),

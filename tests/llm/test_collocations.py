@@ -87,3 +87,67 @@ def test_both_directions_meet():
     prefix, suffix, count = collocations.grow(np.array([10, 20, 30], np.uint64), *found, [], 2)
     want = Counter((10 * int(a), 10 * int(b)) for a, b in zip(ids, ids[1:], strict=False) if a and b)
     assert Counter({(int(p), int(s)): int(c) for p, s, c in zip(prefix, suffix, count, strict=True)}) == want
+
+
+def drawn(words, size, seed):
+    rng = np.random.default_rng(seed)
+    ids = rng.integers(0, 1 << 64, words, np.uint64)
+    return ids, rng.integers(0, words + 1, size).astype(np.int32), rng.random(size) < 0.1
+
+
+def counted(ids, text, alien, length):
+    name, there = collocations.windows(ids, text, [np.full(1, 255, np.uint8)] * (length - 2), length)
+    return Counter(name[there & ~alien[: len(name)]].tolist())
+
+
+def test_places_are_sent_packed_and_summed_over_tasks():
+    tasks = [drawn(3000, 150_000, 7), drawn(3000, 100_000, 7)]  # the same words
+    sent = [list(collocations._places(iter([t]), [], 2)) for t in tasks]
+    want = Counter()
+    for task, batches in zip(tasks, sent, strict=True):
+        found = counted(*task, 2)
+        for k, n in found.items():
+            want[k & 0xFFFFFFFF] += n
+        # no row and no more than four bytes for a pair, however many there are
+        assert sum(b.num_rows for b in batches) <= 1 << collocations.PARTS
+        assert sum(b.column(c).nbytes for b in batches for c in (1, 2)) < 4.5 * len(found)
+    rows = collocations.pa.Table.from_batches([b for batches in sent for b in batches])
+    got = set()
+    for part in set(rows["part"].to_pylist()):
+        one = rows.filter(collocations.pa.compute.equal(rows["part"], part))
+        got |= set(collocations._likely(one, 2)["id"].to_pylist())
+    assert got == {k for k, n in want.items() if n >= 2}
+
+
+def test_windows_and_transforms_name_the_same_phrases():
+    ids, text, alien = drawn(4, 500, 3)
+    kept = [np.full(1, 255, np.uint8)] * 4
+    found = collocations.levels(ids, *collocations.build(text, alien, 5), kept, 5)
+    for length, (prefix, suffix, count) in enumerate(found, 2):
+        name = collocations._turned(prefix, collocations.TURNS[length - 2]) ^ suffix
+        assert Counter(dict(zip(name.tolist(), count.tolist(), strict=True))) == counted(ids, text, alien, length)
+
+
+def test_phrases_meet_over_tasks():
+    ids, text, alien = drawn(5, 400, 5)
+    kept = [np.full(1, 255, np.uint8)] * 2
+    batches = [b for _ in range(2) for b in collocations._phrases(iter([(ids, text, alien)] * 2), kept, 3)]
+    rows = collocations.pa.Table.from_batches(batches)
+    got = {}
+    for part in set(rows["part"].to_pylist()):
+        one = rows.filter(collocations.pa.compute.equal(rows["part"], part))
+        got |= {(r["length"], r["prefix"], r["suffix"]): r["f"] for r in collocations._frequent(one, 8).to_pylist()}
+    want = {}
+    for length, found in enumerate(collocations.levels(ids, *collocations.build(text, alien, 3), kept, 3), 2):
+        for prefix, suffix, n in zip(*(x.view(np.int64).tolist() for x in found), strict=True):
+            if 4 * n >= 8:
+                want[length, prefix, suffix] = 4 * n
+    assert got == want
+
+
+def test_packed_numbers_come_back():
+    values = np.array([0, 1, 127, 128, 300, 16383, 16384, 1 << 40, 5], np.int64)
+    parts = collocations.packed(values, np.array([0, 3, 3, 8, 9]))
+    back = [collocations.unpacked(np.frombuffer(x.as_buffer(), np.uint8)).tolist() for x in parts]
+    assert back == [[0, 1, 127], [], [128, 300, 16383, 16384, 1 << 40], [5]]
+    assert len(collocations.packed(values[:0], np.zeros(1, np.int64))) == 0
