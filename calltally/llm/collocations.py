@@ -40,7 +40,7 @@ from calltally.session import cut_lineage, scratch_path
 SHARD = 1 << 20  # words
 BITS = 1 << 26  # places of the bitmap of frequent phrases
 PARTS = 10  # bits of a place, or of a phrase's hash, that name the range it is summed in
-HELD = 1 << 21  # places or phrases that a task sums before it sends them
+HELD = 1 << 20  # places or phrases that a task sums before it sends them
 TURNS = (7, 13, 22, 37, 45, 53)  # one for each length, so that no word cancels out of a hash
 PIECE = 1 << 20  # bytes of a text that are split into words together
 _BREAK = b"\xff"  # no byte of UTF-8
@@ -254,7 +254,7 @@ def windows(ids: np.ndarray, text: np.ndarray, bitmaps: list[np.ndarray], length
 
 def summed(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     """Distinct keys in ascending order, the first array counting most, and the sum of each one's counts."""
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
     keys = tuple(k[order] for k in keys)
     new = np.zeros(len(order), bool)
     new[:1] = True
@@ -310,7 +310,7 @@ def _place_rows(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Recor
         return
     part = place >> 32 - PARTS
     first, cuts = _starts(part)
-    step = np.diff(place, prepend=0)
+    step = np.diff(place, prepend=place[:1])
     step[first] = place[first] & (1 << 32 - PARTS) - 1
     columns = [pa.array(part[first], pa.int32()), packed(step, cuts), packed(count, cuts)]
     yield pa.record_batch(columns, names=["part", "places", "counts"])
@@ -322,10 +322,8 @@ def _places(shards: Iterator[tuple[np.ndarray, ...]], bitmaps: list[np.ndarray],
     for ids, text, alien in shards:
         name, there = windows(ids, text, bitmaps, length)
         name = name[there & ~alien[: len(name)]]
-        place = np.sort((name & np.uint64((1 << 32) - 1)).astype(np.int64))
-        (place,), count = summed((place,), np.ones(len(place), np.int64))
-        held.append((place, count))
-        size += len(place)
+        held.append(np.unique((name & np.uint64((1 << 32) - 1)).astype(np.uint32), return_counts=True))
+        size += len(held[-1][0])
         if size >= HELD:
             yield from _place_rows(held)
             held, size = [], 0
